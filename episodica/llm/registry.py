@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from episodica.llm.decontaminate import op4_bm25_leaks
 from episodica.llm.packing import op6_minimum_bin_slack
 from episodica.llm.pii import op5_bootstrapped_pii
 from episodica.llm.quality import op3_repetition_rules
@@ -9,6 +10,6 @@ from episodica.llm.simhash import op10_simhash_components
 from episodica.llm.suffixes import op8_bucket_pointer_dedup
 from episodica.llm.tokenfiles import op9_token_files
 
-QUERIES = {f.__name__: f for f in (op3_repetition_rules, op5_bootstrapped_pii, op6_minimum_bin_slack, op8_bucket_pointer_dedup, op9_token_files, op10_simhash_components)}
+QUERIES = {f.__name__: f for f in (op3_repetition_rules, op4_bm25_leaks, op5_bootstrapped_pii, op6_minimum_bin_slack, op8_bucket_pointer_dedup, op9_token_files, op10_simhash_components)}
 
 ORACLE_SQL: dict[str, str] = {}
