@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from episodica.llm.decontaminate import op4_bm25_leaks
 from episodica.llm.html_text import op1_tree_model_text
+from episodica.llm.licenses import op7_license_notices
 from episodica.llm.packing import op6_minimum_bin_slack
 from episodica.llm.pii import op5_bootstrapped_pii
 from episodica.llm.quality import op3_repetition_rules
 from episodica.llm.simhash import op10_simhash_components
 from episodica.llm.suffixes import op8_bucket_pointer_dedup
 from episodica.llm.tokenfiles import op9_token_files
+from episodica.llm.warc import OP2_SQL, op2_merkle_fixity
 
-QUERIES = {f.__name__: f for f in (op1_tree_model_text, op3_repetition_rules, op4_bm25_leaks, op5_bootstrapped_pii, op6_minimum_bin_slack, op8_bucket_pointer_dedup, op9_token_files, op10_simhash_components)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_tree_model_text,
+        op2_merkle_fixity,
+        op3_repetition_rules,
+        op4_bm25_leaks,
+        op5_bootstrapped_pii,
+        op6_minimum_bin_slack,
+        op7_license_notices,
+        op8_bucket_pointer_dedup,
+        op9_token_files,
+        op10_simhash_components,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_merkle_fixity": OP2_SQL}
