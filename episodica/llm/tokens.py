@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import string
 from array import array
 
 import numpy as np
@@ -12,9 +14,23 @@ import public_tokenizers
 
 #: Two runs of white space that meet, or the mark that is used here: such texts are encoded in one piece.
 _UNSAFE = r"[\s\x0b\x{85}\p{Z}]{2}|\x00"
+#: Latin letters that each have one lower-case form, and are composed already.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_MARKS = string.punctuation
 _CODERS: dict[tuple[str, bool, int], WordCoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable Latin-1 stands for itself, the rest from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_letters()
+
+
 class WordCoder:
     """Ids of texts by a file of the ``tokenizers`` library, each as little-endian unsigned 32-bit bytes.
 
@@ -26,10 +42,10 @@ class WordCoder:
     * word-end files (``spaced=False``) drop white space, hence a cut at any space or line feed changes nothing.
 
     Words that were met before are looked up. Two generations of at most ``keep`` words bound the memory. A
-    letter and a full stop or comma at the word's end are never merged, which saves most words with one.
+    letter and the marks at a word's end are never merged, so the marks are looked up by themselves.
     """
 
-    def __init__(self, path: str, spaced: bool, keep: int = 600_000) -> None:
+    def __init__(self, path: str, spaced: bool, keep: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,36 +56,43 @@ class WordCoder:
         self.old: dict[str, bytes] = {}
 
     def _new(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _stem(word: str) -> str | None:
-        return word[:-1] if len(word) > 1 and word[-1] in ".," and word[-2] < "Ā" and word[-2].isalpha() else None
+        """Ids of new words. One of plain letters is a single piece for the model, which then needs no normaliser or splitter."""
+        found: list[bytes] = [b""] * len(texts)
+        other = []
+        merge = self.tokenizer.model.tokenize
+        for i, w in enumerate(texts):
+            if _PLAIN.fullmatch(w, w[0] == " " and self.spaced):
+                w = w if self.spaced else w.lower()
+                piece = w.replace(" ", _BYTES[32]) if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
+                found[i] = array("I", [x.id for x in merge(piece)]).tobytes()
+            else:
+                other.append(i)
+        for i, x in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False), strict=True):
+            found[i] = array("I", x.ids).tobytes()
+        return found
 
     def _words(self, words: list[str]) -> list[bytes]:
         if len(self.young) > self.keep:
             self.young, self.old = {"": b""}, self.young
         young, old = self.young, self.old
-        unknown: dict[str, None] = {}
-        for w in words:
-            if w not in young:
-                if (ids := old.get(w)) is not None:
-                    young[w] = ids
-                    continue
-                stem = self._stem(w)
-                for part in (w,) if stem is None else (stem, w[-1]):
-                    if part not in young and part not in old:
+        found = list(map(young.get, words))
+        late, unknown = [], {}
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            w = words[i]
+            stem = w.rstrip(_MARKS)
+            parts = (stem, w[len(stem) :]) if stem != w and stem[-1:] in _LETTERS and stem else (w,)
+            for part in parts:
+                if part not in young:
+                    if (ids := old.get(part)) is not None:
+                        young[part] = ids
+                    else:
                         unknown[part] = None
+            late.append((i, parts))
         if unknown:
             fresh = list(unknown)
             young.update(zip(fresh, self._new(fresh), strict=True))
-        found = []
-        for w in words:
-            ids = young.get(w)
-            if ids is None:
-                stem = w[:-1]
-                ids = (young.get(stem) or old[stem]) + (young.get(w[-1]) or old[w[-1]])
-            found.append(ids)
+        for i, parts in late:
+            found[i] = b"".join([young[x] for x in parts])
         return found
 
     def encode(self, texts: pa.Array) -> pa.Array:
@@ -88,7 +111,7 @@ class WordCoder:
         else:
             words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
-        values = pa.array(self._words(coded.dictionary.to_pylist()), pa.large_binary())
+        values = pa.array(self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
         ids = pa.LargeListArray.from_arrays(words.offsets.cast(pa.int64()), values.take(coded.indices))
         joined = pc.binary_join(ids, pa.scalar(b"", pa.large_binary()))
         if whole:
@@ -96,7 +119,7 @@ class WordCoder:
         return joined
 
 
-def coder(file: str, spaced: bool, keep: int = 600_000) -> WordCoder:
+def coder(file: str, spaced: bool, keep: int = 400_000) -> WordCoder:
     """This worker's coder for one of the public vocabulary files."""
     key = (file, spaced, keep)
     if key not in _CODERS:
