@@ -1,0 +1,3 @@
+"""Registered queries, by group: each module has QUERIES and ORACLE_SQL."""
+
+MODULES = ("flagship", "window_queries")
