@@ -20,8 +20,12 @@ STRETCH = 2_000_000
 #: A run of starts as one number: kind, 17 bits of the text's hash, 36 bits of the first start, 7 bits of how many.
 RUN_BITS, START_BITS, TEXT_BITS = 7, 36, 17
 KIND = RUN_BITS + START_BITS + TEXT_BITS
-SEGMENT, SHARED, ASKED, REPEAT = range(4)
+SEGMENT, SHARED, WIDE, ASKED, ASKED_WIDE, REPEAT = range(6)
 _ROW = "a long, b long, doc long, at long"
+#: Different segments of a bucket in one stretch of text, and in all: a bucket with more is refined string by string, on all executors.
+WIDE_HERE, WIDE_ALL = 64, 4096
+#: Strings that a task sorts at once.
+STRINGS = 400_000
 
 
 def _pointer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,27 +119,30 @@ def _batch(a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray, kind:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b, doc, at | (kind.astype(np.int64) << KIND))], names=["a", "b", "doc", "at"])
 
 
-def _judge(m: np.ndarray, s: np.ndarray, doc: np.ndarray, at: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted order, and for each row there: whether an earlier row has the same segment, whether the bucket has several segments."""
-    order = np.lexsort((at, doc, s, m, shared))  # rows without a segment come last
-    n = len(order) - int(shared.sum())
-    m1, s1 = m[order], s[order]
-    bucket = np.r_[True, m1[1:n] != m1[: n - 1]] if n else np.empty(0, bool)
-    same = np.zeros(len(order), bool)
-    same[1:n] = ~bucket[1:] & (s1[1:n] == s1[: n - 1])
+def _judge(m: np.ndarray, s: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted order, and for each row there: whether an earlier row has the same segment, how many different ones its bucket has."""
+    order = np.lexsort((at, doc, s, m))
+    m, s = m[order], s[order]
+    bucket = np.r_[True, m[1:] != m[:-1]][: len(m)]
+    same = ~bucket
+    same[1:] &= s[1:] == s[:-1]
     group = np.cumsum(bucket) - 1
-    kinds = np.bincount(group, ~same[:n], minlength=1)[group] if n else np.empty(0)
-    several = np.zeros(len(order), bool)
-    several[:n] = (kinds > 1) | np.isin(m1[:n], m1[n:])
-    return order, same, several
+    kinds = np.bincount(group, ~same)[group] if len(m) else np.zeros(0)
+    return order, _later(same, doc[order], at[order]), kinds
+
+
+def _later(same: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of sorted rows that are the same as the one before, those whose place differs from their first's: repeated rows don't repeat each other."""
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    return same & ((doc != doc[head]) | (at != at[head]))
 
 
 def first_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of the texts, settled among themselves: of equal ones only the first goes on.
 
     Rows of kind SEGMENT go on to meet those of other tasks. Where a bucket holds several different segments here, each is ASKED for
-    refinement, and one SHARED row tells the others; so a bucket or segment has one row at most
-    from each stretch of text, however often it stands there.
+    refinement, and one SHARED row tells the others. Where it holds very many, they don't meet as a bucket at all: they are
+    ASKED_WIDE, and a WIDE row tells. So a bucket gets a bounded number of rows from each stretch of text.
     """
     for batch in batches:
         doc, texts = _rows(batch)
@@ -144,13 +151,13 @@ def first_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             first, count, piece, m, s = segments(raw, begins)
             at = _packed(hashes[piece], first - begins[piece] + offset[piece], count)
             ids = doc[row][piece]
-            order, same, several = _judge(m, s, ids, at, np.zeros(len(m), bool))
-            kind = np.where(same, REPEAT, np.where(several, ASKED, SEGMENT))
+            order, same, kinds = _judge(m, s, ids, at)
+            kind = np.select([same, kinds > WIDE_HERE, kinds > 1], [REPEAT, ASKED_WIDE, ASKED], SEGMENT)
             yield _batch(m[order], s[order], ids[order], at[order], kind)
-            told = np.unique(m[order][several])
-            if len(told):
-                none = np.zeros(len(told), np.int64)
-                yield _batch(told, none, none, none, np.full(len(told), SHARED))
+            for flag, told in ((SHARED, (kinds > 1) & (kinds <= WIDE_HERE)), (WIDE, kinds > WIDE_HERE)):
+                buckets = np.unique(m[order][told])
+                none = np.zeros(len(buckets), np.int64)
+                yield _batch(buckets, none, none, none, np.full(len(buckets), flag))
 
 
 def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
@@ -162,63 +169,124 @@ def _packed(text: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarra
 
 
 def settle_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments of whole buckets: all but the first of equal ones are repeats; different ones are asked for."""
+    """The segments of whole buckets: all but the first of equal ones are repeats; where there are different ones, they are asked for."""
     parts = [[x.to_numpy() for x in batch.columns] for batch in batches if batch.num_rows]
     if not parts:
         return
     m, s, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
     kind = at >> KIND
     at = at & ((1 << KIND) - 1)
-    done = kind >= ASKED
-    if done.any():
-        yield _batch(m[done], s[done], doc[done], at[done], kind[done])
-    m, s, doc, at, kind = (x[~done] for x in (m, s, doc, at, kind))
-    order, same, several = _judge(m, s, doc, at, kind == SHARED)
-    new = np.where(same, REPEAT, np.where(several, ASKED, SEGMENT))
-    out = (new != SEGMENT) & (kind[order] == SEGMENT)
-    yield _batch(m[order][out], s[order][out], doc[order][out], at[order][out], new[out])
+    done = kind >= ASKED_WIDE
+    yield _batch(m[done], s[done], doc[done], at[done], kind[done])
+    shared, wide = np.unique(m[kind == SHARED]), np.unique(m[kind == WIDE])
+    own = (kind == SEGMENT) | (kind == ASKED)
+    m, s, doc, at = (x[own] for x in (m, s, doc, at))
+    order, same, kinds = _judge(m, s, doc, at)
+    m, s, doc, at = (x[order] for x in (m, s, doc, at))
+    very = (kinds > WIDE_ALL) | np.isin(m, wide)
+    new = np.select([same, very, (kinds > 1) | np.isin(m, shared)], [REPEAT, ASKED_WIDE, ASKED], SEGMENT)
+    out = new != SEGMENT
+    yield _batch(m[out], s[out], doc[out], at[out], new[out])
+
+
+def _strings(raw: np.ndarray, first: np.ndarray, own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(pointer, pointer 36 bytes on, id, place) of each string of segments that begin at ``first`` in ``raw``."""
+    _, b64 = refine(raw)
+    count = own & ((1 << RUN_BITS) - 1)
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    start = np.repeat(first, count) + inside
+    at = np.repeat(own >> RUN_BITS << RUN_BITS, count) + (inside << RUN_BITS) + 1
+    return b64[start].view(np.int64), b64[start + 36].view(np.int64), np.repeat(ids, count), at
+
+
+def _repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by bucket pointers, then by place; and whether the string before is equal."""
+    order = np.lexsort((at, doc, b, a))
+    a, b = a[order], b[order]
+    same = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])][: len(a)]
+    return order, _later(same, doc[order], at[order])
+
+
+def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings (runs of one) whose places follow each other as longer runs."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    step = 1 << RUN_BITS
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] != step)][: len(at)]
+    place = np.arange(len(at))
+    head = np.maximum.accumulate(np.where(new, place, 0))
+    new |= (place - head) % (step - 1) == 0  # as many as a run's bits can count
+    begin = np.flatnonzero(new)
+    return doc[begin], at[begin] - 1 + np.diff(np.r_[begin, len(at)])
 
 
 def last_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 100-byte strings of the segments asked for, as pairs of bucket pointers 36 bytes apart."""
+    """What is asked for: the bytes of a segment for its bucket; or, of a wide bucket, each string by itself as bucket pointers."""
     for batch in batches:
         doc, texts = _rows(batch)
-        asked = batch.column(2).to_pylist()
+        out: list[tuple] = []
+        for i, asked in enumerate(batch.column(2).to_pylist()):
+            for x in asked:
+                at = x["at"] & ((1 << KIND) - 1)
+                if x["at"] >> KIND == ASKED:
+                    first, count = at >> RUN_BITS & ((1 << START_BITS) - 1), at & ((1 << RUN_BITS) - 1)
+                    out.append((x["a"], 0, doc[i], at, texts[i][first : first + count + LENGTH - 1]))
+        yield _asked(*zip(*out, strict=True)) if out else _asked(*[[]] * 5)
         for raw, row, offset, begins in stretches(texts):
-            wanted = []
+            found = []
             for i, o, begin, end in zip(row, offset, begins[:-1], begins[1:], strict=True):
-                own = np.array(asked[i], np.int64)
-                first, count = _unpacked(own)
+                own = np.array([x["at"] & ((1 << KIND) - 1) for x in batch.column(2)[int(i)].as_py() if x["at"] >> KIND == ASKED_WIDE], np.int64)
+                first, _ = _unpacked(own)
                 mine = (first >= o) & (first < o + (end - begin) - LENGTH + 1)
-                wanted.append((np.full(int(mine.sum()), i), own[mine], first[mine] - o + begin, count[mine]))
-            at_row, own, first, count = (np.concatenate(x) for x in zip(*wanted, strict=True))
-            if not len(own):
-                continue
-            _, b64 = refine(raw)
-            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            start = np.repeat(first, count) + inside
-            a, b = b64[start], b64[start + 36]
-            at = np.repeat(own >> RUN_BITS << RUN_BITS, count) + (inside << RUN_BITS) + 1
-            ids = np.repeat(doc[at_row], count)
-            order = np.lexsort((at, ids, b, a))
-            a, b, ids, at = a[order], b[order], ids[order], at[order]
-            same = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])]
-            yield _batch(a, b, ids, at, np.where(same, REPEAT, SEGMENT))
+                found.append((np.full(int(mine.sum()), doc[i]), own[mine], first[mine] - o + begin))
+            ids, own, first = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(own):
+                a, b, ids, at = _strings(raw, first, own, ids)
+                order, same = _repeats(a, b, ids, at)
+                a, b, ids, at = a[order], b[order], ids[order], at[order]
+                yield _asked(a[~same], b[~same], ids[~same], at[~same], None)
+                ids, at = _runs(ids[same], at[same])
+                yield _asked(at, np.zeros(len(at), np.int64), ids, at | (REPEAT << KIND), None)
+
+
+def _asked(a, b, doc, at, text) -> pa.RecordBatch:
+    columns = [pa.array(x, pa.int64()) for x in (a, b, doc, at)]
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary()) if text is None else pa.array(text, pa.binary())], names=["a", "b", "doc", "at", "bytes"])
 
 
 def settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by bucket pointers, then by place: all but the first of equal strings are repeats."""
-    parts = [[x.to_numpy() for x in batch.columns] for batch in batches if batch.num_rows]
-    if not parts:
+    """All but the first of equal strings, as runs: of those that came by themselves, and of the buckets' segments."""
+
+    def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, b, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, same = _repeats(a, b, doc, at)
+        doc, at = _runs(doc[order][same], at[order][same])
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at)], names=["doc", "at"])
+
+    tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+    if not tables:
         return
-    a, b, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    rows = pa.concat_tables(tables).combine_chunks()
+    a, b, doc, at = (rows.column(i).to_numpy() for i in range(4))
     done = at >> KIND == REPEAT
-    yield _batch(a[done], b[done], doc[done], at[done] & ((1 << KIND) - 1), np.full(int(done.sum()), REPEAT))
-    a, b, doc, at = (x[~done] for x in (a, b, doc, at))
-    order = np.lexsort((at, doc, b, a))
-    a, b, doc, at = a[order], b[order], doc[order], at[order]
-    same = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])][: len(a)]
-    yield _batch(*(x[same] for x in (a, b, doc, at)), np.full(int(same.sum()), REPEAT))
+    yield pa.RecordBatch.from_arrays([pa.array(doc[done]), pa.array(at[done] & ((1 << KIND) - 1))], names=["doc", "at"])
+    whole = rows.column(4).is_valid().to_numpy()
+    single = ~whole & ~done
+    if single.any():
+        yield out([(a[single], b[single], doc[single], at[single])])
+    segment = np.flatnonzero(whole)
+    segment = segment[np.argsort(a[segment], kind="stable")]
+    count = np.cumsum(at[segment] & ((1 << RUN_BITS) - 1))
+    begin = 0
+    while begin < len(segment):
+        end = int(np.searchsorted(count, (count[begin - 1] if begin else 0) + STRINGS, side="right"))
+        end = max(end, begin + 1)
+        end = int(np.searchsorted(a[segment], a[segment[end - 1]], side="right"))  # with the whole bucket
+        mine = segment[begin:end]
+        texts = rows.column(4).take(pa.array(mine)).to_pylist()
+        first = np.cumsum([0, *map(len, texts)])[:-1]
+        yield out([_strings(np.frombuffer(b"".join(texts), np.uint8), first, at[mine], doc[mine])])
+        begin = end
 
 
 def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,15 +308,17 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts keyed by id and text hash, their runs of repeated starts) of docs with columns id and text."""
     spark = docs.sparkSession
     keyed = docs.select("id", "text")
-    by_bucket = keyed.mapInArrow(first_buckets, _ROW).repartition("a")
+    kind = F.shiftright("at", KIND)
+    found = keyed.mapInArrow(first_buckets, _ROW)
+    by_bucket = found.repartition(F.when(kind >= ASKED_WIDE, F.xxhash64("doc", "at")).otherwise(F.col("a")))
     path = fresh_path(spark, "segments")
-    by_bucket.mapInArrow(settle_segments, _ROW).select("doc", "at").write.parquet(path)
+    by_bucket.mapInArrow(settle_segments, _ROW).select("a", "doc", "at").write.parquet(path)
     settled = spark.read.parquet(path)
-    kind = F.shiftright("at", KIND)
-    asked = settled.filter(kind == ASKED).groupBy("doc").agg(F.collect_list(F.col("at").bitwiseAND((1 << KIND) - 1)).alias("asked"))
-    strings = keyed.join(asked, keyed.id == asked.doc).select("id", "text", "asked").mapInArrow(_own(last_buckets), _ROW)
-    later = strings.repartition("a", "b").mapInArrow(settle_strings, _ROW).select("doc", "at")
-    return keyed, settled.filter(kind == REPEAT).unionByName(later)
+    asked = settled.filter(kind != REPEAT).groupBy("doc").agg(F.collect_list(F.struct("a", "at")).alias("asked"))
+    strings = keyed.join(asked, keyed.id == asked.doc).select("id", "text", "asked").mapInArrow(_own(last_buckets), f"{_ROW}, bytes binary")
+    later = strings.repartition("a", "b").mapInArrow(settle_strings, "doc long, at long")
+    repeats = settled.filter(kind == REPEAT).select("doc", F.col("at").bitwiseAND((1 << KIND) - 1).alias("at"))
+    return keyed, repeats.unionByName(later)
 
 
 def _own(then):
@@ -257,8 +327,11 @@ def _own(then):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def mine() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                asked = [_of_text(x, t) for x, t in zip(batch.column(2).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(asked, pa.list_(pa.int64()))], names=["id", "text", "asked"])
+                asked = []
+                for runs, text in zip(batch.column(2).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    mine = set(_of_text([x["at"] & ((1 << KIND) - 1) for x in runs], text))
+                    asked.append([x for x in runs if x["at"] & ((1 << KIND) - 1) in mine])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(asked, batch.column(2).type)], names=["id", "text", "asked"])
 
         return then(mine())
 
@@ -282,7 +355,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        a segment (2.5 rows for 100 bytes of text). A bucket with one segment needs no refinement, and equal segments are settled by
        their first;
     2. the strings of the other segments are sorted by pointers to the buckets of 64 bytes at
-       their offsets 0 and 36, which grew out of those of 8, 16 and 32 bytes. All but the first of equal ones are repeats.
+       their offsets 0 and 36, which grew out of those of 8, 16 and 32 bytes. All but the first of equal ones are
+       repeats. A segment's bytes travel to its bucket's task for that; those of a bucket with very many different
+       segments don't: there each string goes its own way, by its pointers.
 
     A task sends one row of a bucket's or string's equals, so frequent passages stay small.
 
@@ -293,7 +368,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     last = F.lit(2**63 - 1)
     keyed, runs = repeated_runs(docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.col(text_col).alias("text")))
-    by_doc = runs.groupBy("doc").agg(F.collect_list(F.col("at").bitwiseAND((1 << KIND) - 1)).alias("runs"))
+    by_doc = runs.groupBy("doc").agg(F.collect_list("at").alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
