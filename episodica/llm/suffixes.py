@@ -16,7 +16,7 @@ from episodica.llm.shared import fresh_path, table
 #: Bytes of the strings that are compared, and of the q-grams of the first buckets.
 LENGTH, GRAM = 100, 24
 #: Bytes that are bucketed at once; longer texts are cut, with LENGTH - 1 bytes of overlap.
-STRETCH = 2_000_000
+STRETCH = 1_000_000
 #: A run of starts as one number: kind, 17 bits of the text's hash, 36 bits of the first start, 7 bits of how many.
 RUN_BITS, START_BITS, TEXT_BITS = 7, 36, 17
 KIND = RUN_BITS + START_BITS + TEXT_BITS
@@ -25,7 +25,9 @@ _ROW = "a long, b long, doc long, at long"
 #: Different segments of a bucket in one stretch of text, and in all: a bucket with more is refined string by string, on all executors.
 WIDE_HERE, WIDE_ALL = 64, 4096
 #: Strings that a task sorts at once.
-STRINGS = 400_000
+STRINGS = 200_000
+#: Texts whose requests are held as objects at once.
+ROWS = 250
 
 
 def _pointer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -326,7 +328,7 @@ def _own(then):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def mine() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
                 asked = []
                 for runs, text in zip(batch.column(2).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                     mine = set(_of_text([x["at"] & ((1 << KIND) - 1) for x in runs], text))
