@@ -136,7 +136,7 @@ def l6(spark: SparkSession, sf: str) -> DataFrame:
 def l7(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.latents(spark, sf).select("batch_id", "vec_id", "z_inv", "z_dep")
     rolled = S.rolled_negative(rows, key="vec_id")
-    negative = rows.select(F.col("vec_id").alias("negative"), F.col("z_dep").alias("z_neg"))
+    negative = rows.select(F.col("vec_id").alias("negative"), F.col("z_inv").alias("z_neg"))
     return E.triplet_hinge(rolled.join(negative, "negative"), 0.2, "z_inv", "z_dep", "z_neg", ["batch_id"]).select("batch_id", F.round("loss", 8).alias("loss"))
 
 
@@ -229,7 +229,7 @@ ORACLE_SQL = {
         for g, v, n in (("state_id", "z_inv", "state"), ("view_id", "z_dep", "view"))
     ) + " USING (batch_id)",
     "l6_ratio_contrast": f"WITH {_SIM('z_inv', 1)}, e AS (SELECT batch_id, q, coalesce(sum(CASE WHEN qs = ks AND qv <> kv THEN exp(sim) END), 0) AS p, coalesce(sum(CASE WHEN qs <> ks THEN exp(sim) END), 0) AS n FROM s GROUP BY 1, 2) SELECT batch_id, round(avg(-ln(greatest(p, 1e-8::DOUBLE) / greatest(p + n, 1e-8::DOUBLE))), 6) AS loss FROM e GROUP BY 1",
-    "l7_triplet_hinge": f"WITH {T.LATENTS}, n AS (SELECT batch_id, vec_id, z_inv, z_dep, coalesce(lag(vec_id) OVER (PARTITION BY batch_id ORDER BY vec_id), max(vec_id) OVER (PARTITION BY batch_id)) AS neg FROM latents) SELECT a.batch_id, round(avg(greatest(0, 0.2::DOUBLE + {_DIST('a.z_inv', 'a.z_dep')} - {_DIST('a.z_inv', 'b.z_dep')})), 8) AS loss FROM n a JOIN latents b ON a.neg = b.vec_id GROUP BY 1",
+    "l7_triplet_hinge": f"WITH {T.LATENTS}, n AS (SELECT batch_id, vec_id, z_inv, z_dep, coalesce(lag(vec_id) OVER (PARTITION BY batch_id ORDER BY vec_id), max(vec_id) OVER (PARTITION BY batch_id)) AS neg FROM latents) SELECT a.batch_id, round(avg(greatest(0, 0.2::DOUBLE + {_DIST('a.z_inv', 'a.z_dep')} - {_DIST('a.z_inv', 'b.z_inv')})), 8) AS loss FROM n a JOIN latents b ON a.neg = b.vec_id GROUP BY 1",
     "l8_assign_codes": f"WITH {_BOOK} SELECT vec_id, code, round(d / 64 * 0.25::DOUBLE, 10) AS error FROM best",
     "l10_code_usage": f"WITH {_BOOK}, c AS (SELECT book.code, count(best.vec_id) AS n FROM book LEFT JOIN best USING (code) GROUP BY 1), p AS (SELECT n, n / sum(n) OVER () AS p FROM c) SELECT count(*) AS n_codes, round(avg(CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 8) AS used, round(exp(-sum(CASE WHEN n > 0 THEN p * ln(p) ELSE 0 END)), 6) AS perplexity, sum(CASE WHEN n < 2 THEN 1 ELSE 0 END)::BIGINT AS dead FROM p",
     "l11_fsq_codes": f"WITH {T.LATENTS}, d AS (SELECT vec_id, floor(tanh(vec[1] * 8) * 3 + 3.5::DOUBLE)::BIGINT AS d0, floor(tanh(vec[2] * 8) * 2 + 2.5::DOUBLE)::BIGINT AS d1, floor(tanh(vec[3] * 8) * 2 + 2.5::DOUBLE)::BIGINT AS d2 FROM latents) SELECT vec_id, d0, d1, d2, d0 + 7 * d1 + 35 * d2 AS index FROM d",
