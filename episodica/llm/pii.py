@@ -69,17 +69,29 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 
 def _shape(token: str) -> str | None:
-    """The kind that an identifier-like token could be of, by its characters alone."""
-    digits = len(_digits(token))
+    """The kind that an identifier-like token could be of, by its characters and their tests alone."""
+    digits = _digits(token)
     if "@" in token[1:-1]:
         return "email"
     if digits and not re.search(r"[^0-9 ().+/_:-]", token):
         if re.fullmatch(r"[0-9]{1,3}([.:-][0-9]{1,3}){3}", token):
-            return "ip"
-        return "card" if digits >= 13 else "phone" if digits >= 7 else None
+            return "ip" if _octets(re.sub("[:-]", ".", token)) else None
+        if 13 <= len(digits) <= 19:
+            return "card" if _luhn(digits) else None
+        return "phone" if 7 <= len(digits) <= 12 else None
     return None
 
 
+def _inside(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+    """What may be an identifier in a dropped match, which ran on over its neighbours: the longest valid run of its first words
+    for a phone, the first valid word for a card."""
+    ends = [m.end() for m in re.finditer(r"[^ ]+", text[a:b])]
+    starts = [m.start() for m in re.finditer(r"[^ ]+", text[a:b])]
+    if kind == "phone":
+        return next(((a, a + e) for e in reversed(ends) if 8 <= len(_digits(text[a : a + e])) <= 15), None)
+    return next(((a + i, a + e) for i, e in zip(starts, ends, strict=True) if 16 <= len(d := _digits(text[a + i : a + e])) <= 19 and _luhn(d)), None)
+
+
 def _word(text: str) -> str:
     return re.sub(r"[0-9]", "0", text.strip(".,;:!?()[]\"'").lower())
 
@@ -90,6 +102,14 @@ def occurrences(text: str) -> list[tuple[str, bool, int, int, str, str, str, str
     base = base_spans(text)
     seeds = sorted((a, b, k) for k, spans in base.items() for a, b in spans)
     rows, end, nth = [(k, True, a, b) for a, b, k in seeds], 0, 0
+    if _DIGIT.search(text):
+        for kind, pattern in (("card", _CARD), ("phone", _PHONE)):
+            own = {a for a, _ in base[kind]}
+            for m in pattern.finditer(text) if kind == "card" or "+" in text else ():
+                if m.start() not in own and len(_digits(m[0])) > 15 and (span := _inside(text, *m.span(), kind)):
+                    if not any(a < span[1] and span[0] < b for a, b, _ in seeds):
+                        rows.append((kind, False, *span))
+    seeds = sorted((a, b, k) for k, _, a, b in rows)
     for m in _MARK.finditer(text) if "@" in text or _DIGIT.search(text) else ():
         if m.start() < end:
             continue
@@ -142,14 +162,14 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def discover(occ: DataFrame, rules: Bootstrap = Bootstrap()) -> DataFrame:
-    """(kind, instance) that context finds, from rows (kind, seed, instance, left1, left2, right1).
+    """(kind, instance) that patterns find, from rows (kind, seed, instance, left1, left2, right1).
 
     The graph's edges join lexical patterns (the word before; the two before; the words on both sides) to the instances that fill
     them, each once. Each round scores patterns by the share of known instances among
     their fillers, then instances by their trusted patterns; instances found serve as seeds of the next.
     """
-    patterns = F.array(F.concat(F.lit("1 "), "left1"), F.concat(F.lit("2 "), "left2"), F.concat(F.lit("3 "), "left1", F.lit(" _ "), "right1"))
-    edges = cut(occ.select("kind", "instance", F.explode(patterns).alias("pattern")).distinct())
+    patterns = F.array(F.concat(F.lit("1 "), "left1"), F.concat(F.lit("2 "), "left2"), F.concat(F.lit("3 "), "left1", F.lit(" _ "), "right1"), F.when(F.col("kind") != "email", F.concat(F.lit("4 "), F.regexp_replace("instance", "[0-9]", "0"))))
+    edges = cut(occ.select("kind", "instance", F.explode(patterns).alias("pattern")).filter("pattern IS NOT NULL").distinct())
     known = occ.filter("seed").select("kind", "instance").distinct()
     fillers = edges.groupBy("kind", "pattern").agg(F.count("*").alias("n"))
     found = None
