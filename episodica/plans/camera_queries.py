@@ -146,8 +146,26 @@ def j10(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("vec_id", "g", "cam_idx", F.round(w[8] * x[0] + w[9] * x[1] + w[10] * x[2] + w[11], 7).alias("z"))
 
 
+def g2(spark: SparkSession, sf: str) -> DataFrame:
+    """Proper rotations come back unchanged; poses with an element that isn't finite, and null ones, go."""
+    bad = F.when(F.col("vec_id") % 7 == 0, F.lit(None)).when(F.col("vec_id") % 7 == 1, F.transform("world_T_cam", lambda x: F.when(x == 1.0, float("inf")).otherwise(x))).otherwise(F.col("world_T_cam"))
+    found = G.clean_poses(poses(spark, sf).select("vec_id", bad.alias("pose")))
+    return found.select("vec_id", *[F.round(F.col("pose")[i], 6).alias(f"m{i}") for i in range(12)])
+
+
+def g3(spark: SparkSession, sf: str) -> DataFrame:
+    """The first two cameras of a state as a stereo pair; faults by the state's number."""
+    p = poses(spark, sf).filter("cam_idx < 2")
+    rows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("world_T_cam", i * 4 + 1, 4))
+    cam = F.struct(rows.alias("pose"), F.when((F.col("episode") % 11 == 3) & (F.col("cam_idx") == 1), 0.0).otherwise(700.0).alias("focal"), F.array(F.lit(320.0), F.when(F.col("episode") % 11 == 4, float("nan")).otherwise(180.0)).alias("principal_point"))
+    sides = p.groupBy("episode").agg(F.max(F.when(F.col("cam_idx") == 0, cam)).alias("left_cam"), F.max(F.when((F.col("cam_idx") == 1) & (F.col("episode") % 11 != 2), cam)).alias("right_cam"))
+    ready = sides.withColumns({"relative_path": F.col("episode").cast("string"), "quality_metric": (F.col("episode") % 11).cast("int")})
+    found = G.clean_calibrations(ready, 1)
+    return found.select("episode", "reason", F.col("K_left")[2].alias("cx"), F.round(F.col("T_left_to_right")[3], 6).alias("t0"))
+
+
 QUERIES = {
-    "g1_to_opencv": g1, "g4_check_poses": g4, "g5_scale_intrinsics": g5, "g6_rig_table": g6, "g7_orbit_params": g7, "g8_convert_rotation": g8, "g9_rays": g9, "g10_split_channels": g10, "g11_backproject": g11, "g12_activate": g12,
+    "g2_clean_poses": g2, "g3_clean_calibrations": g3, "g1_to_opencv": g1, "g4_check_poses": g4, "g5_scale_intrinsics": g5, "g6_rig_table": g6, "g7_orbit_params": g7, "g8_convert_rotation": g8, "g9_rays": g9, "g10_split_channels": g10, "g11_backproject": g11, "g12_activate": g12,
     "g13_to_world": g13, "g14_filter_gaussians": g14, "g15_vertex_properties": g15, "g16_frustum_stats": g16, "a10_pose_error": a10, "a11_intrinsics_error": a11, "j4_relative_pose": j4, "j10_project_cloud": j10,
 }
 
@@ -160,7 +178,14 @@ _WORLD = f"{CLOUDS}, {_CAMS}, world AS (SELECT p.episode, p.vec_id, p.g, {', '.j
 _QN = "sqrt(vec[1] * vec[1] + vec[2] * vec[2] + vec[3] * vec[3] + vec[4] * vec[4])"
 _SEEN = f"{_WORLD}, seen AS (SELECT c.cam_idx, w.vec_id, w.g, {', '.join(f'c.w{i}0 * wx0 + c.w{i}1 * wx1 + c.w{i}2 * wx2 + c.w{i}3 AS s{i}' for i in range(3))} FROM world w JOIN cams c ON w.episode = c.episode)"
 
+_STORED = [c for i in range(3) for c in (*[f"{'xyz'[i]}{j}" for j in range(3)], f"t{i}")]
+# From the left camera to the right one, with stored poses: the rotation's rows are x, y, z.
+_STEREO = " + ".join(f"r.{'xyz'[i]}0 * (l.t{i} - r.t{i})" for i in range(3))
+_LENGTH = "sqrt((l.t0 - r.t0) ** 2 + (l.t1 - r.t1) ** 2 + (l.t2 - r.t2) ** 2)"
 ORACLE_SQL = {
+    "g2_clean_poses": f"WITH {POSES} SELECT vec_id, {', '.join(f'round({c}, 6) AS m{i}' for i, c in enumerate(_STORED))} FROM poses WHERE vec_id % 7 > 1",
+    "g3_clean_calibrations": f"""WITH {POSES}, s AS (SELECT l.episode, CASE l.episode % 11 WHEN 2 THEN 'missing_camera' WHEN 3 THEN 'bad_focal' WHEN 4 THEN 'bad_centre' END AS early, {_LENGTH} AS length, {_STEREO} AS t0 FROM poses l JOIN poses r ON l.episode = r.episode AND l.cam_idx = 0 AND r.cam_idx = 1),
+v AS (SELECT episode, t0, coalesce(early, CASE WHEN length < 1e-4::DOUBLE OR length > 5 THEN 'bad_baseline' WHEN episode % 11 < 1 THEN 'low_quality' END) AS reason FROM s) SELECT episode, reason, CASE WHEN reason IS NULL THEN 320.0::DOUBLE END AS cx, CASE WHEN reason IS NULL THEN round(t0, 6) END AS t0 FROM v""",
     "g1_to_opencv": f"WITH {POSES} SELECT vec_id, {', '.join(f'round({cell}, 8) AS m{i * 4 + j}' for i, row in enumerate(_W2C) for j, cell in enumerate(row))}, round(-x1, 8) AS c1, round(t0, 8) AS c3 FROM poses",
     "g4_check_poses": f"WITH {POSES}, {_CAMS}, {_REL} SELECT episode, cam_i, cam_j FROM rel WHERE sqrt(d0 * d0 + d1 * d1 + d2 * d2) BETWEEN 0.1::DOUBLE AND 0.3::DOUBLE",
     "j4_relative_pose": f"WITH {POSES}, {_CAMS}, {_REL} SELECT episode, cam_i, cam_j, round(r00, 8) AS r00, round(d0, 8) AS t0, round(d2, 8) AS t2 FROM rel",

@@ -80,6 +80,13 @@ def e10(spark: SparkSession, sf: str) -> DataFrame:
     return K.project_vector(T.latents(spark, sf), "vec", [0, 1, 2, 3]).select("vec_id", *[F.col("proprio")[i].alias(f"p{i}") for i in range(4)])
 
 
+def e11(spark: SparkSession, sf: str) -> DataFrame:
+    pixel = F.col("l_quantity")
+    modes = {m: K.scale_pixels(pixel, m) for m in ("signed", "unit", "centred")}
+    found = T.read(spark, sf, "lineitem").select(pixel.alias("pixel"), *[F.round(x, 8).alias(m) for m, x in modes.items()], K.scale_pixels(modes["signed"] * 9, "to_bytes").alias("clamped"), F.round(K.standardise(pixel, 0.485, 0.229), 8).alias("standard"))
+    return found.distinct()
+
+
 def e12(spark: SparkSession, sf: str) -> DataFrame:
     nested = T.latents(spark, sf).withColumn("obs_env", F.struct(F.slice("vec", 1, 2).alias("obs")))
     found = K.resolve_field(K.resolve_field(nested, "obs_env/obs", "a"), "obs_env/other", "b")
@@ -164,7 +171,7 @@ _PATHS = "p AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '[?
 
 QUERIES = {
     "e1_episode_order": e1, "e1b_lexical_order": e1b, "e2_first_episodes": e2, "e3_select_views": e3, "e3b_dataset_order_views": e3b, "e4_infer_views": e4, "e5_sample_index": e5, "e6_common_length": e6, "e7_drop_short": e7,
-    "e8_select_timesteps": e8, "e9_assemble_views": e9, "e10_project_vector": e10, "e12_resolve_field": e12, "e13_collapse_features": e13, "e14_state_vector": e14, "e15_safe_key": e15, "e16_run_catalog": e16, "e16b_latest_checkpoint": e16b, "e17_view_groups": e17,
+    "e8_select_timesteps": e8, "e9_assemble_views": e9, "e10_project_vector": e10, "e11_scale_pixels": e11, "e12_resolve_field": e12, "e13_collapse_features": e13, "e14_state_vector": e14, "e15_safe_key": e15, "e16_run_catalog": e16, "e16b_latest_checkpoint": e16b, "e17_view_groups": e17,
     "j1_join_calibration": j1, "j2_dedupe_calibration": j2, "j3_resume_anti": j3, "j5_attach_cameras": j5, "j6_gather_views": j6, "j7_already_computed": j7, "j8_pair_similarity": j8,
 }
 
@@ -181,6 +188,7 @@ ORACLE_SQL = {
     "e8_select_timesteps": f"WITH {T.CATALOGUE}, s AS (SELECT episode, unnest(range(num_samples)) AS t FROM catalogue) SELECT episode, t, CASE t WHEN 4 THEN 0 WHEN 0 THEN 1 ELSE 2 END::BIGINT AS position FROM s WHERE t IN (0, 2, 4)",
     "e9_assemble_views": f"WITH {T.LATENTS} SELECT batch_id AS episode, state_id AS t, string_agg('cam' || view_id, ',' ORDER BY view_id DESC) AS cameras, arg_max(vec[1], view_id) AS x_first FROM latents GROUP BY 1, 2 HAVING count(*) = 5",
     "e10_project_vector": f"WITH {T.LATENTS} SELECT vec_id, vec[1] AS p0, vec[2] AS p1, vec[3] AS p2, vec[4] AS p3 FROM latents",
+    "e11_scale_pixels": "SELECT DISTINCT l_quantity AS pixel, round(l_quantity / 255 * 2 - 1, 8) AS signed, round(l_quantity / 255, 8) AS unit, round(l_quantity / 255 - 0.5::DOUBLE, 8) AS centred, floor(least(greatest(((l_quantity / 255 * 2 - 1) * 9 + 1) / 2, 0), 1) * 255)::INT AS clamped, round((l_quantity / 255 - 0.485::DOUBLE) / 0.229::DOUBLE, 8) AS standard FROM lineitem",
     "e12_resolve_field": f"WITH {T.LATENTS} SELECT vec_id, vec[2] AS a1, 0::INT AS b_size FROM latents",
     "e13_collapse_features": f"WITH {T.LATENTS} SELECT vec_id, round((z_inv[4] + z_dep[4]) / 2, 8) AS m3, z_dep[9] AS f40, 64::INT AS n FROM latents",
     "e14_state_vector": f"WITH {T.LATENTS} SELECT vec_id, 64::INT AS n, z_dep[1] AS s0, z_inv[1] AS s32 FROM latents",
