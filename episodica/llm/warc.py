@@ -36,54 +36,54 @@ def leaves(found: DataFrame) -> DataFrame:
 
 
 def parents(level: DataFrame) -> DataFrame:
-    """(node, hash) one level up: the digest of at most 2^FAN_BITS children's hashes in order of their place."""
+    """(side, node, hash) one level up: the digest of at most 2^FAN_BITS children's hashes in order of their place."""
     children = F.array_sort(F.collect_list(F.struct("node", "hash")))
     line = F.array_join(F.transform(children, lambda x: F.concat_ws(":", x["node"], x["hash"])), ",")
-    return level.groupBy(F.shiftright("node", FAN_BITS).alias("up")).agg(F.sha2(line, 256).alias("hash")).select(F.col("up").alias("node"), "hash")
+    return level.groupBy("side", F.shiftright("node", FAN_BITS).alias("up")).agg(F.sha2(line, 256).alias("hash")).select("side", F.col("up").alias("node"), "hash")
 
 
-def _differing(a: DataFrame, b: DataFrame, above: DataFrame | None) -> DataFrame:
-    """Nodes whose hashes differ, or that one side lacks; only children of the nodes ``above``."""
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _differing(level: DataFrame, above: DataFrame | None) -> DataFrame:
+    """(node, ours, theirs) where the sides' hashes differ, or one has none; only children of the nodes ``above``."""
     if above is not None:
-        up = F.shiftright("node", FAN_BITS)
-        near = above.select(F.col("node").alias("up"))
-        a, b = (x.withColumn("up", up).join(near, "up", "left_semi").drop("up") for x in (a, b))
-    both = a.withColumnRenamed("hash", "ours").join(b.withColumnRenamed("hash", "theirs"), "node", "full")
-    return both.filter(~F.col("ours").eqNullSafe(F.col("theirs"))).select("node", "ours", "theirs")
+        level = level.join(above.select(F.col("node").alias("up")), F.shiftright("node", FAN_BITS) == F.col("up"), "left_semi")
+    side = lambda i: F.max(F.when(F.col("side") == i, F.col("hash")))
+    return level.groupBy("node").agg(side(0).alias("ours"), side(1).alias("theirs")).filter(~F.col("ours").eqNullSafe(F.col("theirs")))
 
 
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(ordinal, file, offset, length, status, ours, theirs): the records in which two replicas (ordinal, record) differ.
 
     A leaf is a record's digest; a node covers an ordered range of 16 children, so one of the first
-    level 16 records of neighbouring offsets, one of the third a file of 4096. Leaves are
-    written once; the roots are compared, and on each level only the children of nodes that differ. ``status`` is
+    level 16 records of neighbouring offsets, one of the third a file of 4096. Both trees are
+    written level by level; the roots are compared, and below them only the children of nodes that differ. ``status`` is
     changed, missing (only ours) or extra (only theirs). offset: of the record in our file.
 
     Empty replicas have no nodes. Records that share an ordinal are one leaf: the audit tells that they differ, not which. A
-    null record has no digest and counts by its presence. No group exceeds 16 hashes, no window a file.
+    null record has no digest and counts by its presence. No group exceeds 16 hashes of a side, no window a file.
     """
-    spark = ours.sparkSession
-    sides = []
-    for name, side in (("ours", ours), ("theirs", theirs)):
-        path = fresh_path(spark, f"leaves-{name}")
-        leaves(side).write.parquet(path)
-        sides.append(spark.read.parquet(path))
-    top = max((side.agg(F.max("ordinal")).first()[0] or 0 for side in sides), default=0)
-    levels = [[side.select(F.col("ordinal").alias("node"), "hash") for side in sides]]
+    both = leaves(ours).withColumn("side", F.lit(0)).unionByName(leaves(theirs).withColumn("side", F.lit(1)))
+    found = _written(both, "leaves")
+    top = found.agg(F.max("ordinal")).first()[0] or 0
+    levels = [found.select("side", F.col("ordinal").alias("node"), "hash")]
     while top:
         top >>= FAN_BITS
-        levels.append([parents(x) for x in levels[-1]])
+        levels.append(_written(parents(levels[-1]), "nodes"))
     bad = None
-    for a, b in reversed(levels):
-        bad = _differing(a, b, bad)
+    for level in reversed(levels):
+        bad = _written(_differing(level, bad), "differing")
     in_file = Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sides[0].select("ordinal", "length", F.shiftright("ordinal", FILE_BITS).alias("file"))
+    placed = found.filter("side = 0").select("ordinal", "length", F.shiftright("ordinal", FILE_BITS).alias("file"))
     files = bad.select(F.shiftright("node", FILE_BITS).alias("file")).distinct()
     offsets = placed.join(files, "file", "left_semi").select("ordinal", "length", F.coalesce(F.sum("length").over(in_file), F.lit(0)).alias("offset"))
     status = F.when(F.col("theirs").isNull(), "missing").when(F.col("ours").isNull(), "extra").otherwise("changed")
-    found = bad.withColumnRenamed("node", "ordinal").join(offsets, "ordinal", "left")
-    return found.select("ordinal", F.shiftright("ordinal", FILE_BITS).alias("file"), "offset", "length", status.alias("status"), "ours", "theirs")
+    differing = bad.withColumnRenamed("node", "ordinal").join(offsets, "ordinal", "left")
+    return differing.select("ordinal", F.shiftright("ordinal", FILE_BITS).alias("file"), "offset", "length", status.alias("status"), "ours", "theirs")
 
 
 def damaged(pages: DataFrame) -> DataFrame:
