@@ -220,3 +220,43 @@ def test_plans(spark):
     assert text.count("Exchange hashpartitioning") + text.count("Exchange\n") <= 4 and "CartesianProduct" not in text
     frames = entry.queries()["p8_source_targets"](spark, "/root/testdata/sf0.001")
     assert "ReadSchema: struct<vec_id:bigint>" in plan(frames)
+
+
+def test_dataset_and_vertices(spark, tmp_path):
+    root = tmp_path / "data"
+    for name in SRC.TABLES:
+        spark.createDataFrame([("demo1", 0), ("demo2", 1)], "episode string, t long").write.parquet(str(root / name))
+    data = SRC.read_episodes(spark, str(root))
+    assert data.total == 2 and data.frames.count() == 2
+    rows = spark.createDataFrame([("e", "c", 0, 1.0), ("e", "c", 0, 2.0), ("e", "d", 0, 3.0)], "episode string, camera string, t long, x float")
+    got = {r["camera"]: r["n_vertices"] for r in SRC.write_vertices(rows, str(tmp_path / "v"), ["episode", "camera", "t"]).collect()}
+    assert got == {"c": 2, "d": 1}
+
+
+def test_layout_strict(spark):
+    episodes = spark.createDataFrame([("demo1", ["a"]), ("demo2", None)], "episode string, camera_names array<string>")
+    cameras = spark.createDataFrame([("demo1", "a")], "episode string, camera string")
+    streams = spark.createDataFrame([("demo1", "a_rgb"), ("demo9", "a_rgb")], "episode string, stream string")
+    got = sorted((r["episode"], r["problem"]) for r in SRC.validate_layout(episodes, cameras, streams, ["a"]).collect())
+    assert got == [("demo2", "no_camera_names"), ("demo9", "unknown_episode")]
+    with pytest.raises(ValueError):
+        SRC.validate_layout(episodes, cameras, streams, ["a"], strict=True)
+
+
+def test_global_rank(spark):
+    from episodica.functions.hashing import hash_key
+    from episodica.operators.ranks import global_rank
+
+    df = spark.range(1000).withColumn("h", hash_key(3, "id"))
+    got = [(r["rank"], r["h"]) for r in global_rank(df, "h", "id").collect()]
+    assert [h for _, h in sorted(got)] == sorted(h for _, h in got) and sorted(r for r, _ in got) == list(range(1000))
+    assert global_rank(df.limit(0), "h", "id").count() == 0
+
+
+def test_newest_rows_stay(spark, tmp_path):
+    from episodica.streaming.replay import keep_newest
+
+    path = str(tmp_path / "newest")
+    for a, b in ((0, 10), (10, 25)):
+        keep_newest(spark.range(a, b).withColumnRenamed("id", "transition_id"), path, 7)
+    assert sorted(r[0] for r in spark.read.parquet(path).collect()) == list(range(18, 25))
