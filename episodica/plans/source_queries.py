@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.operators import gaussians as G
 from episodica.plans import tables as T
+from episodica.plans.camera_queries import clouds
 from episodica.plans.key_queries import LISTS, lists
 from episodica.plans.window_queries import IDS, ids
+from episodica.plans.stream_queries import shared
 from episodica.sources import episodes as S
 
 
@@ -68,10 +71,30 @@ def s13(spark: SparkSession, sf: str) -> DataFrame:
     return S.image_size(frames(spark, sf))
 
 
-QUERIES = {"s2_append_keys": s2, "s3_replace_episode": s3, "s4_validate_layout": s4, "s7_frame_paths": s7, "s8_explode_nested": s8, "s9_export_keys": s9, "s11_backfill_features": s11, "s12_transition_states": s12, "s13_image_size": s13}
+def s1(spark: SparkSession, sf: str) -> DataFrame:
+    """The four tables written, read back as a dataset, and counted by episode; the frames' blobs stay unread."""
+    root = shared(spark, "dataset")
+    f = frames(spark, sf)
+    tables = {"episodes": f.groupBy("episode").agg(F.count(F.lit(1)).alias("num_samples")), "cameras": f.select("episode", "camera").distinct(), "steps": f.select("episode", "t"), "frames": f}
+    for name, table in tables.items():
+        table.write.parquet(f"{root}/{name}")
+    data = S.read_episodes(spark, root)
+    views = data.cameras.groupBy("episode").agg(F.count(F.lit(1)).alias("n_cameras"))
+    sizes = data.frames.groupBy("episode").agg(F.sum("width").cast("long").alias("n_bytes"))
+    return data.episodes.join(views, "episode").join(sizes, "episode")
+
+
+def s10(spark: SparkSession, sf: str) -> DataFrame:
+    vertices = G.vertex_properties(G.to_world(G.activate(clouds(spark, sf))).withColumn("t", F.lit(0))).select("episode", "cam_idx", "t", "x", "opacity", "rot_0")
+    return S.write_vertices(vertices, shared(spark, "vertices"), ["episode", "cam_idx", "t"])
+
+
+QUERIES = {"s1_read_episodes": s1, "s10_write_vertices": s10, "s2_append_keys": s2, "s3_replace_episode": s3, "s4_validate_layout": s4, "s7_frame_paths": s7, "s8_explode_nested": s8, "s9_export_keys": s9, "s11_backfill_features": s11, "s12_transition_states": s12, "s13_image_size": s13}
 
 _F = "frames AS (SELECT 'demo' || conv_id AS episode, turn AS t, role AS camera, length(text)::INT AS height, strlen(text)::INT AS width FROM conversations)"
 ORACLE_SQL = {
+    "s1_read_episodes": "SELECT 'demo' || conv_id AS episode, count(*) AS num_samples, count(DISTINCT role) AS n_cameras, sum(strlen(text))::BIGINT AS n_bytes FROM conversations GROUP BY 1",
+    "s10_write_vertices": "SELECT vec_id // 5 AS episode, vec_id % 5 AS cam_idx, 0::INT AS t, count(*) * 2 AS n_vertices FROM embeddings GROUP BY 1, 2",
     "s2_append_keys": f"WITH {T.CATALOGUE} SELECT s_suppkey, 'demo' || (row_number() OVER (ORDER BY s_suppkey) + (SELECT max(k) FROM catalogue)) AS episode FROM supplier",
     "s3_replace_episode": f"WITH {T.CATALOGUE} SELECT episode, CASE WHEN k % 5 = 0 THEN -1 ELSE num_samples END AS num_samples FROM catalogue",
     "s4_validate_layout": f"""WITH {LISTS}, {T.CATALOGUE}, e AS (SELECT c.episode, l.camera_names FROM catalogue c LEFT JOIN lists l USING (episode) WHERE k % 9 <> 0), v AS (SELECT episode, camera_names, unnest(['cam1', 'cam2']) AS view FROM e WHERE len(camera_names) > 0),
