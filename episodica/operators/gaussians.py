@@ -102,7 +102,7 @@ def vertex_properties(gaussians: DataFrame, store: str = "logit", colour: str =
         dc = [(x - 0.5) / SH0 for x in dc]
     out = {n: F.col("xyz")[i] for i, n in enumerate("xyz")} | {f"n{n}": F.lit(0.0) for n in "xyz"}
     out |= {f"f_dc_{i}": x for i, x in enumerate(dc)} | {"opacity": opacity} | {f"scale_{i}": x for i, x in enumerate(scale)} | {f"rot_{i}": F.col("rotation")[i] for i in range(4)}
-    keep = [c for c in gaussians.columns if c not in ("xyz", "xyz_cam", "opacity", "scale", "rotation", "dc", "rest", "offset", "depth")]
+    keep = [c for c in gaussians.columns if c not in out and c not in ("xyz", "xyz_cam", "opacity", "scale", "rotation", "dc", "rest", "offset", "depth")]
     return gaussians.select(*keep, *[_real(x.cast("double"), 0.0).cast("float").alias(n) for n, x in out.items()])
 
 
