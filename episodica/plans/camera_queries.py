@@ -58,7 +58,7 @@ def g6(spark: SparkSession, sf: str) -> DataFrame:
     s = T.read(spark, sf, "part").select("p_partkey", (F.col("p_size") / 10 + 0.5).alias("r"), (F.col("p_partkey") % 360).cast("double").alias("theta"), (F.col("p_partkey") % 80 - 40).cast("double").alias("phi"), F.array(F.lit(0.0), F.lit(0.6), F.lit(0.0)).alias("look_at"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("up"), F.lit(45.0).alias("fovy"))
     found = G.rig_table(s, 128, 128)
     m = F.col("world_T_cam")
-    return found.select("p_partkey", *[F.round(F.col("position")[i], 8).alias(f"p{i}") for i in range(3)], F.round(m[0], 8).alias("x0"), F.round(m[4], 8).alias("x1"), F.round(m[9], 8).alias("y2"), F.round(m[10], 8).alias("z2"), F.round(F.col("K")[0], 6).alias("f"), F.col("K")[2].alias("c"))
+    return found.select("p_partkey", *[(F.round(F.col("position")[i], 8) + 0.0).alias(f"p{i}") for i in range(3)], (F.round(m[0], 8) + 0.0).alias("x0"), (F.round(m[4], 8) + 0.0).alias("x1"), (F.round(m[9], 8) + 0.0).alias("y2"), (F.round(m[10], 8) + 0.0).alias("z2"), F.round(F.col("K")[0], 6).alias("f"), F.col("K")[2].alias("c"))
 
 
 def g7(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,7 +115,7 @@ def g14(spark: SparkSession, sf: str) -> DataFrame:
 
 def g15(spark: SparkSession, sf: str) -> DataFrame:
     found = S.vertex_properties(S.to_world(S.activate(clouds(spark, sf))), "logit", "rgb").select("vec_id", "g", "opacity", "scale_1", "f_dc_2", "nx")
-    return found.select("vec_id", "g", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in ("opacity", "scale_1", "f_dc_2")], F.col("nx").cast("double").alias("nx"))
+    return found.select("vec_id", "g", *[(F.round(F.col(c).cast("double"), 3) + 0.0).alias(c) for c in ("opacity", "scale_1", "f_dc_2")], F.col("nx").cast("double").alias("nx"))
 
 
 def g16(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,7 +190,7 @@ v AS (SELECT episode, t0, coalesce(early, CASE WHEN length < 1e-4::DOUBLE OR len
     "g4_check_poses": f"WITH {POSES}, {_CAMS}, {_REL} SELECT episode, cam_i, cam_j FROM rel WHERE sqrt(d0 * d0 + d1 * d1 + d2 * d2) BETWEEN 0.1::DOUBLE AND 0.3::DOUBLE",
     "j4_relative_pose": f"WITH {POSES}, {_CAMS}, {_REL} SELECT episode, cam_i, cam_j, round(r00, 8) AS r00, round(d0, 8) AS t0, round(d2, 8) AS t2 FROM rel",
     "g5_scale_intrinsics": f"WITH {T.LATENTS} SELECT vec_id, {', '.join(f'round(vec[{i + 1}] * 1000 * {(128 / 1280) if i < 3 else (128 / 720) if i < 6 else 1.0}::DOUBLE, 8) AS m{i}' for i in range(9))} FROM latents",
-    "g6_rig_table": "WITH s AS (SELECT p_partkey, p_size / 10.0::DOUBLE + 0.5::DOUBLE AS r, radians(p_partkey % 360) AS th, radians(p_partkey % 80 - 40) AS ph FROM part) SELECT p_partkey, round(r * cos(ph) * cos(th), 8) AS p0, round(0.6::DOUBLE + r * cos(ph) * sin(th), 8) AS p1, round(r * sin(ph), 8) AS p2, round(-sin(th), 8) + 0 AS x0, round(cos(th), 8) AS x1, round(cos(ph), 8) AS y2, round(sin(ph), 8) AS z2, round(64 / tan(radians(22.5::DOUBLE)), 6) AS f, 63.5::DOUBLE AS c FROM s",
+    "g6_rig_table": "WITH s AS (SELECT p_partkey, p_size / 10.0::DOUBLE + 0.5::DOUBLE AS r, radians(p_partkey % 360) AS th, radians(p_partkey % 80 - 40) AS ph FROM part) SELECT p_partkey, round(r * cos(ph) * cos(th), 8) + 0.0::DOUBLE AS p0, round(0.6::DOUBLE + r * cos(ph) * sin(th), 8) + 0.0::DOUBLE AS p1, round(r * sin(ph), 8) + 0.0::DOUBLE AS p2, round(-sin(th), 8) + 0.0::DOUBLE AS x0, round(cos(th), 8) + 0.0::DOUBLE AS x1, round(cos(ph), 8) + 0.0::DOUBLE AS y2, round(sin(ph), 8) + 0.0::DOUBLE AS z2, round(64 / tan(radians(22.5::DOUBLE)), 6) AS f, 63.5::DOUBLE AS c FROM s",
     "g7_orbit_params": f"WITH {T.LATENTS}, d AS (SELECT vec_id, vec[1] - vec[4] AS x, vec[2] - vec[5] AS y, vec[3] - vec[6] AS z FROM latents) SELECT vec_id, round(sqrt(x * x + y * y + z * z), 6) AS distance, round(degrees(atan2(y, x)), 6) AS azimuth, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) AS elevation FROM d",
     "g8_convert_rotation": f"WITH {T.LATENTS}, q AS (SELECT vec_id, vec, vec[1] / {_QN} AS w, vec[2] / {_QN} AS x, vec[3] / {_QN} AS y, vec[4] / {_QN} AS z FROM latents) SELECT vec_id, round(1 - 2 * (y * y + z * z), 8) AS m0, round(2 * (x * y - w * z), 8) AS m1, round(2 * (x * z + w * y), 8) AS m2, round(2 * (x * y + w * z), 8) AS m3, round(1 - 2 * (x * x + z * z), 8) AS m4, round(2 * (y * z - w * x), 8) AS m5, round(2 * (x * z - w * y), 8) AS m6, round(2 * (y * z + w * x), 8) AS m7, round(1 - 2 * (x * x + y * y), 8) AS m8, round(vec[3], 6) AS q2, round(vec[1] * vec[6] + vec[2] * vec[5] + vec[3] * vec[8] - vec[4] * vec[7], 8) AS prod1, round(2 * acos(least(abs(w), 1)), 6) AS angle FROM q",
     "g9_rays": f"WITH {T.LATENTS}, p AS (SELECT vec_id, unnest(range(48))::INT AS pixel FROM latents) SELECT vec_id, pixel, round((pixel % 8 + 0.5::DOUBLE - 32) / 100, 8) AS x, round((pixel // 8 + 0.5::DOUBLE - 24) / 110, 8) AS y, 1.0::DOUBLE AS z FROM p",
@@ -199,7 +199,7 @@ v AS (SELECT episode, t0, coalesce(early, CASE WHEN length < 1e-4::DOUBLE OR len
     "g12_activate": f"WITH {CLOUDS} SELECT vec_id, g::INT AS g, round(opacity, 8) AS opacity, round(exp(vec[12 + 3 * g]), 8) AS s1, round(vec[17 + 4 * g] / sqrt(vec[17 + 4 * g] * vec[17 + 4 * g] + vec[18 + 4 * g] * vec[18 + 4 * g] + vec[19 + 4 * g] * vec[19 + 4 * g] + vec[20 + 4 * g] * vec[20 + 4 * g]), 8) AS r0 FROM clouds",
     "g13_to_world": f"WITH {_WORLD} SELECT vec_id, g::INT AS g, round(wx0, 8) AS x0, round(wx1, 8) AS x1, round(wx2, 8) AS x2, 1.0::DOUBLE AS length FROM world",
     "g14_filter_gaussians": f"WITH {CLOUDS}, i AS (SELECT episode, vec_id * 2 + g AS idx, opacity FROM clouds WHERE opacity >= 0.48::DOUBLE) SELECT episode, idx FROM i QUALIFY row_number() OVER (PARTITION BY episode ORDER BY opacity DESC, idx) <= 4",
-    "g15_vertex_properties": f"WITH {CLOUDS} SELECT vec_id, g::INT AS g, round(op::FLOAT::DOUBLE, 3) AS opacity, round(vec[12 + 3 * g]::FLOAT::DOUBLE, 3) AS scale_1, round(least(greatest(vec[27 + 3 * g] * {S.SH0}::DOUBLE + 0.5::DOUBLE, 0), 1)::FLOAT::DOUBLE, 3) AS f_dc_2, 0.0::DOUBLE AS nx FROM clouds",
+    "g15_vertex_properties": f"WITH {CLOUDS} SELECT vec_id, g::INT AS g, round(op::FLOAT::DOUBLE, 3) + 0.0::DOUBLE AS opacity, round(vec[12 + 3 * g]::FLOAT::DOUBLE, 3) + 0.0::DOUBLE AS scale_1, round(least(greatest(vec[27 + 3 * g] * {S.SH0}::DOUBLE + 0.5::DOUBLE, 0), 1)::FLOAT::DOUBLE, 3) + 0.0::DOUBLE AS f_dc_2, 0.0::DOUBLE AS nx FROM clouds",
     "g16_frustum_stats": f"WITH {_SEEN}, uv AS (SELECT CASE WHEN cam_idx = 0 THEN 'source' ELSE 'target' END AS part, s2, (100 * s0 / greatest(s2, 1e-6::DOUBLE) + 32) / 64 AS u, (110 * s1 / greatest(s2, 1e-6::DOUBLE) + 24) / 48 AS v FROM seen), gap AS (SELECT part, s2, least(greatest(-u, 0) + greatest(u - 1, 0) + greatest(-v, 0) + greatest(v - 1, 0), 100) AS gap FROM uv) SELECT coalesce(part, 'all') AS part, round(avg(gap), 5) AS penalty, round(avg(CASE WHEN gap > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS outside, round(avg(CASE WHEN s2 <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS invalid, 0.0::DOUBLE AS nonfinite, count(*) AS n FROM gap GROUP BY ROLLUP (part)",
     "a10_pose_error": f"WITH {POSES}, e AS (SELECT a.cam_idx, degrees(acos(greatest(least((a.x0 * b.x0 + a.x1 * b.x1 + a.x2 * b.x2 + a.y0 * b.y0 + a.y1 * b.y1 + a.y2 * b.y2 + a.z0 * b.z0 + a.z1 * b.z1 + a.z2 * b.z2 - 1) / 2, 1), -1))) AS r, sqrt((a.t0 - b.t0) * (a.t0 - b.t0) + (a.t1 - b.t1) * (a.t1 - b.t1) + (a.t2 - b.t2) * (a.t2 - b.t2)) AS t FROM poses a JOIN poses b ON a.episode = b.episode AND b.cam_idx = a.cam_idx + 1) SELECT cam_idx, round(avg(r), 5) AS rotation_deg, round(avg(t), 8) AS translation FROM e GROUP BY 1",
     "a11_intrinsics_error": f"WITH {T.LATENTS} SELECT label, round(avg(abs(vec[1] - vec[11])), 8) AS fx, round(avg(abs(vec[5] - vec[15])), 8) AS fy, round(avg(abs(vec[3] - vec[13])), 8) AS cx, round(avg(abs(vec[6] - vec[16])), 8) AS cy FROM latents GROUP BY 1",

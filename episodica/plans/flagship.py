@@ -19,7 +19,7 @@ def replay_summary(spark: SparkSession, sf: str) -> DataFrame:
     starts = W.nstep_return(steps, 3, 0.99)
     newest = starts.withColumn("span", F.col("stack")[2] - F.col("stack")[0])
     return newest.groupBy("actor").agg(
-        F.count(F.lit(1)).alias("starts"), F.countDistinct("episode").alias("episodes"), F.sum("span").alias("stack_span"), F.round(F.avg("n_return"), 6).alias("mean_return"), F.sum(F.when(F.col("n_discount") == 0, 1).otherwise(0)).alias("terminal")
+        F.count(F.lit(1)).alias("starts"), F.countDistinct("episode").alias("episodes"), F.sum("span").alias("stack_span"), F.round(F.sum("n_return"), 8).alias("sum_return"), F.sum(F.when(F.col("n_discount") == 0, 1).otherwise(0)).alias("terminal")
     )
 
 
@@ -31,5 +31,5 @@ ORACLE_SQL = {
   SELECT actor, episode, event_id - CASE WHEN step >= 2 THEN lag(event_id, 2) OVER e ELSE first_value(event_id) OVER e END AS span,
     reward + {_D[0]} * lead(reward, 1) OVER e + {_D[0]} * {_D[1]} * lead(reward, 2) OVER e AS r, {_D[0]} * {_D[1]} * {_D[2]} AS d, lead(step, 2) OVER e AS last
   FROM ids WINDOW e AS (PARTITION BY actor, episode ORDER BY step)
-) SELECT actor, count(*) AS starts, count(DISTINCT episode) AS episodes, sum(span)::BIGINT AS stack_span, round(avg(r), 6) AS mean_return, sum(CASE WHEN d = 0 THEN 1 ELSE 0 END)::BIGINT AS terminal FROM x WHERE last IS NOT NULL GROUP BY actor"""
+) SELECT actor, count(*) AS starts, count(DISTINCT episode) AS episodes, sum(span)::BIGINT AS stack_span, round(sum(r), 8) AS sum_return, sum(CASE WHEN d = 0 THEN 1 ELSE 0 END)::BIGINT AS terminal FROM x WHERE last IS NOT NULL GROUP BY actor"""
 }

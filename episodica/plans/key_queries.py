@@ -153,7 +153,7 @@ def j5(spark: SparkSession, sf: str) -> DataFrame:
 
 def j6(spark: SparkSession, sf: str) -> DataFrame:
     states = T.latents(spark, sf).select("state_id", "view_id", F.col("vec")[0].alias("x"))
-    picks = states.select("state_id").distinct().select("state_id", F.posexplode(F.array(F.lit(4), F.lit(0), F.lit(4))).alias("slot", "view_id"))
+    picks = states.select("state_id").distinct().select("state_id", F.posexplode(F.array(F.lit(4), F.lit(0), F.lit(4)).cast("array<bigint>")).alias("slot", "view_id"))
     return J.gather_views(states, picks).select("state_id", "slot", "view_id", "x")
 
 
@@ -200,7 +200,7 @@ ORACLE_SQL = {
     "j2_dedupe_calibration": "SELECT source AS relative_path, max(doc_id) AS position, arg_max(lang, doc_id) AS lang FROM documents WHERE source <> '' GROUP BY 1",
     "j3_resume_anti": f"WITH {T.CATALOGUE}, f AS (SELECT episode, k FROM catalogue ORDER BY k LIMIT 100) SELECT episode, k FROM f WHERE k % 4 <> 0",
     "j5_attach_cameras": f"WITH {LISTS}, c AS (SELECT episode, replace(stream, '_rgb', '') AS camera, sum(n)::BIGINT AS frames FROM streams GROUP BY 1, 2) SELECT l.episode, list_position(l.camera_names, c.camera)::INT - 1 AS cam_pos, c.camera, c.frames FROM lists l JOIN c USING (episode)",
-    "j6_gather_views": f"WITH {T.LATENTS}, p AS (SELECT * FROM (VALUES (0, 4), (1, 0), (2, 4)) v(slot, view_id)) SELECT state_id, slot, view_id, vec[1] AS x FROM latents JOIN p USING (view_id)",
+    "j6_gather_views": f"WITH {T.LATENTS}, p AS (SELECT * FROM (VALUES (0, 4::BIGINT), (1, 0), (2, 4)) v(slot, view_id)) SELECT state_id, slot, view_id, vec[1] AS x FROM latents JOIN p USING (view_id)",
     "j7_already_computed": f"WITH {T.STREAMS} SELECT DISTINCT episode, stream FROM streams WHERE stream NOT IN ('cam1_rgb', 'cam2_rgb')",
     "j8_pair_similarity": f"WITH {T.LATENTS}, s AS (SELECT a.batch_id, a.vec_id AS q, b.vec_id AS k, list_dot_product(a.vec, b.vec) / 0.5::DOUBLE AS sim FROM latents a JOIN latents b USING (batch_id)) SELECT batch_id, q, round(max(CASE WHEN q <> k THEN sim END), 8) AS best, round(sum(sim), 8) AS total FROM s GROUP BY 1, 2",
 }
