@@ -94,7 +94,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", spaced: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seen = coder(vocabulary, spaced), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, "t", 8_000_000):
+        for batch in slices(batches, "t", 6_000_000):
             ids, bounds = ids_of(words.encode(batch.column(1)), end_id)
             sizes = np.diff(bounds)
             n = -(-sizes // capacity)

@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, before = coder(vocabulary, spaced), 0
-        for batch in slices(batches, "t", 8_000_000):
+        for batch in slices(batches, "t", 6_000_000):
             ids, bounds = ids_of(words.encode(batch.column(1)), end_id)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bounds[:-1] + before), pa.array(np.diff(bounds)), lists], names=["doc_id", "start", "n_tokens", "ids"])

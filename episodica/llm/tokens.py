@@ -45,7 +45,7 @@ class WordCoder:
     letter and the marks at a word's end are never merged, so the marks are looked up by themselves.
     """
 
-    def __init__(self, path: str, spaced: bool, keep: int = 400_000) -> None:
+    def __init__(self, path: str, spaced: bool, keep: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -119,7 +119,7 @@ class WordCoder:
         return joined
 
 
-def coder(file: str, spaced: bool, keep: int = 400_000) -> WordCoder:
+def coder(file: str, spaced: bool, keep: int = 300_000) -> WordCoder:
     """This worker's coder for one of the public vocabulary files."""
     key = (file, spaced, keep)
     if key not in _CODERS:
