@@ -76,11 +76,13 @@ class Templates:
         self.settings = settings
         self.shingles = {k: set(shingles(words_of(t.encode()))) for k, t in texts.items()}
         self.shingles = {k: s for k, s in self.shingles.items() if s}
-        self.any = set().union(*self.shingles.values()) if self.shingles else set()
-        self.vocabulary = {w: 1 for s in self.any for w in s}
+        self.vocabulary = {w: 1 for x in self.shingles.values() for item in x for w in item}
+        #: Shingles of the templates, by those templates' number of words.
+        self.near: dict[int, set[tuple[bytes, ...]]] = defaultdict(set)
         self.tables: dict[int, dict[tuple[int, bytes], set[str]]] = defaultdict(lambda: defaultdict(set))
         for name, items in self.shingles.items():
             n = len(words_of(texts[name].encode()))
+            self.near[n] |= items
             for key in self._keys(list(items)):
                 self.tables[n][key].add(name)
 
@@ -89,44 +91,62 @@ class Templates:
         values = signature(items, s.bands * s.rows).reshape(s.bands, s.rows)
         return ((i, v.tobytes()) for i, v in enumerate(values))
 
+    def _windows(self, words: list[bytes], hits: list[tuple[int, tuple[bytes, ...]]], n: int) -> Iterator[tuple[int, set[tuple[bytes, ...]]]]:
+        """(first word, shingles) of the windows around ``hits``: of n words; and, so that words put into a notice don't push
+        its end out, of as many hits as n words have shingles."""
+        step = max(1, n // self.settings.overlap)
+        last = max(0, len(words) - n)
+        for s in sorted({min(s, last) for i, _ in hits for s in range(max(0, -(-(i + min(SHINGLE, n) - n) // step)) * step, i + 1, step)}):
+            yield s, set(shingles(words[s : s + n]))
+        size = max(1, n - SHINGLE + 1)
+        step = max(1, size // self.settings.overlap)
+        for k in range(0, max(0, len(hits) - size) + step, step):
+            k = min(k, max(0, len(hits) - size))
+            yield hits[k][0], {x for _, x in hits[k : k + size]}
+
     def scan(self, text: bytes | None) -> dict[str, tuple[float, int, int]]:
-        """For each template found: the largest containment, the windows that have it, the first word of the first.
+        """For each template found: its containment in the text, the windows that led to it, the first word of the first.
 
-        A window without any shingle of a template is similar to none, so only the windows around those are hashed.
+        A window without any shingle of a template is similar to none, so only the windows around those are hashed. They
+        only retrieve: containment is counted exactly over the whole text, so it doesn't depend on where windows begin.
         """
         words = words_of(text)
         get = self.vocabulary.get
         known = np.fromiter((get(w, 0) for w in words), np.int8, len(words))
         if not known.any():
             return {}
-        ends = np.convolve(known, np.ones(SHINGLE, np.int64))[SHINGLE - 1 : len(words)] if len(words) >= SHINGLE else np.array([SHINGLE])
-        hits = [i for i in np.flatnonzero(ends == SHINGLE).tolist() if tuple(words[i : i + SHINGLE]) in self.any]
         found: dict[str, tuple[float, int, int]] = {}
-        for n, bands in self.tables.items() if hits else ():
-            step = max(1, n // self.settings.overlap)
-            last = max(0, len(words) - n)
-            starts = sorted({min(s, last) for i in hits for s in range(max(0, -(-(i + SHINGLE - n) // step)) * step, i + 1, step)})
-            for s in starts:
-                window = set(shingles(words[s : s + n]))
-                if not window & self.any:
+        places: dict[int, list[int]] = {}
+        for n, bands in self.tables.items():
+            width = min(SHINGLE, n)
+            if len(words) < width:
+                continue
+            if width not in places:
+                ends = np.convolve(known, np.ones(width, np.int64))[width - 1 : len(words)]
+                places[width] = np.flatnonzero(ends == width).tolist()
+            hits = [(i, x) for i in places[width] if (x := tuple(words[i : i + width])) in self.near[n]]
+            have = {x for _, x in hits}
+            for s, window in self._windows(words, hits, n) if hits else ():
+                if not window & have:
                     continue
                 for name in set().union(*(bands.get(key, ()) for key in self._keys(list(window)))):
                     own = self.shingles[name]
-                    share = len(own & window) / len(own)
+                    share = len(own & have) / len(own)
                     if share >= self.settings.containment:
-                        best, times, first = found.get(name, (0.0, 0, s))
-                        found[name] = (max(best, share), times + 1, first)
+                        _, times, first = found.get(name, (share, 0, s))
+                        found[name] = (share, times + 1, min(first, s))
         return found
 
 
 def license_notices(docs: DataFrame, templates: dict[str, str] | None = None, settings: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, containment, n_windows, first_word): a row for each text and template that it contains.
 
-    Windows of each template's length, one every eighth of it, are looked up by the bands of their MinHash signatures; a
-    window that has the asked share of a template's shingles collides with a probability of
-    ``settings.collision(settings.least())``, over 0.9999. Exact containment of five-word shingles
-    decides. The templates (a few, given by the caller) go with the tasks; nothing is shuffled.
-    Null, empty and short texts match nothing (a template of under five words is one shingle); rows without an id and repeated rows are
+    Windows of each template's length, one every eighth of it, are looked up by the bands of their MinHash signatures: windows
+    of words, and of the text's shingles that such a template has, whatever stands between them. The best placed window around
+    the asked share of a template's shingles collides with a probability of
+    ``settings.collision(settings.least())``, over 0.9999. Exact containment of five-word shingles in the whole text
+    decides. n_windows: those that collided; first_word: of the first. The templates (a few, given by the caller) go with the tasks; nothing is shuffled.
+    Null, empty and short texts match nothing (a template of under five words is one shingle of that length); rows without an id and repeated rows are
     scanned each. An empty table gives an empty result; further columns aren't read.
     """
     found = Templates(TEMPLATES if templates is None else templates, settings)

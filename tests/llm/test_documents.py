@@ -253,3 +253,25 @@ def test_licenses(spark):
     assert {(r["doc_id"], r["license"]) for r in L.license_notices(df).collect()} == want
     assert (50, "mit") in want and (None, "mit-line") in want
     assert L.license_notices(df.limit(0)).count() == 0
+
+
+def test_licenses_at_every_offset():
+    found = L.Templates(L.TEMPLATES, L.Bands())
+    words = [w.decode() for w in L.words_of(L.TEMPLATES["mit"].encode())]
+    for at in (14, 40, 66):  # three words changed: 66 of 81 shingles stay
+        words[at] = f"changed{at}"
+    put_in = [w.decode() for w in L.words_of(L.TEMPLATES["mit"].encode())]
+    put_in[40:40] = [f"holder{i}" for i in range(60)]
+    for offset in range(25):
+        filler = [f"word{i}" for i in range(offset)]
+        share, _, _ = found.scan(" ".join([*filler, *words, *filler]).encode())["mit"]
+        assert share == 66 / 81
+        share, _, _ = found.scan(" ".join([*filler, *put_in, *filler]).encode())["mit"]
+        assert share == 77 / 81
+
+
+def test_short_templates_by_their_own_length():
+    found = L.Templates({"two": "MIT License", "one": "Unlicense"}, L.Bands())
+    assert found.scan(b"this is under the MIT License as a whole") == {"two": (1.0, 2, 4)}
+    assert set(found.scan(b"unlicense or the mit license")) == {"one", "two"}
+    assert found.scan(b"mit the license of many words") == {}
