@@ -17,11 +17,13 @@ from episodica.llm.shared import fresh_path, table
 LENGTH, GRAM = 100, 24
 #: Bytes that are bucketed at once; longer texts are cut, with LENGTH - 1 bytes of overlap.
 STRETCH = 1_000_000
+#: The seed with which Spark hashes, too. With that hash ``h`` of its text, an id names a text; the 17 bits below are of another one.
+SEED = 42
 #: A run of starts as one number: kind, 17 bits of the text's hash, 36 bits of the first start, 7 bits of how many.
 RUN_BITS, START_BITS, TEXT_BITS = 7, 36, 17
 KIND = RUN_BITS + START_BITS + TEXT_BITS
 SEGMENT, SHARED, WIDE, ASKED, ASKED_WIDE, REPEAT = range(6)
-_ROW = "a long, b long, doc long, at long"
+_ROW = "a long, b long, doc long, h long, at long"
 #: Different segments of a bucket in one stretch of text, and in all: a bucket with more is refined string by string, on all executors.
 WIDE_HERE, WIDE_ALL = 64, 4096
 #: Strings that a task sorts at once.
@@ -117,26 +119,26 @@ def segments(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, count, piece[new], gram[anchor[new]], _pointer(head, tail + count.astype(np.uint64))
 
 
-def _batch(a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b, doc, at | (kind.astype(np.int64) << KIND))], names=["a", "b", "doc", "at"])
+def _batch(a: np.ndarray, b: np.ndarray, doc: np.ndarray, h: np.ndarray, at: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b, doc, h, at | (kind.astype(np.int64) << KIND))], names=["a", "b", "doc", "h", "at"])
 
 
-def _judge(m: np.ndarray, s: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+def _judge(m: np.ndarray, s: np.ndarray, doc: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted order, and for each row there: whether an earlier row has the same segment, how many different ones its bucket has."""
-    order = np.lexsort((at, doc, s, m))
+    order = np.lexsort((at, h, doc, s, m))
     m, s = m[order], s[order]
     bucket = np.r_[True, m[1:] != m[:-1]][: len(m)]
     same = ~bucket
     same[1:] &= s[1:] == s[:-1]
     group = np.cumsum(bucket) - 1
     kinds = np.bincount(group, ~same)[group] if len(m) else np.zeros(0)
-    return order, _later(same, doc[order], at[order]), kinds
+    return order, _later(same, doc[order], h[order], at[order]), kinds
 
 
-def _later(same: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _later(same: np.ndarray, doc: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of sorted rows that are the same as the one before, those whose place differs from their first's: repeated rows don't repeat each other."""
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-    return same & ((doc != doc[head]) | (at != at[head]))
+    return same & ((doc != doc[head]) | (h != h[head]) | (at != at[head]))
 
 
 def first_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,23 +149,32 @@ def first_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     ASKED_WIDE, and a WIDE row tells. So a bucket gets a bounded number of rows from each stretch of text.
     """
     for batch in batches:
-        doc, texts = _rows(batch)
+        doc, h, texts = _rows(batch)
+        once = _once(doc, texts)
+        doc, h, texts = doc[once], h[once], [texts[i] for i in once]
         for raw, row, offset, begins in stretches(texts):
             hashes = np.array([xxhash.xxh64_intdigest(texts[i]) & ((1 << TEXT_BITS) - 1) for i in row], np.int64)
             first, count, piece, m, s = segments(raw, begins)
             at = _packed(hashes[piece], first - begins[piece] + offset[piece], count)
-            ids = doc[row][piece]
-            order, same, kinds = _judge(m, s, ids, at)
+            ids, own = doc[row][piece], h[row][piece]
+            order, same, kinds = _judge(m, s, ids, own, at)
             kind = np.select([same, kinds > WIDE_HERE, kinds > 1], [REPEAT, ASKED_WIDE, ASKED], SEGMENT)
-            yield _batch(m[order], s[order], ids[order], at[order], kind)
+            yield _batch(m[order], s[order], ids[order], own[order], at[order], kind)
             for flag, told in ((SHARED, (kinds > 1) & (kinds <= WIDE_HERE)), (WIDE, kinds > WIDE_HERE)):
                 buckets = np.unique(m[order][told])
                 none = np.zeros(len(buckets), np.int64)
-                yield _batch(buckets, none, none, none, np.full(len(buckets), flag))
+                yield _batch(buckets, none, none, none, none, np.full(len(buckets), flag))
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
-    return batch.column(0).to_numpy(), [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, hashes of the texts, texts."""
+    texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+    return batch.column(0).to_numpy(), np.array([xxhash.xxh64_intdigest(x, SEED) for x in texts], np.uint64).view(np.int64), texts
+
+
+def _once(doc: np.ndarray, texts: list[bytes]) -> list[int]:
+    """The first of each id and text: repeated rows stand at the same place, so one of them tells all."""
+    return list({x: i for i, x in reversed(list(enumerate(zip(doc.tolist(), texts, strict=True))))}.values())[::-1]
 
 
 def _packed(text: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -175,107 +186,110 @@ def settle_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     parts = [[x.to_numpy() for x in batch.columns] for batch in batches if batch.num_rows]
     if not parts:
         return
-    m, s, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    m, s, doc, h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
     kind = at >> KIND
     at = at & ((1 << KIND) - 1)
     done = kind >= ASKED_WIDE
-    yield _batch(m[done], s[done], doc[done], at[done], kind[done])
+    yield _batch(m[done], s[done], doc[done], h[done], at[done], kind[done])
     shared, wide = np.unique(m[kind == SHARED]), np.unique(m[kind == WIDE])
     own = (kind == SEGMENT) | (kind == ASKED)
-    m, s, doc, at = (x[own] for x in (m, s, doc, at))
-    order, same, kinds = _judge(m, s, doc, at)
-    m, s, doc, at = (x[order] for x in (m, s, doc, at))
+    m, s, doc, h, at = (x[own] for x in (m, s, doc, h, at))
+    order, same, kinds = _judge(m, s, doc, h, at)
+    m, s, doc, h, at = (x[order] for x in (m, s, doc, h, at))
     very = (kinds > WIDE_ALL) | np.isin(m, wide)
     new = np.select([same, very, (kinds > 1) | np.isin(m, shared)], [REPEAT, ASKED_WIDE, ASKED], SEGMENT)
     out = new != SEGMENT
-    yield _batch(m[out], s[out], doc[out], at[out], new[out])
+    yield _batch(m[out], s[out], doc[out], h[out], at[out], new[out])
 
 
-def _strings(raw: np.ndarray, first: np.ndarray, own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(pointer, pointer 36 bytes on, id, place) of each string of segments that begin at ``first`` in ``raw``."""
+def _strings(raw: np.ndarray, first: np.ndarray, own: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(pointer, pointer 36 bytes on, id, text's hash, place) of each string of segments that begin at ``first`` in ``raw``."""
     _, b64 = refine(raw)
     count = own & ((1 << RUN_BITS) - 1)
     inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     start = np.repeat(first, count) + inside
     at = np.repeat(own >> RUN_BITS << RUN_BITS, count) + (inside << RUN_BITS) + 1
-    return b64[start].view(np.int64), b64[start + 36].view(np.int64), np.repeat(ids, count), at
+    return b64[start].view(np.int64), b64[start + 36].view(np.int64), np.repeat(doc, count), np.repeat(h, count), at
 
 
-def _repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by bucket pointers, then by place; and whether the string before is equal."""
-    order = np.lexsort((at, doc, b, a))
+    order = np.lexsort((at, h, doc, b, a))
     a, b = a[order], b[order]
     same = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])][: len(a)]
-    return order, _later(same, doc[order], at[order])
+    return order, _later(same, doc[order], h[order], at[order])
 
 
-def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _runs(doc: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Strings (runs of one) whose places follow each other as longer runs."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
+    order = np.lexsort((at, h, doc))
+    doc, h, at = doc[order], h[order], at[order]
     step = 1 << RUN_BITS
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] != step)][: len(at)]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (at[1:] - at[:-1] != step)][: len(at)]
     place = np.arange(len(at))
     head = np.maximum.accumulate(np.where(new, place, 0))
     new |= (place - head) % (step - 1) == 0  # as many as a run's bits can count
     begin = np.flatnonzero(new)
-    return doc[begin], at[begin] - 1 + np.diff(np.r_[begin, len(at)])
+    return doc[begin], h[begin], at[begin] - 1 + np.diff(np.r_[begin, len(at)])
 
 
 def last_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is asked for: the bytes of a segment for its bucket; or, of a wide bucket, each string by itself as bucket pointers."""
     for batch in batches:
-        doc, texts = _rows(batch)
+        doc, h, texts = _rows(batch)
+        once = _once(doc, texts)
+        doc, h, texts, requests = doc[once], h[once], [texts[i] for i in once], batch.column(2).take(pa.array(once, pa.int64())).to_pylist()
         out: list[tuple] = []
-        for i, asked in enumerate(batch.column(2).to_pylist()):
+        for i, asked in enumerate(requests):
             for x in asked:
                 at = x["at"] & ((1 << KIND) - 1)
                 if x["at"] >> KIND == ASKED:
                     first, count = at >> RUN_BITS & ((1 << START_BITS) - 1), at & ((1 << RUN_BITS) - 1)
-                    out.append((x["a"], 0, doc[i], at, texts[i][first : first + count + LENGTH - 1]))
-        yield _asked(*zip(*out, strict=True)) if out else _asked(*[[]] * 5)
+                    out.append((x["a"], 0, doc[i], h[i], at, texts[i][first : first + count + LENGTH - 1]))
+        yield _asked(*zip(*out, strict=True)) if out else _asked(*[[]] * 6)
         for raw, row, offset, begins in stretches(texts):
             found = []
             for i, o, begin, end in zip(row, offset, begins[:-1], begins[1:], strict=True):
-                own = np.array([x["at"] & ((1 << KIND) - 1) for x in batch.column(2)[int(i)].as_py() if x["at"] >> KIND == ASKED_WIDE], np.int64)
+                own = np.array([x["at"] & ((1 << KIND) - 1) for x in requests[i] if x["at"] >> KIND == ASKED_WIDE], np.int64)
                 first, _ = _unpacked(own)
                 mine = (first >= o) & (first < o + (end - begin) - LENGTH + 1)
-                found.append((np.full(int(mine.sum()), doc[i]), own[mine], first[mine] - o + begin))
-            ids, own, first = (np.concatenate(x) for x in zip(*found, strict=True))
+                n = int(mine.sum())
+                found.append((np.full(n, doc[i]), np.full(n, h[i]), own[mine], first[mine] - o + begin))
+            ids, hashes, own, first = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(own):
-                a, b, ids, at = _strings(raw, first, own, ids)
-                order, same = _repeats(a, b, ids, at)
-                a, b, ids, at = a[order], b[order], ids[order], at[order]
-                yield _asked(a[~same], b[~same], ids[~same], at[~same], None)
-                ids, at = _runs(ids[same], at[same])
-                yield _asked(at, np.zeros(len(at), np.int64), ids, at | (REPEAT << KIND), None)
+                a, b, ids, hashes, at = _strings(raw, first, own, ids, hashes)
+                order, same = _repeats(a, b, ids, hashes, at)
+                a, b, ids, hashes, at = (x[order] for x in (a, b, ids, hashes, at))
+                yield _asked(a[~same], b[~same], ids[~same], hashes[~same], at[~same], None)
+                ids, hashes, at = _runs(ids[same], hashes[same], at[same])
+                yield _asked(at, np.zeros(len(at), np.int64), ids, hashes, at | (REPEAT << KIND), None)
 
 
-def _asked(a, b, doc, at, text) -> pa.RecordBatch:
-    columns = [pa.array(x, pa.int64()) for x in (a, b, doc, at)]
-    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary()) if text is None else pa.array(text, pa.binary())], names=["a", "b", "doc", "at", "bytes"])
+def _asked(a, b, doc, h, at, text) -> pa.RecordBatch:
+    columns = [pa.array(x, pa.int64()) for x in (a, b, doc, h, at)]
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary()) if text is None else pa.array(text, pa.binary())], names=["a", "b", "doc", "h", "at", "bytes"])
 
 
 def settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All but the first of equal strings, as runs: of those that came by themselves, and of the buckets' segments."""
 
     def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        a, b, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, same = _repeats(a, b, doc, at)
-        doc, at = _runs(doc[order][same], at[order][same])
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at)], names=["doc", "at"])
+        a, b, doc, h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, same = _repeats(a, b, doc, h, at)
+        found = _runs(doc[order][same], h[order][same], at[order][same])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc", "h", "at"])
 
     tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
     if not tables:
         return
     rows = pa.concat_tables(tables).combine_chunks()
-    a, b, doc, at = (rows.column(i).to_numpy() for i in range(4))
+    a, b, doc, h, at = (rows.column(i).to_numpy() for i in range(5))
     done = at >> KIND == REPEAT
-    yield pa.RecordBatch.from_arrays([pa.array(doc[done]), pa.array(at[done] & ((1 << KIND) - 1))], names=["doc", "at"])
-    whole = rows.column(4).is_valid().to_numpy()
+    yield pa.RecordBatch.from_arrays([pa.array(doc[done]), pa.array(h[done]), pa.array(at[done] & ((1 << KIND) - 1))], names=["doc", "h", "at"])
+    whole = rows.column(5).is_valid().to_numpy()
     single = ~whole & ~done
     if single.any():
-        yield out([(a[single], b[single], doc[single], at[single])])
+        yield out([(a[single], b[single], doc[single], h[single], at[single])])
     segment = np.flatnonzero(whole)
     segment = segment[np.argsort(a[segment], kind="stable")]
     count = np.cumsum(at[segment] & ((1 << RUN_BITS) - 1))
@@ -285,9 +299,9 @@ def settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         end = max(end, begin + 1)
         end = int(np.searchsorted(a[segment], a[segment[end - 1]], side="right"))  # with the whole bucket
         mine = segment[begin:end]
-        texts = rows.column(4).take(pa.array(mine)).to_pylist()
+        texts = rows.column(5).take(pa.array(mine)).to_pylist()
         first = np.cumsum([0, *map(len, texts)])[:-1]
-        yield out([_strings(np.frombuffer(b"".join(texts), np.uint8), first, at[mine], doc[mine])])
+        yield out([_strings(np.frombuffer(b"".join(texts), np.uint8), first, at[mine], doc[mine], h[mine])])
         begin = end
 
 
@@ -309,22 +323,22 @@ def spans_of(runs: list[int] | None) -> list[tuple[int, int]]:
 def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts keyed by id and text hash, their runs of repeated starts) of docs with columns id and text."""
     spark = docs.sparkSession
-    keyed = docs.select("id", "text")
+    keyed = docs.select("id", "text", F.xxhash64("text").alias("hash"))
     kind = F.shiftright("at", KIND)
-    found = keyed.mapInArrow(first_buckets, _ROW)
-    by_bucket = found.repartition(F.when(kind >= ASKED_WIDE, F.xxhash64("doc", "at")).otherwise(F.col("a")))
+    found = docs.select("id", "text").mapInArrow(first_buckets, _ROW)
+    by_bucket = found.repartition(F.when(kind >= ASKED_WIDE, F.xxhash64("doc", "h", "at")).otherwise(F.col("a")))
     path = fresh_path(spark, "segments")
-    by_bucket.mapInArrow(settle_segments, _ROW).select("a", "doc", "at").write.parquet(path)
+    by_bucket.mapInArrow(settle_segments, _ROW).select("a", "doc", "h", "at").write.parquet(path)
     settled = spark.read.parquet(path)
-    asked = settled.filter(kind != REPEAT).groupBy("doc").agg(F.collect_list(F.struct("a", "at")).alias("asked"))
-    strings = keyed.join(asked, keyed.id == asked.doc).select("id", "text", "asked").mapInArrow(_own(last_buckets), f"{_ROW}, bytes binary")
-    later = strings.repartition("a", "b").mapInArrow(settle_strings, "doc long, at long")
-    repeats = settled.filter(kind == REPEAT).select("doc", F.col("at").bitwiseAND((1 << KIND) - 1).alias("at"))
+    asked = settled.filter(kind != REPEAT).groupBy("doc", "h").agg(F.collect_set(F.struct("a", "at")).alias("asked"))
+    strings = keyed.join(asked, (keyed.id == asked.doc) & (keyed.hash == asked.h)).select("id", "text", "asked").mapInArrow(_own(last_buckets), f"{_ROW}, bytes binary")
+    later = strings.repartition("a", "b").mapInArrow(settle_strings, "doc long, h long, at long")
+    repeats = settled.filter(kind == REPEAT).select("doc", "h", F.col("at").bitwiseAND((1 << KIND) - 1).alias("at"))
     return keyed, repeats.unionByName(later)
 
 
 def _own(then):
-    """Only the requests that belong to the row's text, not to another row of the same id."""
+    """Only the requests that belong to the row's text, not to another one of the same id and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def mine() -> Iterator[pa.RecordBatch]:
@@ -364,13 +378,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A task sends one row of a bucket's or string's equals, so frequent passages stay small.
 
     Null and empty texts keep nothing and lose nothing. A null id counts as the largest. Rows that share
-    id and text stand at the same place, so neither repeats the other; rows that share an id alone are told apart by a
-    17-bit hash of the text, in the order of which they count. An empty table gives an empty
+    id and text stand at the same place, so neither repeats the other; rows that share an id alone are told apart by
+    two hashes of the text, of 64 and 17 bits, in the order of which they count. What belongs to a row is gathered and joined by id
+    and text, so that a list has no more than its own text's runs, however many rows share an id. An empty table gives an empty
     result; further columns aren't read.
     """
     last = F.lit(2**63 - 1)
     keyed, runs = repeated_runs(docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.col(text_col).alias("text")))
-    by_doc = runs.groupBy("doc").agg(F.collect_list("at").alias("runs"))
+    by_doc = runs.groupBy("doc", "h").agg(F.collect_set("at").alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,7 +402,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 500), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    found = keyed.join(by_doc, keyed.id == by_doc.doc, "left").select("id", "text", "runs")
+    found = keyed.join(by_doc, (keyed.id == by_doc.doc) & (keyed.hash == by_doc.h), "left").select("id", "text", "runs")
     done = found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.withColumn("doc_id", F.nullif("doc_id", last))
 

@@ -124,3 +124,28 @@ def test_pointers_tell_strings_apart():
     gram, b64 = S.refine(raw)
     assert len(np.unique(gram)) == len(gram) == 5000 - S.GRAM + 1
     assert len(np.unique(b64)) == len(b64) == 5000 - 63
+
+
+def test_many_texts_without_id(spark):
+    r = random.Random(5)
+    line = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for i in range(2000):
+        own = line(150)
+        texts.append(f"{line(130)}{own}{line(140)}" + (own + line(30) if i % 2 else ""))
+    copies = [texts[1]] * 40  # repeated rows don't repeat each other
+    df = spark.createDataFrame([(None, t) for t in texts + copies], "doc_id long, text string").repartition(5)
+    got = sorted(tuple(x)[1:5] for x in S.remove_repeats(df).collect())
+    want = [x[1:] for i, t in enumerate(texts) for x in brute([(i, t)])]
+    assert got == sorted(want + [want[1]] * 40)
+
+
+def test_lists_are_bounded_by_their_own_text(spark):
+    r = random.Random(6)
+    own = "".join(r.choice("abcdefgh ") for _ in range(150))
+    tail = lambda: "".join(r.choice("abcdefgh ") for _ in range(150))
+    df = spark.createDataFrame([(None, tail() + own + tail()) for _ in range(300)], "doc_id long, text string")
+    docs = df.selectExpr("coalesce(doc_id, 9223372036854775807) AS id", "text").repartition(5)
+    _, runs = S.repeated_runs(docs)
+    assert runs.groupBy("doc", "h").count().agg({"count": "max"}).first()[0] < 10
+    assert sum(x["n_removed"] > 0 for x in S.remove_repeats(df).collect()) == 299
