@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.llm.components import connected_components
-from episodica.llm.shared import column_bytes, cut, slices, table
+from episodica.llm.shared import column_bytes, cut, fresh_path, slices, table
 
 SEED, WORDS, DISTANCE = 42, 3, 3
 #: Bits of a block: the length of the Hamming code whose words are the anchors.
@@ -140,22 +140,8 @@ def _compare(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -
     return _stars(left, right, node) if len(left) else (node[:0], node[:0])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``.
-
-    Equal fingerprints meet in one aggregation. Distinct ones are replicated to the anchors of a
-    covering code: at 3 differing bits or fewer, one of two blocks of 31 bits differs in at
-    most one; the anchor nearest to the one fingerprint's block (distance at most 1, the covering
-    radius) is then within radius + 1 of the other's. So each fingerprint goes to at most 2 x 16 of 2 x 2^26
-    anchors and no link is lost. Each anchor's group is compared inside its task, which keeps a star for
-    each component found, never its pairs.
-
-    Null or wordless text: fingerprint zero, linked like any other. Repeated rows: each is
-    returned. A null id: its fingerprint, and a null component_id; it takes no part in links. An empty table gives an
-    empty result; further columns of ``docs`` are not read.
-    """
-    fps = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
+def _classes(distinct: DataFrame) -> DataFrame:
+    """(fp, c) for each of the distinct fingerprints (fp, node): the least node of its component."""
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,14 +176,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     spread = distinct.mapInArrow(replicate, "anchor long, fp long, node long").repartition("anchor").sortWithinPartitions("anchor")
     roots = connected_components(spread.mapInArrow(compare, "u long, v long"))
-    classes = distinct.join(roots, distinct.node == roots.node, "left").select("fp", F.coalesce("root", distinct.node).alias("c"))
+    return distinct.join(roots, distinct.node == roots.node, "left").select("fp", F.coalesce("root", distinct.node).alias("c"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``.
+
+    Equal fingerprints meet in one aggregation. Distinct ones are replicated to the anchors of a
+    covering code: at 3 differing bits or fewer, one of two blocks of 31 bits differs in at
+    most one; the anchor nearest to the one fingerprint's block (distance at most 1, the covering
+    radius) is then within radius + 1 of the other's. So each fingerprint goes to at most 2 x 16 of 2 x 2^26
+    anchors and no link is lost. Each anchor's group is compared inside its task, which keeps a star for
+    each component found, never its pairs.
+
+    Null or wordless text: fingerprint zero, linked like any other. Repeated rows: each is
+    returned. A null id: its fingerprint, and a null component_id; it takes no part in links. An empty table gives an
+    empty result; further columns of ``docs`` are not read.
+    """
+    fps = cut(fingerprints(docs, id_col, text_col))
+    classes = _classes(cut(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))))
     return fps.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their group; of repeated rows with that id, each. Rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """One row of ``docs`` for each group of near-duplicates: that of the least id (null: the largest), and of rows that share it, one.
+
+    Each row gets a key, written with it, and the groups are of rows: shared and null ids neither link texts nor keep copies.
+    Only where the row that stays is there repeatedly, with id and text, each of those stays.
+    """
+    spark = docs.sparkSession
+    path = fresh_path(spark, "rows")
+    docs.withColumn("__key", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    fps = fingerprints(rows, "__key", text_col).withColumnRenamed("doc_id", "key")
+    fps = cut(fps.join(rows.select(F.col("__key").alias("key"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h")), "key"))
+    classes = _classes(cut(fps.groupBy("fp").agg(F.min("key").alias("node"))))
+    mine = F.struct(F.col("id").isNull().alias("none"), "id", "key", "fp", "h")
+    # the least of a fingerprint first, then that of its class
+    least = cut(fps.groupBy("fp").agg(F.min(mine).alias("least")).join(classes, "fp"))
+    kept = least.groupBy("c").agg(F.min("least").alias("least")).select("least.*").alias("k")
+    same = "r.fp = k.fp AND r.h = k.h AND (r.key = k.key OR r.id = k.id)"
+    gone = fps.alias("r").join(kept, F.expr(same), "left_anti").select(F.col("key").alias("__key"))
+    return rows.join(gone, "__key", "left_anti").drop("__key")
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,3 +275,13 @@ def test_short_templates_by_their_own_length():
     assert found.scan(b"this is under the MIT License as a whole") == {"two": (1.0, 2, 4)}
     assert set(found.scan(b"unlicense or the mit license")) == {"one", "two"}
     assert found.scan(b"mit the license of many words") == {}
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = lambda k: " ".join(f"{k}word{i}" for i in range(200))
+    rows = [(1, long("a")), (5, long("a")), (5, long("b")), (7, long("c")), (7, long("c")), (8, long("c") + " "), (None, long("d")), (None, long("d")), (None, long("c")), (None, long("e"))]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int").repartition(4)
+    got = sorted(((r["doc_id"], r["text"][0]) for r in H.keep_one(df).collect()), key=repr)
+    assert H.keep_one(df).columns == df.columns
+    assert got == sorted([(1, "a"), (5, "b"), (7, "c"), (7, "c"), (None, "d"), (None, "e")], key=repr)
+    assert H.keep_one(df.limit(0)).count() == 0
