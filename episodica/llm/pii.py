@@ -22,6 +22,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Identifiers in several words: numbers and marks side by side; (at), at or a lone @, and what may follow as a host.
+_RUN = re.compile(r"(?<![^\s\[{\"'<,;:])\(?[0-9][0-9().+/_:-]*(?:[ \t]{1,2}(?:[-/.] )?\(?[0-9][0-9().+/_:-]*)+")
+_AT = re.compile(r"\s{0,2}(?:[(\[{]\s?at\s?[)\]}]|\sat\s(?=[a-z0-9-]+\s{0,2}(?:[(\[{]\s?dot|\sdot\s|\s?dot\s))|\s@|@\s)\s{0,2}", re.I)
+_HOST = re.compile(r"[a-z0-9-]+(?:(?:\.|\s{0,2}[(\[{]\s?dot\s?[)\]}]\s{0,2}|\s{1,2}dot\s{1,2})[a-z0-9-]+)+", re.I)
+#: Words of a run.
+WORDS = 6
 _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]")
 
@@ -92,13 +98,52 @@ def _inside(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     return next(((a + i, a + e) for i, e in zip(starts, ends, strict=True) if 16 <= len(d := _digits(text[a + i : a + e])) <= 19 and _luhn(d)), None)
 
 
+def _several(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of what may be identifiers in several words, outside the spans ``taken`` (sorted): at each word the longest
+    valid run, unless each word is valid by itself; and addresses that spell out the @ or the dots."""
+    found, nth = [], 0
+
+    def free(a: int, b: int) -> bool:
+        nonlocal nth
+        while nth < len(taken) and taken[nth][1] <= a:
+            nth += 1
+        return not any(x < b and a < y for x, y, _ in taken[max(0, nth - 4) : nth + 4])
+
+    for m in _RUN.finditer(text) if _DIGIT.search(text) else ():
+        words = [w.span() for w in re.finditer(r"[^ \t]+", text[m.start() : m.end()])]
+        words = [(a + m.start(), b + m.start()) for a, b in words]
+        i = 0
+        while i < len(words):
+            for j in range(min(len(words), i + WORDS), i + 1, -1):
+                a, b = words[i][0], words[j - 1][1]
+                run = text[a:b].rstrip(".,:;-/+_ ")
+                while run.endswith(")") and run.count(")") > run.count("("):
+                    run = run[:-1]
+                n = len(digits := _digits(run))
+                kind = "card" if 13 <= n <= 19 and _luhn(digits) else "phone" if 7 <= n <= 15 else None
+                if kind and run.count("(") == run.count(")") and " " in run and not all(_shape(text[x:y].strip(".,;:()")) for x, y in words[i:j]) and free(a, a + len(run)):
+                    found.append((kind, a, a + len(run)))
+                    i = j - 1
+                    break
+            i += 1
+    end = nth = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start() and (host := _HOST.match(text, m.end())) and free(start, host.end()):
+            end = host.end()
+            found.append(("email", start, end))
+    return found
+
+
 def _word(text: str) -> str:
     return re.sub(r"[0-9]", "0", text.strip(".,;:!?()[]\"'").lower())
 
 
 def occurrences(text: str) -> list[tuple[str, bool, int, int, str, str, str, str]]:
     """(kind, seed, start, end, instance, word before, two words before, word after) of the seeds, and of further
-    tokens with digits or an @ outside them that look like one of the kinds."""
+    tokens with digits or an @, and runs of them, outside those, that look like one of the kinds."""
     base = base_spans(text)
     seeds = sorted((a, b, k) for k, spans in base.items() for a, b in spans)
     rows, end, nth = [(k, True, a, b) for a, b, k in seeds], 0, 0
@@ -128,6 +173,7 @@ def occurrences(text: str) -> list[tuple[str, bool, int, int, str, str, str, str
         token = token.strip(".,;:!?()[]{}\"'<>")
         if kind := _shape(token):
             rows.append((kind, False, a, a + len(token)))
+    rows += [(kind, False, a, b) for kind, a, b in _several(text, seeds)]
     found = []
     for kind, seed, a, b in rows:
         before, after = text[max(0, a - 100) : a].split()[-2:], text[b : b + 100].split()[:1]
@@ -141,7 +187,6 @@ class Bootstrap:
     """A pattern is trusted from ``support`` different known instances on, if they are at least ``precision`` of all
     instances of that shape that it meets; an instance from a noisy-or of ``confidence`` over its patterns on."""
 
-    rounds: int = 3
     support: int = 5
     precision: float = 0.8
     confidence: float = 0.9
@@ -166,14 +211,14 @@ def discover(occ: DataFrame, rules: Bootstrap = Bootstrap()) -> DataFrame:
 
     The graph's edges join lexical patterns (the word before; the two before; the words on both sides) to the instances that fill
     them, each once. Each round scores patterns by the share of known instances among
-    their fillers, then instances by their trusted patterns; instances found serve as seeds of the next.
+    their fillers, then instances by their trusted patterns; instances found serve as seeds of the next, until a round finds none.
     """
     patterns = F.array(F.concat(F.lit("1 "), "left1"), F.concat(F.lit("2 "), "left2"), F.concat(F.lit("3 "), "left1", F.lit(" _ "), "right1"), F.when(F.col("kind") != "email", F.concat(F.lit("4 "), F.regexp_replace("instance", "[0-9]", "0"))))
     edges = cut(occ.select("kind", "instance", F.explode(patterns).alias("pattern")).filter("pattern IS NOT NULL").distinct())
     known = occ.filter("seed").select("kind", "instance").distinct()
     fillers = edges.groupBy("kind", "pattern").agg(F.count("*").alias("n"))
     found = None
-    for _ in range(rules.rounds):
+    while True:
         hits = edges.join(known, ["kind", "instance"], "left_semi").groupBy("kind", "pattern").agg(F.count("*").alias("hits"))
         trusted = hits.filter(F.col("hits") >= rules.support).join(fillers, ["kind", "pattern"]).filter(F.col("hits") >= rules.precision * F.col("n"))
         trusted = trusted.select("kind", "pattern", (F.col("hits") / (F.col("n") + 1)).alias("p"))
@@ -182,10 +227,19 @@ def discover(occ: DataFrame, rules: Bootstrap = Bootstrap()) -> DataFrame:
         found = new if found is None else found.unionByName(new)
         if new.isEmpty():
             break
-        known = known.unionByName(new)
+        known = cut(known.unionByName(new))
     return found
 
 
+def _outer(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Without the spans inside another one of their kind."""
+    out: list[tuple[str, int, int]] = []
+    for x in sorted(set(spans), key=lambda x: (x[0], x[1], -x[2])):
+        if not (out and out[-1][0] == x[0] and x[2] <= out[-1][2]):
+            out.append(x)
+    return out
+
+
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     order = {k: i for i, k in enumerate(KINDS)}
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(set(spans), key=lambda x: (order[x[0]], x[1], x[2])))
@@ -194,7 +248,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Bootstrap = Bootstrap()) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found) for every row of ``docs``.
 
-    The texts are scanned once, without a shuffle; what goes on are the seeds and the tokens that look like
+    The texts are scanned once, without a shuffle; what goes on are the seeds and the tokens, or up to six in a row, that look like
     one, with the words around them. The counts and base_sha256 are of the base spans; ``spans`` has those and,
     outside them, every occurrence of an instance that :func:`discover` finds (n_found of them). Null and empty
     texts have none. Repeated rows, and rows without an id, are scanned each. Further columns aren't read; an empty
@@ -213,7 +267,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out = []
             for doc, occ, extra in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 base = [(x["kind"], x["start"], x["stop"]) for x in occ if x["seed"]]
-                more = [(x["kind"], x["start"], x["stop"]) for x in extra or []]
+                more = _outer([(x["kind"], x["start"], x["stop"]) for x in extra or []])
                 n = [sum(x[0] == k for x in base) for k in KINDS]
                 out.append((doc, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more), len(set(more))))
             names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_found"]

@@ -285,3 +285,30 @@ def test_one_row_of_each_group_stays(spark):
     assert H.keep_one(df).columns == df.columns
     assert got == sorted([(1, "a"), (5, "b"), (7, "c"), (7, "c"), (None, "d"), (None, "e")], key=repr)
     assert H.keep_one(df.limit(0)).count() == 0
+
+
+def test_identifiers_in_several_words(spark):
+    rows = [(i, f"please call +1 (743) 555-{1000 + i} now") for i in range(20)] + [(50 + i, f"my address is user{i}@host.org thanks") for i in range(20)]
+    new = ["030 1234 5678", "555 123 4567", "(555) 123-4567", "0049 30 1234 5678", "030 / 123 45 67"]
+    rows += [(100 + i, f"please call {x} now") for i, x in enumerate(new)]
+    mails = ["name (at) host (dot) org", "some.name [at] host.org", "name at host dot org", "name @ host.org"]
+    rows += [(200 + i, f"my address is {x} thanks") for i, x in enumerate(mails)]
+    rows += [(300, "see 030 1234 9999 there"), (301, "look at host dot org there")]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["spans"], r["n_found"]) for r in I.personal_data(df).collect()}
+    out = {r["doc_id"]: r["text"] for r in I.redact(df).collect()}
+    for i, x in enumerate(new):
+        assert got[100 + i] == (f"phone:12:{12 + len(x)}", 1) and out[100 + i] == "please call [PHONE] now"
+    for i, x in enumerate(mails):
+        assert got[200 + i] == (f"email:14:{14 + len(x)}", 1) and out[200 + i] == "my address is [EMAIL] thanks"
+    assert got[300] == ("", 0) and got[301] == ("", 0)
+
+
+def test_rounds_go_on_while_they_find(spark):
+    name = lambda k, j: "abcdefz"[k] + chr(97 + j // 6) + chr(97 + j % 6)  # noqa: E731  no digits, so no two are of one make
+    rows = [("phone", True, name(6, i), "w0", "x w0", "r") for i in range(30)]
+    for k in range(6):  # each round trusts the next word before
+        rows += [("phone", False, name(k, j), f"w{k + d}", f"x w{k + d}", "r") for j in range(30) for d in (0, 1)]
+    occ = spark.createDataFrame(rows, "kind string, seed boolean, instance string, left1 string, left2 string, right1 string")
+    found = {r["instance"] for r in I.discover(occ, I.Bootstrap(precision=0.3, confidence=0.3)).collect()}
+    assert found == {name(k, j) for k in range(6) for j in range(30)}
