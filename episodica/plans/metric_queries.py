@@ -171,7 +171,7 @@ def l12(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def l13(spark: SparkSession, sf: str) -> DataFrame:
-    return E.embed_2d(T.latents(spark, sf).filter("batch_id = 0"), "z_inv").select("state_id", "view_id", "x", "y")
+    return E.embed_2d(T.latents(spark, sf), "z_inv").select("batch_id", "state_id", "view_id", "x", "y")
 
 
 def l14(spark: SparkSession, sf: str) -> DataFrame:
