@@ -31,7 +31,7 @@ def leaves(found: DataFrame) -> DataFrame:
     digest = found.select("ordinal", F.octet_length("record").cast("long").alias("n"), F.sha2("record", 256).alias("digest"))
     half = F.conv(F.substring("digest", 1, 12), 16, 10).cast("long")
     rest = F.conv(F.substring("digest", 13, 12), 16, 10).cast("long")
-    merged = digest.groupBy("ordinal").agg(F.sum("n").alias("length"), F.count("*").alias("k"), F.sum(half).alias("a"), F.bit_xor(rest).alias("b"), F.min("digest").alias("least"))
+    merged = digest.groupBy("ordinal").agg(F.sum("n").alias("length"), F.count("*").alias("k"), F.sum(half.cast("decimal(20,0)")).alias("a"), F.bit_xor(rest).alias("b"), F.min("digest").alias("least"))
     return merged.select("ordinal", "length", F.when(F.col("k") == 1, F.col("least")).otherwise(F.sha2(F.concat_ws("|", "k", "a", "b", "least"), 256)).alias("hash"))
 
 

@@ -1,0 +1,12 @@
+"""Very many records under one ordinal."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from episodica.llm import warc as W
+
+
+def test_many_records_share_an_ordinal(spark):
+    rows = spark.range(80_000).select(F.lit(7).cast("long").alias("ordinal"), F.col("id").cast("string").alias("record"))
+    assert [r["ordinal"] for r in W.leaves(rows).collect()] == [7]
