@@ -36,8 +36,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
 
     ``start`` counts the file's own ids; :func:`token_offsets` adds those of the files before. The
     texts are dealt by ranges of ids and encoded after that, so only texts are shuffled, once.
-    Null texts have the end id alone; rows without an id come first; rows that share an id are ordered by text. An
-    empty table gives files without rows. ``vocabulary``: a path, or a name that the public_tokenizers package resolves.
+    Null texts have the end id alone; rows without an id come first; rows that share an id, or have none, are ordered by the hash of
+    their text, copies by their place in the input, so that a frequent id is dealt to several ranges. An empty table gives files without rows. ``vocabulary``: a path, or a name that the public_tokenizers package resolves.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,8 +48,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bounds[:-1] + before), pa.array(np.diff(bounds)), lists], names=["doc_id", "start", "n_tokens", "ids"])
             before += len(ids)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    ordered = rows.repartitionByRange("i").sortWithinPartitions("i", "t")
+    order = ("i", "h", "k")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("k"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>").write.options(**(layout or LAYOUT)).parquet(path)
 
 

@@ -43,6 +43,9 @@ class WordCoder:
 
     Words that were met before are looked up. Two generations of at most ``keep`` words bound the memory. A
     letter and the marks at a word's end are never merged, so the marks are looked up by themselves.
+
+    Added tokens (such as an end mark) are found in the text by the library before it splits it; a text that has one is given to the
+    library whole.
     """
 
     def __init__(self, path: str, spaced: bool, keep: int = 300_000) -> None:
@@ -50,7 +53,9 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that aren't cut into words: with two runs of white space that meet, or with an added token anywhere, in any case.
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([*([_UNSAFE] if spaced else []), *(f"(?i:{x})" for x in added)])
         self.spaced, self.keep = spaced, keep
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -99,13 +104,13 @@ class WordCoder:
         """A binary array: the ids of each text; of a null, none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = None
+        unsafe = np.flatnonzero(pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)) if self.whole else np.empty(0, np.int64)
+        if len(unsafe):
+            whole = dict(zip(unsafe.tolist(), self._new(texts.take(pa.array(unsafe)).to_pylist()), strict=True))
+            mask = np.zeros(len(texts), bool)
+            mask[unsafe] = True
+            texts = pc.if_else(pa.array(mask), pa.scalar("", pa.large_string()), texts)
         if self.spaced:
-            unsafe = np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False))
-            if len(unsafe):
-                whole = dict(zip(unsafe.tolist(), self._new(texts.take(pa.array(unsafe)).to_pylist()), strict=True))
-                mask = np.zeros(len(texts), bool)
-                mask[unsafe] = True
-                texts = pc.if_else(pa.array(mask), pa.scalar("", pa.large_string()), texts)
             texts = pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 ")
             words = pc.split_pattern(texts, "\0")
         else:
