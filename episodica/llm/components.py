@@ -13,18 +13,18 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v: long) but the roots; root: the least node that is reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected components in
     MapReduce and beyond"): each is one aggregation and one join, a node's neighbours are never
-    gathered, and few rounds suffice whatever the graph's shape. A hub with very many neighbours
+    gathered, and few rounds suffice whatever the graph's shape; it goes on until a round changes nothing. A hub with very many neighbours
     is a skewed join key with one row at the other side, which AQE splits. Null ends and loops are ignored;
     an empty graph gives an empty table.
     """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if not state["n"] or state == before:
             break

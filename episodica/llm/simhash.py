@@ -17,8 +17,8 @@ from episodica.llm.shared import column_bytes, cut, fresh_path, slices, table
 SEED, WORDS, DISTANCE = 42, 3, 3
 #: Bits of a block: the length of the Hamming code whose words are the anchors.
 BLOCK = 31
-#: Groups of an anchor beyond this are compared by the bytes of the other half.
-LARGE = 1024
+#: Fingerprints of an anchor's group that one task compares; those of a larger group are dealt anew, by the bytes that they share.
+HOT = 4096
 
 
 def _shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
@@ -83,72 +83,74 @@ def _anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _links(group: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions of the same group within the distance; ``group`` is sorted."""
-    left, right = [], []
-    ends = np.searchsorted(group, group, side="right")
-    at = np.arange(len(fp))
-    for k in range(1, len(fp)):
-        at = at[at + k < ends[at]]
-        if not len(at):
-            break
-        near = at[np.bitwise_count(fp[at] ^ fp[at + k]) <= distance]
-        left.append(near)
-        right.append(near + k)
-    none = np.empty(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
-
-def _stars(left: np.ndarray, right: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(least node, node) for each other node of a component: as many rows as nodes, not as pairs."""
-    ids, back = np.unique(node[np.concatenate([left, right])], return_inverse=True)
-    a, b = back[: len(left)], back[len(left) :]
-    label = np.arange(len(ids))
+def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (each position's root, the least of its set) after the links a - b."""
     while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _join_near(label: np.ndarray, group: np.ndarray, at: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
+    """``label`` after the links between rows ``at`` of the same group; ``group`` (of those rows) is sorted.
+
+    Shift by shift, so that memory follows the rows and not their pairs.
+    """
+    ends = np.searchsorted(group, group, side="right")
+    own, left = fp[at], np.arange(len(at))
+    for k in range(1, len(at)):
+        left = left[left + k < ends[left]]
+        if not len(left):
             break
-        label = new
-    other = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[label[other]], ids[other]
+        near = left[np.bitwise_count(own[left] ^ own[left + k]) <= distance]
+        if len(near):
+            label = _union(label, at[near], at[near + k])
+    return label
 
 
 def _compare(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges of the links inside each anchor's group."""
-    order = np.lexsort((fp, key))
+    """(least node, node) for each other node of the components inside each key's group: as many rows as nodes, not as pairs."""
+    order = np.lexsort((node, key))
     key, fp, node = key[order], fp[order], node[order]
-    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    size = counts[inverse]
-    found = [_links(key[small], fp[small], distance) + (small,) for small in [np.flatnonzero((size > 1) & (size <= LARGE))]]
-    large = np.flatnonzero(size > LARGE)
-    if len(large):
-        # Three differing bits leave one of four 16-bit quarters equal: compare inside those only.
-        for quarter in range(4):
-            part = (fp[large] >> np.uint64(16 * quarter)) & np.uint64(0xFFFF)
-            sub = np.lexsort((fp[large], part, key[large]))
-            at = large[sub]
-            step = np.r_[True, (key[at][1:] != key[at][:-1]) | (part[sub][1:] != part[sub][:-1])]
-            found.append(_links(np.cumsum(step), fp[at], distance) + (at,))
-    left = np.concatenate([at[a] for a, _, at in found])
-    right = np.concatenate([at[b] for _, b, at in found])
-    return _stars(left, right, node) if len(left) else (node[:0], node[:0])
+    label = _join_near(np.arange(len(key)), key, np.arange(len(key)), fp, distance)
+    other = np.flatnonzero(label != np.arange(len(label)))
+    return node[label[other]], node[other]
+
+
+def _shared_bytes(fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys: one for each choice of 8 - ``distance`` of a fingerprint's bytes, which two linked ones have in common.
+
+    A key mixes those bytes; keys that fall together by chance cost a comparison and link nothing.
+    """
+    rows, keys = [], []
+    for i, chosen in enumerate(combinations(range(8), 8 - distance)):
+        x = (fp & np.uint64(sum(0xFF << 8 * b for b in chosen))) ^ np.uint64(i << 56 | i)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        keys.append(x * np.uint64(0xBF58476D1CE4E5B9))
+        rows.append(np.arange(len(fp)))
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def _classes(distinct: DataFrame) -> DataFrame:
     """(fp, c) for each of the distinct fingerprints (fp, node): the least node of its component."""
 
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for i in range(0, len(fp), 50_000):
-                rows, keys = _anchors(fp[i : i + 50_000].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[i:][rows]), pa.array(node[i:][rows])], names=["anchor", "fp", "node"])
+    def replicate(to):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fp, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                for i in range(0, len(fp), 50_000):
+                    rows, keys = to(fp[i : i + 50_000].view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[i:][rows]), pa.array(node[i:][rows])], names=["anchor", "fp", "node"])
+
+        return run
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -174,8 +176,18 @@ def _classes(distinct: DataFrame) -> DataFrame:
         if held:
             yield out(held)
 
-    spread = distinct.mapInArrow(replicate, "anchor long, fp long, node long").repartition("anchor").sortWithinPartitions("anchor")
-    roots = connected_components(spread.mapInArrow(compare, "u long, v long"))
+    def links(of: DataFrame, to) -> DataFrame:
+        spread = of.mapInArrow(replicate(to), keyed)
+        return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "u long, v long")
+
+    spark, keyed = distinct.sparkSession, "anchor long, fp long, node long"
+    spread = distinct.mapInArrow(replicate(_anchors), keyed)
+    path = fresh_path(spark, "hot-anchors")
+    spread.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor").write.parquet(path)
+    hot = spark.read.schema("anchor long").parquet(path)
+    near = spread.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "u long, v long")
+    dealt = spread.join(hot, "anchor", "left_semi").select("fp", "node").distinct()
+    roots = connected_components(near.unionByName(links(dealt, _shared_bytes)))
     return distinct.join(roots, distinct.node == roots.node, "left").select("fp", F.coalesce("root", distinct.node).alias("c"))
 
 
@@ -187,7 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most one; the anchor nearest to the one fingerprint's block (distance at most 1, the covering
     radius) is then within radius + 1 of the other's. So each fingerprint goes to at most 2 x 16 of 2 x 2^26
     anchors and no link is lost. Each anchor's group is compared inside its task, which keeps a star for
-    each component found, never its pairs.
+    each component found, never its pairs. Fingerprints of an anchor with over HOT of them, as one template's documents may make,
+    are dealt by any five of their eight bytes instead, which two linked ones share: 56 smaller groups, no link lost.
 
     Null or wordless text: fingerprint zero, linked like any other. Repeated rows: each is
     returned. A null id: its fingerprint, and a null component_id; it takes no part in links. An empty table gives an
@@ -198,11 +211,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeated: bool = True) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: that of the least id (null: the largest), and of rows that share it, one.
 
     Each row gets a key, written with it, and the groups are of rows: shared and null ids neither link texts nor keep copies.
-    Only where the row that stays is there repeatedly, with id and text, each of those stays.
+    Where the row that stays is there repeatedly, with id and text, each of those stays if ``repeated``, else one of them.
+    Null, empty and wordless texts have fingerprint zero, so one of them stays. An empty table gives an empty result; all columns go on.
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "rows")
@@ -215,7 +229,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # the least of a fingerprint first, then that of its class
     least = cut(fps.groupBy("fp").agg(F.min(mine).alias("least")).join(classes, "fp"))
     kept = least.groupBy("c").agg(F.min("least").alias("least")).select("least.*").alias("k")
-    same = "r.fp = k.fp AND r.h = k.h AND (r.key = k.key OR r.id = k.id)"
+    same = "r.key = k.key" if not repeated else "r.fp = k.fp AND r.h = k.h AND (r.key = k.key OR r.id = k.id)"
     gone = fps.alias("r").join(kept, F.expr(same), "left_anti").select(F.col("key").alias("__key"))
     return rows.join(gone, "__key", "left_anti").drop("__key")
 

@@ -9,6 +9,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 from episodica.llm import components as C
@@ -101,23 +102,52 @@ def test_every_near_pair_shares_an_anchor():
             assert len(keys(a, i)) <= 32
 
 
-def test_large_groups_are_compared_in_parts(monkeypatch):
-    monkeypatch.setattr(H, "LARGE", 5)
-    r = random.Random(3)
-    base = r.getrandbits(64)
-    fp = np.array([base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 6))) for _ in range(60)], np.uint64)
-    node = np.arange(60)
-    up, down = H._compare(np.zeros(60, np.int64), fp, node, 3)
-    label = list(range(60))
+def _united(fp, node):
+    label = {n: n for n in node}
 
     def find(i):
         while label[i] != i:
             i = label[i]
         return i
 
-    for a, b in ((a, b) for a in range(60) for b in range(a) if (int(fp[a]) ^ int(fp[b])).bit_count() <= 3):
-        label[max(find(a), find(b))] = min(find(a), find(b))
-    assert {(int(a), int(b)) for a, b in zip(up, down)} == {(find(i), i) for i in range(60) if find(i) != i}
+    for a, b in ((a, b) for a in range(len(fp)) for b in range(a) if (int(fp[a]) ^ int(fp[b])).bit_count() <= 3):
+        x, y = find(node[a]), find(node[b])
+        label[max(x, y)] = min(x, y)
+    return {n: find(n) for n in node}
+
+
+def test_groups_give_stars():
+    r = random.Random(3)
+    base = r.getrandbits(64)
+    fp = np.array([base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 6))) for _ in range(60)], np.uint64)
+    node = np.array(r.sample(range(1000), 60))
+    up, down = H._compare(np.zeros(60, np.int64), fp, node, 3)
+    assert {(int(a), int(b)) for a, b in zip(up, down)} == {(root, i) for i, root in _united(fp, node.tolist()).items() if root != i}
+
+
+def test_hot_anchors_are_dealt_anew(spark, monkeypatch):
+    r = random.Random(8)
+    base = r.getrandbits(64)
+    fp = sorted({base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 9))) for _ in range(300)} | {r.getrandbits(64) for _ in range(50)})
+    node = r.sample(range(10_000), len(fp))
+    rows = [(f - (1 << 64) if f >> 63 else f, n) for f, n in zip(fp, node)]
+    want = _united(fp, node)
+    for hot in (3, 40, 4096):
+        monkeypatch.setattr(H, "HOT", hot)
+        got = {r["fp"]: r["c"] for r in H._classes(spark.createDataFrame(rows, "fp long, node long")).collect()}
+        assert got == {f: want[n] for f, n in rows}
+
+
+def test_an_anchor_of_a_hundred_thousand(spark):
+    r = np.random.default_rng(5)
+    upper = np.unique(r.integers(0, 1 << 32, 100_000, dtype=np.uint64))
+    fp = (upper << np.uint64(32)).view(np.int64)  # the lower block is the same in all
+    df = spark.createDataFrame(pd.DataFrame({"fp": fp, "node": np.arange(len(fp))}))
+    roots = {r["fp"]: r["c"] for r in H._classes(df).collect()}
+    assert len(roots) == len(fp)
+    for i in range(400):
+        linked = np.flatnonzero(np.bitwise_count(upper ^ upper[i]) <= 3)
+        assert len({roots[int(fp[j])] for j in linked}) == 1
 
 
 def test_components(spark):
@@ -155,6 +185,19 @@ def test_simhash_on_spark(spark):
     assert H.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_one_of_odd_rows(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(None, text, "a"), (None, text, "b"), (5, text, "c"), (5, text, "d"), (7, other, "e"), (7, text, "f"), (None, None, "g"), (None, "", "h"), (None, other + " x", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    kept = H.keep_one(df, repeated=False)
+    assert kept.columns == df.columns
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sum(t == text for _, t in found) == 1 and (5, text) in found and (7, other) in found and sum(not t for _, t in found) == 1
+    assert H.keep_one(df.limit(0)).count() == 0 and H.keep_one(df.limit(0), repeated=False).count() == 0
+    assert sum(r["text"] == text for r in H.keep_one(df).collect()) == 2
+
+
 # Decontamination
 
 
