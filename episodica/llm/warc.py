@@ -1,38 +1,99 @@
-"""WARC fixity: Merkle trees over replicas, compared from the root down (operator 2)."""
+"""WARC fixity: Merkle trees over the records and offset ranges of replicas, compared from the root down (operator 2)."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from episodica.llm.shared import fresh_path, table
 
-#: A node has 2^FAN_BITS children; a file has 2^FILE_BITS records.
-FAN_BITS, FILE_BITS = 4, 12
+#: A node of the lowest level covers 2^RANGE_BITS bytes of a file; one above has 2^FAN_BITS children. Records of a file.
+RANGE_BITS, FAN_BITS, FILE_RECORDS = 16, 4, 4096
+_BEGIN = b"WARC/1.1\r\n"
+_HEADER = re.compile(rb"WARC/1\.1\r\n(?:[!-9;-~]+:[^\r\n]*\r\n)*?Content-Length:[ \t]*([0-9]{1,18})\r\n(?:[!-9;-~]+:[^\r\n]*\r\n)*\r\n")
 
 
 def warc_record(id_: Column, url: Column, payload: Column) -> Column:
-    """A WARC/1.1 resource record as text."""
+    """A WARC/1.1 resource record as text. A null id or url is an empty one; a null payload has no bytes."""
     body = F.coalesce(payload, F.lit(""))
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), id_.cast("string"), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"),
     )
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def place(rows: DataFrame, records: int = FILE_RECORDS) -> DataFrame:
+    """``rows`` (id, url, length, digest, and others) with file, nth and offset: where a replica's files hold them.
+
+    Records stand in order of id, url and digest (nulls first), ``records`` of them a file, each behind the one before. All rows
+    have a place, those without an id and repeated ones too: rows are dealt by ranges of that order and their place in the input,
+    so no id is too frequent; a row's number is its place in its range plus the sizes of the ranges before, which are as many as
+    partitions. An empty table gives an empty result.
+    """
+    order = [F.col(c).asc_nulls_first() for c in ("id", "url", "digest", "__k")]
+    keyed = rows.withColumn("__k", F.monotonically_increasing_id())
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__k", F.monotonically_increasing_id())
+    found = _written(dealt.withColumn("__part", F.shiftright("__k", 33)), "ranges")
+    sizes = found.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    nth = F.col("__before") + F.col("__k").bitwiseAND((1 << 33) - 1)
+    numbered = found.join(before, "__part").withColumn("__nth", nth)
+    filed = numbered.select(*rows.columns, F.floor(F.col("__nth") / records).cast("long").alias("file"), (F.col("__nth") % records).alias("nth"))
+    in_file = Window.partitionBy("file").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    return filed.withColumn("offset", F.coalesce(F.sum("length").over(in_file), F.lit(0)))
+
+
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(ordinal, record) of the rows with an id that is not negative."""
+    """(id, url, record, length, digest) of every row."""
     id_ = F.col(id_col).cast("long")
-    return pages.filter(id_ >= 0).select(id_.alias("ordinal"), warc_record(id_, F.col(url_col), F.col(payload_col)).alias("record"))
+    found = pages.select(id_.alias("id"), F.col(url_col).cast("string").alias("url"), warc_record(id_, F.col(url_col), F.col(payload_col)).alias("record"))
+    return found.withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256)})
+
 
+def write_warc(pages: DataFrame, path: str, per_file: int = FILE_RECORDS) -> None:
+    """Writes the rows of ``pages`` (page_id, url, html) as WARC files: path/file=N/part-..., in the order and at the offsets of :func:`place`."""
+    placed = place(records(pages), per_file)
+    text = F.expr("substring(record, 1, length(record) - 2)")  # the writer ends each line by the last two characters
+    placed.repartition("file").sortWithinPartitions("file", "offset").select("file", text.alias("value")).write.partitionBy("file").option("lineSep", "\r\n").text(path)
 
-def leaves(found: DataFrame) -> DataFrame:
-    """(ordinal, length, hash): the digest of each record. Records that share an ordinal make one leaf, whatever their order."""
-    digest = found.select("ordinal", F.octet_length("record").cast("long").alias("n"), F.sha2("record", 256).alias("digest"))
-    half = F.conv(F.substring("digest", 1, 12), 16, 10).cast("long")
-    rest = F.conv(F.substring("digest", 13, 12), 16, 10).cast("long")
-    merged = digest.groupBy("ordinal").agg(F.sum("n").alias("length"), F.count("*").alias("k"), F.sum(half.cast("decimal(20,0)")).alias("a"), F.bit_xor(rest).alias("b"), F.min("digest").alias("least"))
-    return merged.select("ordinal", "length", F.when(F.col("k") == 1, F.col("least")).otherwise(F.sha2(F.concat_ws("|", "k", "a", "b", "least"), 256)).alias("hash"))
+
+def parse_warc(content: bytes) -> Iterator[tuple[int, int, str]]:
+    """(offset, length, digest) of each whole record. Where none begins, the next record's first line is searched."""
+    at = 0
+    while 0 <= at < len(content):
+        head = _HEADER.match(content, at)
+        end = head.end() + int(head[1]) + 4 if head else -1
+        if head and end <= len(content) and content[end - 4 : end] == b"\r\n\r\n":
+            yield at, end - at, hashlib.sha256(memoryview(content)[at:end]).hexdigest()
+            at = end
+        else:
+            at = content.find(_BEGIN, at + 1)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, length, digest) of the records of a replica's files, by their bytes. A task holds one file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = list(parse_warc(batch.column(1)[i].as_py()))
+                offset, length, digest = zip(*rows, strict=True) if rows else ((), (), ())
+                file = int(re.search(r"file=(\d+)", batch.column(0)[i].as_py())[1])
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.int64()), pa.array(offset, pa.int64()), pa.array(length, pa.int64()), pa.array(digest, pa.string())], names=["file", "offset", "length", "digest"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(run, "file long, offset long, length long, digest string")
 
 
 def parents(level: DataFrame) -> DataFrame:
@@ -42,80 +103,114 @@ def parents(level: DataFrame) -> DataFrame:
     return level.groupBy("side", F.shiftright("node", FAN_BITS).alias("up")).agg(F.sha2(line, 256).alias("hash")).select("side", F.col("up").alias("node"), "hash")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def ranges(leaves: DataFrame) -> DataFrame:
+    """(side, node, hash) of the lowest level: the digest of offset, length and digest of the records that begin in a range."""
+    rows = F.array_sort(F.collect_list(F.struct("offset", "length", "digest")))
+    line = F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["offset"], x["length"], F.coalesce(x["digest"], F.lit("")))), ",")
+    return leaves.groupBy("side", "node").agg(F.sha2(line, 256).alias("hash"))
 
 
 def _differing(level: DataFrame, above: DataFrame | None) -> DataFrame:
-    """(node, ours, theirs) where the sides' hashes differ, or one has none; only children of the nodes ``above``."""
+    """The nodes where the sides' hashes differ, or one has none; only children of the nodes ``above``."""
     if above is not None:
         level = level.join(above.select(F.col("node").alias("up")), F.shiftright("node", FAN_BITS) == F.col("up"), "left_semi")
     side = lambda i: F.max(F.when(F.col("side") == i, F.col("hash")))
-    return level.groupBy("node").agg(side(0).alias("ours"), side(1).alias("theirs")).filter(~F.col("ours").eqNullSafe(F.col("theirs")))
+    return level.groupBy("node").agg(side(0).alias("ours"), side(1).alias("theirs")).filter(~F.col("ours").eqNullSafe(F.col("theirs"))).select("node")
 
 
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """(ordinal, file, offset, length, status, ours, theirs): the records in which two replicas (ordinal, record) differ.
+    """(file, offset, length, status, ours, theirs): where two replicas' records (file, offset, length, digest) differ.
 
-    A leaf is a record's digest; a node covers an ordered range of 16 children, so one of the first
-    level 16 records of neighbouring offsets, one of the third a file of 4096. Both trees are
-    written level by level; the roots are compared, and below them only the children of nodes that differ. ``status`` is
-    changed, missing (only ours) or extra (only theirs). offset: of the record in our file.
+    A leaf is a record: its offset, length and digest. A node of the lowest level covers the records that begin in an ordered range of
+    64 kB of a file, one above 16 of those, up to the file, to 16 files, to all. Both trees are written level by level; the roots are
+    compared, and below them only the children of nodes that differ. ``status`` of a record: changed (another one begins at its
+    offset), missing (only ours), extra (only theirs), or moved: missing or extra here, but the other side's file has it at another
+    offset, as after a lost record. ``length`` is ours, or theirs of an extra one.
 
-    Empty replicas have no nodes. Records that share an ordinal are one leaf: the audit tells that they differ, not which. A
-    null record has no digest and counts by its presence. No group exceeds 16 hashes of a side, no window a file.
+    Empty replicas have no nodes. Records that share file and offset, which one file can't have, are all leaves of their range, and
+    compared as a set. A null digest counts by its presence. No group exceeds 16 hashes of a side, or the records of 64 kB.
     """
-    both = leaves(ours).withColumn("side", F.lit(0)).unionByName(leaves(theirs).withColumn("side", F.lit(1)))
+    columns = ("file", "offset", "length", "digest")
+    both = ours.select(*columns).withColumn("side", F.lit(0)).unionByName(theirs.select(*columns).withColumn("side", F.lit(1)))
     found = _written(both, "leaves")
-    top = found.agg(F.max("ordinal")).first()[0] or 0
-    levels = [found.select("side", F.col("ordinal").alias("node"), "hash")]
+    most = found.agg(F.max("offset").alias("offset"), F.max("file").alias("file")).first()
+    bits = (most["offset"] or 0) >> RANGE_BITS
+    width = -(-bits.bit_length() // FAN_BITS) * FAN_BITS
+    leaves = found.withColumn("node", F.shiftleft("file", width) + F.shiftright("offset", RANGE_BITS))
+    levels, top = [_written(ranges(leaves), "nodes")], ((most["file"] or 0) << width) + bits
     while top:
         top >>= FAN_BITS
         levels.append(_written(parents(levels[-1]), "nodes"))
     bad = None
     for level in reversed(levels):
         bad = _written(_differing(level, bad), "differing")
-    in_file = Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    placed = found.filter("side = 0").select("ordinal", "length", F.shiftright("ordinal", FILE_BITS).alias("file"))
-    files = bad.select(F.shiftright("node", FILE_BITS).alias("file")).distinct()
-    offsets = placed.join(files, "file", "left_semi").select("ordinal", "length", F.coalesce(F.sum("length").over(in_file), F.lit(0)).alias("offset"))
-    status = F.when(F.col("theirs").isNull(), "missing").when(F.col("ours").isNull(), "extra").otherwise("changed")
-    differing = bad.withColumnRenamed("node", "ordinal").join(offsets, "ordinal", "left")
-    return differing.select("ordinal", F.shiftright("ordinal", FILE_BITS).alias("file"), "offset", "length", status.alias("status"), "ours", "theirs")
+    left = leaves.join(bad, "node", "left_semi")
+    one = lambda i, c: F.max(F.when(F.col("side") == i, F.col(c)))
+    sets = left.groupBy("file", "offset").agg(
+        F.sort_array(F.collect_list(F.when(F.col("side") == 0, F.struct("length", "digest")))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("side") == 1, F.struct("length", "digest")))).alias("b"),
+        one(0, "length").alias("n"), one(1, "length").alias("m"), one(0, "digest").alias("ours"), one(1, "digest").alias("theirs"),
+    )
+    status = F.when(F.size("b") == 0, "missing").when(F.size("a") == 0, "extra").otherwise("changed")
+    here = sets.filter("a <> b").select("file", "offset", F.coalesce("n", "m").alias("length"), status.alias("status"), "ours", "theirs")
+    here = _written(here, "found")
+    stands = here.select("file", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("ours").alias("digest")), F.struct(F.lit(1).alias("side"), F.col("theirs").alias("digest")))).alias("x")).select("file", "x.*")
+    twice = stands.filter("digest IS NOT NULL").groupBy("file", "digest").agg(F.countDistinct("side").alias("n")).filter("n = 2").select("file", F.col("digest").alias("d"), F.lit(True).alias("moved"))
+    digest = F.when(F.col("status") == "missing", F.col("ours")).when(F.col("status") == "extra", F.col("theirs"))
+    marked = here.withColumn("d", digest).join(twice, ["file", "d"], "left")
+    return marked.select("file", "offset", "length", F.when(F.col("moved"), "moved").otherwise(F.col("status")).alias("status"), "ours", "theirs")
+
 
+def rotten(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``found``: the html that a replica has after bit rot in place, by the digest of the id, and ``lost``.
 
-def damaged(pages: DataFrame) -> DataFrame:
-    """A replica of ``pages`` as bit rot may leave it, by the digest of the id: some pages reversed, some cut, some lost."""
-    mark = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
-    html = F.when(mark < "04", F.reverse("html")).when(mark < "06", F.substring("html", 1, 100)).otherwise(F.col("html"))
-    return pages.filter(F.coalesce(mark < "06", F.lit(True)) | (mark >= "08")).withColumn("html", html)
+    Some pages are reversed, some blanked behind their first 100 characters (lengths stay), some overwritten as a whole (lost).
+    """
+    mark = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 2)
+    start = F.substring("html", 1, 100)
+    blank = F.concat(start, F.repeat(F.lit(" "), (F.octet_length("html") - F.octet_length(start)).cast("int")))
+    html = F.when(mark < "04", F.reverse("html")).when(mark < "06", blank).otherwise(F.col("html"))
+    return pages.withColumns({"found": html, "lost": (mark >= "06") & (mark < "08")})
 
 
 def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = audit(records(pages), records(damaged(pages)))
-    return found.select(F.col("ordinal").alias("page_id"), "file", "offset", "length", "status", F.col("ours").alias("digest"), F.col("theirs").alias("digest_found"))
+    """The damage of a replica after bit rot. Digests of both are taken in one scan of the pages; what is sorted and joined are those."""
+    pages = rotten(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    record = lambda c: warc_record(F.col("page_id"), F.col("url"), F.col(c))
+    rows = pages.select(F.col("page_id").alias("id"), "url", F.octet_length(record("html")).cast("long").alias("length"), F.sha2(record("html"), 256).alias("digest"), F.when(~F.col("lost"), F.sha2(record("found"), 256)).alias("theirs"))
+    placed = _written(place(rows), "replica")
+    bad = audit(placed, placed.filter("theirs IS NOT NULL").withColumn("digest", F.col("theirs")))
+    named = placed.select(F.col("id").alias("page_id"), "file", "offset")
+    return named.join(bad, ["file", "offset"]).select("page_id", "file", "offset", "length", "status", F.col("ours").alias("digest"), F.col("theirs").alias("digest_found"))
 
 
 OP2_SQL = """
 WITH marked AS (
-  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, substr(md5(page_id::VARCHAR), 1, 2) AS mark FROM pages WHERE page_id >= 0
+  SELECT page_id, url, html, substr(md5(coalesce(page_id::VARCHAR, '')), 1, 2) AS mark FROM pages
 ), both_sides AS (
-  SELECT page_id, mark, url, html, CASE WHEN mark < '04' THEN reverse(html) WHEN mark < '06' THEN substr(html, 1, 100) ELSE html END AS theirs FROM marked
+  SELECT page_id, mark, url, coalesce(html, '') AS html,
+    CASE WHEN mark < '04' THEN reverse(coalesce(html, ''))
+      WHEN mark < '06' THEN substr(coalesce(html, ''), 1, 100) || repeat(' ', strlen(coalesce(html, '')) - strlen(substr(coalesce(html, ''), 1, 100)))
+      ELSE coalesce(html, '') END AS theirs
+  FROM marked
 ), record AS (
-  SELECT page_id, mark,
-    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
+  SELECT page_id, mark, url,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+      || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+      || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
     chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, theirs
   FROM both_sides
 ), hashed AS (
-  SELECT page_id, mark, sha256(head || strlen(html) || gap || html || gap) AS digest,
+  SELECT page_id, url, sha256(head || strlen(html) || gap || html || gap) AS digest,
     CASE WHEN mark >= '06' AND mark < '08' THEN NULL ELSE sha256(head || strlen(theirs) || gap || theirs || gap) END AS digest_found,
     strlen(head || strlen(html) || gap || html || gap) AS length
   FROM record
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, url NULLS FIRST, digest) - 1 AS nth FROM hashed
 ), placed AS (
-  SELECT *, page_id // 4096 AS file, coalesce(sum(length) OVER (PARTITION BY page_id // 4096 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM hashed
+  SELECT *, nth // 4096 AS file,
+    coalesce(sum(length) OVER (PARTITION BY nth // 4096 ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM numbered
 )
 SELECT page_id, file, "offset", length, CASE WHEN digest_found IS NULL THEN 'missing' ELSE 'changed' END AS status, digest, digest_found
 FROM placed WHERE digest IS DISTINCT FROM digest_found

@@ -6,6 +6,7 @@ import html
 import itertools
 import re
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -81,22 +82,65 @@ def pages(spark, n=300):
     return spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), "id").alias("url"), F.repeat(F.concat(F.lit("é"), F.col("id").cast("string")), 3).alias("html"))
 
 
-def test_audit(spark):
-    ours = pages(spark)
-    html_ = F.when(F.col("page_id") == 17, "other").when(F.col("page_id") == 256, "").otherwise(F.col("html"))
-    theirs = ours.filter("page_id <> 40").withColumn("html", html_).unionByName(ours.limit(1).withColumn("page_id", F.lit(5000).cast("long")))
-    got = {r["ordinal"]: r for r in W.audit(W.records(ours), W.records(theirs)).collect()}
-    assert {k: r["status"] for k, r in got.items()} == {17: "changed", 40: "missing", 256: "changed", 5000: "extra"}
-    sizes = {r["ordinal"]: len(r["record"].encode()) for r in W.records(ours).collect()}
-    assert all(got[k]["offset"] == sum(v for i, v in sizes.items() if i < k) and got[k]["length"] == sizes[k] for k in (17, 40, 256))
-    assert W.audit(W.records(ours), W.records(ours)).count() == 0
-    empty = W.records(ours.limit(0))
-    assert W.audit(empty, empty).count() == 0 and W.audit(W.records(ours), empty).count() == 300
-
-
-def test_records_that_share_an_ordinal_or_lack_one(spark):
-    rows = [(1, "u", "a"), (1, "u", "b"), (None, "u", "c"), (2, None, None)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert W.audit(W.records(df), W.records(df.orderBy(F.desc("html")))).count() == 0
-    fewer = spark.createDataFrame([rows[0], rows[3]], df.schema)
-    assert [r["ordinal"] for r in W.audit(W.records(df), W.records(fewer)).collect()] == [1]
+def statuses(found):
+    return {(r["file"], r["offset"]): r["status"] for r in found.collect()}
+
+
+def test_audit_of_changed_missing_and_extra_records(spark):
+    rows = [(f, o * 1000, 1000, f"{f}-{o}") for f in range(40) for o in range(0, 200, 7)]
+    theirs = [r for r in rows if r[:2] != (3, 70_000)]
+    theirs = [(*r[:3], "other") if r[:2] == (39, 196_000) else (*r[:2], 999, r[3]) if r[:2] == (0, 0) else r for r in theirs] + [(41, 0, 5, "new")]
+    schema = "file long, offset long, length long, digest string"
+    ours, found = spark.createDataFrame(rows, schema), spark.createDataFrame(theirs, schema)
+    assert statuses(W.audit(ours, found)) == {(3, 70_000): "missing", (39, 196_000): "changed", (0, 0): "changed", (41, 0): "extra"}
+    assert W.audit(ours, ours).count() == 0
+    empty = ours.limit(0)
+    assert W.audit(empty, empty).count() == 0 and set(statuses(W.audit(ours, empty)).values()) == {"missing"} and W.audit(ours, empty).count() == len(rows)
+
+
+def test_all_rows_have_a_place(spark):
+    big = 1 << 62
+    rows = [(1, "u", "a"), (1, "u", "b"), (1, "u", "b"), (None, "u", "c"), (None, None, None), (-5, "u", "d"), (big, "u", "e"), (2, None, "f")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = W.place(W.records(df), 3).orderBy("file", "nth").collect()
+    assert [r["id"] for r in found] == [None, None, -5, 1, 1, 1, 2, big] and [(r["file"], r["nth"]) for r in found] == [(i // 3, i % 3) for i in range(8)]
+    for r in found:
+        assert r["offset"] == sum(x["length"] for x in found if x["file"] == r["file"] and x["nth"] < r["nth"])
+    lost = W.audit(W.place(W.records(df), 3), W.place(W.records(df), 3).filter("id IS NOT NULL AND id <> -5"))
+    assert set(statuses(lost).values()) == {"missing"} and lost.count() == 3
+    assert W.place(W.records(df.limit(0))).count() == 0
+
+
+def test_warc_files_are_audited_by_their_bytes(spark, tmp_path):
+    path = tmp_path / "warc"
+    made = pages(spark).withColumn("html", F.when(F.col("page_id") == 9, F.lit("a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nb\n")).otherwise(F.col("html")))
+    W.write_warc(made, str(path), 100)
+    for p in path.glob("file=*/.*.crc"):
+        p.unlink()  # the local file system's own check, which would find the damage first
+    files = {int(p.parent.name[5:]): p for p in path.glob("file=*/*.txt")}
+    assert sorted(files) == [0, 1, 2]
+    ours = spark.createDataFrame(W.read_warc(spark, str(path)).collect())
+    assert W.audit(W.place(W.records(made), 100), ours).count() == 0 and ours.count() == 300
+    at = {(r["file"], i): r for f in range(3) for i, r in enumerate(sorted((x for x in ours.collect() if x["file"] == f), key=lambda x: x["offset"]))}
+    raw = bytearray(files[1].read_bytes())
+    raw[at[1, 40]["offset"] + at[1, 40]["length"] - 6] ^= 1  # a flipped bit
+    raw[at[1, 60]["offset"] : at[1, 61]["offset"]] = bytes(at[1, 60]["length"])  # an overwritten record
+    files[1].write_bytes(raw)
+    assert statuses(W.audit(ours, W.read_warc(spark, str(path)))) == {(1, at[1, 40]["offset"]): "changed", (1, at[1, 60]["offset"]): "missing"}
+    raw = files[2].read_bytes()
+    cut = at[2, 97]["offset"]
+    files[2].write_bytes(raw[:cut] + raw[at[2, 98]["offset"] :])  # a lost record: those behind move up
+    found = W.audit(ours, W.read_warc(spark, str(path))).filter("file = 2")
+    assert statuses(found) == {(2, cut): "changed", (2, at[2, 98]["offset"]): "changed", (2, at[2, 99]["offset"]): "moved"}
+
+
+def test_fixity_query_equals_its_sql(spark, tmp_path):
+    made = spark.createDataFrame([(None, None, None), (None, "u", "é" * 150), (-3, "v", "x" * 300), (3, "v", ""), (3, "v", "twice"), (3, "v", "twice")], "page_id long, url string, html string")
+    more = spark.range(5, 700).select(F.col("id").alias("page_id"), F.lit("w").alias("url"), F.concat(F.repeat(F.lit("é"), 120), F.col("id").cast("string")).alias("html"))
+    made.unionByName(more).write.parquet(str(tmp_path / "pages.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = con.execute(W.OP2_SQL).fetchall()
+    got = [tuple(r) for r in W.op2_merkle_fixity(spark, str(tmp_path)).collect()]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 10
