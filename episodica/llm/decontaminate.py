@@ -17,6 +17,10 @@ from episodica.llm.shared import column_bytes, slices, table
 K1, B = 1.2, 0.75
 #: Items of a block of the index.
 BLOCK = 16
+#: Postings that a search expands at once (one passage's may be more).
+POSTINGS = 500_000
+#: The longest item of an index has at most this many times the words of its shortest.
+SPREAD = 8
 
 
 @dataclass(frozen=True)
@@ -28,7 +32,7 @@ class Leak:
     shingle: int = 5
     overlap: float = 0.8
     question: float = 0.6
-    answer: float = 0.1
+    answer: float = 0.5
     #: Bytes of items whose index a task holds at once; more are searched in turns.
     shard_bytes: int = 16_000_000
 
@@ -38,7 +42,8 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def answer_at(text: str) -> int:
-    """Words before the answer: what follows the last answer mark; else the last line; else the last sentence."""
+    """Words before the answer: what follows the last answer mark; else the last line; else the last sentence; else, in an item of one
+    sentence, its second half. So both parts have words, if there are two."""
     marks = [*re.finditer(r"(?i)\b(?:answer|a)\s*[:=]", text)]
     if marks:
         return len(text[: marks[-1].start()].encode().split())
@@ -46,14 +51,15 @@ def answer_at(text: str) -> int:
     cut = body.rfind("\n")
     if cut <= 0:
         cut = max((m.end() for m in re.finditer(r"[.?!]\s", body)), default=0)
-    return len(body[:cut].encode().split())
+    before = len(body[:cut].encode().split())
+    return before or len(body.encode().split()) // 2
 
 
 @dataclass
 class Index:
     """Postings in blocks of items; weights are shares of the items' own scores."""
 
-    items: list[tuple[int, list[bytes], int]]  # id, words, words before the answer
+    items: list[tuple[int | None, list[bytes], int]]  # id, words, words before the answer
     terms: dict[bytes, int] = field(default_factory=dict)
 
     def build(self, df: dict[bytes, int], n: int, mean: float) -> Index:
@@ -70,9 +76,13 @@ class Index:
         term = np.array([r[0] for r in order], np.int64)
         self.bounds = np.searchsorted(term, np.arange(len(self.terms) + 1))
         new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (self.item[1:] // BLOCK != self.item[:-1] // BLOCK)]) if len(term) else np.empty(0, np.int64)
+        self.block_begins = np.r_[new, len(term)]  # each block's postings
         self.block, self.most = self.item[new] // BLOCK, np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
         self.block_bounds = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
-        self.bound = np.maximum.reduceat(self.weight, self.bounds[:-1]) if len(term) else np.empty(0)
+        self.bound = np.zeros(len(self.terms))  # a term of another index of the shard has no postings here
+        full = self.bounds[1:] > self.bounds[:-1]
+        if len(term):
+            self.bound[full] = np.maximum.reduceat(self.weight, self.bounds[:-1][full])
         self.longest = max([1, *(len(w) for _, w, _ in self.items)])
         return self
 
@@ -94,6 +104,15 @@ def search(index: Index, passage: np.ndarray, term: np.ndarray, least: float) ->
     """
     if not len(passage):
         return passage, term, np.empty(0)
+    begin = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+    cost = np.add.reduceat(index.bounds[term + 1] - index.bounds[term], begin)
+    turn = np.cumsum(cost) // POSTINGS
+    cuts = [*begin[np.flatnonzero(np.r_[True, turn[1:] != turn[:-1]])].tolist(), len(passage)]
+    found = [_search(index, passage[a:b], term[a:b], least) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _search(index: Index, passage: np.ndarray, term: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((index.bound[term], passage))
     passage, term = passage[order], term[order]
     total = np.cumsum(index.bound[term])
@@ -117,17 +136,19 @@ def search(index: Index, passage: np.ndarray, term: np.ndarray, least: float) ->
     ids = passage[late[first]]  # passages with a pivot
     chosen = np.unique(live // n_blocks)
     mine = np.flatnonzero(np.isin(passage, ids[chosen]))
-    row, at = _spread(index.bounds, term[mine])
+    row, at = _spread(index.block_bounds, term[mine])
     who = np.searchsorted(ids, passage[mine])[row]
-    item = index.item[at]
-    inside = np.isin(who * n_blocks + item // BLOCK, live)
-    key, back = np.unique(who[inside] * len(index.items) + item[inside], return_inverse=True)
-    score = np.bincount(back, index.weight[at][inside])
+    want = who * n_blocks + index.block[at]
+    inside = live[np.minimum(np.searchsorted(live, want), len(live) - 1)] == want  # blocks that are out are never expanded
+    who, at = who[inside], at[inside]
+    row, at = _spread(index.block_begins, at)
+    key, back = np.unique(who[row] * len(index.items) + index.item[at], return_inverse=True)
+    score = np.bincount(back, index.weight[at])
     hit = score >= least - slack
     return ids[key[hit] // len(index.items)], key[hit] % len(index.items), score[hit]
 
 
-def _overlap(words: list[bytes], item: tuple[int, list[bytes], int], n: int) -> tuple[float, float, float]:
+def _overlap(words: list[bytes], item: tuple[int | None, list[bytes], int], n: int) -> tuple[float, float, float]:
     """Shares of the item's shingles that the passage has: of all, of those that begin in the question, of those that end in the answer."""
     _, own, cut = item
     n = min(n, len(own))
@@ -138,45 +159,61 @@ def _overlap(words: list[bytes], item: tuple[int, list[bytes], int], n: int) ->
     return hits.mean(), question.mean() if len(question) else 1.0, answer.mean() if len(answer) else 1.0
 
 
-def leaks_in(index: Index, texts: list[bytes | None], rules: Leak) -> list[tuple[int, int, float, float, float, float]]:
+def leaks_in(shard: list[Index], texts: list[bytes | None], rules: Leak) -> list[tuple[int, int | None, float, float, float, float]]:
     """(text, item, score, overlap, question overlap, answer overlap) of the items that the texts contain.
 
-    Passages are windows of twice the longest item's words, each beginning in the middle of the one before: whatever an
-    item is copied to lies inside one.
+    ``shard``: indexes that share their terms, of items of similar length each. Passages are windows of twice the longest item's
+    words, each beginning in the middle of the one before: whatever an item is copied to lies inside one.
     """
-    if not index.items:
+    if not shard:
         return []
-    step, get = index.longest, index.terms.get
+    get, width = shard[0].terms.get, len(shard[0].terms)
     docs = [words_of(x) for x in texts]
-    passage, term, base, starts = [], [], 0, []
-    for d, words in enumerate(docs):
+    known = []
+    for words in docs:
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         at = np.flatnonzero(ids >= 0)
-        n = max(1, -(-len(words) // step) - 1) if words else 0
-        known, half = ids[at], at // step
-        for shift in (0, -1):
-            window = half + shift
-            ok = (window >= 0) & (window < n)
-            passage.append(base + window[ok])
-            term.append(known[ok])
-        starts.append(base)
-        base += n
-    if not passage:
-        return []
-    width = len(index.terms)
-    pairs = np.unique(np.concatenate(passage) * width + np.concatenate(term))
-    best: dict[tuple[int, int], tuple[float, ...]] = {}
-    for p, i, score in zip(*(x.tolist() for x in search(index, pairs // width, pairs % width, rules.score)), strict=True):
-        d = int(np.searchsorted(starts, p, side="right")) - 1
-        begin = (p - starts[d]) * step
-        whole, question, answer = _overlap(docs[d][begin : begin + 2 * step], index.items[i], rules.shingle)
-        if whole >= rules.overlap and question >= rules.question and answer >= rules.answer:
-            best[d, i] = max(best.get((d, i), (0.0,) * 4), (score, whole, question, answer))
-    return [(d, index.items[i][0], *x) for (d, i), x in sorted(best.items())]
-
-
-def indexes(items: DataFrame, rules: Leak, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """The items' index, in shards of a bounded size that are collected in turns. Document frequencies count all items."""
+        known.append((ids[at], at))
+    best: dict[tuple[int, int, int], tuple[float, ...]] = {}
+    for k, index in enumerate(shard):
+        passage, term, base, starts, step = [], [], 0, [], index.longest
+        for words, (ids, at) in zip(docs, known, strict=True):
+            n = max(1, -(-len(words) // step) - 1) if words else 0
+            half = at // step
+            for shift in (0, -1):
+                window = half + shift
+                ok = (window >= 0) & (window < n)
+                passage.append(base + window[ok])
+                term.append(ids[ok])
+            starts.append(base)
+            base += n
+        if not passage:
+            continue
+        pairs = np.unique(np.concatenate(passage) * width + np.concatenate(term))
+        terms = pairs % width
+        pairs = pairs[index.bounds[terms + 1] > index.bounds[terms]]
+        for p, i, score in zip(*(x.tolist() for x in search(index, pairs // width, pairs % width, rules.score)), strict=True):
+            d = int(np.searchsorted(starts, p, side="right")) - 1
+            begin = (p - starts[d]) * step
+            whole, question, answer = _overlap(docs[d][begin : begin + 2 * step], index.items[i], rules.shingle)
+            if whole >= rules.overlap and question >= rules.question and answer >= rules.answer:
+                best[d, k, i] = max(best.get((d, k, i), (0.0,) * 4), (score, whole, question, answer))
+    return [(d, shard[k].items[i][0], *x) for (d, k, i), x in sorted(best.items())]
+
+
+def similar_lengths(items: list[tuple[int | None, list[bytes], int]]) -> list[list[tuple[int | None, list[bytes], int]]]:
+    """The items in groups whose longest has at most SPREAD times the words of the shortest: a long item doesn't stretch the windows
+    of short ones."""
+    groups: list[list[tuple[int | None, list[bytes], int]]] = []
+    for x in sorted(items, key=lambda x: -len(x[1])):
+        if not groups or len(groups[-1][0][1]) > SPREAD * len(x[1]):
+            groups.append([])
+        groups[-1].append(x)
+    return groups
+
+
+def indexes(items: DataFrame, rules: Leak, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[Index]]:
+    """The items' indexes, in shards of a bounded size that are collected in turns. Document frequencies count all items."""
     rows = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("t")).filter("t is not null").distinct()
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(F.pmod(F.xxhash64("item", "t"), F.lit(4096)).alias("part")).agg(F.sum(F.octet_length("t")).alias("n"))
@@ -194,7 +231,12 @@ def indexes(items: DataFrame, rules: Leak, id_col: str = "item_id", text_col: st
         found = [(x["item"], words_of(x["t"].encode()), answer_at(x["t"])) for x in own.orderBy("item", "t").collect()]
         terms = own.select(F.explode(F.array_distinct(split)).alias("term")).distinct()
         counts = {x["term"].encode(): x["df"] for x in df.join(terms, "term", "left_semi").collect()}
-        yield Index([x for x in found if x[1] and x[0] is not None]).build(counts, total, mean)
+        found = [x for x in found if x[1]]
+        known: dict[bytes, int] = {}
+        for _, ws, _ in found:
+            for w in ws:
+                known.setdefault(w, len(known))
+        yield [Index(group, known).build(counts, total, mean) for group in similar_lengths(found)]
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Leak = Leak()) -> DataFrame:
@@ -203,15 +245,15 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     Every passage of every text is a query against the items' BM25 index; all items above the score
     are retrieved, then verified by shared shingles. The index is broadcast in shards of at most
     ``rules.shard_bytes`` bytes of items (a benchmark of 16 MB is one); nothing else moves.
-    Null and wordless texts or items match nothing, nor do items without an id; rows without an id, and repeated rows, are
-    searched each. Empty tables give an empty result; further columns aren't read.
+    Null and wordless texts or items match nothing. Items without an id are searched for as well, and found with a null item_id; rows
+    without an id, and repeated rows, are searched each; repeated items count once. Empty tables give an empty result; further columns aren't read.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
     plain = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     found = spark.createDataFrame([], schema)
-    for index in indexes(items, rules):
-        shared = spark.sparkContext.broadcast(index)
+    for shard in indexes(items, rules):
+        shared = spark.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "t", 1_000_000):
@@ -224,13 +266,17 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", rules: Leak = Leak()) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns."""
+    """The rows of ``docs`` that contain no item, with all their columns, whatever those are called.
+
+    Null, empty and wordless texts stay; each of repeated rows is judged, with the same verdict. Without items all rows stay; an empty
+    table gives an empty result.
+    """
     at = docs.columns.index(text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
     kept = docs.toDF(*names)
     schema = kept.schema
-    for index in indexes(items, rules):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for shard in indexes(items, rules):
+        shared = docs.sparkSession.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, names[at], 1_000_000):

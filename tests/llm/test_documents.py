@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -240,6 +241,66 @@ def test_leaks(spark):
     assert D.drop_leaks(frame, bench.limit(0)).count() == len(docs)
 
 
+def test_items_of_all_lengths_without_ids_and_in_part(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    items = [(i if i % 3 else None, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 2, 6, 12, 40, 41, 300, 2000])]
+    groups = D.similar_lengths([(i, t.encode().split(), 0) for i, t in items])
+    assert sum(map(len, groups)) == len(items) and all(len(g[0][1]) <= 8 * len(g[-1][1]) for g in groups) and len(groups) > 1
+    docs = [(i, " ".join(word() for _ in range(50)) + " " + t + " " + " ".join(word() for _ in range(70))) for i, (_, t) in enumerate(items)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {(i, items[i][0]) for i in range(len(items))} <= got
+    kept = D.drop_leaks(spark.createDataFrame([*docs, (99, " ".join(word() for _ in range(90)))], "doc_id long, text string"), bench.filter("length(text) > 20"))
+    assert {0, 1, 99} <= {x["doc_id"] for x in kept.collect()} <= {0, 1, 2, 99}
+
+
+def brute_overlap(words, item, rules):
+    """The best window's shares, over all windows of the item's words and a few more."""
+    best = (0.0, 0.0, 0.0)
+    for i in range(len(words)):
+        best = max(best, D._overlap(words[i : i + len(item[1]) + 10], item, rules.shingle))
+    return best
+
+
+def test_partial_copies_are_found(spark):
+    r = random.Random(7)
+    rules = D.Leak()
+    rows = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").collect()
+    items = {x["item_id"]: (x["item_id"], D.words_of(x["text"].encode()), D.answer_at(x["text"])) for x in rows}
+    fill = [w for _, t in texts(spark, 40) for w in t.split()]
+    docs, want = [], set()
+    for n in range(300):
+        item = items[r.choice(sorted(items))]
+        copy = list(item[1])
+        for _ in range(r.randint(0, 3)):
+            copy[r.randrange(len(copy))] = r.choice(fill).encode()
+        if r.random() < 0.3:
+            copy = copy[: int(len(copy) * r.uniform(0.8, 1))]
+        at = r.randrange(len(fill) - 300)
+        words = [w.lower().encode() for w in fill[at : at + r.randint(0, 150)]] + copy + [w.lower().encode() for w in fill[at + 150 : at + 150 + r.randint(0, 150)]]
+        docs.append((n, b" ".join(words).decode()))
+        whole, question, answer = brute_overlap(D.words_of(docs[-1][1].encode()), item, rules)
+        if whole >= rules.overlap and question >= rules.question and answer >= rules.answer:
+            want.add((n, item[0]))
+    got = {(x["doc_id"], x["item_id"]) for x in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows)).collect()}
+    assert len(want) > 100 and len(want & got) >= 0.9 * len(want)
+
+
+def test_many_contaminated_passages_need_little_memory():
+    r = np.random.default_rng(1)
+    vocabulary = np.array([f"w{i}".encode() for i in range(3000)])
+    items = [(i, list(vocabulary[(3000 * r.random(45) ** 3).astype(int)]), 30) for i in range(20_000)]
+    df = Counter(w for _, ws, _ in items for w in set(ws))
+    index = D.Index(items).build(df, len(items), 45.0)
+    texts_ = [b" ".join(items[i][1]) for i in range(0, 20_000, 250)]
+    tracemalloc.start()
+    found = D.leaks_in([index], texts_, D.Leak())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(d, i) for d, i, *_ in found} >= {(n, i) for n, i in enumerate(range(0, 20_000, 250))} and peak < 200e6
+
+
 # Personal data
 
 
