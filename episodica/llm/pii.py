@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from episodica.llm.shared import cut, fresh_path, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the method adds beyond those: keys, tokens, bank, passport and other numbers, of any form.
+OTHER = "id"
 Span = tuple[int, int]
 
 # The characters and patterns of the four kinds.
@@ -26,8 +28,18 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _RUN = re.compile(r"(?<![^\s\[{\"'<,;:])\(?[0-9][0-9().+/_:-]*(?:[ \t]{1,2}(?:[-/.] )?\(?[0-9][0-9().+/_:-]*)+")
 _AT = re.compile(r"\s{0,2}(?:[(\[{]\s?at\s?[)\]}]|\sat\s(?=[a-z0-9-]+\s{0,2}(?:[(\[{]\s?dot|\sdot\s|\s?dot\s))|\s@|@\s)\s{0,2}", re.I)
 _HOST = re.compile(r"[a-z0-9-]+(?:(?:\.|\s{0,2}[(\[{]\s?dot\s?[)\]}]\s{0,2}|\s{1,2}dot\s{1,2})[a-z0-9-]+)+", re.I)
-#: Words of a run.
-WORDS = 6
+#: Words of a run. Parts that the instances of a pattern are dealt to.
+WORDS, SALTS = 6, 16
+#: Seeds of the other identifiers, in a token or (the last three) in a text.
+_KEY = re.compile(
+    r"(?<![0-9A-Za-z])(?:(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![0-9A-Za-z])"
+    r"|AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)"
+)
+_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![0-9A-Za-z])")
+_LABELLED = re.compile(r"(?i)\b(?:passport|social security)\s+(?:no|nr|number)?[.:#]?\s*([A-Z0-9]{0,3}[0-9]{6,9}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z])")
+_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----")
+#: What else may be one: letters, digits and a few marks, with a digit.
+_ANY = re.compile(r"[A-Za-z0-9][A-Za-z0-9._/+-]*[A-Za-z0-9]={0,2}")
 _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]")
 
@@ -137,13 +149,61 @@ def _several(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[str, in
     return found
 
 
+def _iban(text: str) -> bool:
+    """The check of bank numbers: letters count 10 to 35, the first four characters stand last, and the rest by 97 is 1."""
+    plain = text.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def other_seeds(text: str) -> list[Span]:
+    """Bank numbers that pass their check, numbers behind a telling label, private keys."""
+    found = []
+    if _DIGIT.search(text):
+        found += [m.span() for m in _IBAN.finditer(text) if _iban(m[0])] + [m.span(1) for m in _LABELLED.finditer(text)]
+    if "-----BEGIN " in text:
+        found += [m.span() for m in _PEM.finditer(text)]
+    return found
+
+
+def _others(token: str) -> list[tuple[bool, int, int]]:
+    """(seed, start, end) of the keys in a token, or of what may be an identifier there."""
+    if keys := [(True, *m.span()) for m in _KEY.finditer(token)]:
+        return keys
+    if "@" in token or "://" in token:
+        return []
+    return [(False, *m.span()) for m in _ANY.finditer(token) if len(m[0]) >= 6 and len(_digits(m[0])) >= (1 if re.search("[A-Za-z]", m[0]) else 6)]
+
+
 def _word(text: str) -> str:
-    return re.sub(r"[0-9]", "0", text.strip(".,;:!?()[]\"'").lower())
+    """A neighbour word as patterns have it: in lower case, each digit 0, no punctuation around; a very long one by its digest."""
+    word = re.sub(r"[0-9]", "0", text.strip(".,;:!?()[]\"'").lower())
+    return word if len(word) <= 64 else hashlib.sha256(word.encode()).hexdigest()
+
+
+def _context(text: str, a: int, b: int) -> tuple[str, str, str]:
+    """The word before a..b, the two before it, and the word after it; quotes and brackets that open right before it are none."""
+    words, at = [], a
+    while at > 0 and text[at - 1] in "\"'([{<":
+        at -= 1
+    for _ in range(2):
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        end = at
+        while at > 0 and not text[at - 1].isspace():
+            at -= 1
+        words.append(_word(text[at:end]) if at < end else "^")
+    while b < len(text) and text[b].isspace():
+        b += 1
+    end = b
+    while end < len(text) and not text[end].isspace():
+        end += 1
+    return words[0], f"{words[1]} {words[0]}", _word(text[b:end]) if b < end else "$"
 
 
 def occurrences(text: str) -> list[tuple[str, bool, int, int, str, str, str, str]]:
     """(kind, seed, start, end, instance, word before, two words before, word after) of the seeds, and of further
-    tokens with digits or an @, and runs of them, outside those, that look like one of the kinds."""
+    tokens with digits or an @, and runs of them, outside those, that look like one of the kinds. Kind OTHER has seeds of its own; any
+    further token with a digit may be one, wherever a trusted context says so."""
     base = base_spans(text)
     seeds = sorted((a, b, k) for k, spans in base.items() for a, b in spans)
     rows, end, nth = [(k, True, a, b) for a, b, k in seeds], 0, 0
@@ -155,6 +215,7 @@ def occurrences(text: str) -> list[tuple[str, bool, int, int, str, str, str, str
                     if not any(a < span[1] and span[0] < b for a, b, _ in seeds):
                         rows.append((kind, False, *span))
     seeds = sorted((a, b, k) for k, _, a, b in rows)
+    others = {x: True for x in other_seeds(text)}
     for m in _MARK.finditer(text) if "@" in text or _DIGIT.search(text) else ():
         if m.start() < end:
             continue
@@ -169,17 +230,15 @@ def occurrences(text: str) -> list[tuple[str, bool, int, int, str, str, str, str
         if any(x < b and a < y for x, y, _ in seeds[max(0, nth - 4) : nth + 4]):
             continue
         token = text[a:b]
+        for seed, x, y in _others(token):
+            others.setdefault((a + x, a + y), seed)
         a += len(token) - len(token.lstrip(".,;:!?([{\"'<"))
         token = token.strip(".,;:!?()[]{}\"'<>")
         if kind := _shape(token):
             rows.append((kind, False, a, a + len(token)))
     rows += [(kind, False, a, b) for kind, a, b in _several(text, seeds)]
-    found = []
-    for kind, seed, a, b in rows:
-        before, after = text[max(0, a - 100) : a].split()[-2:], text[b : b + 100].split()[:1]
-        left = _word(before[-1]) if before else "^"
-        found.append((kind, seed, a, b, text[a:b].lower(), left, f"{_word(before[0]) if len(before) > 1 else '^'} {left}", _word(after[0]) if after else "$"))
-    return found
+    rows += [(OTHER, seed, a, b) for (a, b), seed in others.items()]
+    return [(kind, seed, a, b, text[a:b].lower(), *_context(text, a, b)) for kind, seed, a, b in rows]
 
 
 @dataclass(frozen=True)
@@ -195,40 +254,54 @@ class Bootstrap:
 _OCC = "array<struct<kind:string,seed:boolean,start:long,stop:long,instance:string,left1:string,left2:string,right1:string>>"
 
 
+_FIELDS = ("kind", "seed", "start", "stop", "instance", "left1", "left2", "right1")
+_ROWS = pa.list_(pa.struct(list(zip(_FIELDS, (pa.string(), pa.bool_(), pa.int64(), pa.int64(), *[pa.string()] * 4), strict=True))))
+
+
+def _found(texts: pa.Array) -> pa.Array:
+    return pa.array([[dict(zip(_FIELDS, x, strict=True)) for x in occurrences(t)] if t else [] for t in texts.to_pylist()], _ROWS)
+
+
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("kind", "seed", "start", "stop", "instance", "left1", "left2", "right1")
-        kinds = pa.list_(pa.struct([(n, t) for n, t in zip(names, (pa.string(), pa.bool_(), pa.int64(), pa.int64(), *[pa.string()] * 4), strict=True)]))
         for batch in slices(batches, "t"):
-            rows = [[dict(zip(names, x, strict=True)) for x in occurrences(t)] if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kinds)], names=["doc_id", "occ"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _found(batch.column(1))], names=["doc_id", "occ"])
 
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id long, occ {_OCC}")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared folder, whose size Spark knows when it plans a join: a small one is broadcast, a large one isn't."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def discover(occ: DataFrame, rules: Bootstrap = Bootstrap()) -> DataFrame:
     """(kind, instance) that patterns find, from rows (kind, seed, instance, left1, left2, right1).
 
     The graph's edges join lexical patterns (the word before; the two before; the words on both sides) to the instances that fill
-    them, each once. Each round scores patterns by the share of known instances among
+    them, each once; of numbers, their own digit mask is one more. Each round scores patterns by the share of known instances among
     their fillers, then instances by their trusted patterns; instances found serve as seeds of the next, until a round finds none.
     """
-    patterns = F.array(F.concat(F.lit("1 "), "left1"), F.concat(F.lit("2 "), "left2"), F.concat(F.lit("3 "), "left1", F.lit(" _ "), "right1"), F.when(F.col("kind") != "email", F.concat(F.lit("4 "), F.regexp_replace("instance", "[0-9]", "0"))))
-    edges = cut(occ.select("kind", "instance", F.explode(patterns).alias("pattern")).filter("pattern IS NOT NULL").distinct())
+    patterns = F.array(F.concat(F.lit("1 "), "left1"), F.concat(F.lit("2 "), "left2"), F.concat(F.lit("3 "), "left1", F.lit(" _ "), "right1"), F.when(~F.col("kind").isin("email", OTHER), F.concat(F.lit("4 "), F.regexp_replace("instance", "[0-9]", "0"))))
+    dealt = F.pmod(F.xxhash64("instance"), F.lit(SALTS)).cast("int").alias("salt")
+    edges = cut(occ.select("kind", "instance", F.explode(patterns).alias("pattern")).filter("pattern IS NOT NULL").distinct().withColumn("salt", dealt))
     known = occ.filter("seed").select("kind", "instance").distinct()
     fillers = edges.groupBy("kind", "pattern").agg(F.count("*").alias("n"))
     found = None
     while True:
         hits = edges.join(known, ["kind", "instance"], "left_semi").groupBy("kind", "pattern").agg(F.count("*").alias("hits"))
         trusted = hits.filter(F.col("hits") >= rules.support).join(fillers, ["kind", "pattern"]).filter(F.col("hits") >= rules.precision * F.col("n"))
-        trusted = trusted.select("kind", "pattern", (F.col("hits") / (F.col("n") + 1)).alias("p"))
-        scored = edges.join(trusted, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score"))
-        new = cut(scored.filter(F.col("score") >= rules.confidence).join(known, ["kind", "instance"], "left_anti").select("kind", "instance"))
+        trusted = _written(trusted.select("kind", "pattern", (F.col("hits") / (F.col("n") + 1)).alias("p")), "trusted")
+        salted = trusted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a frequent word's instances are dealt to many tasks
+        scored = edges.join(salted, ["kind", "pattern", "salt"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score"))
+        new = _written(scored.filter(F.col("score") >= rules.confidence).join(known, ["kind", "instance"], "left_anti").select("kind", "instance"), "instances")
         found = new if found is None else found.unionByName(new)
         if new.isEmpty():
             break
         known = cut(known.unionByName(new))
-    return found
+    return _written(found, "found")
 
 
 def _outer(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -241,16 +314,17 @@ def _outer(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
-    order = {k: i for i, k in enumerate(KINDS)}
+    order = {k: i for i, k in enumerate((*KINDS, OTHER))}
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(set(spans), key=lambda x: (order[x[0]], x[1], x[2])))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Bootstrap = Bootstrap()) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found) for every row of ``docs``.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_spans) for every row of ``docs``.
 
     The texts are scanned once, without a shuffle; what goes on are the seeds and the tokens, or up to six in a row, that look like
     one, with the words around them. The counts and base_sha256 are of the base spans; ``spans`` has those and,
-    outside them, every occurrence of an instance that :func:`discover` finds (n_found of them). Null and empty
+    outside them, every occurrence of an instance that :func:`discover` finds, and the identifiers of kind OTHER, which stand last
+    (n_found of them; n_spans in all). Null and empty
     texts have none. Repeated rows, and rows without an id, are scanned each. Further columns aren't read; an empty
     table gives an empty result.
     """
@@ -266,63 +340,62 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             out = []
             for doc, occ, extra in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                base = [(x["kind"], x["start"], x["stop"]) for x in occ if x["seed"]]
-                more = _outer([(x["kind"], x["start"], x["stop"]) for x in extra or []])
+                seeds = [(x["kind"], x["start"], x["stop"]) for x in occ if x["seed"]]
+                base = [x for x in seeds if x[0] != OTHER]
+                more = _outer([(x["kind"], x["start"], x["stop"]) for x in extra or []] + [x for x in seeds if x[0] == OTHER])
                 n = [sum(x[0] == k for x in base) for k in KINDS]
-                out.append((doc, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more), len(set(more))))
-            names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_found"]
-            types = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 8, types, strict=True)], names=names)
+                out.append((doc, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more), len(more), len(base) + len(more)))
+            names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_found", "n_spans"]
+            types = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 9, types, strict=True)], names=names)
 
     joined = rows.join(extra, "row", "left").select("doc_id", "occ", "extra")
-    return joined.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_found long")
+    return joined.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_found long, n_spans long")
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", rules: Bootstrap = Bootstrap()) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in brackets, in all rows and with all columns.
 
     Overlapping spans are replaced as one, by the kind of the first. The length column, if it is
-    there, follows the new text. Texts stay where they are: an instance found by context is put back by joining its rows alone.
+    there, follows the new text. Rows are written once with what the scan found in them; texts without a candidate stay where they
+    are, and only those with one are joined to the spans that context confirms, by a number of the row. Null texts stay null, empty ones
+    empty; each of repeated rows is replaced; rows need no id; columns may have any names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     names = [f"c{i}" for i in range(len(docs.columns))]
     text, length = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else -1
     plain = docs.toDF(*names)
-    occ = _scan(plain.withColumn("i", F.lit(0)), "i", names[text]).select(F.explode("occ").alias("o")).select("o.*")
-    path = fresh_path(spark, "personal")
-    occ.select("kind", "seed", "instance", "left1", "left2", "right1").distinct().write.parquet(path)
-    found = discover(spark.read.parquet(path), rules)
-    known = found.select("kind", "instance")
-    if known.isEmpty():
-        marked = plain.withColumn("extra", F.lit(None).cast("array<string>"))
-    else:
-        keyed = plain.withColumn("key", F.xxhash64(names[text], F.length(names[text])))
-        hits = _scan(keyed, "key", names[text]).select("doc_id", F.explode("occ").alias("o")).filter("not o.seed").select(F.col("doc_id").alias("key"), "o.kind", "o.instance")
-        extra = hits.join(known, ["kind", "instance"], "left_semi").groupBy("key").agg(F.collect_set("instance").alias("extra"))
-        marked = keyed.join(extra, "key", "left").drop("key")
+    columns = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in plain.schema.fields)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, names[text]):
+            yield pa.RecordBatch.from_arrays([*batch.columns, _found(batch.column(text))], names=[*names, "occ"])
+
+    rows = _written(plain.mapInArrow(scan, f"{columns}, occ {_OCC}").withColumn("__row", F.monotonically_increasing_id()), "scanned")
+    occ = rows.select("__row", F.explode("occ").alias("o")).select("__row", "o.*")
+    hits = occ.filter("NOT seed").join(discover(occ, rules), ["kind", "instance"], "left_semi")
+    extra = _written(hits.groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("extra")), "extra")
+    open_ = F.exists("occ", lambda x: ~x["seed"])
+    sure = rows.filter(~open_).withColumn("extra", F.lit(None).cast("array<struct<kind:string,start:long,stop:long>>"))
+    marked = rows.filter(open_).join(extra, "__row", "left").select(sure.columns).unionByName(sure)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, names[text]):
             new = []
-            for t, extra in zip(batch.column(text).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                new.append(t and _replace(t, set(extra or ())))
+            for t, occ, extra in zip(*(batch.column(i).to_pylist() for i in (text, len(names), len(names) + 1)), strict=True):
+                new.append(t and _replace(t, [(x["start"], x["stop"], x["kind"]) for x in occ if x["seed"]] + [(x["start"], x["stop"], x["kind"]) for x in extra or ()]))
             columns = [pa.array(new, pa.string()) if i == text else pa.array([x if x is None else len(x) for x in new], pa.int64()).cast(batch.column(i).type) if i == length else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return marked.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return marked.select(*names, "occ", "extra").mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
-def _replace(text: str, extra: set[str]) -> str:
-    spans = sorted((a, b, k) for k, xs in base_spans(text).items() for a, b in xs)
-    if extra:
-        spans = sorted([*spans, *((a, b, k) for k, seed, a, b, x, *_ in occurrences(text) if not seed and x in extra)])
-    parts, end, open_end = [], 0, -1
-    for a, b, kind in spans:
-        if a >= open_end:
+def _replace(text: str, spans: list[tuple[int, int, str]]) -> str:
+    parts, end = [], 0
+    for a, b, kind in sorted(spans):
+        if a >= end:
             parts += [text[end:a], f"[{kind.upper()}]"]
-            open_end = end = b
-        else:
-            open_end = end = max(end, b)
+        end = max(end, b)
     return "".join([*parts, text[end:]])
 
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
 
@@ -340,6 +341,55 @@ def test_personal_data(spark):
     assert I.personal_data(df.limit(0)).count() == 0 and I.redact(df.limit(0)).count() == 0
 
 
+def test_unseen_identifiers_by_context(spark):
+    """Held out: keys without a known form, bank and passport numbers, in contexts that seeds of known form teach; and the same forms
+    in other contexts, which aren't to be found."""
+    r = random.Random(9)
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    odd = lambda: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(9)) + "7"
+    fill = lambda n: " ".join(r.choice("lorem ipsum dolor sit amet vel quo ut".split()) for _ in range(n))
+
+    def iban():
+        body = "".join(r.choice("0123456789") for _ in range(18))
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    makes = {
+        "key": (lambda x: f'{fill(3)} token = "{x}" {fill(3)}', lambda: hexa(40), odd),
+        "assigned": (lambda x: f"{fill(3)} api_key={x} {fill(3)}", lambda: hexa(32), odd),
+        "bank": (lambda x: f"{fill(3)} pay to account {x} by {fill(3)}", iban, lambda: "".join(r.choice("0123456789") for _ in range(14))),
+        "passport": (lambda x: f"{fill(2)} holder of passport no {x}, {fill(3)}", lambda: "C" + "".join(r.choice("0123456789") for _ in range(8)), lambda: "X" + odd()),
+    }
+    rows, hidden = [], {}
+    for make, (line, seed, other) in makes.items():
+        rows += [line(seed()) for _ in range(150)]
+        for _ in range(20):
+            hidden[len(rows)] = other()
+            rows.append(line(hidden[len(rows)]))
+    clean = range(len(rows), len(rows) + 80)
+    rows += [f"{fill(3)} version {odd()} of {fill(3)}" for _ in clean]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(rows)], "doc_id long, text string, n_chars long")
+    got = {x["doc_id"]: [tuple(y.split(":")) for y in x["spans"].split(",") if y] for x in I.personal_data(df).collect()}
+    caught = [i for i, x in hidden.items() if any(k == "id" and rows[i][int(a) : int(b)] == x for k, a, b in got[i])]
+    assert len(caught) >= 0.9 * len(hidden) and not any(got[i] for i in clean)
+    new = {x["doc_id"]: x["text"] for x in I.redact(df).collect()}
+    assert all(hidden[i] not in new[i] and "[ID]" in new[i] for i in caught) and all(new[i] == rows[i] for i in clean)
+
+
+def test_no_token_is_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = docs.filter("text RLIKE 'token = \"[0-9a-f]{40}\"'")
+    assert held.count() > 0 and I.redact(docs).filter("text RLIKE 'token = \"[0-9a-f]{40}'").count() == 0
+
+
+def test_long_neighbours_are_whole_and_linear():
+    a, b = "x" * 500 + "a", "x" * 500 + "b"
+    one, two = (I._context(f"q {w} 5551234", 503 + 1, 511) for w in (a, b))
+    assert one[0] != two[0] and len(one[0]) == 64
+    began = time.perf_counter()
+    I.occurrences("1234567 " * 50_000)
+    assert time.perf_counter() - began < 20
+
+
 # Licenses
 
 
