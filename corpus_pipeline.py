@@ -13,27 +13,30 @@ from episodica.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """The rows that the quality rules keep, each judged by its own text: null, empty and very short texts go, repeated rows share a verdict."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of linked fingerprints."""
-    return keep_one(docs)
+    """One row of each group of linked fingerprints: that of the least id (null: the largest); of repeated rows one, too.
+
+    Null and empty texts have the same fingerprint, so one of them stays.
+    """
+    return keep_one(docs, repeated=False)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """The rows without a benchmark item. Null and empty texts have none; repeated rows share a verdict; without items all rows stay."""
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All rows, with personal data replaced by its kind, and n_chars the new length. Null texts stay null, repeated rows are replaced each."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences."""
+    """The pieces of all rows and their places in sequences: a null or empty text is one piece, the end id; repeated rows are packed each."""
     return pack(docs)
 
 
@@ -50,7 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written as Parquet and read again."""
+    """The last stage's rows; each stage's result is written as Parquet and read again. An empty table gives an empty result at each stage."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         path = fresh_path(spark, f"stage-{i}")
