@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm.shared import fresh_path, table
+from episodica.llm.shared import fresh_path, slices, table
 
 #: Bytes of the strings that are compared, and of the q-grams of the first buckets.
 LENGTH, GRAM = 100, 24
@@ -24,12 +24,14 @@ RUN_BITS, START_BITS, TEXT_BITS = 7, 36, 17
 KIND = RUN_BITS + START_BITS + TEXT_BITS
 SEGMENT, SHARED, WIDE, ASKED, ASKED_WIDE, REPEAT = range(6)
 _ROW = "a long, b long, doc long, h long, at long"
-#: Different segments of a bucket in one stretch of text, and in all: a bucket with more is refined string by string, on all executors.
+#: Bytes of stretches that are settled among themselves before their segments meet those of others.
+GROUP = 24 * STRETCH
+#: Different segments of a bucket in one group of stretches, and in all: a bucket with more is refined string by string, on all executors.
 WIDE_HERE, WIDE_ALL = 64, 4096
-#: Strings that a task sorts at once.
-STRINGS = 200_000
-#: Texts whose requests are held as objects at once.
-ROWS = 250
+#: Strings that a task sorts at once, rows of whole buckets that it holds.
+STRINGS, HELD = 200_000, 300_000
+#: Texts whose requests are held as objects at once, and their bytes.
+ROWS, BYTES = 250, 8_000_000
 
 
 def _pointer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,28 +144,38 @@ def _later(same: np.ndarray, doc: np.ndarray, h: np.ndarray, at: np.ndarray) ->
 
 
 def first_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of the texts, settled among themselves: of equal ones only the first goes on.
+    """Segments of the texts, settled among themselves, group by group of stretches: of equal ones only the first goes on.
 
-    Rows of kind SEGMENT go on to meet those of other tasks. Where a bucket holds several different segments here, each is ASKED for
+    Rows of kind SEGMENT go on to meet those of other groups. Where a bucket holds several different segments here, each is ASKED for
     refinement, and one SHARED row tells the others. Where it holds very many, they don't meet as a bucket at all: they are
-    ASKED_WIDE, and a WIDE row tells. So a bucket gets a bounded number of rows from each stretch of text.
+    ASKED_WIDE, and a WIDE row tells. So a bucket gets a bounded number of rows from each group, and a passage that is everywhere one.
     """
-    for batch in batches:
+    held, size = [], 0
+    for batch in slices(batches, "text", BYTES):
         doc, h, texts = _rows(batch)
         once = _once(doc, texts)
         doc, h, texts = doc[once], h[once], [texts[i] for i in once]
         for raw, row, offset, begins in stretches(texts):
             hashes = np.array([xxhash.xxh64_intdigest(texts[i]) & ((1 << TEXT_BITS) - 1) for i in row], np.int64)
             first, count, piece, m, s = segments(raw, begins)
-            at = _packed(hashes[piece], first - begins[piece] + offset[piece], count)
-            ids, own = doc[row][piece], h[row][piece]
-            order, same, kinds = _judge(m, s, ids, own, at)
-            kind = np.select([same, kinds > WIDE_HERE, kinds > 1], [REPEAT, ASKED_WIDE, ASKED], SEGMENT)
-            yield _batch(m[order], s[order], ids[order], own[order], at[order], kind)
-            for flag, told in ((SHARED, (kinds > 1) & (kinds <= WIDE_HERE)), (WIDE, kinds > WIDE_HERE)):
-                buckets = np.unique(m[order][told])
-                none = np.zeros(len(buckets), np.int64)
-                yield _batch(buckets, none, none, none, none, np.full(len(buckets), flag))
+            held.append((m, s, doc[row][piece], h[row][piece], _packed(hashes[piece], first - begins[piece] + offset[piece], count)))
+            size += len(raw)
+            if size >= GROUP:
+                yield from _group(held)
+                held, size = [], 0
+    if held:
+        yield from _group(held)
+
+
+def _group(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    m, s, ids, own, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    order, same, kinds = _judge(m, s, ids, own, at)
+    kind = np.select([same, kinds > WIDE_HERE, kinds > 1], [REPEAT, ASKED_WIDE, ASKED], SEGMENT)
+    yield _batch(m[order], s[order], ids[order], own[order], at[order], kind)
+    for flag, told in ((SHARED, (kinds > 1) & (kinds <= WIDE_HERE)), (WIDE, kinds > WIDE_HERE)):
+        buckets = np.unique(m[order][told])
+        none = np.zeros(len(buckets), np.int64)
+        yield _batch(buckets, none, none, none, none, np.full(len(buckets), flag))
 
 
 def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -181,42 +193,93 @@ def _packed(text: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarra
     return text << (RUN_BITS + START_BITS) | start << RUN_BITS | count
 
 
-def settle_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments of whole buckets: all but the first of equal ones are repeats; where there are different ones, they are asked for."""
-    parts = [[x.to_numpy() for x in batch.columns] for batch in batches if batch.num_rows]
-    if not parts:
-        return
-    m, s, doc, h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    kind = at >> KIND
-    at = at & ((1 << KIND) - 1)
-    done = kind >= ASKED_WIDE
-    yield _batch(m[done], s[done], doc[done], h[done], at[done], kind[done])
+def _by_bucket(batches: Iterator[pa.RecordBatch], thin) -> Iterator[pa.Table]:
+    """Rows that are sorted by ``a`` in tables of whole buckets. Of a bucket with very many rows, ``thin`` keeps those that matter on and gives out others."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < HELD:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        a = rows.column("a").to_numpy()
+        end = int(np.searchsorted(a, a[-1]))
+        if end:
+            yield rows.slice(0, end)
+        rest = rows.slice(end)
+        if rest.num_rows >= HELD // 2:
+            out, rest = thin(rest)
+            yield out
+        held, n = rest.to_batches(), rest.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _columns(rows: pa.Table) -> list[np.ndarray]:
+    return [rows.column(i).to_numpy() for i in range(5)]
+
+
+def _judged(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """m, s, doc, h, at without kind, kind of the segments in judged order; whether an earlier one is equal; different ones; SHARED; WIDE."""
+    m, s, doc, h, at = _columns(rows)
+    kind, at = at >> KIND, at & ((1 << KIND) - 1)
     shared, wide = np.unique(m[kind == SHARED]), np.unique(m[kind == WIDE])
     own = (kind == SEGMENT) | (kind == ASKED)
-    m, s, doc, h, at = (x[own] for x in (m, s, doc, h, at))
+    m, s, doc, h, at, kind = (x[own] for x in (m, s, doc, h, at, kind))
     order, same, kinds = _judge(m, s, doc, h, at)
-    m, s, doc, h, at = (x[order] for x in (m, s, doc, h, at))
-    very = (kinds > WIDE_ALL) | np.isin(m, wide)
-    new = np.select([same, very, (kinds > 1) | np.isin(m, shared)], [REPEAT, ASKED_WIDE, ASKED], SEGMENT)
-    out = new != SEGMENT
-    yield _batch(m[out], s[out], doc[out], h[out], at[out], new[out])
+    m, s, doc, h, at, kind = (x[order] for x in (m, s, doc, h, at, kind))
+    return m, s, doc, h, at, kind, same, (kinds > WIDE_ALL) | np.isin(m, wide), (kinds > 1) | np.isin(m, shared)
+
+
+def _thin_segments(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Of one bucket: what is settled already; and the first of each different segment with the bucket's flags, or, once it is wide, that alone."""
+    kind = rows.column("at").to_numpy() >> KIND
+    done = rows.filter(pa.array(kind >= ASKED_WIDE))
+    m, s, doc, h, at, own, same, very, several = _judged(rows)
+    first = ~same
+    new = np.where(same, REPEAT, ASKED_WIDE)
+    out = same | very
+    flags = np.array([SHARED] * bool((kind == SHARED).any()) + [WIDE] * bool(very.any() or (kind == WIDE).any()), np.int64)
+    none = np.zeros(len(flags), np.int64)
+    on = first & ~very
+    settled = pa.Table.from_batches([_batch(m[out], s[out], doc[out], h[out], at[out], new[out])])
+    rest = pa.Table.from_batches([_batch(m[on], s[on], doc[on], h[on], at[on], own[on]), _batch(np.full(len(flags), rows.column("a")[0].as_py()), none, none, none, none, flags)])
+    return pa.concat_tables([done, settled]), rest
+
+
+def settle_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments of whole buckets, sorted by bucket: all but the first of equal ones are repeats; where there are different ones, they are asked for."""
+    for rows in _by_bucket(batches, _thin_segments):
+        done = rows.filter(pa.array(rows.column("at").to_numpy() >> KIND >= ASKED_WIDE))
+        yield from done.to_batches()
+        m, s, doc, h, at, _, same, very, several = _judged(rows)
+        new = np.select([same, very, several], [REPEAT, ASKED_WIDE, ASKED], SEGMENT)
+        out = new != SEGMENT
+        yield _batch(m[out], s[out], doc[out], h[out], at[out], new[out])
 
 
 def _strings(raw: np.ndarray, first: np.ndarray, own: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(pointer, pointer 36 bytes on, id, text's hash, place) of each string of segments that begin at ``first`` in ``raw``."""
+    """(pointer, pointer 36 bytes on, id, text's hash, place, start in ``raw``) of each string of segments that begin at ``first`` there."""
     _, b64 = refine(raw)
     count = own & ((1 << RUN_BITS) - 1)
     inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     start = np.repeat(first, count) + inside
     at = np.repeat(own >> RUN_BITS << RUN_BITS, count) + (inside << RUN_BITS) + 1
-    return b64[start].view(np.int64), b64[start + 36].view(np.int64), np.repeat(doc, count), np.repeat(h, count), at
+    return b64[start].view(np.int64), b64[start + 36].view(np.int64), np.repeat(doc, count), np.repeat(h, count), at, start
 
 
-def _repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by bucket pointers, then by place; and whether the string before is equal."""
+def _repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, h: np.ndarray, at: np.ndarray, raw: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order by bucket pointers, then by place; and whether the string before is equal: by its bytes, where ``raw`` holds them."""
     order = np.lexsort((at, h, doc, b, a))
     a, b = a[order], b[order]
     same = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])][: len(a)]
+    if raw is not None:
+        strings, pairs = np.lib.stride_tricks.sliding_window_view(raw, LENGTH), np.flatnonzero(same)
+        for i in range(0, len(pairs), 50_000):
+            now = pairs[i : i + 50_000]
+            same[now] = (strings[start[order[now]]] == strings[start[order[now - 1]]]).all(axis=1)
     return order, _later(same, doc[order], h[order], at[order])
 
 
@@ -257,8 +320,8 @@ def last_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.append((np.full(n, doc[i]), np.full(n, h[i]), own[mine], first[mine] - o + begin))
             ids, hashes, own, first = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(own):
-                a, b, ids, hashes, at = _strings(raw, first, own, ids, hashes)
-                order, same = _repeats(a, b, ids, hashes, at)
+                a, b, ids, hashes, at, start = _strings(raw, first, own, ids, hashes)
+                order, same = _repeats(a, b, ids, hashes, at, raw, start)
                 a, b, ids, hashes, at = (x[order] for x in (a, b, ids, hashes, at))
                 yield _asked(a[~same], b[~same], ids[~same], hashes[~same], at[~same], None)
                 ids, hashes, at = _runs(ids[same], hashes[same], at[same])
@@ -270,39 +333,49 @@ def _asked(a, b, doc, h, at, text) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary()) if text is None else pa.array(text, pa.binary())], names=["a", "b", "doc", "h", "at", "bytes"])
 
 
+def _runs_of(doc: np.ndarray, h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, h, at)], names=["doc", "h", "at"])
+
+
+def _thin_strings(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Of one pointer's strings that came by themselves: the repeats; and the rest, with the first of each."""
+    a, b, doc, h, at = _columns(rows)
+    single = np.flatnonzero(~rows.column("bytes").is_valid().to_numpy() & (at >> KIND != REPEAT))
+    order, same = _repeats(*(x[single] for x in (a, b, doc, h, at)))
+    gone = single[order[same]]
+    i, j, k = _runs(doc[gone], h[gone], at[gone])
+    keep = np.ones(len(a), bool)
+    keep[gone] = False
+    return pa.Table.from_batches([_asked(k, np.zeros(len(k), np.int64), i, j, k | (REPEAT << KIND), None)]), rows.filter(pa.array(keep))
+
+
 def settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All but the first of equal strings, as runs: of those that came by themselves, and of the buckets' segments."""
-
-    def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        a, b, doc, h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, same = _repeats(a, b, doc, h, at)
-        found = _runs(doc[order][same], h[order][same], at[order][same])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc", "h", "at"])
-
-    tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if not tables:
-        return
-    rows = pa.concat_tables(tables).combine_chunks()
-    a, b, doc, h, at = (rows.column(i).to_numpy() for i in range(5))
-    done = at >> KIND == REPEAT
-    yield pa.RecordBatch.from_arrays([pa.array(doc[done]), pa.array(h[done]), pa.array(at[done] & ((1 << KIND) - 1))], names=["doc", "h", "at"])
-    whole = rows.column(5).is_valid().to_numpy()
-    single = ~whole & ~done
-    if single.any():
-        yield out([(a[single], b[single], doc[single], h[single], at[single])])
-    segment = np.flatnonzero(whole)
-    segment = segment[np.argsort(a[segment], kind="stable")]
-    count = np.cumsum(at[segment] & ((1 << RUN_BITS) - 1))
-    begin = 0
-    while begin < len(segment):
-        end = int(np.searchsorted(count, (count[begin - 1] if begin else 0) + STRINGS, side="right"))
-        end = max(end, begin + 1)
-        end = int(np.searchsorted(a[segment], a[segment[end - 1]], side="right"))  # with the whole bucket
-        mine = segment[begin:end]
-        texts = rows.column(5).take(pa.array(mine)).to_pylist()
-        first = np.cumsum([0, *map(len, texts)])[:-1]
-        yield out([_strings(np.frombuffer(b"".join(texts), np.uint8), first, at[mine], doc[mine], h[mine])])
-        begin = end
+    """All but the first of equal strings, as runs: of those that came by themselves, and of the buckets' segments, whose bytes are compared."""
+    for rows in _by_bucket(batches, _thin_strings):
+        a, b, doc, h, at = _columns(rows)
+        done = at >> KIND == REPEAT
+        yield _runs_of(doc[done], h[done], at[done] & ((1 << KIND) - 1))
+        whole = rows.column("bytes").is_valid().to_numpy()
+        single = ~whole & ~done
+        if single.any():
+            order, same = _repeats(a[single], b[single], doc[single], h[single], at[single])
+            yield _runs_of(*_runs(doc[single][order][same], h[single][order][same], at[single][order][same]))
+        segment = np.flatnonzero(whole)
+        segment = segment[np.argsort(a[segment], kind="stable")]
+        count = np.cumsum(at[segment] & ((1 << RUN_BITS) - 1))
+        begin = 0
+        while begin < len(segment):
+            end = int(np.searchsorted(count, (count[begin - 1] if begin else 0) + STRINGS, side="right"))
+            end = max(end, begin + 1)
+            end = int(np.searchsorted(a[segment], a[segment[end - 1]], side="right"))  # with the whole bucket
+            mine = segment[begin:end]
+            texts = rows.column("bytes").take(pa.array(mine)).to_pylist()
+            first = np.cumsum([0, *map(len, texts)])[:-1]
+            raw = np.frombuffer(b"".join(texts), np.uint8)
+            *strings, start = _strings(raw, first, at[mine], doc[mine], h[mine])
+            order, same = _repeats(*strings, raw, start)
+            yield _runs_of(*_runs(*(x[order][same] for x in strings[2:])))
+            begin = end
 
 
 def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,11 +401,11 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = docs.select("id", "text").mapInArrow(first_buckets, _ROW)
     by_bucket = found.repartition(F.when(kind >= ASKED_WIDE, F.xxhash64("doc", "h", "at")).otherwise(F.col("a")))
     path = fresh_path(spark, "segments")
-    by_bucket.mapInArrow(settle_segments, _ROW).select("a", "doc", "h", "at").write.parquet(path)
+    by_bucket.sortWithinPartitions("a").mapInArrow(settle_segments, _ROW).select("a", "doc", "h", "at").write.parquet(path)
     settled = spark.read.parquet(path)
     asked = settled.filter(kind != REPEAT).groupBy("doc", "h").agg(F.collect_set(F.struct("a", "at")).alias("asked"))
     strings = keyed.join(asked, (keyed.id == asked.doc) & (keyed.hash == asked.h)).select("id", "text", "asked").mapInArrow(_own(last_buckets), f"{_ROW}, bytes binary")
-    later = strings.repartition("a", "b").mapInArrow(settle_strings, "doc long, h long, at long")
+    later = strings.repartition("a", "b").sortWithinPartitions("a").mapInArrow(settle_strings, "doc long, h long, at long")
     repeats = settled.filter(kind == REPEAT).select("doc", "h", F.col("at").bitwiseAND((1 << KIND) - 1).alias("at"))
     return keyed, repeats.unionByName(later)
 
@@ -342,7 +415,7 @@ def _own(then):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def mine() -> Iterator[pa.RecordBatch]:
-            for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            for batch in (b.slice(i, ROWS) for b in slices(batches, "text", BYTES) for i in range(0, b.num_rows, ROWS)):
                 asked = []
                 for runs, text in zip(batch.column(2).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                     mine = set(_of_text([x["at"] & ((1 << KIND) - 1) for x in runs], text))
@@ -375,7 +448,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        repeats. A segment's bytes travel to its bucket's task for that; those of a bucket with very many different
        segments don't: there each string goes its own way, by its pointers.
 
-    A task sends one row of a bucket's or string's equals, so frequent passages stay small.
+    Equals are settled in rounds: in a group of stretches of 24 MB of text, then among all groups; each sends one row of a
+    bucket's or string's equals on, so frequent passages stay small. The rows of a bucket come sorted, and a task holds a
+    bounded number of them. Equal strings are equal by two pointers of 64 bits, and by their bytes wherever a task has both.
 
     Null and empty texts keep nothing and lose nothing. A null id counts as the largest. Rows that share
     id and text stand at the same place, so neither repeats the other; rows that share an id alone are told apart by
@@ -388,7 +463,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_doc = runs.groupBy("doc", "h").agg(F.collect_set("at").alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", BYTES):
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             for i in range(0, len(texts), 500):
                 out = []

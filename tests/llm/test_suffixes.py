@@ -104,6 +104,34 @@ def test_stages_with_wide_buckets_and_short_stretches(monkeypatch, seed, wide_he
     assert got == brute(rows)
 
 
+def test_a_bucket_beyond_what_a_task_holds(monkeypatch):
+    monkeypatch.setattr(S, "HELD", 40)
+    monkeypatch.setattr(S, "GROUP", 1)
+    monkeypatch.setattr(S, "WIDE_ALL", 30)
+    monkeypatch.setattr(S.stretches, "__defaults__", (400,))
+    r = random.Random(3)
+    common = "".join(r.choice("abcdefgh ") for _ in range(180))
+    tail = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, (tail(60) if i % 2 else "") + common[: r.randint(100, 180)] + tail(r.randint(0, 90))) for i in range(150)]
+
+    def ordered(found, size=20):
+        whole = pa.Table.from_batches(list(found))
+        return whole.sort_by("a").to_batches(max_chunksize=size)
+
+    segments, strings = S.settle_segments, S.settle_strings
+    monkeypatch.setattr(S, "settle_segments", lambda x: segments(iter(ordered(x))))
+    monkeypatch.setattr(S, "settle_strings", lambda x: strings(iter(ordered(x))))
+    runs = local_runs(rows, 10)
+    got = [(i, sum(b - a for a, b in S.spans_of(runs.get(i)))) for i, _ in rows]
+    assert got == [(x[0], x[2]) for x in brute(rows)]
+
+
+def test_bytes_decide_where_pointers_agree():
+    raw, one = np.frombuffer(b"a" * 100 + b"b" * 100 + b"a" * 100, np.uint8), np.zeros(2, np.int64)
+    for starts, want in (([0, 100], [False, False]), ([0, 200], [False, True])):
+        assert S._repeats(one, one, np.arange(2), one, one, raw, np.array(starts))[1].tolist() == want
+
+
 def test_on_spark_with_nulls_and_repeated_rows(spark):
     rows = corpus(7, 60)
     long = "word " * 60
