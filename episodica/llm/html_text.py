@@ -11,20 +11,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm.dom import Node, parse
+from episodica.llm.dom import Node, block_text, parse, parse_pieces
 from episodica.llm.html_labels import CONTENT, OTHER, labelled_page
 from episodica.llm.shared import slices, table
 
 #: Labelled pages that the model is fitted on, whatever the input's size.
 TRAINING_PAGES, STEPS = 500, 150
 
-_TAGS = "article main section div p li ul,ol,menu nav header footer aside form,fieldset,legend h1 h2,h3,h4,h5,h6 blockquote,pre table,tbody,thead,tfoot,tr,td,th figure,figcaption dl,dt,dd root,html,body address details,summary,dialog".split()
+_TAGS = "article main section div p li ul,ol,menu nav header footer aside form,fieldset,legend h1 h2,h3,h4,h5,h6 blockquote,pre table,tbody,thead,tfoot,tr,td,th figure,figcaption dl,dt,dd root,html,body address details,summary,dialog button,select,option,optgroup,datalist".split()
 _TAG = {t: i for i, group in enumerate(_TAGS) for t in group.split(",")}
 _NAMES = [{w for x in names for w in x.split("-")} for names in [*OTHER.values(), CONTENT]]
 _NAMES[-1] -= {"main"}
 #: Kinds of edges from a parent to a child: each has its own potentials.
-_EDGES = 6
-FEATURES = 1 + len(_TAGS) + 1 + len(_NAMES) + 1 + 8
+_EDGES = 7
+FEATURES = 1 + len(_TAGS) + 1 + len(_NAMES) + 1 + 10
+
+
+def _content_name(own: set[str]) -> bool:
+    """A name of content; main is one where nothing else is said, as it is not in main-menu."""
+    return bool(own & _NAMES[-1]) or "main" in own and not any(own & x for x in _NAMES[:-1])
 
 
 def _features(node: Node, sub_chars: int, sub_linked: int, in_article: bool) -> np.ndarray:
@@ -35,9 +40,10 @@ def _features(node: Node, sub_chars: int, sub_linked: int, in_article: bool) ->
     own = set(node.classes)
     for i, names in enumerate(_NAMES):
         x[at + i] = bool(own & names)
+    x[at + len(_NAMES) - 1] = _content_name(own)
     at += len(_NAMES)
     x[at] = node.hidden
-    density = sub_linked / sub_chars if sub_chars else 0.0
+    density = sub_linked / sub_chars if sub_chars and not node.inline else 0.0
     x[at + 1 :] = [
         sub_chars == 0,
         np.log1p(node.chars) / 8,
@@ -46,17 +52,21 @@ def _features(node: Node, sub_chars: int, sub_linked: int, in_article: bool) ->
         density,
         in_article,
         in_article and node.tag in ("header", "footer"),
-        node.chars > 0 and node.ends == 0,
+        node.chars > 0 and node.ends == 0 and not node.inline,
+        node.cue,
+        node.inline,
     ]
     return x
 
 
 def _edge(node: Node) -> int:
     own = set(node.classes)
-    if node.hidden or node.tag in ("nav", "aside", "footer", "form") or any(own & x for x in _NAMES[:-1]):
+    if node.hidden or node.tag in ("nav", "aside", "footer", "form", "button", "select", "option", "datalist", "optgroup") or any(own & x for x in _NAMES[:-1]):
         return 0
-    if node.tag in ("article", "main") or own & _NAMES[-1]:
+    if node.tag in ("article", "main") or _content_name(own):
         return 1
+    if node.inline:
+        return 6
     if node.tag in ("p", "blockquote", "pre", "figure", "figcaption"):
         return 2
     if node.tag in ("li", "ul", "ol", "td", "th", "tr", "tbody", "dt", "dd", "table", "dl"):
@@ -142,13 +152,14 @@ def content_marginals(pages: list[list[Node]], weight: np.ndarray, pair: np.ndar
 
 
 def main_texts(pages: list[str | None], weight: np.ndarray, pair: np.ndarray) -> list[str]:
-    parsed = [parse(x or "") for x in pages]
+    parsed = [parse_pieces(x or "") for x in pages]
     if not parsed:
         return []
     content = content_marginals([nodes for nodes, _ in parsed], weight, pair) >= 0.5
     texts, base = [], 0
     for nodes, blocks in parsed:
-        texts.append("\n".join(text for node, text in blocks if content[base + node]))
+        own = content[base : base + len(nodes)].tolist()
+        texts.append("\n".join(text for block in blocks if (text := block_text(block, own.__getitem__))))
         base += len(nodes)
     return texts
 
@@ -156,7 +167,7 @@ def main_texts(pages: list[str | None], weight: np.ndarray, pair: np.ndarray) ->
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``: the article's blocks in page order, a line each.
 
-    The model is fitted on the driver, on TRAINING_PAGES generated pages, and its few numbers go
+    A block's pieces that are no content, such as a marked advert inside a sentence, are left out of it. The model is fitted on the driver, on TRAINING_PAGES generated pages, and its few numbers go
     with the tasks; every page is one tree there. Nothing is shuffled, and memory follows the longest page.
     Null and empty html give an empty text. Repeated rows, and rows without an id or url, are extracted each. An
     empty table gives an empty result; further columns aren't read.

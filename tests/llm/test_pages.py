@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -70,6 +71,51 @@ def test_a_page_of_another_make(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+#: Pages of other makes, each with its article's text.
+MAKES = [
+    ("""<html><head><title>Harbour</title><style>p{color:red}</style></head><body><div id="masthead"><a href="/">The Gazette</a></div><div id="nav"><ul><li><a href="/w">World</a></li><li><a href="/s">Sport</a></li></ul></div>
+<div id="story"><h1>Harbour opens again</h1><p class="byline-text">The port took its first ship on Monday. It had been shut since May.</p><p>Crews cleared the channel. <span class="advert">Buy boats now</span> Pilots were pleased.</p></div>
+<div id="footer">Copyright 2021 The Gazette. All rights reserved.</div></body></html>""",
+     "Harbour opens again\nThe port took its first ship on Monday. It had been shut since May.\nCrews cleared the channel. Pilots were pleased."),
+    ("""<body><header><nav><a href=/>Home</a><a href=/b>Blog</a></nav></header><main><article><header><h1>On bread</h1></header><p>Flour, water and salt.<p>Wait a day.<h2>Baking</h2><ul><li>Heat the oven.<li>Bake for an hour.</ul></article></main><aside><h3>Recommended</h3><ul><li><a href=/1>On jam</a><li><a href=/2>On tea</a></ul></aside><footer>Privacy policy</footer></body>""",
+     "On bread\nFlour, water and salt.\nWait a day.\nBaking\nHeat the oven.\nBake for an hour."),
+    ("""<datalist><option value=a><option value=b></datalist><article><h1>A title</h1><p>Words of the text go here. They are read.</p></article><select><option>x</option></select>""",
+     "A title\nWords of the text go here. They are read."),
+    ("""<article><p>First words of it.<button>Copy<p>Second words, which stay.</article><footer><button>Top</button> Terms of use</footer>""",
+     "First words of it.\nSecond words, which stay."),
+    ("""<div class="container"><div class="post-content"><h2>Noise</h2><p>The value <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is shown. <noscript>It needs no script.</noscript></p><table><tr><td>one<td>two</table></div><div class="comments"><h3>2 comments</h3><div class="comment"><p>Nice one. Thanks a lot.</p></div></div></div>""",
+     "Noise\nThe value x=2 is shown. It needs no script.\none\ntwo"),
+    ("""<html><body><form action=/search><label>Search</label><input><select><option>All<option>News</select><button>Go</button></form><div class=entry><h1>Rain</h1><blockquote>It rained all day, she said. Nobody came.</blockquote><pre>a  b
+c</pre></div><div class="share-buttons"><a href=#>Share this</a></div></body></html>""",
+     "Rain\nIt rained all day, she said. Nobody came.\na b c"),
+    ("""<body><div class="cookie-banner"><p>We use cookies.</p><button>Accept cookies</button></div><section class="article-body"><h1>Two&nbsp;hills</h1><p>East of town, &lt;two&gt; hills stand.</p><figure><img src=h.png><figcaption>The hills at dawn.</figcaption></figure><div class="ad-slot"><p>Sponsored</p></div><p>A road runs between them.</p></section><div class="newsletter"><p>Subscribe to our newsletter.</p></div></body>""",
+     "Two hills\nEast of town, <two> hills stand.\nThe hills at dawn.\nA road runs between them."),
+    ("""<html><body><table class="layout"><tr><td class="sidebar"><ul><li><a href=a>Index</a></li><li><a href=b>About</a></li></ul></td><td class="content"><h1>Old page</h1><p>This page is laid out in a table. It is old.</p></td></tr></table><p class="footer">Copyright 1999</p></body></html>""",
+     "Old page\nThis page is laid out in a table. It is old."),
+    ("""<body><main id=content><h1>News</h1><div><p>The <em class="hl">council</em> met <a class="ref" href=/c>on Friday</a>.</p><p>It agreed. <svg><text>icon</text></svg>Work begins soon.</p><script>var a = "<p>no</p>";</script></div></main><section class="related-posts"><h2>Related</h2><p><a href=1>Other story here</a></p></section></body>""",
+     "News\nThe council met on Friday.\nIt agreed. Work begins soon."),
+    ("""<body><ul class="menu"><li><a href=1>One</a><li><a href=2>Two</a></ul><div role="main"><h3>Notes</h3><dl><dt>First term<dd>What it means, in short.<dt>Second term<dd>What that one means.</dl></div><div style="display:none">Hidden words. Not shown.</div><div id=footer-links><a href=x>Contact</a></div></body>""",
+     "Notes\nFirst term\nWhat it means, in short.\nSecond term\nWhat that one means."),
+]
+
+
+def test_pages_of_other_makes():
+    got = H.main_texts([page for page, _ in MAKES], *H.fit())
+    for (_, want), text in zip(MAKES, got, strict=True):
+        assert text == want
+
+
+def test_bad_markup_takes_linear_time():
+    for piece in ("<option>", "<div></p>", "<svg>", "<b></i>", "<a href=x><article>", "<button class=x>", "<ul><li><div><td>", "<x y='", "</p>", "<select><div>", "<!--"):
+        page = piece * (1_000_000 // len(piece))
+        began = time.process_time()
+        parse(page[:500_000])
+        half = time.process_time() - began
+        began = time.process_time()
+        parse(page)
+        assert time.process_time() - began < max(4 * half, 1) and half < 5
+
+
 def test_deep_and_broken_markup():
     deep = "<div>" * 3000 + "x" + "</div>" * 10 + "</p></span><li>"
     nodes, blocks = parse(deep)
