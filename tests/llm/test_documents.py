@@ -466,3 +466,20 @@ def test_rounds_go_on_while_they_find(spark):
     occ = spark.createDataFrame(rows, "kind string, seed boolean, instance string, left1 string, left2 string, right1 string")
     found = {r["instance"] for r in I.discover(occ, I.Bootstrap(precision=0.3, confidence=0.3)).collect()}
     assert found == {name(k, j) for k in range(6) for j in range(30)}
+
+
+def test_a_megabyte_of_notices_takes_seconds():
+    found = L.Templates(L.TEMPLATES, L.Bands())
+    one = " ".join(L.TEMPLATES[k] for k in ("mit-whole", "bsd-3-clause", "gpl-3.0")).encode() + b" "
+    began = time.process_time()
+    got = found.scan(one * (1_000_000 // len(one)))
+    assert {"mit-whole", "mit", "bsd-3-clause", "bsd", "gpl-3.0"} <= set(got) and time.process_time() - began < 30
+
+
+def test_windows_alone_retrieve():
+    """The bands find each template inside other text, before any exact count."""
+    r = random.Random(3)
+    found = L.Templates(L.TEMPLATES, L.Bands(containment=0.0))
+    for name, text in L.TEMPLATES.items():
+        filler = [f"word{i}" for i in range(r.randint(0, 40))]
+        assert name in found.scan(" ".join([*filler, text, *filler]).encode())
