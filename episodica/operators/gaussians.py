@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.functions import linalg as L
+from episodica.functions.checks import not_empty
 from episodica.operators import geometry as G
 
 #: The factor of the first spherical harmonic.
@@ -32,18 +33,25 @@ def _sigmoid(x: Column) -> Column:
 
 
 def _clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """Within [low, high]; not-a-number stays."""
+    return F.when(F.isnan(x), x).otherwise(F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
-def backproject(gaussians: DataFrame, znear: float, zfar: float, by: Sequence[str], ray: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+def backproject(
+    gaussians: DataFrame, znear: float, zfar: float, by: Sequence[str], ray: Sequence[str] = ("x", "y", "z"), depth_scale: float = 1.0, depth_bias: float = 0.0, xyz_scale: float = 1.0, xyz_bias: float = 0.0
+) -> DataFrame:
     """``gaussians`` with z (ascending along a pixel's ray by construction) and xyz_cam = ray z + offset within [-3, 3].
 
-    The first logit is the base; each further one adds exp of itself (within [-10, 10]).
+    Logits are scaled and moved first. The first one is the base; each further one adds exp of itself (within [-10, 10]). Offsets are
+    scaled and moved as well; one that isn't finite becomes 0, so that a broken pixel stays on its ray.
     """
-    step = F.when(F.col("g") == 0, F.col("depth")).otherwise(F.exp(_clamp(F.col("depth"), -10, 10)))
+    logit = F.col("depth") * depth_scale + depth_bias
+    step = F.when(F.col("g") == 0, logit).otherwise(F.exp(_clamp(logit, -10, 10)))
     stack = F.sum(step).over(Window.partitionBy(*by).orderBy("g").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = gaussians.withColumn("z_depth", _sigmoid(stack) * (zfar - znear) + znear)
-    return found.withColumn("xyz_cam", F.array(*[F.col(c) * F.col("z_depth") + _clamp(F.col("offset")[i], -3, 3) for i, c in enumerate(ray)]))
+    moved = [F.col("offset")[i] * xyz_scale + xyz_bias for i in range(3)]
+    offset = [_clamp(F.when(L.finite(x), x).otherwise(0.0), -3, 3) for x in moved]
+    return found.withColumn("xyz_cam", F.array(*[F.col(c) * F.col("z_depth") + offset[i] for i, c in enumerate(ray)]))
 
 
 def _real(x: Column, instead: float) -> Column:
@@ -78,12 +86,13 @@ def rotate_sh1(coefficients: str, rotation: str) -> Column:
     return F.array(turned[1], turned[2], turned[0])
 
 
-def filter_gaussians(gaussians: DataFrame, threshold: float, top_k: int, by: Sequence[str], index: str, visible: str | None = None) -> DataFrame:
-    """Those at the opacity or above and visible, at most the top_k of the highest opacity (ties by index) of each export."""
+def filter_gaussians(gaussians: DataFrame, threshold: float, top_k: int, by: Sequence[str], index: str, visible: str | None = None, strict: bool = False) -> DataFrame:
+    """Those at the opacity or above and visible, at most the top_k of the highest opacity (ties by index) of each export. ``strict``: none at all is an error."""
     kept = gaussians.filter(F.col("opacity") >= threshold)
     kept = kept if visible is None else kept.filter(visible)
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("opacity"), index))
-    return kept.withColumn("__place", place).filter(F.col("__place") <= top_k).drop("__place")
+    found = kept.withColumn("__place", place).filter(F.col("__place") <= top_k).drop("__place")
+    return not_empty(found, f"Gaussian of opacity {threshold}") if strict else found
 
 
 def vertex_properties(gaussians: DataFrame, store: str = "logit", colour: str = "sh") -> DataFrame:
@@ -122,6 +131,9 @@ def frustum_stats(gaussians: DataFrame, cameras: DataFrame, by: Sequence[str], w
     gap = lambda c: F.greatest(-F.col(c), F.lit(0.0)) + F.greatest(F.col(c) - 1, F.lit(0.0))
     seen = seen.withColumns({"__bad": ~finite, "__behind": F.coalesce(F.col("__z") <= 0, F.lit(True)), "__gap": F.when(finite, F.least(gap("__u") + gap("__v"), F.lit(100.0))).otherwise(100.0)})
     part = F.when(F.col(camera) == F.col(source), "source").otherwise("target")
-    share = lambda c: F.avg(F.when(F.col(c), 1.0).otherwise(0.0))
-    found = seen.withColumn("part", part).rollup("part").agg(F.avg("__gap").alias("penalty"), F.avg(F.when(F.col("__gap") > 0, 1.0).otherwise(0.0)).alias("outside"), share("__behind").alias("invalid"), share("__bad").alias("nonfinite"), F.count(F.lit(1)).alias("n"))
-    return found.withColumn("part", F.coalesce("part", F.lit("all")))
+    how_many = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
+    names = ("penalty", "outside", "invalid", "nonfinite")
+    sums = dict(zip(names, (F.sum("__gap"), how_many(F.col("__gap") > 0), how_many(F.col("__behind")), how_many(F.col("__bad"))), strict=True))
+    parts = seen.groupBy(part.alias("part")).agg(*[x.alias(c) for c, x in sums.items()], F.count(F.lit(1)).alias("n"))  # two rows, which make the third
+    both = parts.withColumn("part", F.explode(F.array("part", F.lit("all")))).groupBy("part").agg(*[F.sum(c).alias(c) for c in (*names, "n")])
+    return both.select("part", *[(F.col(c) / F.col("n")).alias(c) for c in names], "n")

@@ -44,10 +44,14 @@ def project_rotations(poses: DataFrame, pose: str = "pose") -> DataFrame:
 
 def pose_reason(pose: str | Column) -> Column:
     """Why a pose can't be used: its shape, a number that isn't finite, a rotation near zero; null if it can."""
-    p = F.col(pose) if isinstance(pose, str) else pose
-    rotation = [p[i * 4 + j] for i in range(3) for j in range(3)]
-    length = F.sqrt(sum((x * x for x in rotation[1:]), rotation[0] * rotation[0]))
-    return F.when(p.isNull() | (F.size(p) != 16), "bad_shape").when(F.exists(p, lambda x: ~L.finite(x)), "not_finite").when(length < 0.1, "zero_rotation")
+
+    def reason(p: Column) -> Column:
+        rotation = [p[i * 4 + j] for i in range(3) for j in range(3)]
+        length = F.sqrt(sum((x * x for x in rotation[1:]), rotation[0] * rotation[0]))
+        return F.when(p.isNull() | (F.size(p) != 16), "bad_shape").when(F.exists(p, lambda x: ~L.finite(x)), "not_finite").when(length < 0.1, "zero_rotation")
+
+    # as a function of one value, so that a long expression for the pose is there once
+    return F.transform(F.array(F.col(pose) if isinstance(pose, str) else pose), reason)[0]
 
 
 def clean_poses(poses: DataFrame, pose: str = "pose") -> DataFrame:
@@ -176,17 +180,23 @@ def matrix_to_quat(m: str | Column) -> Column:
     return found
 
 
-def sixd_to_matrix(v: str | Column, eps: float = 1e-8) -> Column:
-    """Two columns of a rotation, made orthonormal (Gram-Schmidt), to its rows."""
+def sixd_to_matrix(v: str | Column, eps: float = 1e-8, added: bool = False, transposed: bool = False) -> Column:
+    """Two columns of a rotation, made orthonormal (Gram-Schmidt), and their cross product, as the columns of a row-major matrix.
+
+    A length is ``eps`` at least; or, if ``added``, ``eps`` is added to it, and the third column is divided by its own length, too.
+    ``transposed`` gives the inverse rotation, whose rows they are.
+    """
+    length = lambda u: F.sqrt(u[0] ** 2 + u[1] ** 2 + u[2] ** 2)
+    divisor = lambda u: length(u) + eps if added else F.greatest(length(u), F.lit(eps))
     c = F.col(v) if isinstance(v, str) else v
     a, b = [c[i] for i in range(3)], [c[i] for i in range(3, 6)]
-    n = F.greatest(F.sqrt(a[0] ** 2 + a[1] ** 2 + a[2] ** 2), F.lit(eps))
-    x = [v / n for v in a]
+    x = [u / divisor(a) for u in a]
     along = x[0] * b[0] + x[1] * b[1] + x[2] * b[2]
     y = [b[i] - along * x[i] for i in range(3)]
-    m = F.greatest(F.sqrt(y[0] ** 2 + y[1] ** 2 + y[2] ** 2), F.lit(eps))
-    y = [v / m for v in y]
-    return F.array(*x, *y, *_cross(x, y))
+    y = [u / divisor(y) for u in y]
+    z = _cross(x, y)
+    z = [u / divisor(z) for u in z] if added else z
+    return F.array(*x, *y, *z) if transposed else F.array(*[u[i] for i in range(3) for u in (x, y, z)])
 
 
 def matrix_to_axis_angle(m: str | Column) -> Column:

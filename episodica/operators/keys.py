@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.functions.checks import none_of, not_empty
+
 
 def episode_number(key: str | Column) -> Column:
     """The number in keys such as demo12; null for others."""
@@ -29,13 +31,16 @@ def first_episodes(df: DataFrame, n: int, key: str = "episode", order: str = "nu
     return df.orderBy(*episode_order(df, key, order)).limit(n)
 
 
-def select_views(df: DataFrame, n: int | None = None, wanted: Sequence[str] | None = None, dataset_order: bool = False, cameras: str = "camera_names") -> DataFrame:
-    """``df`` with ``views`` (the first n, or the wanted ones that it has) and ``missing`` (wanted ones that it lacks)."""
+def select_views(df: DataFrame, n: int | None = None, wanted: Sequence[str] | None = None, dataset_order: bool = False, cameras: str = "camera_names", strict: bool = False) -> DataFrame:
+    """``df`` with ``views`` (the first n, or the wanted ones that it has) and ``missing`` (wanted ones that it lacks). ``strict``: a missing view is an error."""
     want = F.array(*[F.lit(x) for x in wanted or []]).cast("array<string>")
     if wanted is None:
         return df.withColumn("views", F.slice(cameras, 1, n)).withColumn("missing", want)
     found = F.filter(cameras, lambda x: F.array_contains(want, x)) if dataset_order else F.filter(want, lambda x: F.array_contains(cameras, x))
-    return df.withColumn("views", found if n is None else F.slice(found, 1, n)).withColumn("missing", F.array_except(want, cameras))
+    picked = df.withColumn("views", found if n is None else F.slice(found, 1, n)).withColumn("missing", F.array_except(want, cameras))
+    if strict:
+        none_of(picked.filter(F.coalesce(F.size("missing"), F.lit(1)) > 0), "a view is missing")
+    return picked
 
 
 def infer_views(df: DataFrame, attribute: str = "camera_attr", names: str = "stream_names") -> DataFrame:
@@ -45,15 +50,17 @@ def infer_views(df: DataFrame, attribute: str = "camera_attr", names: str = "str
     return df.withColumn("views", F.coalesce(listed, by_name))
 
 
-def sample_index(df: DataFrame, length: str, max_frames: int | None = None, key: Sequence[str] = ("episode",)) -> DataFrame:
-    """(key, t): one row for each step of an episode of that length, at most ``max_frames``."""
+def sample_index(df: DataFrame, length: str, max_frames: int | None = None, key: Sequence[str] = ("episode",), strict: bool = False) -> DataFrame:
+    """(key, t): one row for each step of an episode of that length, at most ``max_frames``. ``strict``: no step at all is an error."""
     n = F.col(length) if max_frames is None else F.least(F.col(length), F.lit(max_frames))
-    return df.filter(n > 0).select(*key, F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("t"))
+    steps = df.filter(n > 0).select(*key, F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("t"))
+    return not_empty(steps, "step in any episode") if strict else steps
 
 
-def common_length(streams: DataFrame, key: Sequence[str] = ("episode",), length: str = "n") -> DataFrame:
-    """(key, common, n_streams) of the episodes whose shortest stream isn't empty."""
-    return streams.groupBy(*key).agg(F.min(length).alias("common"), F.count(F.lit(1)).alias("n_streams")).filter("common > 0")
+def common_length(streams: DataFrame, key: Sequence[str] = ("episode",), length: str = "n", strict: bool = False) -> DataFrame:
+    """(key, common, n_streams) of the episodes whose shortest stream isn't empty. ``strict``: none at all is an error."""
+    found = streams.groupBy(*key).agg(F.min(length).alias("common"), F.count(F.lit(1)).alias("n_streams")).filter("common > 0")
+    return not_empty(found, "episode with steps in all streams") if strict else found
 
 
 def drop_short(df: DataFrame, length: str, least: int = 2) -> DataFrame:
@@ -147,12 +154,16 @@ def latest_checkpoint(df: DataFrame, path: str = "path", run: str = "run") -> Da
     return df.groupBy(run).agg(F.max_by(path, path).alias("latest"))
 
 
-def parse_view_groups(cameras: DataFrame, spec: str, name: str = "camera", index: str = "cam_idx", by: Sequence[str] = ("episode",)) -> DataFrame:
-    """``cameras`` with their group of "a,b;c"; each camera that it doesn't list gets a group of its own, after those. A name given twice is an error."""
+def parse_view_groups(cameras: DataFrame, spec: str, name: str = "camera", index: str = "cam_idx", by: Sequence[str] = ("episode",), strict: bool = False) -> DataFrame:
+    """``cameras`` with their group of "a,b;c"; each camera that it doesn't list gets a group of its own, after those. A name given twice is
+    an error; so is, if ``strict``, one that no camera has. An empty spec gives each camera its own group."""
     groups = [[x.strip() for x in g.split(",") if x.strip()] for g in spec.split(";")]
     listed = [(x, i) for i, g in enumerate([g for g in groups if g]) for x in g]
     if len({x for x, _ in listed}) < len(listed):
         raise ValueError(f"a camera is listed twice in {spec!r}")
+    if strict and listed:
+        named = cameras.sparkSession.createDataFrame([(x,) for x, _ in listed], f"{name} string")
+        none_of(named.join(cameras.select(name).distinct(), name, "left_anti"), "an unknown camera")
     n = len([g for g in groups if g])
     known = F.create_map(*[y for x, i in listed for y in (F.lit(x), F.lit(i))])[F.col(name)] if listed else F.lit(None).cast("int")
     tagged = cameras.withColumn("__known", known)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from episodica.functions import linalg as L
 from episodica.operators.joins import pair_similarity
@@ -13,15 +14,33 @@ from episodica.operators.joins import pair_similarity
 
 
 def infonce(q: DataFrame, k: DataFrame, tau: float, batch: str = "batch_id", row: str = "state_id", vec: str = "vec") -> DataFrame:
-    """(batch, loss): mean cross-entropy of each query's own key among the batch's keys."""
+    """(batch, loss): mean cross-entropy of each query's own key among the batch's keys.
+
+    Unit vectors bound every similarity by 1 / tau, so that stands in for the largest one, and each query's pairs are summed in one
+    aggregation. ``tau`` must be over 0.003, as exp(-2 / tau) is a number then.
+    """
+    bound = _bound(tau)
     a = q.select(batch, F.col(row).alias("q"), L.clean_unit(vec).alias("__a"))
     b = k.select(batch, F.col(row).alias("k"), L.clean_unit(vec).alias("__b"))
     pairs = a.join(b, batch).select(batch, "q", "k", (L.dot("__a", "__b") / tau).alias("sim"))
-    top = pairs.groupBy(batch, "q").agg(F.max("sim").alias("top"))
-    each = pairs.join(top, [batch, "q"]).groupBy(batch, "q").agg((F.first("top") + F.log(F.sum(F.exp(F.col("sim") - F.col("top")))) - F.max(F.when(F.col("q") == F.col("k"), F.col("sim")))).alias("loss"))
+    each = pairs.groupBy(batch, "q").agg((F.log(F.sum(F.exp(F.col("sim") - bound))) + bound - F.max(F.when(F.col("q") == F.col("k"), F.col("sim")))).alias("loss"))
     return each.groupBy(batch).agg(F.avg("loss").alias("loss"))
 
 
+def infonce_mixed(rows: DataFrame, tau: float, q: str, positive: str, negatives: str, batch: str = "batch_id", row: str = "state_id") -> DataFrame:
+    """(batch, loss): the mean of :func:`infonce` over the batch's keys and :func:`infonce_paired` over explicit negatives."""
+    keys = lambda c: rows.select(batch, row, F.col(c).alias("vec"))
+    full = infonce(keys(q), keys(positive), tau, batch, row).withColumnRenamed("loss", "__full")
+    paired = infonce_paired(rows, tau, q, positive, negatives, [batch]).withColumnRenamed("loss", "__paired")
+    return full.join(paired, batch).select(batch, (0.5 * (F.col("__full") + F.col("__paired"))).alias("loss"))
+
+
+def _bound(tau: float) -> float:
+    if not tau > 0.003:
+        raise ValueError(f"tau {tau} isn't over 0.003")
+    return 1 / tau
+
+
 def infonce_paired(rows: DataFrame, tau: float, q: str, positive: str, negatives: str, by: Sequence[str]) -> DataFrame:
     """(by, loss): a query's positive against its own explicit negatives."""
     own = L.dot(L.clean_unit(q), L.clean_unit(positive)) / tau
@@ -36,24 +55,38 @@ def _pairs(vectors: DataFrame, tau: float, vec: str) -> DataFrame:
     return pair_similarity(cleaned, "batch_id", "row", "__v", tau, keep=("state_id", "view_id"))
 
 
-def multi_positive_nce(pairs: DataFrame, positive: Column, negative: Column, by: str = "batch_id") -> DataFrame:
-    """(by, loss, n_queries): -(lse over positives - lse over positives and negatives), the mean of the queries that have a positive; 0 if none has."""
-    kept = pairs.withColumns({"__p": positive, "__n": negative}).filter("__p OR __n")
-    top = kept.groupBy(by, "q").agg(F.max("sim").alias("top"))
-    e = F.exp(F.col("sim") - F.col("top"))
-    each = kept.join(top, [by, "q"]).groupBy(by, "q").agg(F.sum(F.when(F.col("__p"), e)).alias("pos"), F.sum(e).alias("all"))
-    scored = each.select(by, F.when(F.col("pos").isNotNull(), F.log("all") - F.log("pos")).alias("loss"))
-    found = scored.groupBy(by).agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"), F.count("loss").alias("n_queries"))
-    missing = pairs.select(by).distinct().join(found, by, "left")
-    return missing.select(by, F.coalesce("loss", F.lit(0.0)).alias("loss"), F.coalesce("n_queries", F.lit(0)).alias("n_queries"))
+def _nce_loss(positive: Column, all_: Column) -> Column:
+    """Of a query's sums: -(log of positives - log of all); null without a positive."""
+    return F.when(positive.isNotNull(), F.log(all_) - F.log(positive))
+
+
+def multi_positive_nce(pairs: DataFrame, positive: Column, negative: Column, tau: float, by: str = "batch_id") -> DataFrame:
+    """(by, loss, n_queries): -(lse over positives - lse over positives and negatives), the mean of the queries that have a positive; 0 if none has.
+
+    ``pairs`` are similarities of unit vectors over ``tau``, so 1 / tau bounds them: one aggregation by query, one by batch.
+    """
+    e = F.exp(F.col("sim") - _bound(tau))
+    each = pairs.groupBy(by, "q").agg(F.sum(F.when(positive, e)).alias("pos"), F.sum(F.when(positive | negative, e)).alias("all"))
+    loss = _nce_loss(F.col("pos"), F.col("all"))
+    return each.groupBy(by).agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias("loss"), F.count(loss).alias("n_queries"))
 
 
 def view_state_contrast(vectors: DataFrame, tau: float, inv: str = "z_inv", dep: str = "z_dep") -> DataFrame:
-    """(batch_id, inv, dep): invariant halves attract other views of a state, dependent ones the same view of other states."""
-    same_state, same_view = F.col("q_state_id") == F.col("k_state_id"), F.col("q_view_id") == F.col("k_view_id")
-    a = multi_positive_nce(_pairs(vectors, tau, inv), same_state & ~same_view, ~same_state)
-    b = multi_positive_nce(_pairs(vectors, tau, dep), same_view & ~same_state, ~same_view)
-    return a.select("batch_id", F.col("loss").alias("inv")).join(b.select("batch_id", F.col("loss").alias("dep")), "batch_id")
+    """(batch_id, inv, dep): invariant halves attract other views of a state, dependent ones the same view of other states.
+
+    Both are summed over one join of a batch's pairs.
+    """
+    bound = _bound(tau)
+    side = lambda p: vectors.select("batch_id", F.struct("state_id", "view_id").alias(p), L.clean_unit(inv).alias(f"__{p}i"), L.clean_unit(dep).alias(f"__{p}d"))
+    pairs = side("q").join(side("k"), "batch_id")
+    same_state, same_view = F.col("q.state_id") == F.col("k.state_id"), F.col("q.view_id") == F.col("k.view_id")
+    both = pairs.withColumns({"__i": F.exp(L.dot("__qi", "__ki") / tau - bound), "__d": F.exp(L.dot("__qd", "__kd") / tau - bound)})
+    each = both.groupBy("batch_id", "q").agg(
+        F.sum(F.when(same_state & ~same_view, F.col("__i"))).alias("ip"), F.sum(F.when((same_state & ~same_view) | ~same_state, F.col("__i"))).alias("ia"),
+        F.sum(F.when(same_view & ~same_state, F.col("__d"))).alias("dp"), F.sum(F.when((same_view & ~same_state) | ~same_view, F.col("__d"))).alias("da"),
+    )
+    mean = lambda p: F.coalesce(F.avg(_nce_loss(F.col(f"{p}p"), F.col(f"{p}a"))), F.lit(0.0))
+    return each.groupBy("batch_id").agg(mean("i").alias("inv"), mean("d").alias("dep"))
 
 
 def consistency(vectors: DataFrame, vec: str, dims: int, group: str, batch: str = "batch_id") -> DataFrame:
@@ -77,18 +110,48 @@ def triplet_hinge(rows: DataFrame, margin: float, anchor: str, positive: str, ne
     return rows.groupBy(*by).agg(F.avg(F.greatest(F.lit(0.0), gap)).alias("loss"))
 
 
-def assign_codes(vectors: DataFrame, codebook: DataFrame, vec: str = "vec", code: str = "code", code_vec: str = "code_vec", beta: float = 1.0, max_codes: int = 65_536) -> DataFrame:
+def assign_codes(vectors: DataFrame, codebook: DataFrame, vec: str = "vec", code: str = "code", code_vec: str = "code_vec", beta: float = 1.0, max_bytes: int = 256_000_000) -> DataFrame:
     """``vectors`` with the nearest code (the smallest of equals) and its error: ``beta`` times the mean squared difference.
 
-    The codebook is checked to have at most ``max_codes`` rows, and goes with each row as one array; a larger one is an error.
+    The codebook is checked to have at most ``max_bytes`` of doubles before it goes to the tasks; a larger one is an error. Blocks of
+    vectors are multiplied with it; where several codes are nearest by that, their exact distances decide. A null vector has neither.
     """
-    n = codebook.count()
-    if n > max_codes:
-        raise ValueError(f"{n} codes are more than {max_codes}")
-    book = codebook.agg(F.array_sort(F.collect_list(F.struct(F.col(code).alias("c"), F.col(code_vec).alias("v")))).alias("__book"))
-    distances = F.transform("__book", lambda x: F.struct(L.squared_distance(vec, x["v"]).alias("d"), x["c"].alias("c")))
-    best = vectors.join(F.broadcast(book)).withColumn("__best", F.array_min(distances))
-    return best.withColumns({code: F.col("__best.c"), "error": F.col("__best.d") / F.size(vec) * beta}).drop("__best", "__book")
+    import numpy as np
+    import pyarrow as pa
+
+    size = codebook.agg(F.sum(F.size(code_vec).cast("long") * 8)).first()[0] or 0
+    if size > max_bytes:
+        raise ValueError(f"{size} bytes of codes are more than {max_bytes}")
+    rows = codebook.filter(F.col(code_vec).isNotNull()).orderBy(code).select(code, F.col(code_vec).cast("array<double>")).collect()
+    names, book = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
+    at, kind = vectors.columns.index(vec), codebook.schema[code].dataType
+    block = max(1, 2_000_000 // max(1, len(names)))
+
+    def nearest(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        squares = (v * v).sum(axis=1)[:, None] + (book * book).sum(axis=1)
+        rough = squares - 2 * v @ book.T
+        near = rough <= rough.min(axis=1)[:, None] + 1e-9 * (1 + squares)
+        row, candidate = np.nonzero(near)
+        exact = ((v[row] - book[candidate]) ** 2).sum(axis=1)
+        order = np.lexsort((candidate, exact, row))
+        first = order[np.r_[True, np.diff(row[order]) > 0]]
+        return candidate[first], exact[first]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            valid = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)) if names else np.empty(0, np.int64)
+            found, error = [None] * batch.num_rows, [None] * batch.num_rows
+            for i in range(0, len(valid), block):
+                mine = valid[i : i + block]
+                v = column.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), -1).astype(np.float64)
+                best, distance = nearest(v)
+                for r, c, d in zip(mine.tolist(), best.tolist(), (distance / v.shape[1] * beta).tolist(), strict=True):
+                    found[r], error[r] = names[c], d
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.from_numpy_dtype(np.int64) if kind.typeName() == "bigint" else pa.int32() if kind.typeName() == "integer" else pa.string()), pa.array(error, pa.float64())], names=[*batch.schema.names, code, "error"])
+
+    schema = StructType([*vectors.schema.fields, StructField(code, kind), StructField("error", DoubleType())])
+    return vectors.mapInArrow(run, schema)
 
 
 def fit_codebook(vectors: DataFrame, k: int, vec: str = "vec", iterations: int = 10, seed: int = 0) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from episodica.functions.checks import not_empty
+
 
 def _over(by: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
@@ -76,13 +78,15 @@ def padded_windows(steps: DataFrame, horizon: int, n_obs: int, value: str, by: S
     return found.select(*by, order, F.slice("actions", 1, n_obs).alias("obs"), "actions")
 
 
-def strided_windows(steps: DataFrame, length: int, stride: int, value: str, by: Sequence[str] = ("episode",), order: str = "t") -> DataFrame:
-    """(by, start, values): windows of ``length`` rows, one every ``stride`` from an episode's first; short episodes have none."""
+def strided_windows(steps: DataFrame, length: int, stride: int, value: str, by: Sequence[str] = ("episode",), order: str = "t", strict: bool = False) -> DataFrame:
+    """(by, start, values): windows of ``length`` rows, one every ``stride`` from an episode's first; short episodes have none. ``strict``:
+    no window at all is an error."""
     w = _over(by, [order])
     at = F.row_number().over(w) - 1
     ahead = F.collect_list(F.coalesce(F.struct(F.col(value).alias("v")), F.struct(F.lit(None).alias("v")))).over(w.rowsBetween(0, length - 1))
     found = steps.select(*by, at.cast("long").alias("start"), ahead.alias("w")).filter((F.col("start") % stride == 0) & (F.size("w") == length))
-    return found.select(*by, "start", F.transform("w", lambda x: x["v"]).alias("values"))
+    whole = found.select(*by, "start", F.transform("w", lambda x: x["v"]).alias("values"))
+    return not_empty(whole, f"episode of {length} rows") if strict else whole
 
 
 def action_slice(windows: DataFrame, n_obs: int, n_act: int, actions: str = "actions") -> DataFrame:

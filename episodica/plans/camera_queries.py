@@ -14,8 +14,8 @@ from episodica.plans import tables as T
 
 
 def poses(spark: SparkSession, sf: str) -> DataFrame:
-    """A camera for each vector: rotation from elements 0..5, translation from 10..12."""
-    rows = T.latents(spark, sf).select("vec_id", F.col("state_id").alias("episode"), F.col("view_id").alias("cam_idx"), "label", "vec", G.sixd_to_matrix("vec").alias("R"), F.slice("vec", 11, 3).alias("t"))
+    """A camera for each vector: a rotation whose rows come from elements 0..5, translation from 10..12."""
+    rows = T.latents(spark, sf).select("vec_id", F.col("state_id").alias("episode"), F.col("view_id").alias("cam_idx"), "label", "vec", G.sixd_to_matrix("vec", transposed=True).alias("R"), F.slice("vec", 11, 3).alias("t"))
     flat = [x for i in range(3) for x in (*[F.col("R")[i * 3 + j] for j in range(3)], F.col("t")[i])]
     k = F.array(F.lit(100.0), F.lit(0.0), F.lit(32.0), F.lit(0.0), F.lit(110.0), F.lit(24.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
     return rows.withColumn("world_T_cam", F.array(*flat, *map(F.lit, (0.0, 0.0, 0.0, 1.0)))).withColumn("K", k)
@@ -67,10 +67,10 @@ def g7(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def g8(spark: SparkSession, sf: str) -> DataFrame:
-    rows = T.latents(spark, sf).select("vec_id", G.quat_to_matrix(F.slice("vec", 1, 4)).alias("m"), F.slice("vec", 1, 4).alias("q"), F.slice("vec", 5, 4).alias("p"))
+    rows = T.latents(spark, sf).select("vec_id", G.quat_to_matrix(F.slice("vec", 1, 4)).alias("m"), G.sixd_to_matrix("vec").alias("sixd"), F.slice("vec", 1, 4).alias("q"), F.slice("vec", 5, 4).alias("p"))
     found = rows.withColumns({"a": G.matrix_to_axis_angle("m"), "back": G.matrix_to_quat("m"), "prod": G.quat_product("q", "p")})
     sign = F.signum(L.dot("back", "q"))
-    return found.select("vec_id", *_cells("m", 9), F.round(sign * F.col("back")[2] * L.norm("q"), 6).alias("q2"), F.round(F.col("prod")[1], 8).alias("prod1"), F.round(L.norm("a"), 6).alias("angle"))
+    return found.select("vec_id", *_cells("m", 9), *[F.round(F.col("sixd")[i], 8).alias(f"d{i}") for i in range(9)], F.round(sign * F.col("back")[2] * L.norm("q"), 6).alias("q2"), F.round(F.col("prod")[1], 8).alias("prod1"), F.round(L.norm("a"), 6).alias("angle"))
 
 
 def g9(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,7 +192,7 @@ v AS (SELECT episode, t0, coalesce(early, CASE WHEN length < 1e-4::DOUBLE OR len
     "g5_scale_intrinsics": f"WITH {T.LATENTS} SELECT vec_id, {', '.join(f'round(vec[{i + 1}] * 1000 * {(128 / 1280) if i < 3 else (128 / 720) if i < 6 else 1.0}::DOUBLE, 8) AS m{i}' for i in range(9))} FROM latents",
     "g6_rig_table": "WITH s AS (SELECT p_partkey, p_size / 10.0::DOUBLE + 0.5::DOUBLE AS r, radians(p_partkey % 360) AS th, radians(p_partkey % 80 - 40) AS ph FROM part) SELECT p_partkey, round(r * cos(ph) * cos(th), 8) + 0.0::DOUBLE AS p0, round(0.6::DOUBLE + r * cos(ph) * sin(th), 8) + 0.0::DOUBLE AS p1, round(r * sin(ph), 8) + 0.0::DOUBLE AS p2, round(-sin(th), 8) + 0.0::DOUBLE AS x0, round(cos(th), 8) + 0.0::DOUBLE AS x1, round(cos(ph), 8) + 0.0::DOUBLE AS y2, round(sin(ph), 8) + 0.0::DOUBLE AS z2, round(64 / tan(radians(22.5::DOUBLE)), 6) AS f, 63.5::DOUBLE AS c FROM s",
     "g7_orbit_params": f"WITH {T.LATENTS}, d AS (SELECT vec_id, vec[1] - vec[4] AS x, vec[2] - vec[5] AS y, vec[3] - vec[6] AS z FROM latents) SELECT vec_id, round(sqrt(x * x + y * y + z * z), 6) AS distance, round(degrees(atan2(y, x)), 6) AS azimuth, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) AS elevation FROM d",
-    "g8_convert_rotation": f"WITH {T.LATENTS}, q AS (SELECT vec_id, vec, vec[1] / {_QN} AS w, vec[2] / {_QN} AS x, vec[3] / {_QN} AS y, vec[4] / {_QN} AS z FROM latents) SELECT vec_id, round(1 - 2 * (y * y + z * z), 8) AS m0, round(2 * (x * y - w * z), 8) AS m1, round(2 * (x * z + w * y), 8) AS m2, round(2 * (x * y + w * z), 8) AS m3, round(1 - 2 * (x * x + z * z), 8) AS m4, round(2 * (y * z - w * x), 8) AS m5, round(2 * (x * z - w * y), 8) AS m6, round(2 * (y * z + w * x), 8) AS m7, round(1 - 2 * (x * x + y * y), 8) AS m8, round(vec[3], 6) AS q2, round(vec[1] * vec[6] + vec[2] * vec[5] + vec[3] * vec[8] - vec[4] * vec[7], 8) AS prod1, round(2 * acos(least(abs(w), 1)), 6) AS angle FROM q",
+    "g8_convert_rotation": f"WITH {POSES}, q AS (SELECT vec_id, vec, vec[1] / {_QN} AS w, vec[2] / {_QN} AS x, vec[3] / {_QN} AS y, vec[4] / {_QN} AS z FROM latents) SELECT q.vec_id, round(1 - 2 * (q.y * q.y + q.z * q.z), 8) AS m0, round(2 * (x * y - w * z), 8) AS m1, round(2 * (x * z + w * y), 8) AS m2, round(2 * (x * y + w * z), 8) AS m3, round(1 - 2 * (x * x + z * z), 8) AS m4, round(2 * (y * z - w * x), 8) AS m5, round(2 * (x * z - w * y), 8) AS m6, round(2 * (y * z + w * x), 8) AS m7, round(1 - 2 * (x * x + y * y), 8) AS m8, round(vec[3], 6) AS q2, round(vec[1] * vec[6] + vec[2] * vec[5] + vec[3] * vec[8] - vec[4] * vec[7], 8) AS prod1, round(2 * acos(least(abs(w), 1)), 6) AS angle, {', '.join(f'round(p.{"xyz"[i % 3]}{i // 3}, 8) AS d{i}' for i in range(9))} FROM q JOIN (SELECT vec_id, x0, x1, x2, y0, y1, y2, z0, z1, z2 FROM poses) p USING (vec_id)",
     "g9_rays": f"WITH {T.LATENTS}, p AS (SELECT vec_id, unnest(range(48))::INT AS pixel FROM latents) SELECT vec_id, pixel, round((pixel % 8 + 0.5::DOUBLE - 32) / 100, 8) AS x, round((pixel // 8 + 0.5::DOUBLE - 24) / 110, 8) AS y, 1.0::DOUBLE AS z FROM p",
     "g10_split_channels": f"WITH {T.LATENTS}, p AS (SELECT vec_id, vec, unnest(range(2))::INT AS g FROM latents) SELECT vec_id, g, vec[1 + g] AS depth, vec[5 + 3 * g] AS o2, vec[9 + g] AS opacity, vec[11 + 3 * g] AS s0, vec[20 + 4 * g] AS r3, vec[26 + 3 * g] AS d1, vec[39 + 9 * g] AS x8 FROM p",
     "g11_backproject": f"WITH {CLOUDS} SELECT vec_id, g::INT AS g, round(z_depth, 8) AS depth, round(cx, 8) AS x0, round(cy, 8) AS x1, round(cz, 8) AS x2 FROM placed",

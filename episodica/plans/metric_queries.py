@@ -17,14 +17,14 @@ def lineitem(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a1(spark: SparkSession, sf: str) -> DataFrame:
-    found = M.normalizer_stats(T.latents(spark, sf), "vec", 4, ["label"])
-    return found.select("label", *[F.round(F.col(c)[i], 8).alias(f"{c}_{i}") for c in ("mean", "std") for i in range(4)])
+    found = M.normalizer_stats(T.latents(spark, sf), "vec", 64, ["label"])
+    return found.select("label", *[F.round(F.col(c)[i], 6).alias(f"{c}_{i}") for c in ("mean", "std") for i in range(64)])
 
 
 def a2(spark: SparkSession, sf: str) -> DataFrame:
-    rows = T.latents(spark, sf).select("vec_id", F.slice("vec", 1, 2).alias("v"))
-    found = M.normalize(rows, M.normalizer_stats(rows, "v", 2), "v")
-    return found.select("vec_id", F.round(F.col("v")[0], 6).alias("n0"), F.round(F.col("v")[1], 6).alias("n1"))
+    rows = T.latents(spark, sf).select("vec_id", F.col("vec").alias("v"))
+    found = M.normalize(rows, M.normalizer_stats(rows, "v", 64), "v")
+    return found.select("vec_id", F.posexplode("v").alias("i", "n")).select("vec_id", "i", F.round("n", 5).alias("n"))
 
 
 def a3(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,8 +113,13 @@ def l2b(spark: SparkSession, sf: str) -> DataFrame:
     return E.infonce_paired(rows, 0.1, "z_inv", "z_dep", "negatives", ["batch_id"]).select("batch_id", F.round("loss", 6).alias("loss"))
 
 
+def l2c(spark: SparkSession, sf: str) -> DataFrame:
+    rows = T.latents(spark, sf).withColumn("negatives", F.array(F.reverse("z_dep"), F.reverse("z_inv")))
+    return E.infonce_mixed(rows, 0.1, "z_inv", "z_dep", "negatives", row="vec_id").select("batch_id", F.round("loss", 6).alias("loss"))
+
+
 def l3(spark: SparkSession, sf: str) -> DataFrame:
-    found = E.multi_positive_nce(E._pairs(T.latents(spark, sf), 0.5, "vec"), (F.col("q_state_id") == F.col("k_state_id")) & (F.col("q_view_id") < F.col("k_view_id")), F.col("q_state_id") != F.col("k_state_id"))
+    found = E.multi_positive_nce(E._pairs(T.latents(spark, sf), 0.5, "vec"), (F.col("q_state_id") == F.col("k_state_id")) & (F.col("q_view_id") < F.col("k_view_id")), F.col("q_state_id") != F.col("k_state_id"), 0.5)
     return found.select("batch_id", F.round("loss", 6).alias("loss"), "n_queries")
 
 
@@ -190,12 +195,12 @@ def l15(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "a1_normalizer_stats": a1, "a2_normalize": a2, "a3_episode_return": a3, "a4_eval_by_view": a4, "a5_validation_means": a5, "a6_reject_ledger": a6, "a7_nonfinite_guard": a7, "a8_reconstruction_error": a8, "a9_psnr_by_view": a9,
-    "a12_weighted_total": a12, "a13_catalog_counts": a13, "a14_metric_downsample": a14, "a15_axis_limits": a15, "a16_variant_deltas": a16, "a17_metrics_long": a17, "l1_clean_l2": l1, "l2_infonce": l2, "l2b_infonce_paired": l2b,
+    "a12_weighted_total": a12, "a13_catalog_counts": a13, "a14_metric_downsample": a14, "a15_axis_limits": a15, "a16_variant_deltas": a16, "a17_metrics_long": a17, "l1_clean_l2": l1, "l2_infonce": l2, "l2b_infonce_paired": l2b, "l2c_infonce_mixed": l2c,
     "l3_multi_positive_nce": l3, "l4_view_state_contrast": l4, "l5_consistency": l5, "l6_ratio_contrast": l6, "l7_triplet_hinge": l7, "l8_assign_codes": l8, "l9_fit_codebook": l9, "l10_code_usage": l10, "l11_fsq_codes": l11, "l12_gaussian_kl": l12,
     "l13_embed_2d": l13, "l14_fuse": l14, "l15_swap_matrix": l15,
 }
 
-_STATS = ", ".join(f"round(avg(vec[{i + 1}]), 8) AS mean_{i}, round(greatest(stddev_samp(vec[{i + 1}]), 1e-6::DOUBLE), 8) AS std_{i}" for i in range(4))
+_STATS = ", ".join(f"round(avg(vec[{i + 1}]), 6) AS mean_{i}, round(greatest(stddev_samp(vec[{i + 1}]), 1e-6::DOUBLE), 6) AS std_{i}" for i in range(64))
 _RETURNS = f"{IDS}, ret AS (SELECT actor, episode, sum(reward) AS ret, max(success::INT) AS success FROM ids GROUP BY 1, 2)"
 _DIST = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 _UNIT = lambda v: f"list_transform({v}, lambda e: e / greatest(sqrt(list_dot_product({v}, {v})), 1e-6::DOUBLE))"
@@ -205,7 +210,8 @@ _BOOK = f"{T.LATENTS}, x AS (SELECT label, unnest(vec) AS x, generate_subscripts
 
 ORACLE_SQL = {
     "a1_normalizer_stats": f"WITH {T.LATENTS} SELECT label, {_STATS} FROM latents GROUP BY 1",
-    "a2_normalize": f"WITH {T.LATENTS} SELECT vec_id, round((vec[1] - avg(vec[1]) OVER ()) / greatest(stddev_samp(vec[1]) OVER (), 1e-6::DOUBLE), 6) AS n0, round((vec[2] - avg(vec[2]) OVER ()) / greatest(stddev_samp(vec[2]) OVER (), 1e-6::DOUBLE), 6) AS n1 FROM latents",
+    "a2_normalize": f"""WITH {T.LATENTS}, e AS (SELECT vec_id, unnest(range(64))::INT AS i, unnest(vec) AS v FROM latents)
+SELECT vec_id, i, round((v - avg(v) OVER w) / greatest(stddev_samp(v) OVER w, 1e-6::DOUBLE), 5) AS n FROM e WINDOW w AS (PARTITION BY i)""",
     "a3_episode_return": f"WITH {_RETURNS} SELECT actor, episode, round(ret, 6) AS ret, success FROM ret",
     "a4_eval_by_view": f"WITH {_RETURNS}, v AS (SELECT actor % 6 AS view, avg(ret) AS r, avg(success) AS s FROM ret GROUP BY 1) SELECT view, round(r, 6) AS mean_return, round(s, 8) AS mean_success FROM v UNION ALL SELECT NULL, round(avg(r), 6), round(avg(s), 8) FROM v",
     "a5_validation_means": "SELECT 'q' AS name, round(avg(l_quantity), 6) AS mean FROM lineitem UNION ALL SELECT 'd', round(100 * avg(l_discount), 6) FROM lineitem UNION ALL SELECT 'x', round(avg(l_tax), 6) FROM lineitem",
@@ -237,3 +243,8 @@ ORACLE_SQL = {
     "l14_fuse": f"WITH {T.LATENTS} SELECT vec_id, 64::INT AS n, vec[34] AS c33, round(z_inv[2] + z_dep[2], 8) AS p1 FROM latents",
     "l15_swap_matrix": f"WITH {T.LATENTS}, f AS (SELECT batch_id AS episode, state_id % 10 AS t, view_id AS camera, z_inv, z_dep FROM latents) SELECT a.episode, a.camera AS inv_camera, a.t AS inv_t, b.camera AS dep_camera, b.t AS dep_t, round(a.z_inv[1] + b.z_dep[1], 8) AS f0 FROM f a JOIN f b ON a.episode = b.episode AND b.t = CASE WHEN a.t = 0 THEN 1 ELSE 0 END AND a.camera <> b.camera",
 }
+ORACLE_SQL["l2c_infonce_mixed"] = (
+    "SELECT batch_id, round(0.5::DOUBLE * (f.loss + p.loss), 6) AS loss FROM "
+    f"({ORACLE_SQL['l2_infonce'].replace('round(avg(loss), 6)', 'avg(loss)')}) f JOIN "
+    f"({ORACLE_SQL['l2b_infonce_paired'].replace('round(avg(ln(exp(p) + exp(n) + exp(m)) - p), 6)', 'avg(ln(exp(p) + exp(n) + exp(m)) - p)')}) p USING (batch_id)"
+)

@@ -9,7 +9,7 @@ from episodica.operators import gaussians as G
 from episodica.plans import tables as T
 from episodica.plans.camera_queries import clouds
 from episodica.plans.key_queries import LISTS, lists
-from episodica.plans.window_queries import IDS, ids
+from episodica.plans.window_queries import IDS
 from episodica.plans.stream_queries import shared
 from episodica.sources import episodes as S
 
@@ -62,9 +62,7 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
 
 def s12(spark: SparkSession, sf: str) -> DataFrame:
     """The states of the log: one for each transition, and the terminal one that follows an end."""
-    rows = ids(spark, sf)
-    ends = rows.filter("done").select("actor", (F.col("state_id") + 1).alias("state_id"), "episode", (F.col("step") + 1).alias("step"), F.lit(False).alias("has_transition"))
-    return rows.select("actor", "state_id", "episode", "step", F.lit(True).alias("has_transition")).unionByName(ends)
+    return S.episode_states(S.add_transitions(T.log(spark, sf)))
 
 
 def s13(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,7 +15,12 @@ from episodica.streaming import replay as R
 
 def shared(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share, as the session names it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    jsc = spark.sparkContext._jsc.sc()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-stream-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -29,10 +34,15 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 def drained(spark: SparkSession, stream: DataFrame, name: str, stateful: bool = True) -> DataFrame:
     """The stream's rows after it has read all there is, from a Parquet sink."""
     out = shared(spark, name)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
     if stateful:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", R.STATE_STORE)
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
-    query.awaitTermination()
+        spark.conf.set(setting, R.STATE_STORE)
+    try:
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -68,9 +78,9 @@ def t4(spark: SparkSession, sf: str) -> DataFrame:
 def t5(spark: SparkSession, sf: str) -> DataFrame:
     out = shared(spark, "newest")
     rows = events(spark, sf).select(F.col("event_id").alias("transition_id"), "actor")
-    query = rows.writeStream.foreachBatch(lambda batch, _: R.keep_newest(batch, out, 500)).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
+    query = rows.writeStream.foreachBatch(lambda batch, number: R.retain_newest(batch, number, out, 500)).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return R.read_newest(spark, out, 500)
 
 
 def t6(spark: SparkSession, sf: str) -> DataFrame:

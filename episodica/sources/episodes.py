@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.operators.ranks import ordered_rank
+from episodica.operators.windows import assign_ids
+
 TABLES = ("episodes", "cameras", "steps", "frames")
 
 
@@ -31,11 +34,12 @@ def read_episodes(spark: SparkSession, root: str) -> Dataset:
 
 
 def next_keys(new: DataFrame, existing: DataFrame | None, order: Sequence[str], key: str = "episode") -> DataFrame:
-    """``new`` with keys demo<n> that follow the largest number there (from 1), in order. The new episodes of one append are few."""
+    """``new`` with keys demo<n> that follow the largest number there (from 1), in order; ranges of the order are numbered apart."""
     base = 0
     if existing is not None:
         base = existing.agg(F.max(F.expr(f"try_cast(nullif(regexp_extract({key}, '([0-9]+)$', 1), '') AS bigint)"))).first()[0] or 0
-    return new.withColumn(key, F.concat(F.lit("demo"), (F.row_number().over(Window.orderBy(*order)) + base).cast("string")))
+    ranked = ordered_rank(new, *order, name="__rank")
+    return ranked.withColumn(key, F.concat(F.lit("demo"), (F.col("__rank") + 1 + base).cast("string"))).drop("__rank")
 
 
 def append_episodes(new: DataFrame, path: str, order: Sequence[str], resume: bool = True) -> DataFrame:
@@ -57,22 +61,76 @@ def replace_episodes(existing: DataFrame, new: DataFrame, key: Sequence[str] = (
     return existing.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new)
 
 
+#: Folders that a stored table's episodes are dealt to: what is rewritten when one is replaced.
+BUCKETS = 64
+
+
+def _bucket(key: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def store_episodes(df: DataFrame, path: str, key: Sequence[str] = ("episode",), buckets: int = BUCKETS) -> None:
+    """Writes ``df`` by buckets of its key, so that :func:`replace_stored` rewrites few of them."""
+    df.withColumn("bucket", _bucket(key, buckets)).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def replace_stored(new: DataFrame, path: str, key: Sequence[str] = ("episode",), buckets: int = BUCKETS) -> None:
+    """Replaces, in the table that :func:`store_episodes` wrote, the rows with the keys of ``new``; episodes that aren't there are added.
+
+    Only the buckets of those keys are read and written again; Spark puts them in place when the whole write is done.
+    """
+    spark = new.sparkSession
+    marked = new.withColumn("bucket", _bucket(key, buckets))
+    touched = [r[0] for r in marked.select("bucket").distinct().collect()]  # at most ``buckets``
+    stored = spark.read.parquet(path)
+    old = stored.filter(F.col("bucket").isin(touched)).select(marked.columns)
+    whole = replace_episodes(old, marked, key)
+    whole.repartition("bucket").write.option("partitionOverwriteMode", "dynamic").partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def add_transitions(new: DataFrame, last: DataFrame | None = None, actor: str = "actor", order: Sequence[str] = ("ts", "event_id"), done: str = "done") -> DataFrame:
+    """``new`` transitions with transition_id, episode, step and state_id, which follow those in ``last`` (actor, transition_id, episode,
+    step, done: each actor's last transition; null or absent: none yet). A state stands before each transition, one more after an end."""
+    steps = assign_ids(new, actor, order, done)
+    if last is None:
+        return steps
+    ended = F.col(done).cast("long")
+    before = last.select(F.col(actor), (F.col("transition_id") + 1).alias("__t"), (F.col("episode") + ended).alias("__e"), F.when(F.col(done), 0).otherwise(F.col("step") + 1).alias("__s"))
+    joined = steps.join(before, actor, "left")
+    plus = lambda c, x: F.col(c) + F.coalesce(x, F.lit(0))
+    step = F.when(F.col("episode") == 0, plus("step", F.col("__s"))).otherwise(F.col("step"))
+    moved = joined.withColumns({"transition_id": plus("transition_id", F.col("__t")), "state_id": plus("state_id", F.col("__t") + F.col("__e")), "episode": plus("episode", F.col("__e")), "step": step})
+    return moved.select(steps.columns)
+
+
+def episode_states(steps: DataFrame, actor: str = "actor", done: str = "done") -> DataFrame:
+    """(actor, state_id, episode, step, has_transition): the state before each transition, and the terminal one after an end."""
+    rows = [F.struct(F.col("state_id"), F.col("step"), F.lit(True).alias("has_transition")), F.struct((F.col("state_id") + 1).alias("state_id"), (F.col("step") + 1).alias("step"), F.lit(False).alias("has_transition"))]
+    both = F.when(F.col(done), F.array(*rows)).otherwise(F.array(rows[0]))
+    return steps.select(actor, "episode", F.explode(both).alias("s")).select(actor, "s.state_id", "episode", "s.step", "s.has_transition")
+
+
 def validate_layout(episodes: DataFrame, cameras: DataFrame, streams: DataFrame, views: Sequence[str], strict: bool = False) -> DataFrame:
-    """(episode, problem, view): no_camera_names, view_absent, stream_missing, parameters_missing, unknown_episode. ``strict`` raises if any."""
-    listed = episodes.select("episode", "camera_names")
-    wanted = listed.filter("size(camera_names) > 0").select("episode", "camera_names", F.explode(F.array(*map(F.lit, views))).alias("view"))
-    present = wanted.filter(F.array_contains("camera_names", F.col("view"))).select("episode", "view")
-    rgb = streams.filter(F.col("stream").endswith("_rgb")).select("episode", F.regexp_replace("stream", "_rgb$", "").alias("view")).distinct()
-    named = cameras.select("episode", F.col("camera").alias("view")).distinct()
-    problem = lambda df, name, view: df.select("episode", F.lit(name).alias("problem"), view.alias("view"))
-    found = problem(listed.filter("camera_names IS NULL OR size(camera_names) = 0"), "no_camera_names", F.lit(None).cast("string"))
-    found = found.unionByName(problem(wanted.filter(~F.array_contains("camera_names", F.col("view"))), "view_absent", F.col("view")))
-    found = found.unionByName(problem(present.join(rgb, ["episode", "view"], "left_anti"), "stream_missing", F.col("view")))
-    found = found.unionByName(problem(present.join(named, ["episode", "view"], "left_anti"), "parameters_missing", F.col("view")))
-    found = found.unionByName(problem(streams.select("episode").distinct().join(listed, "episode", "left_anti"), "unknown_episode", F.lit(None).cast("string")))
-    if strict and (bad := found.first()):
+    """(episode, problem, view): no_camera_names, view_absent, stream_missing, parameters_missing, unknown_episode. ``strict`` raises if any.
+
+    Each table is read once; its facts meet in one aggregation by episode, whose lists are no longer than an episode's cameras.
+    """
+    names, nothing = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+    facts = episodes.select("episode", F.lit(True).alias("listed"), F.col("camera_names").alias("names"), nothing.alias("rgb"), nothing.alias("camera"), F.lit(False).alias("stream"))
+    view = F.when(F.col("stream").endswith("_rgb"), F.regexp_replace("stream", "_rgb$", ""))
+    facts = facts.unionByName(streams.select("episode", F.lit(False).alias("listed"), names.alias("names"), view.alias("rgb"), nothing.alias("camera"), F.lit(True).alias("stream")))
+    facts = facts.unionByName(cameras.select("episode", F.lit(False).alias("listed"), names.alias("names"), nothing.alias("rgb"), "camera", F.lit(False).alias("stream")))
+    by = facts.groupBy("episode").agg(F.max("listed").alias("listed"), F.first("names", ignorenulls=True).alias("names"), F.collect_set("rgb").alias("rgb"), F.collect_set("camera").alias("cameras"), F.max("stream").alias("stream"))
+    problem = lambda name, test, view=None: F.when(test, F.struct(F.lit(name).alias("problem"), F.lit(view).cast("string").alias("view")))
+    some = F.col("listed") & (F.coalesce(F.size("names"), F.lit(0)) > 0)
+    found = [problem("no_camera_names", F.col("listed") & ~some), problem("unknown_episode", ~F.col("listed") & F.col("stream"))]
+    for v in views:
+        has = F.array_contains("names", v)
+        found += [problem("view_absent", some & ~has, v), problem("stream_missing", some & has & ~F.array_contains("rgb", v), v), problem("parameters_missing", some & has & ~F.array_contains("cameras", v), v)]
+    problems = by.select("episode", F.explode(F.array_compact(F.array(*found))).alias("p")).select("episode", "p.problem", "p.view")
+    if strict and (bad := problems.first()):
         raise ValueError(f"{bad['episode']}: {bad['problem']} {bad['view'] or ''}")
-    return found
+    return problems
 
 
 CALIBRATION = "map<string,struct<left_cam:struct<pose:array<array<double>>,focal:double,principal_point:array<double>>,right_cam:struct<pose:array<array<double>>,focal:double,principal_point:array<double>>,relative_path:string,quality_metric:int>>"

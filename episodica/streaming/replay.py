@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> list[dict[str, Any]]:
-    found = [r for part in rows for r in part.to_dict("records")]
-    return sorted(found, key=lambda r: (r["ts"], r["event_id"]))
+def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of a micro-batch by time, as columns."""
+    return pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
 
 
 class _Numbering(StatefulProcessor):
@@ -26,12 +26,15 @@ class _Numbering(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         t, episode, step = self.next.get() if self.next.exists() else (0, 0, 0)
-        out = []
-        for r in _ordered(rows):
-            out.append((key[0], r["ts"], r["event_id"], r["reward"], r["done"], r["success"], t, episode, step, t + episode))
-            t, episode, step = (t + 1, episode + 1, 0) if r["done"] else (t + 1, episode, step + 1)
-        self.next.update((t, episode, step))
-        yield pd.DataFrame(out, columns=["actor", "ts", "event_id", "reward", "done", "success", "transition_id", "episode", "step", "state_id"])
+        found = _ordered(rows)
+        done, at = found["done"].to_numpy(bool), np.arange(len(found))
+        ended = np.r_[0, np.cumsum(done)[:-1]]  # episodes that ended before
+        begin = np.maximum.accumulate(np.where(np.r_[True, done[:-1]], at, 0))
+        found["transition_id"], found["episode"] = t + at, episode + ended
+        found["step"] = at - begin + np.where(ended == 0, step, 0)
+        found["state_id"] = found["transition_id"] + found["episode"]
+        self.next.update((int(t + len(found)), int(episode + done.sum()), 0 if done[-1] else int(found["step"].iloc[-1]) + 1))
+        yield found.assign(actor=key[0])[["actor", "ts", "event_id", "reward", "done", "success", "transition_id", "episode", "step", "state_id"]]
 
     def close(self) -> None:
         pass
@@ -58,8 +61,9 @@ class _NStep(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         held = [tuple(x) for x in self.open.get()]
         out = []
-        for r in _ordered(rows):
-            held.append((r["event_id"], r["reward"], bool(r["done"])))
+        new = _ordered(rows)
+        for event, gain, ends in zip(new["event_id"].tolist(), new["reward"].tolist(), new["done"].tolist(), strict=True):
+            held.append((event, gain, bool(ends)))
             if len(held) == self.n:
                 total, factor = 0.0, 1.0
                 for _, reward, done in held:
@@ -67,7 +71,7 @@ class _NStep(StatefulProcessor):
                     factor *= 0.0 if done else self.gamma
                 out.append((key[0], held[0][0], total, factor))
                 held = held[1:]
-            if r["done"]:
+            if ends:
                 held = []
         self.open.put(held) if held else self.open.clear()
         yield pd.DataFrame(out, columns=["actor", "event_id", "n_return", "n_discount"])
@@ -93,9 +97,10 @@ class _Rolling(StatefulProcessor):
         last = [tuple(x) for x in self.last.get()]
         ret, success, episode = self.now.get() if self.now.exists() else (0.0, 0.0, 0)
         out = []
-        for r in _ordered(rows):
-            ret, success = ret + r["reward"], max(success, float(r["success"]))
-            if r["done"]:
+        new = _ordered(rows)
+        for gain, won, ends in zip(new["reward"].tolist(), new["success"].tolist(), new["done"].tolist(), strict=True):
+            ret, success = ret + gain, max(success, float(won))
+            if ends:
                 last = [*last, (ret, success)][-self.size :]
                 out.append((key[0], episode, sum(x[0] for x in last) / len(last), sum(x[1] for x in last) / len(last)))
                 ret, success, episode = 0.0, 0.0, episode + 1
@@ -130,7 +135,8 @@ def stream_catalog(steps: DataFrame, late: str = "1 day", window: str = "1 day")
 
 
 def keep_newest(batch: DataFrame, path: str, max_size: int, id_col: str = "transition_id") -> None:
-    """For foreachBatch: the table at ``path`` with the batch, without what the newest ``max_size`` ids push out. Written beside, then named current."""
+    """For foreachBatch: the table at ``path`` with the batch, without what the newest ``max_size`` ids push out. Written beside, then named
+    current, as a whole: for small tables. A large one, or one that must outlive a lost driver, is kept by :func:`retain_newest`."""
     spark = batch.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
     current, staged = hadoop.Path(path), f"{path}-next"
@@ -142,3 +148,38 @@ def keep_newest(batch: DataFrame, path: str, max_size: int, id_col: str = "trans
     whole.filter(F.col(id_col) > newest - max_size).write.mode("overwrite").parquet(staged)
     fs.delete(current, True)
     fs.rename(hadoop.Path(staged), current)
+
+
+def retain_newest(batch: DataFrame, number: int, path: str, max_size: int, id_col: str = "transition_id", width: int | None = None) -> None:
+    """For foreachBatch: adds micro-batch ``number`` to the table at ``path``, and drops what the newest ``max_size`` ids push out.
+
+    The table is dealt to folders by range of ids (``width`` ids each) and by batch. A batch that is tried again overwrites its own folders
+    only, so nothing is there twice; nothing else is written again; ranges that lie wholly before the newest ids are deleted, each after
+    the batch is in place. :func:`read_newest` leaves out what is left of the oldest range.
+    """
+    spark, width = batch.sparkSession, width or max(1, max_size // 4)
+    placed = batch.withColumns({"id_range": F.floor(F.col(id_col) / width).cast("long"), "batch": F.lit(number).cast("long")})
+    placed.repartition("id_range").write.option("partitionOverwriteMode", "dynamic").partitionBy("id_range", "batch").mode("overwrite").parquet(path)
+    newest = batch.agg(F.max(id_col)).first()[0]
+    if newest is None:
+        return
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for x in fs.listStatus(root):
+        name = x.getPath().getName()
+        if name.startswith("id_range=") and (int(name[9:]) + 1) * width <= newest - max_size + 1:
+            fs.delete(x.getPath(), True)
+
+
+def read_newest(spark: SparkSession, path: str, max_size: int, id_col: str = "transition_id") -> DataFrame:
+    """The rows with the newest ``max_size`` ids of the table that :func:`retain_newest` keeps."""
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max(id_col)).first()[0]
+    return rows.filter(F.col(id_col) > (newest or 0) - max_size).drop("id_range", "batch")
+
+
+def metric_sinks(metrics: DataFrame, every: int, value: str = "value", step: str = "step") -> tuple[DataFrame, DataFrame]:
+    """Of a guarded metric stream, the rows for the full log, and those for a thinned one: finite values, at each step that ``every`` divides."""
+    guarded = metric_guard(metrics, value)
+    return guarded, guarded.filter(~F.col("skipped") & (F.col(step) % every == 0))

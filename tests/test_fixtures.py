@@ -260,3 +260,98 @@ def test_newest_rows_stay(spark, tmp_path):
     for a, b in ((0, 10), (10, 25)):
         keep_newest(spark.range(a, b).withColumnRenamed("id", "transition_id"), path, 7)
     assert sorted(r[0] for r in spark.read.parquet(path).collect()) == list(range(18, 25))
+
+
+def test_sixd_gives_columns(spark):
+    df = spark.createDataFrame([([0.0, 1.0, 0.0, -1.0, 0.0, 0.0],), ([1.0, 2.0, 2.0, 0.0, 3.0, 0.0],)], "v array<double>")
+    first, second = (r[0] for r in df.select(G.sixd_to_matrix("v")).collect())
+    assert first == pytest.approx([0, -1, 0, 1, 0, 0, 0, 0, 1])
+    a, b, c = (second[i::3] for i in range(3))
+    assert a == pytest.approx([1 / 3, 2 / 3, 2 / 3]) and sum(x * y for x, y in zip(a, b)) == pytest.approx(0)
+    assert c == pytest.approx([a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]])
+    assert df.select(G.sixd_to_matrix("v", added=True)).first()[0] == pytest.approx([0, -1, 0, 1, 0, 0, 0, 0, 1], abs=1e-7)
+    assert df.select(G.sixd_to_matrix("v", transposed=True)).first()[0] == pytest.approx([0, 1, 0, -1, 0, 0, 0, 0, 1])
+
+
+def test_broken_offsets_stay_on_their_ray(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(0, 0, 0.0, [nan, inf, 9.0], 0.0, 0.0, 1.0), (1, 0, 2.0, [-inf, 0.5, -9.0], 0.0, 0.0, 1.0)], "p int, g int, depth double, offset array<double>, x double, y double, z double")
+    got = [r["xyz_cam"] for r in GS.backproject(df, 0.1, 2.0, ["p"]).orderBy("p").collect()]
+    assert got[0] == pytest.approx([0.0, 0.0, 1.05 + 3]) and got[1][:2] == pytest.approx([0.0, 0.5])
+    scaled = GS.backproject(df, 0.1, 2.0, ["p"], depth_scale=0.0, depth_bias=0.0, xyz_scale=2.0, xyz_bias=1.0).orderBy("p").collect()
+    assert scaled[1]["z_depth"] == pytest.approx(1.05) and scaled[1]["xyz_cam"][1] == pytest.approx(2.0)
+
+
+def test_strict_modes(spark):
+    from episodica.operators import gaussians as GA
+    from episodica.operators import windows as W
+
+    lists = spark.createDataFrame([("demo1", ["a", "b"]), ("demo2", ["a"])], "episode string, camera_names array<string>")
+    assert K.select_views(lists, None, ["a"], strict=True).count() == 2
+    with pytest.raises(ValueError, match="missing"):
+        K.select_views(lists, None, ["a", "b"], strict=True)
+    cameras = lists.select("episode", F.posexplode("camera_names").alias("cam_idx", "camera"))
+    assert K.parse_view_groups(cameras, "a;b", strict=True).count() == 3 and K.parse_view_groups(cameras, "", strict=True).select("group").distinct().count() == 2
+    with pytest.raises(ValueError, match="unknown"):
+        K.parse_view_groups(cameras, "a;z", strict=True)
+    short = spark.createDataFrame([("demo1", 0)], "episode string, n long")
+    for call in (lambda: K.sample_index(short, "n", strict=True), lambda: K.common_length(short, strict=True), lambda: W.strided_windows(short.withColumnRenamed("n", "t"), 3, 1, "t", strict=True)):
+        with pytest.raises(ValueError, match="no "):
+            call()
+    dots = spark.createDataFrame([(0, 0, 0.1)], "e int, i int, opacity double")
+    with pytest.raises(ValueError, match="no "):
+        GA.filter_gaussians(dots, 0.5, 3, ["e"], "i", strict=True)
+
+
+def test_stored_episodes_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    rows = spark.range(200).select(F.concat(F.lit("demo"), (F.col("id") % 40).cast("string")).alias("episode"), F.col("id").alias("v"))
+    SRC.store_episodes(rows, path, buckets=8)
+    new = spark.createDataFrame([("demo3", -1), ("demo99", -2)], "episode string, v long")
+    for _ in range(2):
+        SRC.replace_stored(new, path, buckets=8)
+    got = sorted((r["episode"], r["v"]) for r in spark.read.parquet(path).select("episode", "v").collect())
+    assert got == sorted([(f"demo{i % 40}", i) for i in range(200) if i % 40 != 3] + [("demo3", -1), ("demo99", -2)])
+
+
+def test_transitions_are_added_behind(spark):
+    from episodica.operators import windows as W
+
+    rows = [(i % 2, i, i, i % 5 == 0) for i in range(30)]
+    log = spark.createDataFrame(rows, "actor long, ts long, event_id long, done boolean")
+    whole = W.assign_ids(log)
+    for cut in (1, 7, 16):
+        old, new = log.filter(f"event_id < {cut}"), log.filter(f"event_id >= {cut}")
+        last = W.assign_ids(old).groupBy("actor").agg(F.max_by(F.struct("transition_id", "episode", "step", "done"), "transition_id").alias("l")).select("actor", "l.*")
+        got = SRC.add_transitions(new, last)
+        names = ["actor", "event_id", "transition_id", "episode", "step", "state_id"]
+        assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, whole.filter(f"event_id >= {cut}").select(names).collect()))
+    assert SRC.episode_states(whole).count() == 30 + 6
+
+
+def test_ordered_ranks(spark):
+    from episodica.operators.ranks import ordered_rank
+
+    rows = [(None if i % 7 == 0 else (i * 37) % 50, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, i long").repartition(5)
+    for buckets in (1, 4, 256):
+        got = {r["i"]: r["rank"] for r in ordered_rank(df, "k", "i", buckets=buckets).collect()}
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        assert got == {i: n for n, (_, i) in enumerate(order)}
+    assert ordered_rank(df.limit(0), "k", "i").count() == 0
+
+
+def test_mixed_infonce_is_the_mean_of_both(spark):
+    rows = spark.createDataFrame([(0, i, [1.0, float(i)], [float(i), 1.0], [[0.0, 1.0], [1.0, 1.0]]) for i in range(4)], "batch_id int, state_id int, q array<double>, p array<double>, n array<array<double>>")
+    keys = lambda c: rows.select("batch_id", "state_id", F.col(c).alias("vec"))
+    full, paired = E.infonce(keys("q"), keys("p"), 0.2).first()["loss"], E.infonce_paired(rows, 0.2, "q", "p", "n", ["batch_id"]).first()["loss"]
+    assert E.infonce_mixed(rows, 0.2, "q", "p", "n").first()["loss"] == pytest.approx((full + paired) / 2)
+
+
+def test_codes_by_bytes_and_ties(spark):
+    book = spark.createDataFrame([(3, [0.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 2.0])], "code int, code_vec array<double>")
+    rows = spark.createDataFrame([(0, [1.0, 1.0]), (1, [0.1, 0.0]), (2, None), (3, [0.0, 3.0])], "i int, vec array<double>")
+    got = {r["i"]: (r["code"], r["error"]) for r in E.assign_codes(rows, book).collect()}
+    assert got == {0: (1, 1.0), 1: (3, pytest.approx(0.005)), 2: (None, None), 3: (2, 0.5)}
+    with pytest.raises(ValueError, match="bytes"):
+        E.assign_codes(rows, book, max_bytes=10)
