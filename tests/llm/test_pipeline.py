@@ -61,3 +61,29 @@ def test_stages(spark, tmp_path):
             want = got
         assert got == want, name
         left = got
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing column names and empty tables, stage by stage."""
+    clean = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, clean, 9), (1, clean, 9), (None, clean, 9), (2, None, 9), (3, "", 9), (None, None, None), (4, f"{clean} mail me: a.b@example.com", 9), (5, "short", 9)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n, 0, 0) for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long, occ int, anchor int")
+    columns = docs.columns
+    left, empty = [], docs.limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        docs, empty = stage(spark, docs, DATA), stage(spark, empty, DATA)
+        assert docs.columns == empty.columns == columns and empty.count() == 0, name
+        path = str(tmp_path / str(k))
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        left.append(sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr))
+    assert left[0] == sorted([(1, clean), (1, clean), (None, clean), rows[6][:2]], key=repr)
+    assert left[1] in ([(1, clean)], [(1, clean), rows[6][:2]]) and left[2] == left[1]
+    assert all("@" not in t for _, t in left[3]) and len(left[3]) == len(left[2])
+    name, pack = corpus_pipeline.STAGES[4]
+    assert pack(spark, empty, DATA).count() == 0
+    odd = spark.createDataFrame([(None, None), (None, ""), (7, "a"), (7, "a")], "doc_id long, text string")
+    assert pack(spark, odd, DATA).count() == 4
+    for stage, want in zip((f for _, f in corpus_pipeline.STAGES[1:4]), (2, 4, 4)):
+        whole = odd.selectExpr("doc_id", "text", "'x' AS lang", "'y' AS source", "length(text) AS n_chars")
+        assert stage(spark, whole, DATA).count() == want
