@@ -18,13 +18,13 @@ def lineitem(spark: SparkSession, sf: str) -> DataFrame:
 
 def a1(spark: SparkSession, sf: str) -> DataFrame:
     found = M.normalizer_stats(T.latents(spark, sf), "vec", 64, ["label"])
-    return found.select("label", *[F.round(F.col(c)[i], 6).alias(f"{c}_{i}") for c in ("mean", "std") for i in range(64)])
+    return found.select("label", *[(F.round(F.col(c)[i], 6) + 0.0).alias(f"{c}_{i}") for c in ("mean", "std") for i in range(64)])
 
 
 def a2(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.latents(spark, sf).select("vec_id", F.col("vec").alias("v"))
     found = M.normalize(rows, M.normalizer_stats(rows, "v", 64), "v")
-    return found.select("vec_id", F.posexplode("v").alias("i", "n")).select("vec_id", "i", F.round("n", 5).alias("n"))
+    return found.select("vec_id", F.posexplode("v").alias("i", "n")).select("vec_id", "i", (F.round("n", 5) + 0.0).alias("n"))  # no negative zero
 
 
 def a3(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,7 +200,7 @@ QUERIES = {
     "l13_embed_2d": l13, "l14_fuse": l14, "l15_swap_matrix": l15,
 }
 
-_STATS = ", ".join(f"round(avg(vec[{i + 1}]), 6) AS mean_{i}, round(greatest(stddev_samp(vec[{i + 1}]), 1e-6::DOUBLE), 6) AS std_{i}" for i in range(64))
+_STATS = ", ".join(f"round(avg(vec[{i + 1}]), 6) + 0.0::DOUBLE AS mean_{i}, round(greatest(stddev_samp(vec[{i + 1}]), 1e-6::DOUBLE), 6) AS std_{i}" for i in range(64))
 _RETURNS = f"{IDS}, ret AS (SELECT actor, episode, sum(reward) AS ret, max(success::INT) AS success FROM ids GROUP BY 1, 2)"
 _DIST = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 _UNIT = lambda v: f"list_transform({v}, lambda e: e / greatest(sqrt(list_dot_product({v}, {v})), 1e-6::DOUBLE))"
@@ -211,7 +211,7 @@ _BOOK = f"{T.LATENTS}, x AS (SELECT label, unnest(vec) AS x, generate_subscripts
 ORACLE_SQL = {
     "a1_normalizer_stats": f"WITH {T.LATENTS} SELECT label, {_STATS} FROM latents GROUP BY 1",
     "a2_normalize": f"""WITH {T.LATENTS}, e AS (SELECT vec_id, unnest(range(64))::INT AS i, unnest(vec) AS v FROM latents)
-SELECT vec_id, i, round((v - avg(v) OVER w) / greatest(stddev_samp(v) OVER w, 1e-6::DOUBLE), 5) AS n FROM e WINDOW w AS (PARTITION BY i)""",
+SELECT vec_id, i, round((v - avg(v) OVER w) / greatest(stddev_samp(v) OVER w, 1e-6::DOUBLE), 5) + 0.0::DOUBLE AS n FROM e WINDOW w AS (PARTITION BY i)""",
     "a3_episode_return": f"WITH {_RETURNS} SELECT actor, episode, round(ret, 6) AS ret, success FROM ret",
     "a4_eval_by_view": f"WITH {_RETURNS}, v AS (SELECT actor % 6 AS view, avg(ret) AS r, avg(success) AS s FROM ret GROUP BY 1) SELECT view, round(r, 6) AS mean_return, round(s, 8) AS mean_success FROM v UNION ALL SELECT NULL, round(avg(r), 6), round(avg(s), 8) FROM v",
     "a5_validation_means": "SELECT 'q' AS name, round(avg(l_quantity), 6) AS mean FROM lineitem UNION ALL SELECT 'd', round(100 * avg(l_discount), 6) FROM lineitem UNION ALL SELECT 'x', round(avg(l_tax), 6) FROM lineitem",
