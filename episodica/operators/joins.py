@@ -33,6 +33,12 @@ def resume_anti(matched: DataFrame, done: DataFrame, max_episodes: int | None, o
     return kept.join(done.select(key), key, "left_anti")
 
 
+def already_computed(rows: DataFrame, existing: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The ``rows`` whose key is in ``existing``, and those still to do (a null in the key is never found). Neither is multiplied by repeated keys."""
+    keys = existing.select(*key)
+    return rows.join(keys, list(key), "left_semi"), rows.join(keys, list(key), "left_anti")
+
+
 def relative_pose(cameras: DataFrame, by: Sequence[str] = ("episode",), index: str = "cam_idx", w2c: str = "w2c", c2w: str = "c2w") -> DataFrame:
     """(by, cam_i, cam_j, T_ij) of every ordered pair of an episode's cameras: from i's frame to j's."""
     a = cameras.select(*by, F.col(index).alias("cam_i"), F.col(c2w).alias("__from"))

@@ -194,13 +194,18 @@ def gaussian_kl(rows: DataFrame, mean: str, log_std: str, by: Sequence[str]) ->
 
 
 def embed_2d(rows: DataFrame, vec: str) -> DataFrame:
-    """``rows`` with x and y: the first two principal components of their cleaned unit vectors."""
+    """``rows`` with x and y: the first two principal components of their cleaned unit vectors.
+
+    A component's sign is free; each is turned so that its largest loading is positive, and repeated fits give the same plane.
+    """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     ready = rows.withColumn("__f", array_to_vector(L.clean_unit(vec)))
-    found = PCA(k=2, inputCol="__f", outputCol="__p").fit(ready).transform(ready)
-    return found.withColumn("__p", vector_to_array("__p")).withColumns({"x": F.col("__p")[0], "y": F.col("__p")[1]}).drop("__f", "__p")
+    model = PCA(k=2, inputCol="__f", outputCol="__p").fit(ready)
+    signs = [1.0 if max(c) >= -min(c) else -1.0 for c in model.pc.toArray().T.tolist()]  # as many numbers as a vector has, twice
+    found = model.transform(ready).withColumn("__p", vector_to_array("__p"))
+    return found.withColumns({"x": F.col("__p")[0] * signs[0], "y": F.col("__p")[1] * signs[1]}).drop("__f", "__p")
 
 
 def fuse(inv: str, dep: str, mode: str = "cat") -> Column:

@@ -161,6 +161,14 @@ def l9(spark: SparkSession, sf: str) -> DataFrame:
     return E.assign_codes(T.latents(spark, sf), codes).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
+def l9b(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors moved apart by label have one best codebook, their labels' means: SQL can tell each vector's centre."""
+    rows = T.latents(spark, sf).select("vec_id", F.transform("vec", lambda x, i: x + F.when(i == F.col("label"), 100.0).otherwise(0.0)).alias("vec"))
+    codes = E.fit_codebook(rows, T.latents(spark, sf).select("label").distinct().count())
+    near = E.assign_codes(rows, codes).join(codes, "code")
+    return near.select("vec_id", F.round(F.col("code_vec")[0], 6).alias("c0"), F.round(F.col("code_vec")[63], 6).alias("c63"), F.round("error", 6).alias("error"))
+
+
 def l10(spark: SparkSession, sf: str) -> DataFrame:
     found = E.code_usage(E.assign_codes(T.latents(spark, sf), book(spark, sf)), book(spark, sf))
     return found.select("n_codes", F.round("used", 8).alias("used"), F.round("perplexity", 6).alias("perplexity"), "dead")
@@ -176,7 +184,8 @@ def l12(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def l13(spark: SparkSession, sf: str) -> DataFrame:
-    return E.embed_2d(T.latents(spark, sf), "z_inv").select("batch_id", "state_id", "view_id", "x", "y")
+    found = E.embed_2d(T.latents(spark, sf), "z_inv")
+    return found.select("batch_id", "state_id", "view_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 def l14(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,7 +205,7 @@ def l15(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "a1_normalizer_stats": a1, "a2_normalize": a2, "a3_episode_return": a3, "a4_eval_by_view": a4, "a5_validation_means": a5, "a6_reject_ledger": a6, "a7_nonfinite_guard": a7, "a8_reconstruction_error": a8, "a9_psnr_by_view": a9,
     "a12_weighted_total": a12, "a13_catalog_counts": a13, "a14_metric_downsample": a14, "a15_axis_limits": a15, "a16_variant_deltas": a16, "a17_metrics_long": a17, "l1_clean_l2": l1, "l2_infonce": l2, "l2b_infonce_paired": l2b, "l2c_infonce_mixed": l2c,
-    "l3_multi_positive_nce": l3, "l4_view_state_contrast": l4, "l5_consistency": l5, "l6_ratio_contrast": l6, "l7_triplet_hinge": l7, "l8_assign_codes": l8, "l9_fit_codebook": l9, "l10_code_usage": l10, "l11_fsq_codes": l11, "l12_gaussian_kl": l12,
+    "l3_multi_positive_nce": l3, "l4_view_state_contrast": l4, "l5_consistency": l5, "l6_ratio_contrast": l6, "l7_triplet_hinge": l7, "l8_assign_codes": l8, "l9_fit_codebook": l9, "l9b_codebook_of_groups": l9b, "l10_code_usage": l10, "l11_fsq_codes": l11, "l12_gaussian_kl": l12,
     "l13_embed_2d": l13, "l14_fuse": l14, "l15_swap_matrix": l15,
 }
 
@@ -243,6 +252,44 @@ SELECT vec_id, i, round((v - avg(v) OVER w) / greatest(stddev_samp(v) OVER w, 1e
     "l14_fuse": f"WITH {T.LATENTS} SELECT vec_id, 64::INT AS n, vec[34] AS c33, round(z_inv[2] + z_dep[2], 8) AS p1 FROM latents",
     "l15_swap_matrix": f"WITH {T.LATENTS}, f AS (SELECT batch_id AS episode, state_id % 10 AS t, view_id AS camera, z_inv, z_dep FROM latents) SELECT a.episode, a.camera AS inv_camera, a.t AS inv_t, b.camera AS dep_camera, b.t AS dep_t, round(a.z_inv[1] + b.z_dep[1], 8) AS f0 FROM f a JOIN f b ON a.episode = b.episode AND b.t = CASE WHEN a.t = 0 THEN 1 ELSE 0 END AND a.camera <> b.camera",
 }
+ORACLE_SQL["l9b_codebook_of_groups"] = f"""
+WITH {T.LATENTS},
+e AS (SELECT vec_id, label, unnest(range(64)) AS i, unnest(vec) AS x FROM latents),
+moved AS (SELECT vec_id, label, i, x + CASE WHEN i = label THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM e),
+centred AS (SELECT vec_id, i, x, avg(x) OVER (PARTITION BY label, i) AS c FROM moved)
+SELECT vec_id, round(max(c) FILTER (i = 0), 6) AS c0, round(max(c) FILTER (i = 63), 6) AS c63, round(avg((x - c) * (x - c)), 6) AS error
+FROM centred GROUP BY 1"""
+
+
+def _component(name: str, matrix: str) -> str:
+    """CTEs: the matrix squared until one eigenvector is left of it, and that vector (v) with its value (l)."""
+    return f"""
+{name}_power AS (
+    SELECT 0 AS k, m FROM {matrix}
+    UNION ALL
+    SELECT k + 1, list_transform(q, lambda r: list_transform(r, lambda e: e / t))
+    FROM (SELECT k, q, list_sum(list_transform(range(1, 33), lambda i: q[i][i])) AS t
+          FROM (SELECT k, list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s))) AS q FROM {name}_power WHERE k < 18))
+),
+{name}_row AS (
+    SELECT r FROM (SELECT unnest(m) AS r, generate_subscripts(m, 1) AS i FROM {name}_power WHERE k = 18) ORDER BY r[i] DESC LIMIT 1
+),
+{name}_unit AS (
+    SELECT list_transform(r, lambda e: CASE WHEN list_max(r) >= -list_min(r) THEN e ELSE -e END / sqrt(list_dot_product(r, r))) AS v FROM {name}_row
+),
+{name} AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM {name}_unit, {matrix})"""
+
+
+ORACLE_SQL["l13_embed_2d"] = f"""
+WITH RECURSIVE {T.LATENTS},
+u AS (SELECT batch_id, state_id, view_id, {_UNIT('z_inv')} AS v FROM latents),
+cov AS (SELECT i, j, covar_samp(v[i], v[j]) AS c FROM u, range(1, 33) a(i), range(1, 33) b(j) GROUP BY 1, 2),
+whole AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY 1)),
+{_component('first', 'whole')},
+rest AS (SELECT list_transform(range(1, 33), lambda i: list_transform(range(1, 33), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM whole, first),
+{_component('second', 'rest')}
+SELECT batch_id, state_id, view_id, round(list_dot_product(u.v, first.v), 6) AS x, round(list_dot_product(u.v, second.v), 6) AS y
+FROM u, first, second"""
 ORACLE_SQL["l2c_infonce_mixed"] = (
     "SELECT batch_id, round(0.5::DOUBLE * (f.loss + p.loss), 6) AS loss FROM "
     f"({ORACLE_SQL['l2_infonce'].replace('round(avg(loss), 6)', 'avg(loss)')}) f JOIN "

@@ -32,6 +32,31 @@ def s4(spark: SparkSession, sf: str) -> DataFrame:
     return S.validate_layout(episodes, cameras, streams, ["cam1", "cam2"])
 
 
+def s5(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibrations of customers, written as JSON maps of a hundred entries, and read back."""
+    root = shared(spark, "calibrations")
+    row = lambda x: F.array(*[F.lit(1.0) if i == x else F.lit(0.0) for i in range(4)])
+    camera = lambda focal: F.struct(F.array(*[row(i) for i in range(4)]).alias("pose"), focal.alias("focal"), F.array(F.lit(320.0), F.col("c_acctbal")).alias("principal_point"))
+    path = F.concat_ws("/", F.lit("lab"), "c_mktsegment", "c_name")
+    key = F.col("c_custkey")
+    left, right = camera(key * 0.5), camera(key * 0.5 + 1)
+    entry = F.struct(left.alias("left_cam"), right.alias("right_cam"), path.alias("relative_path"), F.col("c_nationkey").alias("quality_metric"))
+    maps = T.read(spark, sf, "customer").groupBy(F.floor(key / 100).alias("file")).agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), entry.alias("v")))).alias("e"))
+    named = F.transform("e", lambda x: F.struct(F.concat(F.lit("demo"), x["k"].cast("string")), x["v"]))
+    maps.select("file", F.to_json(F.map_from_entries(named)).alias("value")).write.partitionBy("file").text(root)
+    found = S.read_calibrations(spark, root)
+    return found.select("position", "episode_id", F.col("left_cam.focal").alias("left_focal"), F.col("right_cam.principal_point")[1].alias("right_y"), F.col("left_cam.pose")[2][2].alias("z"), "relative_path", "quality_metric")
+
+
+def s6(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of metadata for each hundred customers, written as JSON and read back with the folder's name."""
+    root = shared(spark, "metadata")
+    c = T.read(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("folder"))
+    c.agg(F.count(F.lit(1)).alias("num_frames"), F.max("c_name").alias("task")).write.partitionBy("folder").json(root)
+    found = S.read_episode_metadata(spark, root, "*.json")
+    return found.select(F.regexp_replace("episode", "folder=", "demo").alias("episode"), "num_frames", "task")
+
+
 def s7(spark: SparkSession, sf: str) -> DataFrame:
     name = F.format_string("runs/%s/cam%d/%s%06d.png", F.concat(F.lit("ep"), F.col("conv_id").cast("string")), F.col("turn") % 2, F.when(F.col("turn") % 3 == 0, "t_").otherwise(""), F.col("turn"))
     return T.read(spark, sf, "conversations").select(S.parse_frame_path(name).alias("f")).select("f.*")
@@ -87,7 +112,7 @@ def s10(spark: SparkSession, sf: str) -> DataFrame:
     return S.write_vertices(vertices, shared(spark, "vertices"), ["episode", "cam_idx", "t"])
 
 
-QUERIES = {"s1_read_episodes": s1, "s10_write_vertices": s10, "s2_append_keys": s2, "s3_replace_episode": s3, "s4_validate_layout": s4, "s7_frame_paths": s7, "s8_explode_nested": s8, "s9_export_keys": s9, "s11_backfill_features": s11, "s12_transition_states": s12, "s13_image_size": s13}
+QUERIES = {"s1_read_episodes": s1, "s10_write_vertices": s10, "s2_append_keys": s2, "s3_replace_episode": s3, "s4_validate_layout": s4, "s5_read_calibrations": s5, "s6_episode_metadata": s6, "s7_frame_paths": s7, "s8_explode_nested": s8, "s9_export_keys": s9, "s11_backfill_features": s11, "s12_transition_states": s12, "s13_image_size": s13}
 
 _F = "frames AS (SELECT 'demo' || conv_id AS episode, turn AS t, role AS camera, length(text)::INT AS height, strlen(text)::INT AS width FROM conversations)"
 ORACLE_SQL = {
@@ -101,6 +126,9 @@ SELECT episode, 'no_camera_names' AS problem, NULL::VARCHAR AS view FROM e WHERE
 UNION ALL SELECT episode, 'stream_missing', view FROM p WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.episode = p.episode AND st.stream = p.view || '_rgb')
 UNION ALL SELECT episode, 'parameters_missing', view FROM p WHERE NOT EXISTS (SELECT 1 FROM streams s WHERE s.episode = p.episode AND s.stream = p.view || '_rgb' AND s.n > 3)
 UNION ALL SELECT DISTINCT episode, 'unknown_episode', NULL FROM st WHERE episode NOT IN (SELECT episode FROM e)""",
+    "s5_read_calibrations": """SELECT row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey)::INT - 1::INT AS position, 'demo' || c_custkey AS episode_id,
+c_custkey * 0.5::DOUBLE AS left_focal, c_acctbal AS right_y, 1.0::DOUBLE AS z, 'lab/' || c_mktsegment || '/' || c_name AS relative_path, c_nationkey AS quality_metric FROM customer""",
+    "s6_episode_metadata": "SELECT 'demo' || c_custkey // 100 AS episode, count(*) AS num_frames, max(c_name) AS task FROM customer GROUP BY 1",
     "s7_frame_paths": "SELECT 'ep' || conv_id AS episode, 'cam' || (turn % 2) AS camera, turn AS t FROM conversations",
     "s8_explode_nested": "SELECT 'conv/' || conv_id AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame_idx, turn, length(text) AS n FROM conversations",
     "s9_export_keys": f"WITH {_F}, k AS (SELECT *, '' AS kind, width AS n FROM frames UNION ALL SELECT *, '_seg', strlen(camera)::INT FROM frames WHERE t % 2 = 0) SELECT episode || '/' || camera || kind || '/t_' || lpad(t::VARCHAR, 6, '0') AS blob_key, kind, n FROM k WHERE camera IN ('user', 'assistant') AND t < 4",

@@ -142,9 +142,9 @@ def read_calibrations(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode("m").alias("position", "episode_id", "c")).select("position", "episode_id", "c.*")
 
 
-def read_episode_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """The metadata.json of each folder that has one, with the folder's name as episode."""
-    found = spark.read.option("multiLine", True).json(f"{root}/*/metadata.json")
+def read_episode_metadata(spark: SparkSession, root: str, name: str = "metadata.json") -> DataFrame:
+    """The metadata of each folder that has a file called ``name`` (a pattern), with the folder's name as episode."""
+    found = spark.read.option("multiLine", True).json(f"{root}/*/{name}")
     return found.withColumn("episode", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
