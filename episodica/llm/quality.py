@@ -41,15 +41,43 @@ _SYMBOL = _flags(SYMBOLS)
 _BEGINS = 1 - _flags(SPACES + bytes(range(0x80, 0xC0)))
 
 
+def _least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray, block: int = 32) -> np.ndarray:
+    """The least of ``values[first]`` to ``values[last]``, for each pair of positions, ``first`` at most ``last``.
+
+    Minima from each position to the ends of its block, and minima of runs of blocks, whose length doubles. One length
+    is there at a time, so memory is a few numbers a value.
+    """
+    n = -(-len(values) // block)
+    grid = np.pad(values, (0, n * block - len(values)), mode="edge").reshape(n, block)
+    to_start = np.minimum.accumulate(grid, axis=1).ravel()
+    to_end = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    b, e = first // block, last // block
+    found = np.minimum(to_end[first], to_start[last])
+    inner, runs, width = e - b - 1, grid.min(axis=1), 1  # whole blocks between the two
+    longest = int(inner.max(initial=0))
+    while width <= longest:
+        mine = np.flatnonzero((inner >= width) & (inner < 2 * width))
+        found[mine] = np.minimum(found[mine], np.minimum(runs[b[mine] + 1], runs[e[mine] - width]))
+        runs = np.minimum(runs[:-width], runs[width:])
+        width *= 2
+    same = np.flatnonzero(b == e)
+    found[same] = values[first[same]]
+    for step in range(1, block):
+        same = same[first[same] + step <= last[same]]
+        found[same] = np.minimum(found[same], values[first[same] + step])
+    return found
+
+
 def suffix_repeats(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each position of the texts laid end to end, the words that its suffix shares with its closest neighbour.
 
     A suffix array of every text at once by prefix doubling: ``rank`` is the slot at which a
     suffix's group begins, only groups of two or more are sorted again, by the ranks that lie
     ``k`` words on. The array is then cut by text, since the first key holds the text's number. The longest
-    common prefixes of neighbours are read off the ranks of all rounds, from the longest
-    stretch down. The larger of a suffix's two is its longest maximal repeat: all members of
-    one interval of common prefixes of length l or more have at least l there.
+    common prefixes of neighbours are found where groups part: ``k`` words, and what the suffixes ``k`` words on share, which
+    is the least prefix between their two groups, known since they parted. The larger of a suffix's two is its longest
+    maximal repeat: all members of one interval of common prefixes of length l or more have at least l there.
+    Memory is a few numbers a word, however long the repeats.
     """
     n = len(word)
     longest = np.zeros(n, np.int64)
@@ -58,11 +86,13 @@ def suffix_repeats(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
     key = doc.astype(np.int64) << 32 | word
     slots = np.argsort(key, kind="stable")
     ordered = key[slots]
-    heads = np.maximum.accumulate(np.where(np.r_[True, ordered[1:] != ordered[:-1]], np.arange(n), 0))
+    parts = np.r_[True, ordered[1:] != ordered[:-1]]
+    heads = np.maximum.accumulate(np.where(parts, np.arange(n), 0))
+    common = np.where(parts, 0, n)  # with the slot before; n: the two are not parted yet
     rank = np.empty(n, np.int64)
     rank[slots] = heads
     last = np.searchsorted(doc, doc, side="right")  # the position after the text's end
-    ranks, k = [rank], 1
+    k = 1
     active = np.flatnonzero(np.bincount(heads, minlength=n)[rank] > 1)
     while len(active):
         ahead = active + k
@@ -77,21 +107,15 @@ def suffix_repeats(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
         begin = np.maximum.accumulate(np.where(group, at, 0))
         new = old + np.maximum.accumulate(np.where(part, at, 0)) - begin
         slots[old + at - begin] = active
-        rank = rank.copy()
         rank[active] = new
-        ranks.append(rank)
+        parted = np.flatnonzero(part & ~group)
+        if len(parted):
+            common[new[parted]] = k
+            parted = parted[second[parted - 1] > 0]  # else the one before ends after k words
+            common[new[parted]] += _least_between(common, second[parted - 1], second[parted] - 1)
         k *= 2
         active = active[np.bincount(new, minlength=n)[new] > 1]
-    a, b = slots[:-1], slots[1:]
-    alike = np.flatnonzero(ranks[0][a] == ranks[0][b])
-    a, b = a[alike], b[alike]
-    common = np.zeros(len(a), np.int64)
-    for level in range(len(ranks) - 1, -1, -1):
-        x, y = a + common, b + common
-        inside = (x < n) & (y < n)
-        common[inside] += (ranks[level][x[inside]] == ranks[level][y[inside]]).astype(np.int64) << level
-    np.maximum.at(longest, a, common)
-    np.maximum.at(longest, b, common)
+    longest[slots] = np.maximum(common, np.r_[common[1:], 0])
     return longest
 
 
