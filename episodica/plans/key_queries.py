@@ -18,7 +18,9 @@ def lists(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("episode").agg(F.array_sort(F.collect_set("camera")).alias("camera_names"), F.array_sort(F.collect_set("stream")).alias("stream_names"))
 
 
-LISTS = f"{T.STREAMS}, lists AS (SELECT episode, list_sort(list(DISTINCT replace(stream, '_rgb', ''))) AS camera_names FROM streams GROUP BY 1)"
+LISTS = f"""{T.STREAMS},
+lists AS (SELECT episode, list_sort(list(DISTINCT replace(stream, '_rgb', ''))) AS camera_names
+FROM streams GROUP BY 1)"""
 
 
 def _joined(column: str) -> Column:
@@ -114,7 +116,8 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", name.alias("path"))
 
 
-RUNS = "runs AS (SELECT o_orderkey, 'runs/' || lower(regexp_replace(o_orderpriority, '[^A-Za-z]+', '_', 'g')) || '_seed' || (o_custkey % 3) || '/ckpt_step_' || (o_orderkey * 500) || '.pt' AS path FROM orders)"
+RUNS = """runs AS (SELECT o_orderkey, 'runs/' || lower(regexp_replace(o_orderpriority, '[^A-Za-z]+', '_', 'g')) || '_seed' || (o_custkey % 3) || '/ckpt_step_' || (o_orderkey * 500) || '.pt' AS path
+FROM orders)"""
 
 
 def e16(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,40 +170,80 @@ def j8(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("batch_id", "q").agg(F.round(F.max(F.when(F.col("q") != F.col("k"), F.col("sim"))), 8).alias("best"), F.round(F.sum("sim"), 8).alias("total"))
 
 
-_PATHS = "p AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '[?#].*$', ''), '/'), lambda x: x <> '') AS f FROM pages), keyed AS (SELECT page_id, CASE WHEN len(f) >= 3 THEN array_to_string(f[-3:], '/') END AS relative_path FROM p)"
+_PATHS = """p AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '[?#].*$', ''), '/'), lambda x: x <> '') AS f
+FROM pages),
+keyed AS (SELECT page_id, CASE WHEN len(f) >= 3 THEN array_to_string(f[-3:], '/') END AS relative_path
+FROM p)"""
 
 QUERIES = {
-    "e1_episode_order": e1, "e1b_lexical_order": e1b, "e2_first_episodes": e2, "e3_select_views": e3, "e3b_dataset_order_views": e3b, "e4_infer_views": e4, "e5_sample_index": e5, "e6_common_length": e6, "e7_drop_short": e7,
-    "e8_select_timesteps": e8, "e9_assemble_views": e9, "e10_project_vector": e10, "e11_scale_pixels": e11, "e12_resolve_field": e12, "e13_collapse_features": e13, "e14_state_vector": e14, "e15_safe_key": e15, "e16_run_catalog": e16, "e16b_latest_checkpoint": e16b, "e17_view_groups": e17,
-    "j1_join_calibration": j1, "j2_dedupe_calibration": j2, "j3_resume_anti": j3, "j5_attach_cameras": j5, "j6_gather_views": j6, "j7_already_computed": j7, "j8_pair_similarity": j8,
+    "e1_episode_order": e1, "e1b_lexical_order": e1b, "e2_first_episodes": e2, "e3_select_views": e3,
+    "e3b_dataset_order_views": e3b, "e4_infer_views": e4, "e5_sample_index": e5, "e6_common_length": e6,
+    "e7_drop_short": e7,
+    "e8_select_timesteps": e8, "e9_assemble_views": e9, "e10_project_vector": e10, "e11_scale_pixels": e11,
+    "e12_resolve_field": e12, "e13_collapse_features": e13, "e14_state_vector": e14, "e15_safe_key": e15,
+    "e16_run_catalog": e16, "e16b_latest_checkpoint": e16b, "e17_view_groups": e17,
+    "j1_join_calibration": j1, "j2_dedupe_calibration": j2, "j3_resume_anti": j3, "j5_attach_cameras": j5,
+    "j6_gather_views": j6, "j7_already_computed": j7, "j8_pair_similarity": j8,
 }
 
 ORACLE_SQL = {
-    "e1_episode_order": f"WITH {T.CATALOGUE} SELECT episode, row_number() OVER (PARTITION BY env_name ORDER BY {_NUMBER} NULLS LAST, episode) - 1 AS place FROM catalogue",
-    "e1b_lexical_order": f"WITH {T.CATALOGUE} SELECT episode, row_number() OVER (PARTITION BY env_name ORDER BY episode) - 1 AS place FROM catalogue WHERE lower(episode) LIKE 'demo%'",
+    "e1_episode_order": f"""WITH {T.CATALOGUE} SELECT episode, row_number() OVER (PARTITION BY env_name ORDER BY {_NUMBER} NULLS LAST, episode) - 1 AS place
+FROM catalogue""",
+    "e1b_lexical_order": f"""WITH {T.CATALOGUE} SELECT episode, row_number() OVER (PARTITION BY env_name ORDER BY episode) - 1 AS place
+FROM catalogue WHERE lower(episode) LIKE 'demo%'""",
     "e2_first_episodes": f"WITH {T.CATALOGUE} SELECT episode, env_name FROM catalogue ORDER BY {_NUMBER} NULLS LAST, episode LIMIT 50",
-    "e3_select_views": f"WITH {LISTS} SELECT episode, array_to_string(list_filter(['cam5', 'cam2', 'cam1'], lambda x: list_contains(camera_names, x))[1:2], ',') AS views, array_to_string(list_filter(['cam5', 'cam2', 'cam1'], lambda x: NOT list_contains(camera_names, x)), ',') AS missing FROM lists",
-    "e3b_dataset_order_views": f"WITH {LISTS} SELECT episode, array_to_string(list_filter(camera_names, lambda x: list_contains(['cam5', 'cam2', 'cam1'], x)), ',') AS views FROM lists",
-    "e4_infer_views": f"WITH {LISTS} SELECT episode, array_to_string(CASE WHEN episode LIKE '%7' THEN list_reverse(camera_names) ELSE camera_names END, ',') AS views FROM lists",
+    "e3_select_views": f"""WITH {LISTS} SELECT episode, array_to_string(list_filter(['cam5', 'cam2', 'cam1'], lambda x: list_contains(camera_names, x))[1:2], ',') AS views,
+array_to_string(list_filter(['cam5', 'cam2', 'cam1'], lambda x: NOT list_contains(camera_names, x)), ',') AS missing
+FROM lists""",
+    "e3b_dataset_order_views": f"""WITH {LISTS} SELECT episode, array_to_string(list_filter(camera_names, lambda x: list_contains(['cam5', 'cam2', 'cam1'], x)), ',') AS views
+FROM lists""",
+    "e4_infer_views": f"""WITH {LISTS} SELECT episode, array_to_string(CASE WHEN episode LIKE '%7' THEN list_reverse(camera_names) ELSE camera_names END, ',') AS views
+FROM lists""",
     "e5_sample_index": f"WITH {T.CATALOGUE} SELECT episode, unnest(range(least(num_samples, 4))) AS t FROM catalogue",
-    "e6_common_length": f"WITH {T.STREAMS} SELECT episode, min(n - 2) AS common, count(*) AS n_streams FROM streams GROUP BY 1 HAVING min(n - 2) > 0",
+    "e6_common_length": f"""WITH {T.STREAMS} SELECT episode, min(n - 2) AS common, count(*) AS n_streams
+FROM streams GROUP BY 1 HAVING min(n - 2) > 0""",
     "e7_drop_short": f"WITH {T.CATALOGUE} SELECT episode, num_samples FROM catalogue WHERE num_samples >= 2",
-    "e8_select_timesteps": f"WITH {T.CATALOGUE}, s AS (SELECT episode, unnest(range(num_samples)) AS t FROM catalogue) SELECT episode, t, CASE t WHEN 4 THEN 0 WHEN 0 THEN 1 ELSE 2 END::BIGINT AS position FROM s WHERE t IN (0, 2, 4)",
-    "e9_assemble_views": f"WITH {T.LATENTS} SELECT batch_id AS episode, state_id AS t, string_agg('cam' || view_id, ',' ORDER BY view_id DESC) AS cameras, arg_max(vec[1], view_id) AS x_first FROM latents GROUP BY 1, 2 HAVING count(*) = 5",
+    "e8_select_timesteps": f"""WITH {T.CATALOGUE},
+s AS (SELECT episode, unnest(range(num_samples)) AS t FROM catalogue) SELECT episode, t, CASE t WHEN 4 THEN 0 WHEN 0 THEN 1 ELSE 2 END::BIGINT AS position
+FROM s WHERE t IN (0, 2, 4)""",
+    "e9_assemble_views": f"""WITH {T.LATENTS} SELECT batch_id AS episode, state_id AS t, string_agg('cam' || view_id, ',' ORDER BY view_id DESC) AS cameras, arg_max(vec[1],
+view_id) AS x_first FROM latents GROUP BY 1, 2 HAVING count(*) = 5""",
     "e10_project_vector": f"WITH {T.LATENTS} SELECT vec_id, vec[1] AS p0, vec[2] AS p1, vec[3] AS p2, vec[4] AS p3 FROM latents",
-    "e11_scale_pixels": "SELECT DISTINCT l_quantity AS pixel, round(l_quantity / 255 * 2 - 1, 8) AS signed, round(l_quantity / 255, 8) AS unit, round(l_quantity / 255 - 0.5::DOUBLE, 8) AS centred, floor(least(greatest(((l_quantity / 255 * 2 - 1) * 9 + 1) / 2, 0), 1) * 255)::INT AS clamped, round((l_quantity / 255 - 0.485::DOUBLE) / 0.229::DOUBLE, 8) AS standard FROM lineitem",
+    "e11_scale_pixels": """SELECT DISTINCT l_quantity AS pixel, round(l_quantity / 255 * 2 - 1, 8) AS signed, round(l_quantity / 255, 8) AS unit, round(l_quantity / 255 - 0.5::DOUBLE,
+8) AS centred, floor(least(greatest(((l_quantity / 255 * 2 - 1) * 9 + 1) / 2, 0), 1) * 255)::INT AS clamped, round((l_quantity / 255 - 0.485::DOUBLE) / 0.229::DOUBLE,
+8) AS standard FROM lineitem""",
     "e12_resolve_field": f"WITH {T.LATENTS} SELECT vec_id, vec[2] AS a1, 0::INT AS b_size FROM latents",
-    "e13_collapse_features": f"WITH {T.LATENTS} SELECT vec_id, round((z_inv[4] + z_dep[4]) / 2, 8) AS m3, z_dep[9] AS f40, 64::INT AS n FROM latents",
+    "e13_collapse_features": f"""WITH {T.LATENTS} SELECT vec_id, round((z_inv[4] + z_dep[4]) / 2, 8) AS m3, z_dep[9] AS f40, 64::INT AS n
+FROM latents""",
     "e14_state_vector": f"WITH {T.LATENTS} SELECT vec_id, 64::INT AS n, z_dep[1] AS s0, z_inv[1] AS s32 FROM latents",
     "e15_safe_key": r"SELECT page_id, regexp_replace(url, '[^\p{L}\p{N}_-]', '_', 'g') AS key FROM pages",
-    "e16_run_catalog": f"WITH {RUNS}, x AS (SELECT o_orderkey, o_orderkey * 500 AS step, regexp_replace(string_split(path, '/')[-2], '_seed[0-9]+', '') AS run FROM runs) SELECT o_orderkey, step, run, CASE WHEN step >= 1000 AND step % 1000 = 0 THEN (step // 1000) || 'k' ELSE step::VARCHAR END AS short, (SELECT string_agg(DISTINCT_TAG, ',' ORDER BY i) FROM (SELECT tag AS DISTINCT_TAG, min(i) AS i FROM (SELECT unnest(string_split(run, '_')) AS tag, generate_subscripts(string_split(run, '_'), 1) AS i) GROUP BY tag)) AS tags FROM x",
-    "e16b_latest_checkpoint": f"WITH {RUNS} SELECT regexp_replace(string_split(path, '/')[-2], '_seed[0-9]+', '') AS run, max(path) AS latest FROM runs GROUP BY 1",
+    "e16_run_catalog": f"""WITH {RUNS},
+x AS (SELECT o_orderkey, o_orderkey * 500 AS step, regexp_replace(string_split(path, '/')[-2], '_seed[0-9]+', '') AS run
+FROM runs) SELECT o_orderkey, step, run, CASE WHEN step >= 1000 AND step % 1000 = 0 THEN (step // 1000) || 'k' ELSE step::VARCHAR END AS short,
+(SELECT string_agg(DISTINCT_TAG, ',' ORDER BY i) FROM (SELECT tag AS DISTINCT_TAG, min(i) AS i
+FROM (SELECT unnest(string_split(run, '_')) AS tag, generate_subscripts(string_split(run, '_'), 1) AS i)
+GROUP BY tag)) AS tags FROM x""",
+    "e16b_latest_checkpoint": f"""WITH {RUNS} SELECT regexp_replace(string_split(path, '/')[-2], '_seed[0-9]+', '') AS run, max(path) AS latest
+FROM runs GROUP BY 1""",
     "e17_view_groups": f"WITH {LISTS}, c AS (SELECT episode, unnest(camera_names) AS camera FROM lists), k AS (SELECT *, CASE WHEN camera IN ('cam3', 'cam1') THEN 0 WHEN camera = 'cam6' THEN 1 END AS known FROM c) SELECT episode, camera, coalesce(known, 1 + row_number() OVER (PARTITION BY episode, known IS NULL ORDER BY camera))::BIGINT AS \"group\" FROM k",
-    "j1_join_calibration": f"WITH {_PATHS} SELECT a.page_id, a.relative_path, b.page_id AS calibration FROM keyed a JOIN keyed b ON a.relative_path = b.relative_path WHERE b.page_id % 3 = 0",
-    "j2_dedupe_calibration": "SELECT source AS relative_path, max(doc_id) AS position, arg_max(lang, doc_id) AS lang FROM documents WHERE source <> '' GROUP BY 1",
-    "j3_resume_anti": f"WITH {T.CATALOGUE}, f AS (SELECT episode, k FROM catalogue ORDER BY k LIMIT 100) SELECT episode, k FROM f WHERE k % 4 <> 0",
-    "j5_attach_cameras": f"WITH {LISTS}, c AS (SELECT episode, replace(stream, '_rgb', '') AS camera, sum(n)::BIGINT AS frames FROM streams GROUP BY 1, 2) SELECT l.episode, list_position(l.camera_names, c.camera)::INT - 1 AS cam_pos, c.camera, c.frames FROM lists l JOIN c USING (episode)",
-    "j6_gather_views": f"WITH {T.LATENTS}, p AS (SELECT * FROM (VALUES (0, 4::BIGINT), (1, 0), (2, 4)) v(slot, view_id)) SELECT state_id, slot, view_id, vec[1] AS x FROM latents JOIN p USING (view_id)",
+    "j1_join_calibration": f"""WITH {_PATHS} SELECT a.page_id, a.relative_path, b.page_id AS calibration
+FROM keyed a JOIN keyed b ON a.relative_path = b.relative_path
+WHERE b.page_id % 3 = 0""",
+    "j2_dedupe_calibration": """SELECT source AS relative_path, max(doc_id) AS position, arg_max(lang, doc_id) AS lang
+FROM documents WHERE source <> '' GROUP BY 1""",
+    "j3_resume_anti": f"""WITH {T.CATALOGUE},
+f AS (SELECT episode, k FROM catalogue ORDER BY k LIMIT 100) SELECT episode, k
+FROM f WHERE k % 4 <> 0""",
+    "j5_attach_cameras": f"""WITH {LISTS},
+c AS (SELECT episode, replace(stream, '_rgb', '') AS camera, sum(n)::BIGINT AS frames
+FROM streams GROUP BY 1, 2) SELECT l.episode, list_position(l.camera_names, c.camera)::INT - 1 AS cam_pos, c.camera, c.frames
+FROM lists l JOIN c USING (episode)""",
+    "j6_gather_views": f"""WITH {T.LATENTS},
+p AS (SELECT * FROM (VALUES (0, 4::BIGINT), (1, 0), (2, 4)) v(slot, view_id)) SELECT state_id, slot, view_id, vec[1] AS x
+FROM latents JOIN p USING (view_id)""",
     "j7_already_computed": f"WITH {T.STREAMS} SELECT DISTINCT episode, stream FROM streams WHERE stream NOT IN ('cam1_rgb', 'cam2_rgb')",
-    "j8_pair_similarity": f"WITH {T.LATENTS}, s AS (SELECT a.batch_id, a.vec_id AS q, b.vec_id AS k, list_dot_product(a.vec, b.vec) / 0.5::DOUBLE AS sim FROM latents a JOIN latents b USING (batch_id)) SELECT batch_id, q, round(max(CASE WHEN q <> k THEN sim END), 8) AS best, round(sum(sim), 8) AS total FROM s GROUP BY 1, 2",
+    "j8_pair_similarity": f"""WITH {T.LATENTS},
+s AS (SELECT a.batch_id, a.vec_id AS q, b.vec_id AS k, list_dot_product(a.vec, b.vec) / 0.5::DOUBLE AS sim
+FROM latents a JOIN latents b USING (batch_id)) SELECT batch_id, q, round(max(CASE WHEN q <> k THEN sim END), 8) AS best, round(sum(sim),
+8) AS total FROM s GROUP BY 1, 2""",
 }

@@ -203,9 +203,15 @@ def l15(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "a1_normalizer_stats": a1, "a2_normalize": a2, "a3_episode_return": a3, "a4_eval_by_view": a4, "a5_validation_means": a5, "a6_reject_ledger": a6, "a7_nonfinite_guard": a7, "a8_reconstruction_error": a8, "a9_psnr_by_view": a9,
-    "a12_weighted_total": a12, "a13_catalog_counts": a13, "a14_metric_downsample": a14, "a15_axis_limits": a15, "a16_variant_deltas": a16, "a17_metrics_long": a17, "l1_clean_l2": l1, "l2_infonce": l2, "l2b_infonce_paired": l2b, "l2c_infonce_mixed": l2c,
-    "l3_multi_positive_nce": l3, "l4_view_state_contrast": l4, "l5_consistency": l5, "l6_ratio_contrast": l6, "l7_triplet_hinge": l7, "l8_assign_codes": l8, "l9_fit_codebook": l9, "l9b_codebook_of_groups": l9b, "l10_code_usage": l10, "l11_fsq_codes": l11, "l12_gaussian_kl": l12,
+    "a1_normalizer_stats": a1, "a2_normalize": a2, "a3_episode_return": a3, "a4_eval_by_view": a4,
+    "a5_validation_means": a5, "a6_reject_ledger": a6, "a7_nonfinite_guard": a7, "a8_reconstruction_error": a8,
+    "a9_psnr_by_view": a9,
+    "a12_weighted_total": a12, "a13_catalog_counts": a13, "a14_metric_downsample": a14, "a15_axis_limits": a15,
+    "a16_variant_deltas": a16, "a17_metrics_long": a17, "l1_clean_l2": l1, "l2_infonce": l2, "l2b_infonce_paired": l2b,
+    "l2c_infonce_mixed": l2c,
+    "l3_multi_positive_nce": l3, "l4_view_state_contrast": l4, "l5_consistency": l5, "l6_ratio_contrast": l6,
+    "l7_triplet_hinge": l7, "l8_assign_codes": l8, "l9_fit_codebook": l9, "l9b_codebook_of_groups": l9b,
+    "l10_code_usage": l10, "l11_fsq_codes": l11, "l12_gaussian_kl": l12,
     "l13_embed_2d": l13, "l14_fuse": l14, "l15_swap_matrix": l15,
 }
 
@@ -215,42 +221,99 @@ _DIST = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[
 _UNIT = lambda v: f"list_transform({v}, lambda e: e / greatest(sqrt(list_dot_product({v}, {v})), 1e-6::DOUBLE))"
 _SIM = lambda v, tau: f"{T.LATENTS}, u AS (SELECT batch_id, state_id, view_id, vec_id, {_UNIT(v)} AS v FROM latents), s AS (SELECT a.batch_id, a.vec_id AS q, b.vec_id AS k, a.state_id AS qs, b.state_id AS ks, a.view_id AS qv, b.view_id AS kv, list_dot_product(a.v, b.v) / {tau}::DOUBLE AS sim FROM u a JOIN u b USING (batch_id))"
 _NCE = lambda pos, neg: f"e AS (SELECT batch_id, q, sum(CASE WHEN {pos} THEN exp(sim) END) AS p, sum(exp(sim)) AS t FROM s WHERE ({pos}) OR ({neg}) GROUP BY 1, 2) SELECT batch_id, round(coalesce(avg(ln(t) - ln(p)), 0), 6)"
-_BOOK = f"{T.LATENTS}, x AS (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM latents), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY 1, 2), book AS (SELECT label AS code, list(x ORDER BY i) AS code_vec FROM m GROUP BY 1), d AS (SELECT vec_id, code, {_DIST('vec', 'code_vec')} AS d FROM latents, book), best AS (SELECT vec_id, code, d FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, code) = 1)"
+_BOOK = f"""{T.LATENTS},
+x AS (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM latents),
+m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY 1, 2),
+book AS (SELECT label AS code, list(x ORDER BY i) AS code_vec FROM m GROUP BY 1),
+d AS (SELECT vec_id, code, {_DIST('vec', 'code_vec')} AS d FROM latents, book),
+best AS (SELECT vec_id, code, d FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, code) = 1)"""
 
 ORACLE_SQL = {
     "a1_normalizer_stats": f"WITH {T.LATENTS} SELECT label, {_STATS} FROM latents GROUP BY 1",
     "a2_normalize": f"""WITH {T.LATENTS}, e AS (SELECT vec_id, unnest(range(64))::INT AS i, unnest(vec) AS v FROM latents)
 SELECT vec_id, i, round((v - avg(v) OVER w) / greatest(stddev_samp(v) OVER w, 1e-6::DOUBLE), 5) + 0.0::DOUBLE AS n FROM e WINDOW w AS (PARTITION BY i)""",
     "a3_episode_return": f"WITH {_RETURNS} SELECT actor, episode, round(ret, 6) AS ret, success FROM ret",
-    "a4_eval_by_view": f"WITH {_RETURNS}, v AS (SELECT actor % 6 AS view, avg(ret) AS r, avg(success) AS s FROM ret GROUP BY 1) SELECT view, round(r, 6) AS mean_return, round(s, 8) AS mean_success FROM v UNION ALL SELECT NULL, round(avg(r), 6), round(avg(s), 8) FROM v",
-    "a5_validation_means": "SELECT 'q' AS name, round(avg(l_quantity), 6) AS mean FROM lineitem UNION ALL SELECT 'd', round(100 * avg(l_discount), 6) FROM lineitem UNION ALL SELECT 'x', round(avg(l_tax), 6) FROM lineitem",
-    "a6_reject_ledger": "WITH r AS (SELECT l_returnflag, CASE WHEN l_shipdate < DATE '1994-01-01' THEN 'no_path_match' WHEN l_quantity < 2 THEN 'too_short' WHEN l_discount > 0.08::DOUBLE THEN 'low_quality' ELSE 'ok' END AS reason FROM lineitem) SELECT l_returnflag, reason, count(*) AS n FROM r GROUP BY 1, 2 UNION ALL SELECT l_returnflag, 'total', count(*) FROM r GROUP BY 1",
-    "a7_nonfinite_guard": "WITH r AS (SELECT concat_ws(',', CASE WHEN l_tax = 0 THEN 'tax' END, CASE WHEN l_discount = 0 THEN 'discount' END) AS bad FROM lineitem) SELECT bad, bad <> '' AS skipped, count(*) AS n FROM r GROUP BY 1, 2",
-    "a8_reconstruction_error": f"WITH {T.LATENTS} SELECT label, round(avg({_DIST('z_inv', 'z_dep')} / 32), 8) AS mse, round(avg(list_sum(list_transform(list_zip(z_inv, z_dep), lambda p: abs(p[1] - p[2]))) / 32), 8) AS mae FROM latents GROUP BY 1",
-    "a9_psnr_by_view": f"WITH {T.LATENTS} SELECT view_id, round(avg(-10 * log10({_DIST('z_inv', 'z_dep')} / 32 + 1e-8::DOUBLE)), 6) AS psnr FROM latents GROUP BY 1",
-    "a12_weighted_total": "SELECT l_linenumber AS step, round(sum(l_quantity * 0.5::DOUBLE + l_discount * 2 - l_tax), 4) AS total FROM lineitem GROUP BY 1",
+    "a4_eval_by_view": f"""WITH {_RETURNS},
+v AS (SELECT actor % 6 AS view, avg(ret) AS r, avg(success) AS s FROM ret GROUP BY 1) SELECT view, round(r, 6) AS mean_return, round(s,
+8) AS mean_success FROM v UNION ALL SELECT NULL, round(avg(r), 6), round(avg(s), 8)
+FROM v""",
+    "a5_validation_means": """SELECT 'q' AS name, round(avg(l_quantity), 6) AS mean
+FROM lineitem UNION ALL SELECT 'd', round(100 * avg(l_discount), 6)
+FROM lineitem UNION ALL SELECT 'x', round(avg(l_tax), 6)
+FROM lineitem""",
+    "a6_reject_ledger": """WITH r AS (SELECT l_returnflag, CASE WHEN l_shipdate < DATE '1994-01-01' THEN 'no_path_match' WHEN l_quantity < 2 THEN 'too_short' WHEN l_discount > 0.08::DOUBLE THEN 'low_quality' ELSE 'ok' END AS reason
+FROM lineitem) SELECT l_returnflag, reason, count(*) AS n
+FROM r GROUP BY 1, 2 UNION ALL SELECT l_returnflag, 'total', count(*)
+FROM r GROUP BY 1""",
+    "a7_nonfinite_guard": """WITH r AS (SELECT concat_ws(',', CASE WHEN l_tax = 0 THEN 'tax' END, CASE WHEN l_discount = 0 THEN 'discount' END) AS bad
+FROM lineitem) SELECT bad, bad <> '' AS skipped, count(*) AS n
+FROM r GROUP BY 1, 2""",
+    "a8_reconstruction_error": f"""WITH {T.LATENTS} SELECT label, round(avg({_DIST('z_inv', 'z_dep')} / 32), 8) AS mse, round(avg(list_sum(list_transform(list_zip(z_inv,
+z_dep), lambda p: abs(p[1] - p[2]))) / 32), 8) AS mae
+FROM latents GROUP BY 1""",
+    "a9_psnr_by_view": f"""WITH {T.LATENTS} SELECT view_id, round(avg(-10 * log10({_DIST('z_inv', 'z_dep')} / 32 + 1e-8::DOUBLE)), 6) AS psnr
+FROM latents GROUP BY 1""",
+    "a12_weighted_total": """SELECT l_linenumber AS step, round(sum(l_quantity * 0.5::DOUBLE + l_discount * 2 - l_tax), 4) AS total
+FROM lineitem GROUP BY 1""",
     "a13_catalog_counts": f"WITH {T.TALK} SELECT episode, count(*) AS num_samples FROM talk GROUP BY ROLLUP (episode)",
     "a14_metric_downsample": f"WITH {IDS} SELECT actor, transition_id AS step, done AS event FROM ids WHERE transition_id % 10 = 0 OR done",
     "a15_axis_limits": f"WITH {T.LATENTS}, b AS (SELECT label, min(vec[1]) AS ax, max(vec[1]) AS bx, min(vec[2]) AS ay, max(vec[2]) AS \"by\" FROM latents GROUP BY 1) SELECT label, round(ax - greatest(1e-6::DOUBLE, (bx - ax) * 0.08::DOUBLE), 8) AS min_x, round(bx + greatest(1e-6::DOUBLE, (bx - ax) * 0.08::DOUBLE), 8) AS max_x, round(ay - greatest(1e-6::DOUBLE, (\"by\" - ay) * 0.08::DOUBLE), 8) AS min_y, round(\"by\" + greatest(1e-6::DOUBLE, (\"by\" - ay) * 0.08::DOUBLE), 8) AS max_y FROM b",
-    "a16_variant_deltas": "SELECT l_linenumber AS step, round(avg(l_quantity) FILTER (l_returnflag = 'A'), 6) AS a, round(avg(l_quantity) FILTER (l_returnflag = 'N'), 6) AS n, round(avg(l_quantity) FILTER (l_returnflag = 'R'), 6) AS r FROM lineitem GROUP BY 1",
+    "a16_variant_deltas": """SELECT l_linenumber AS step, round(avg(l_quantity) FILTER (l_returnflag = 'A'), 6) AS a, round(avg(l_quantity) FILTER (l_returnflag = 'N'),
+6) AS n, round(avg(l_quantity) FILTER (l_returnflag = 'R'), 6) AS r
+FROM lineitem GROUP BY 1""",
     "a17_metrics_long": "SELECT l_orderkey, max(l_quantity) AS q, max(l_discount) AS d FROM lineitem GROUP BY 1",
-    "l1_clean_l2": f"WITH {T.LATENTS}, c AS (SELECT vec_id, list_transform(z_inv, lambda e: CASE WHEN e > 0.2::DOUBLE THEN 0.0::DOUBLE ELSE e END) AS v FROM latents), u AS (SELECT vec_id, {_UNIT('v')} AS v FROM c), x AS (SELECT vec_id, unnest(range(32))::INT AS i, unnest(v) AS x FROM u) SELECT vec_id, i, round(x, 8) AS x FROM x",
-    "l2_infonce": f"WITH {T.LATENTS}, u AS (SELECT batch_id, vec_id, {_UNIT('z_inv')} AS a, {_UNIT('z_dep')} AS b FROM latents), s AS (SELECT q.batch_id, q.vec_id AS q, ln(sum(exp(list_dot_product(q.a, k.b) / 0.1::DOUBLE))) - max(CASE WHEN q.vec_id = k.vec_id THEN list_dot_product(q.a, k.b) / 0.1::DOUBLE END) AS loss FROM u q JOIN u k USING (batch_id) GROUP BY 1, 2) SELECT batch_id, round(avg(loss), 6) AS loss FROM s GROUP BY 1",
-    "l2b_infonce_paired": f"WITH {T.LATENTS}, u AS (SELECT batch_id, {_UNIT('z_inv')} AS a, {_UNIT('z_dep')} AS b FROM latents), s AS (SELECT batch_id, list_dot_product(a, b) / 0.1::DOUBLE AS p, list_dot_product(a, list_reverse(b)) / 0.1::DOUBLE AS n, list_dot_product(a, list_reverse(a)) / 0.1::DOUBLE AS m FROM u) SELECT batch_id, round(avg(ln(exp(p) + exp(n) + exp(m)) - p), 6) AS loss FROM s GROUP BY 1",
-    "l3_multi_positive_nce": f"WITH {_SIM('vec', 0.5)}, {_NCE('qs = ks AND qv < kv', 'qs <> ks')} AS loss, count(p) AS n_queries FROM e GROUP BY 1",
-    "l4_view_state_contrast": f"SELECT batch_id, inv, dep FROM (WITH {_SIM('z_inv', 0.5)}, {_NCE('qs = ks AND qv <> kv', 'qs <> ks')} AS inv FROM e GROUP BY 1) JOIN (WITH {_SIM('z_dep', 0.5)}, {_NCE('qs <> ks AND qv = kv', 'qv <> kv')} AS dep FROM e GROUP BY 1) USING (batch_id)",
+    "l1_clean_l2": f"""WITH {T.LATENTS},
+c AS (SELECT vec_id, list_transform(z_inv, lambda e: CASE WHEN e > 0.2::DOUBLE THEN 0.0::DOUBLE ELSE e END) AS v
+FROM latents),
+u AS (SELECT vec_id, {_UNIT('v')} AS v FROM c),
+x AS (SELECT vec_id, unnest(range(32))::INT AS i, unnest(v) AS x FROM u) SELECT vec_id, i, round(x, 8) AS x
+FROM x""",
+    "l2_infonce": f"""WITH {T.LATENTS},
+u AS (SELECT batch_id, vec_id, {_UNIT('z_inv')} AS a, {_UNIT('z_dep')} AS b FROM latents),
+s AS (SELECT q.batch_id, q.vec_id AS q, ln(sum(exp(list_dot_product(q.a, k.b) / 0.1::DOUBLE))) - max(CASE WHEN q.vec_id = k.vec_id THEN list_dot_product(q.a,
+k.b) / 0.1::DOUBLE END) AS loss FROM u q JOIN u k USING (batch_id) GROUP BY 1, 2) SELECT batch_id, round(avg(loss), 6) AS loss
+FROM s GROUP BY 1""",
+    "l2b_infonce_paired": f"""WITH {T.LATENTS},
+u AS (SELECT batch_id, {_UNIT('z_inv')} AS a, {_UNIT('z_dep')} AS b FROM latents),
+s AS (SELECT batch_id, list_dot_product(a, b) / 0.1::DOUBLE AS p, list_dot_product(a, list_reverse(b)) / 0.1::DOUBLE AS n, list_dot_product(a,
+list_reverse(a)) / 0.1::DOUBLE AS m FROM u) SELECT batch_id, round(avg(ln(exp(p) + exp(n) + exp(m)) - p), 6) AS loss
+FROM s GROUP BY 1""",
+    "l3_multi_positive_nce": f"""WITH {_SIM('vec', 0.5)}, {_NCE('qs = ks AND qv < kv', 'qs <> ks')} AS loss, count(p) AS n_queries
+FROM e GROUP BY 1""",
+    "l4_view_state_contrast": f"""SELECT batch_id, inv, dep FROM (WITH {_SIM('z_inv', 0.5)}, {_NCE('qs = ks AND qv <> kv', 'qs <> ks')} AS inv
+FROM e GROUP BY 1) JOIN (WITH {_SIM('z_dep', 0.5)}, {_NCE('qs <> ks AND qv = kv', 'qv <> kv')} AS dep
+FROM e GROUP BY 1) USING (batch_id)""",
     "l5_consistency": "SELECT batch_id, state, view FROM " + " JOIN ".join(
         f"(WITH {T.LATENTS}, u AS (SELECT batch_id, {g}, {_UNIT(v)} AS v FROM latents), x AS (SELECT batch_id, {g}, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u), m AS (SELECT *, abs(x - avg(x) OVER (PARTITION BY batch_id, {g}, i)) AS d FROM x) SELECT batch_id, round(avg(d), 8) AS {n} FROM m GROUP BY 1)"
         for g, v, n in (("state_id", "z_inv", "state"), ("view_id", "z_dep", "view"))
     ) + " USING (batch_id)",
-    "l6_ratio_contrast": f"WITH {_SIM('z_inv', 1)}, e AS (SELECT batch_id, q, coalesce(sum(CASE WHEN qs = ks AND qv <> kv THEN exp(sim) END), 0) AS p, coalesce(sum(CASE WHEN qs <> ks THEN exp(sim) END), 0) AS n FROM s GROUP BY 1, 2) SELECT batch_id, round(avg(-ln(greatest(p, 1e-8::DOUBLE) / greatest(p + n, 1e-8::DOUBLE))), 6) AS loss FROM e GROUP BY 1",
-    "l7_triplet_hinge": f"WITH {T.LATENTS}, n AS (SELECT batch_id, vec_id, z_inv, z_dep, coalesce(lag(vec_id) OVER (PARTITION BY batch_id ORDER BY vec_id), max(vec_id) OVER (PARTITION BY batch_id)) AS neg FROM latents) SELECT a.batch_id, round(avg(greatest(0, 0.2::DOUBLE + {_DIST('a.z_inv', 'a.z_dep')} - {_DIST('a.z_inv', 'b.z_inv')})), 8) AS loss FROM n a JOIN latents b ON a.neg = b.vec_id GROUP BY 1",
+    "l6_ratio_contrast": f"""WITH {_SIM('z_inv', 1)},
+e AS (SELECT batch_id, q, coalesce(sum(CASE WHEN qs = ks AND qv <> kv THEN exp(sim) END), 0) AS p, coalesce(sum(CASE WHEN qs <> ks THEN exp(sim) END),
+0) AS n FROM s GROUP BY 1, 2) SELECT batch_id, round(avg(-ln(greatest(p, 1e-8::DOUBLE) / greatest(p + n, 1e-8::DOUBLE))), 6) AS loss
+FROM e GROUP BY 1""",
+    "l7_triplet_hinge": f"""WITH {T.LATENTS},
+n AS (SELECT batch_id, vec_id, z_inv, z_dep, coalesce(lag(vec_id) OVER (PARTITION BY batch_id ORDER BY vec_id), max(vec_id) OVER (PARTITION BY batch_id)) AS neg
+FROM latents) SELECT a.batch_id, round(avg(greatest(0, 0.2::DOUBLE + {_DIST('a.z_inv', 'a.z_dep')} - {_DIST('a.z_inv', 'b.z_inv')})),
+8) AS loss FROM n a JOIN latents b ON a.neg = b.vec_id
+GROUP BY 1""",
     "l8_assign_codes": f"WITH {_BOOK} SELECT vec_id, code, round(d / 64 * 0.25::DOUBLE, 10) AS error FROM best",
-    "l10_code_usage": f"WITH {_BOOK}, c AS (SELECT book.code, count(best.vec_id) AS n FROM book LEFT JOIN best USING (code) GROUP BY 1), p AS (SELECT n, n / sum(n) OVER () AS p FROM c) SELECT count(*) AS n_codes, round(avg(CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 8) AS used, round(exp(-sum(CASE WHEN n > 0 THEN p * ln(p) ELSE 0 END)), 6) AS perplexity, sum(CASE WHEN n < 2 THEN 1 ELSE 0 END)::BIGINT AS dead FROM p",
-    "l11_fsq_codes": f"WITH {T.LATENTS}, d AS (SELECT vec_id, floor(tanh(vec[1] * 8) * 3 + 3.5::DOUBLE)::BIGINT AS d0, floor(tanh(vec[2] * 8) * 2 + 2.5::DOUBLE)::BIGINT AS d1, floor(tanh(vec[3] * 8) * 2 + 2.5::DOUBLE)::BIGINT AS d2 FROM latents) SELECT vec_id, d0, d1, d2, d0 + 7 * d1 + 35 * d2 AS index FROM d",
-    "l12_gaussian_kl": f"WITH {T.LATENTS} SELECT label, round(avg(list_sum(list_transform(list_zip(z_inv, z_dep), lambda p: -0.5::DOUBLE * (1 + 2 * p[2] - p[1] * p[1] - exp(2 * p[2])))) / 32), 8) AS kl FROM latents GROUP BY 1",
+    "l10_code_usage": f"""WITH {_BOOK},
+c AS (SELECT book.code, count(best.vec_id) AS n FROM book LEFT JOIN best USING (code)
+GROUP BY 1),
+p AS (SELECT n, n / sum(n) OVER () AS p FROM c) SELECT count(*) AS n_codes, round(avg(CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),
+8) AS used, round(exp(-sum(CASE WHEN n > 0 THEN p * ln(p) ELSE 0 END)), 6) AS perplexity, sum(CASE WHEN n < 2 THEN 1 ELSE 0 END)::BIGINT AS dead
+FROM p""",
+    "l11_fsq_codes": f"""WITH {T.LATENTS},
+d AS (SELECT vec_id, floor(tanh(vec[1] * 8) * 3 + 3.5::DOUBLE)::BIGINT AS d0, floor(tanh(vec[2] * 8) * 2 + 2.5::DOUBLE)::BIGINT AS d1,
+floor(tanh(vec[3] * 8) * 2 + 2.5::DOUBLE)::BIGINT AS d2 FROM latents) SELECT vec_id, d0, d1, d2, d0 + 7 * d1 + 35 * d2 AS index
+FROM d""",
+    "l12_gaussian_kl": f"""WITH {T.LATENTS} SELECT label, round(avg(list_sum(list_transform(list_zip(z_inv, z_dep), lambda p: -0.5::DOUBLE * (1 + 2 * p[2] - p[1] * p[1] - exp(2 * p[2])))) / 32),
+8) AS kl FROM latents GROUP BY 1""",
     "l14_fuse": f"WITH {T.LATENTS} SELECT vec_id, 64::INT AS n, vec[34] AS c33, round(z_inv[2] + z_dep[2], 8) AS p1 FROM latents",
-    "l15_swap_matrix": f"WITH {T.LATENTS}, f AS (SELECT batch_id AS episode, state_id % 10 AS t, view_id AS camera, z_inv, z_dep FROM latents) SELECT a.episode, a.camera AS inv_camera, a.t AS inv_t, b.camera AS dep_camera, b.t AS dep_t, round(a.z_inv[1] + b.z_dep[1], 8) AS f0 FROM f a JOIN f b ON a.episode = b.episode AND b.t = CASE WHEN a.t = 0 THEN 1 ELSE 0 END AND a.camera <> b.camera",
+    "l15_swap_matrix": f"""WITH {T.LATENTS},
+f AS (SELECT batch_id AS episode, state_id % 10 AS t, view_id AS camera, z_inv, z_dep
+FROM latents) SELECT a.episode, a.camera AS inv_camera, a.t AS inv_t, b.camera AS dep_camera, b.t AS dep_t, round(a.z_inv[1] + b.z_dep[1],
+8) AS f0 FROM f a JOIN f b ON a.episode = b.episode AND b.t = CASE WHEN a.t = 0 THEN 1 ELSE 0 END AND a.camera <> b.camera""",
 }
 ORACLE_SQL["l9b_codebook_of_groups"] = f"""
 WITH {T.LATENTS},

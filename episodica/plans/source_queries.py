@@ -114,12 +114,17 @@ def s10(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {"s1_read_episodes": s1, "s10_write_vertices": s10, "s2_append_keys": s2, "s3_replace_episode": s3, "s4_validate_layout": s4, "s5_read_calibrations": s5, "s6_episode_metadata": s6, "s7_frame_paths": s7, "s8_explode_nested": s8, "s9_export_keys": s9, "s11_backfill_features": s11, "s12_transition_states": s12, "s13_image_size": s13}
 
-_F = "frames AS (SELECT 'demo' || conv_id AS episode, turn AS t, role AS camera, length(text)::INT AS height, strlen(text)::INT AS width FROM conversations)"
+_F = """frames AS (SELECT 'demo' || conv_id AS episode, turn AS t, role AS camera, length(text)::INT AS height, strlen(text)::INT AS width
+FROM conversations)"""
 ORACLE_SQL = {
-    "s1_read_episodes": "SELECT 'demo' || conv_id AS episode, count(*) AS num_samples, count(DISTINCT role) AS n_cameras, sum(strlen(text))::BIGINT AS n_bytes FROM conversations GROUP BY 1",
-    "s10_write_vertices": "SELECT vec_id // 5 AS episode, vec_id % 5 AS cam_idx, 0::INT AS t, count(*) * 2 AS n_vertices FROM embeddings GROUP BY 1, 2",
-    "s2_append_keys": f"WITH {T.CATALOGUE} SELECT s_suppkey, 'demo' || (row_number() OVER (ORDER BY s_suppkey) + (SELECT max(k) FROM catalogue)) AS episode FROM supplier",
-    "s3_replace_episode": f"WITH {T.CATALOGUE} SELECT episode, CASE WHEN k % 5 = 0 THEN -1 ELSE num_samples END AS num_samples FROM catalogue",
+    "s1_read_episodes": """SELECT 'demo' || conv_id AS episode, count(*) AS num_samples, count(DISTINCT role) AS n_cameras, sum(strlen(text))::BIGINT AS n_bytes
+FROM conversations GROUP BY 1""",
+    "s10_write_vertices": """SELECT vec_id // 5 AS episode, vec_id % 5 AS cam_idx, 0::INT AS t, count(*) * 2 AS n_vertices
+FROM embeddings GROUP BY 1, 2""",
+    "s2_append_keys": f"""WITH {T.CATALOGUE} SELECT s_suppkey, 'demo' || (row_number() OVER (ORDER BY s_suppkey) + (SELECT max(k)
+FROM catalogue)) AS episode FROM supplier""",
+    "s3_replace_episode": f"""WITH {T.CATALOGUE} SELECT episode, CASE WHEN k % 5 = 0 THEN -1 ELSE num_samples END AS num_samples
+FROM catalogue""",
     "s4_validate_layout": f"""WITH {LISTS}, {T.CATALOGUE}, e AS (SELECT c.episode, l.camera_names FROM catalogue c LEFT JOIN lists l USING (episode) WHERE k % 9 <> 0), v AS (SELECT episode, camera_names, unnest(['cam1', 'cam2']) AS view FROM e WHERE len(camera_names) > 0),
 p AS (SELECT episode, view FROM v WHERE list_contains(camera_names, view)), st AS (SELECT * FROM streams WHERE NOT (stream = 'cam2_rgb' AND n > 45))
 SELECT episode, 'no_camera_names' AS problem, NULL::VARCHAR AS view FROM e WHERE camera_names IS NULL OR len(camera_names) = 0 UNION ALL SELECT episode, 'view_absent', view FROM v WHERE NOT list_contains(camera_names, view)
@@ -128,11 +133,19 @@ UNION ALL SELECT episode, 'parameters_missing', view FROM p WHERE NOT EXISTS (SE
 UNION ALL SELECT DISTINCT episode, 'unknown_episode', NULL FROM st WHERE episode NOT IN (SELECT episode FROM e)""",
     "s5_read_calibrations": """SELECT row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey)::INT - 1::INT AS position, 'demo' || c_custkey AS episode_id,
 c_custkey * 0.5::DOUBLE AS left_focal, c_acctbal AS right_y, 1.0::DOUBLE AS z, 'lab/' || c_mktsegment || '/' || c_name AS relative_path, c_nationkey AS quality_metric FROM customer""",
-    "s6_episode_metadata": "SELECT 'demo' || c_custkey // 100 AS episode, count(*) AS num_frames, max(c_name) AS task FROM customer GROUP BY 1",
+    "s6_episode_metadata": """SELECT 'demo' || c_custkey // 100 AS episode, count(*) AS num_frames, max(c_name) AS task
+FROM customer GROUP BY 1""",
     "s7_frame_paths": "SELECT 'ep' || conv_id AS episode, 'cam' || (turn % 2) AS camera, turn AS t FROM conversations",
-    "s8_explode_nested": "SELECT 'conv/' || conv_id AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame_idx, turn, length(text) AS n FROM conversations",
-    "s9_export_keys": f"WITH {_F}, k AS (SELECT *, '' AS kind, width AS n FROM frames UNION ALL SELECT *, '_seg', strlen(camera)::INT FROM frames WHERE t % 2 = 0) SELECT episode || '/' || camera || kind || '/t_' || lpad(t::VARCHAR, 6, '0') AS blob_key, kind, n FROM k WHERE camera IN ('user', 'assistant') AND t < 4",
-    "s11_backfill_features": f"WITH {_F} SELECT episode, t, camera, 1::INT AS grid_h, width::DOUBLE AS length FROM frames WHERE NOT (camera = 'user' AND episode < 'demo2')",
-    "s12_transition_states": f"WITH {IDS} SELECT actor, state_id, episode, step, true AS has_transition FROM ids UNION ALL SELECT actor, state_id + 1, episode, step + 1, false FROM ids WHERE done",
+    "s8_explode_nested": """SELECT 'conv/' || conv_id AS file_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame_idx, turn, length(text) AS n
+FROM conversations""",
+    "s9_export_keys": f"""WITH {_F},
+k AS (SELECT *, '' AS kind, width AS n FROM frames UNION ALL SELECT *, '_seg', strlen(camera)::INT
+FROM frames WHERE t % 2 = 0) SELECT episode || '/' || camera || kind || '/t_' || lpad(t::VARCHAR, 6, '0') AS blob_key, kind, n
+FROM k WHERE camera IN ('user', 'assistant') AND t < 4""",
+    "s11_backfill_features": f"""WITH {_F} SELECT episode, t, camera, 1::INT AS grid_h, width::DOUBLE AS length
+FROM frames WHERE NOT (camera = 'user' AND episode < 'demo2')""",
+    "s12_transition_states": f"""WITH {IDS} SELECT actor, state_id, episode, step, true AS has_transition
+FROM ids UNION ALL SELECT actor, state_id + 1, episode, step + 1, false
+FROM ids WHERE done""",
     "s13_image_size": f"WITH {_F} SELECT episode, arg_min(height, t) AS height, arg_min(width, t) AS width FROM frames GROUP BY 1",
 }

@@ -100,8 +100,11 @@ ORACLE_SQL = {
     "t1_ingest_transitions": WINDOWS["w6_assign_ids"],
     "t2_stream_nstep": WINDOWS["w4_nstep_return"].replace("SELECT actor, episode, step, step + 3 AS next_step,", "SELECT actor, event_id,").replace("SELECT actor, episode, step, next_step,", "SELECT actor, event_id,"),
     "t3_stream_rolling": WINDOWS["w9_rolling_episode_stats"],
-    "t4_stream_eval": f"WITH {T.LOG} SELECT actor % 6 AS view, round(avg(reward), 6) AS mean_return, round(avg(success::INT), 8) AS mean_success FROM log GROUP BY 1",
+    "t4_stream_eval": f"""WITH {T.LOG} SELECT actor % 6 AS view, round(avg(reward), 6) AS mean_return, round(avg(success::INT), 8) AS mean_success
+FROM log GROUP BY 1""",
     "t5_retention": f"WITH {T.LOG} SELECT event_id AS transition_id, actor FROM log WHERE event_id > (SELECT max(event_id) FROM log) - 500",
     "t6_metric_guard": f"WITH {T.LOG} SELECT done AS skipped, count(*) AS n FROM log GROUP BY 1",
-    "t7_stream_catalog": f"WITH {T.LOG} SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, actor AS episode, count(*) AS num_samples FROM log WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM log) GROUP BY 1, 2",
+    "t7_stream_catalog": f"""WITH {T.LOG} SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, actor AS episode, count(*) AS num_samples
+FROM log WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR
+FROM log) GROUP BY 1, 2""",
 }

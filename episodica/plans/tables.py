@@ -16,7 +16,8 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("actor"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("reward"), (F.col("event_type") == "error").alias("done"), (F.col("event_type") == "purchase").alias("success"))
 
 
-LOG = "log AS (SELECT user_id AS actor, ts, event_id, value AS reward, event_type = 'error' AS done, event_type = 'purchase' AS success FROM events)"
+LOG = """log AS (SELECT user_id AS actor, ts, event_id, value AS reward, event_type = 'error' AS done, event_type = 'purchase' AS success
+FROM events)"""
 
 
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,8 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.concat(F.lit("demo"), F.col("o_orderkey").cast("string")).alias("episode"), F.col("o_orderpriority").alias("env_name"), (F.col("o_custkey") % 7).alias("num_samples"), F.col("o_orderkey").alias("k"))
 
 
-CATALOGUE = "catalogue AS (SELECT 'demo' || o_orderkey AS episode, o_orderpriority AS env_name, o_custkey % 7 AS num_samples, o_orderkey AS k FROM orders)"
+CATALOGUE = """catalogue AS (SELECT 'demo' || o_orderkey AS episode, o_orderpriority AS env_name, o_custkey % 7 AS num_samples, o_orderkey AS k
+FROM orders)"""
 
 
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +45,8 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.concat(F.lit("demo"), F.col("l_orderkey").cast("string")).alias("episode"), F.concat(F.lit("cam"), F.col("l_linenumber").cast("string"), F.lit("_rgb")).alias("stream"), F.col("l_quantity").cast("long").alias("n"))
 
 
-STREAMS = "streams AS (SELECT 'demo' || l_orderkey AS episode, 'cam' || l_linenumber || '_rgb' AS stream, l_quantity::BIGINT AS n FROM lineitem)"
+STREAMS = """streams AS (SELECT 'demo' || l_orderkey AS episode, 'cam' || l_linenumber || '_rgb' AS stream, l_quantity::BIGINT AS n
+FROM lineitem)"""
 
 
 def latents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +58,5 @@ def latents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LATENTS = "latents AS (SELECT vec_id // 50 AS batch_id, vec_id // 5 AS state_id, vec_id % 5 AS view_id, vec_id, label, embedding::DOUBLE[] AS vec, (embedding::DOUBLE[])[1:32] AS z_inv, (embedding::DOUBLE[])[33:64] AS z_dep FROM embeddings)"
+LATENTS = """latents AS (SELECT vec_id // 50 AS batch_id, vec_id // 5 AS state_id, vec_id % 5 AS view_id, vec_id, label, embedding::DOUBLE[] AS vec,
+(embedding::DOUBLE[])[1:32] AS z_inv, (embedding::DOUBLE[])[33:64] AS z_dep FROM embeddings)"""

@@ -94,7 +94,9 @@ def w14(spark: SparkSession, sf: str) -> DataFrame:
 _PAD = ", ".join(f"CASE WHEN pos + {k - 1} < 1 THEN first_value(value) OVER f WHEN pos + {k - 1} > n THEN last_value(value) OVER f ELSE {'lag(value, 1)' if k == 0 else f'lead(value, {k - 1})'} OVER o END AS action_{k}" for k in range(4))
 _PADDED = f"""{T.TALK}, numbered AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY t) AS pos, count(*) OVER (PARTITION BY episode) AS n FROM talk),
 padded AS (SELECT episode, t, {_PAD} FROM numbered WINDOW o AS (PARTITION BY episode ORDER BY t), f AS (PARTITION BY episode ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
-_ENDED = f"{IDS}, ended AS (SELECT actor, episode, sum(reward) AS ret, max(success::INT) AS success FROM ids GROUP BY 1, 2 HAVING bool_or(done))"
+_ENDED = f"""{IDS},
+ended AS (SELECT actor, episode, sum(reward) AS ret, max(success::INT) AS success
+FROM ids GROUP BY 1, 2 HAVING bool_or(done))"""
 _R = ["reward", *(f"lead(reward, {k}) OVER e" for k in (1, 2))]
 _D = [f"(CASE WHEN {'done' if not k else f'lead(done, {k}) OVER e'} THEN 0.0::DOUBLE ELSE 0.99::DOUBLE END)" for k in range(3)]
 
@@ -104,18 +106,39 @@ QUERIES = {f"w{i}_{name}": f for i, name, f in (
 )}
 
 ORACLE_SQL = {
-    "w1_padded_windows": f"WITH {_PADDED} SELECT episode, t, action_0 AS obs_0, action_1 AS obs_1, action_0, action_1, action_2, action_3 FROM padded",
-    "w2_strided_windows": f"WITH {T.TALK}, x AS (SELECT episode, row_number() OVER w - 1 AS start, value AS v0, lead(value, 1) OVER w AS v1, lead(value, 2) OVER w AS v2, count(*) OVER (PARTITION BY episode) AS n FROM talk WINDOW w AS (PARTITION BY episode ORDER BY t)) SELECT episode, start, v0, v1, v2 FROM x WHERE start % 2 = 0 AND start + 3 <= n",
-    "w3_frame_stack": f"WITH {IDS} SELECT actor, episode, step, CASE WHEN step >= 2 THEN lag(event_id, 2) OVER e ELSE first_value(event_id) OVER e END AS s0, CASE WHEN step >= 1 THEN lag(event_id, 1) OVER e ELSE first_value(event_id) OVER e END AS s1, event_id AS s2 FROM ids WINDOW e AS (PARTITION BY actor, episode ORDER BY step)",
-    "w4_nstep_return": f"WITH {IDS}, x AS (SELECT actor, episode, step, step + 3 AS next_step, {_R[0]} + {_D[0]} * {_R[1]} + {_D[0]} * {_D[1]} * {_R[2]} AS r, {_D[0]} * {_D[1]} * {_D[2]} AS d, lead(step, 2) OVER e AS last FROM ids WINDOW e AS (PARTITION BY actor, episode ORDER BY step)) SELECT actor, episode, step, next_step, round(r, 8) AS n_return, round(d, 8) AS n_discount FROM x WHERE last IS NOT NULL",
-    "w5_valid_start": f"WITH {IDS} SELECT actor, episode, step, count(*) OVER (PARTITION BY actor, episode ORDER BY step ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 3 AND transition_id >= max(transition_id) OVER (PARTITION BY actor) - 39 AS valid FROM ids",
+    "w1_padded_windows": f"""WITH {_PADDED} SELECT episode, t, action_0 AS obs_0, action_1 AS obs_1, action_0, action_1, action_2, action_3
+FROM padded""",
+    "w2_strided_windows": f"""WITH {T.TALK},
+x AS (SELECT episode, row_number() OVER w - 1 AS start, value AS v0, lead(value, 1) OVER w AS v1, lead(value, 2) OVER w AS v2, count(*) OVER (PARTITION BY episode) AS n
+FROM talk WINDOW w AS (PARTITION BY episode ORDER BY t)) SELECT episode, start, v0, v1, v2
+FROM x WHERE start % 2 = 0 AND start + 3 <= n""",
+    "w3_frame_stack": f"""WITH {IDS} SELECT actor, episode, step, CASE WHEN step >= 2 THEN lag(event_id, 2) OVER e ELSE first_value(event_id) OVER e END AS s0,
+CASE WHEN step >= 1 THEN lag(event_id, 1) OVER e ELSE first_value(event_id) OVER e END AS s1, event_id AS s2
+FROM ids WINDOW e AS (PARTITION BY actor, episode ORDER BY step)""",
+    "w4_nstep_return": f"""WITH {IDS},
+x AS (SELECT actor, episode, step, step + 3 AS next_step, {_R[0]} + {_D[0]} * {_R[1]} + {_D[0]} * {_D[1]} * {_R[2]} AS r, {_D[0]} * {_D[1]} * {_D[2]} AS d,
+lead(step, 2) OVER e AS last FROM ids WINDOW e AS (PARTITION BY actor, episode ORDER BY step)) SELECT actor, episode, step, next_step,
+round(r, 8) AS n_return, round(d, 8) AS n_discount
+FROM x WHERE last IS NOT NULL""",
+    "w5_valid_start": f"""WITH {IDS} SELECT actor, episode, step, count(*) OVER (PARTITION BY actor, episode ORDER BY step ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 3 AND transition_id >= max(transition_id) OVER (PARTITION BY actor) - 39 AS valid
+FROM ids""",
     "w6_assign_ids": f"WITH {IDS} SELECT actor, event_id, transition_id, state_id, episode, step FROM ids",
-    "w7_retain_latest": f"WITH {IDS} SELECT actor, transition_id, event_id FROM ids QUALIFY transition_id > max(transition_id) OVER (PARTITION BY actor) - 20",
+    "w7_retain_latest": f"""WITH {IDS} SELECT actor, transition_id, event_id
+FROM ids QUALIFY transition_id > max(transition_id) OVER (PARTITION BY actor) - 20""",
     "w8_action_slice": f"WITH {_PADDED} SELECT episode, t, action_1 AS a0, action_2 AS a1 FROM padded",
-    "w9_rolling_episode_stats": f"WITH {_ENDED} SELECT actor, episode, round(avg(ret) OVER w, 6) AS rolling_return, round(avg(success) OVER w, 6) AS rolling_success FROM ended WINDOW w AS (PARTITION BY actor ORDER BY episode ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
-    "w10_rolling_metric": f"WITH {IDS} SELECT name, step, round(mean, 6) AS mean FROM (SELECT actor AS name, transition_id AS step, avg(reward) OVER (PARTITION BY actor ORDER BY transition_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean FROM ids) WHERE step % 5 = 0",
-    "w11_action_repeat": f"WITH {IDS} SELECT actor, episode, step // 2 AS t, round(sum(reward), 6) AS reward, bool_or(success) AS success, bool_or(done) AS done, max(step) AS last_step, arg_max(reward, step) AS last_reward FROM ids WHERE step < 50 GROUP BY 1, 2, 3",
-    "w12_align_transitions": f"WITH {IDS} SELECT actor, transition_id AS t, coalesce(NOT lead(done) OVER (PARTITION BY actor ORDER BY transition_id), true) AS aligned FROM ids",
-    "w13_truncate": f"WITH {IDS}, x AS (SELECT actor, transition_id AS step, event_id, min(CASE WHEN done OR success THEN transition_id END) OVER (PARTITION BY actor) AS stop FROM ids) SELECT actor, step, event_id FROM x WHERE step < 30 AND (stop IS NULL OR step <= stop)",
+    "w9_rolling_episode_stats": f"""WITH {_ENDED} SELECT actor, episode, round(avg(ret) OVER w, 6) AS rolling_return, round(avg(success) OVER w, 6) AS rolling_success
+FROM ended WINDOW w AS (PARTITION BY actor ORDER BY episode ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
+    "w10_rolling_metric": f"""WITH {IDS} SELECT name, step, round(mean, 6) AS mean
+FROM (SELECT actor AS name, transition_id AS step, avg(reward) OVER (PARTITION BY actor ORDER BY transition_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean
+FROM ids) WHERE step % 5 = 0""",
+    "w11_action_repeat": f"""WITH {IDS} SELECT actor, episode, step // 2 AS t, round(sum(reward), 6) AS reward, bool_or(success) AS success, bool_or(done) AS done,
+max(step) AS last_step, arg_max(reward, step) AS last_reward
+FROM ids WHERE step < 50 GROUP BY 1, 2, 3""",
+    "w12_align_transitions": f"""WITH {IDS} SELECT actor, transition_id AS t, coalesce(NOT lead(done) OVER (PARTITION BY actor ORDER BY transition_id), true) AS aligned
+FROM ids""",
+    "w13_truncate": f"""WITH {IDS},
+x AS (SELECT actor, transition_id AS step, event_id, min(CASE WHEN done OR success THEN transition_id END) OVER (PARTITION BY actor) AS stop
+FROM ids) SELECT actor, step, event_id FROM x
+WHERE step < 30 AND (stop IS NULL OR step <= stop)""",
     "w14_token_grid": f"WITH {T.LATENTS}, x AS (SELECT vec_id, unnest(range(64)) AS token, unnest(vec) AS x FROM latents) SELECT vec_id, token // 8 AS \"row\", token % 8 AS col, x FROM x",
 }
