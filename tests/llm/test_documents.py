@@ -483,3 +483,26 @@ def test_windows_alone_retrieve():
     for name, text in L.TEMPLATES.items():
         filler = [f"word{i}" for i in range(r.randint(0, 40))]
         assert name in found.scan(" ".join([*filler, text, *filler]).encode())
+
+
+def test_least_between_is_the_least():
+    rng = np.random.default_rng(5)
+    for n in (1, 31, 32, 33, 1000):
+        values, a, b = rng.integers(0, 50, n), rng.integers(0, n, 300), rng.integers(0, n, 300)
+        first, last = np.minimum(a, b), np.maximum(a, b)
+        assert Q._least_between(values, first, last).tolist() == [int(values[x : y + 1].min()) for x, y in zip(first, last, strict=True)]
+
+
+def test_repeats_take_memory_by_words_whatever_their_length():
+    once = np.random.default_rng(6).integers(0, 5000, 50_000)
+    words = np.r_[once, once]
+    tracemalloc.start()
+    longest = Q.suffix_repeats(words, np.zeros(len(words), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert longest.max() == 50_000 and longest[0] == 50_000 and longest[49_999] == 1
+    assert peak < 220 * len(words)
+
+
+def test_repeats_of_one_word():
+    assert Q.suffix_repeats(np.zeros(1000, np.int64), np.repeat([0, 1], 500)).tolist() == [499, *range(499, 0, -1)] * 2  # of neighbours the longer shares all
