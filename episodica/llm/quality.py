@@ -16,6 +16,8 @@ SPACES = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 #: Words of the windows of the base rule.
 WINDOW = 3
+#: Bytes of text that are judged at once; a longer text stands alone.
+SLICE = 700_000
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered_words long, longest_repeat long"
 
 
@@ -171,7 +173,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 1_500_000):
+        for batch in slices(batches, "t", SLICE):
             found = measure(column_bytes(batch, "t"), rules)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], names=["doc_id", *(x.split()[0] for x in COLUMNS.split(", "))])
 
@@ -184,7 +186,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -
     names = [f"c{i}" for i in range(len(docs.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, names[at], 1_500_000):
+        for batch in slices(batches, names[at], SLICE):
             yield batch.filter(pa.array(measure(column_bytes(batch, names[at]), rules)[6]))
 
     plain = docs.toDF(*names)
