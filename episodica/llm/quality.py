@@ -70,21 +70,19 @@ def _least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray, bloc
     return found
 
 
-def suffix_repeats(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each position of the texts laid end to end, the words that its suffix shares with its closest neighbour.
+def suffix_array(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of the texts laid end to end in the order of their suffixes, and what each slot's suffix shares with the one before.
 
     A suffix array of every text at once by prefix doubling: ``rank`` is the slot at which a
     suffix's group begins, only groups of two or more are sorted again, by the ranks that lie
-    ``k`` words on. The array is then cut by text, since the first key holds the text's number. The longest
+    ``k`` words on. The array is cut by text, since the first key holds the text's number. The longest
     common prefixes of neighbours are found where groups part: ``k`` words, and what the suffixes ``k`` words on share, which
-    is the least prefix between their two groups, known since they parted. The larger of a suffix's two is its longest
-    maximal repeat: all members of one interval of common prefixes of length l or more have at least l there.
+    is the least prefix between their two groups, known since they parted.
     Memory is a few numbers a word, however long the repeats.
     """
     n = len(word)
-    longest = np.zeros(n, np.int64)
     if not n:
-        return longest
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     key = doc.astype(np.int64) << 32 | word
     slots = np.argsort(key, kind="stable")
     ordered = key[slots]
@@ -117,7 +115,18 @@ def suffix_repeats(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
             common[new[parted]] += _least_between(common, second[parted - 1], second[parted] - 1)
         k *= 2
         active = active[np.bincount(new, minlength=n)[new] > 1]
-    longest[slots] = np.maximum(common, np.r_[common[1:], 0])
+    return slots, common
+
+
+def suffix_repeats(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each position of the texts laid end to end, the words that its suffix shares with its closest neighbour.
+
+    The larger of the common prefixes with both neighbours is a suffix's longest
+    maximal repeat: all members of one interval of common prefixes of length l or more have at least l there.
+    """
+    slots, common = suffix_array(word, doc)
+    longest = np.zeros(len(word), np.int64)
+    longest[slots] = np.maximum(common, np.r_[common[1:], 0]) if len(slots) else 0
     return longest
 
 

@@ -8,6 +8,7 @@ from episodica.llm.licenses import op7_license_notices
 from episodica.llm.packing import op6_minimum_bin_slack
 from episodica.llm.pii import op5_bootstrapped_pii
 from episodica.llm.quality import op3_repetition_rules
+from episodica.llm.runs import op13_periodic_runs
 from episodica.llm.simhash import op10_simhash_components
 from episodica.llm.suffixes import op8_bucket_pointer_dedup
 from episodica.llm.tokenfiles import op9_token_files
@@ -26,6 +27,7 @@ QUERIES = {
         op8_bucket_pointer_dedup,
         op9_token_files,
         op10_simhash_components,
+        op13_periodic_runs,
     )
 }
 
