@@ -12,6 +12,7 @@ from episodica.llm.runs import op13_periodic_runs
 from episodica.llm.simhash import op10_simhash_components
 from episodica.llm.suffixes import op8_bucket_pointer_dedup
 from episodica.llm.tokenfiles import op9_token_files
+from episodica.llm.toxicity import op12_nnpu_toxicity
 from episodica.llm.warc import OP2_SQL, op2_merkle_fixity
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
         op8_bucket_pointer_dedup,
         op9_token_files,
         op10_simhash_components,
+        op12_nnpu_toxicity,
         op13_periodic_runs,
     )
 }
