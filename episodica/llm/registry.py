@@ -6,6 +6,7 @@ from episodica.llm.decontaminate import op4_bm25_leaks
 from episodica.llm.html_text import op1_tree_model_text
 from episodica.llm.licenses import op7_license_notices
 from episodica.llm.packing import op6_minimum_bin_slack
+from episodica.llm.phrases import OP11_SQL, op11_phrase_streams
 from episodica.llm.pii import op5_bootstrapped_pii
 from episodica.llm.quality import op3_repetition_rules
 from episodica.llm.runs import op13_periodic_runs
@@ -28,9 +29,10 @@ QUERIES = {
         op8_bucket_pointer_dedup,
         op9_token_files,
         op10_simhash_components,
+        op11_phrase_streams,
         op12_nnpu_toxicity,
         op13_periodic_runs,
     )
 }
 
-ORACLE_SQL = {"op2_merkle_fixity": OP2_SQL}
+ORACLE_SQL = {"op2_merkle_fixity": OP2_SQL, "op11_phrase_streams": OP11_SQL}

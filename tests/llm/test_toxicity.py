@@ -82,7 +82,7 @@ def test_rows_are_taken_with_their_places():
 
 def test_odd_rows(spark, tmp_path):
     docs, labels, _ = corpus(800)
-    odd = [(None, None), (None, "vilo vilos"), (1, ""), (1, "vilo"), (1, "vilo"), (900, "x" * 200_000), (901, "vilo " * 50_000), (902, None)]
+    odd = [(None, None), (None, "vilo vilos"), (1, ""), (1, "vilo"), (1, "vilo"), (900, "x" * 200_000), (901, "vilo vilos brakut scornono brakutta " * 10_000), (902, None)]
     spark.createDataFrame([(i, t, 0.0, 1) for i, t in docs + odd], "doc_id long, text string, score double, toxic int").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([*labels, (1, 1), (1, 0), (None, 1), (902, 1), (5, None), (10**9, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     rows = T.op12_nnpu_toxicity(spark, str(tmp_path)).collect()
