@@ -20,6 +20,11 @@ def ids(spark: SparkSession, sf: str) -> DataFrame:
     return W.assign_ids(T.log(spark, sf))
 
 
+def dealt(spark: SparkSession, sf: str, before: int, after: int) -> DataFrame:
+    """Steps numbered by a segmented scan and dealt into blocks, so that no actor is one task."""
+    return W.deal(W.assign_ids(T.log(spark, sf), span=W.SPAN), before, after)
+
+
 def w1(spark: SparkSession, sf: str) -> DataFrame:
     found = W.padded_windows(T.talk(spark, sf), 4, 2, "value")
     return found.select("episode", "t", *[F.col("obs")[i].alias(f"obs_{i}") for i in range(2)], *[F.col("actions")[i].alias(f"action_{i}") for i in range(4)])
@@ -31,20 +36,20 @@ def w2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w3(spark: SparkSession, sf: str) -> DataFrame:
-    found = W.frame_stack(ids(spark, sf), 3, "event_id")
+    found = W.undeal(W.frame_stack(dealt(spark, sf, 2, 0), 3, "event_id"))
     return found.select("actor", "episode", "step", *[F.col("stack")[i].alias(f"s{i}") for i in range(3)])
 
 
 def w4(spark: SparkSession, sf: str) -> DataFrame:
-    return W.nstep_return(ids(spark, sf), 3, 0.99).select("actor", "episode", "step", "next_step", F.round("n_return", 8).alias("n_return"), F.round("n_discount", 8).alias("n_discount"))
+    return W.undeal(W.nstep_return(dealt(spark, sf, 0, 2), 3, 0.99)).select("actor", "episode", "step", "next_step", F.round("n_return", 8).alias("n_return"), F.round("n_discount", 8).alias("n_discount"))
 
 
 def w5(spark: SparkSession, sf: str) -> DataFrame:
-    return W.valid_start(ids(spark, sf), 3, 40).select("actor", "episode", "step", "valid")
+    return W.undeal(W.valid_start(dealt(spark, sf, 0, 2), 3, 40)).select("actor", "episode", "step", "valid")
 
 
 def w6(spark: SparkSession, sf: str) -> DataFrame:
-    return ids(spark, sf).select("actor", "event_id", "transition_id", "state_id", "episode", "step")
+    return W.assign_ids(T.log(spark, sf), span=W.SPAN).select("actor", "event_id", "transition_id", "state_id", "episode", "step")
 
 
 def w7(spark: SparkSession, sf: str) -> DataFrame:
