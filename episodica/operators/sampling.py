@@ -155,6 +155,44 @@ def sample_starts(valid: DataFrame, n: int, seed: int, key: Sequence[str]) -> Da
     return valid.filter("valid").withColumn("__h", hash_key(seed, *key)).orderBy("__h", *key).limit(n).drop("__h")
 
 
+def draw_starts(valid: DataFrame, n: int, seed: int, key: Sequence[str], first: int = 0) -> DataFrame:
+    """(draw, the columns of ``valid``): draws ``first`` to ``first`` + n - 1 with replacement from the valid starts; each by itself, so a learner goes on for ever.
+
+    A draw is a number that its md5 gives, modulo the number of valid starts: a place in the order of the starts' own md5. No task sorts that order. The starts
+    are counted by the first six digits of their md5; 4,096 sums of those say which three digits a draw falls under, by binary search, and
+    the counts under them which six, by walking both in step. Only starts under digits that a draw fell on are then put in order, a few
+    at a time. A null key or seed draws as any other; without a valid start there are no draws.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    spark = valid.sparkSession
+    digits = lambda at: F.conv(F.substring("__h", at, 3), 16, 10).cast("int")
+    ready = valid.filter("valid").withColumn("__h", hash_key(seed, *key)).withColumns({"__coarse": digits(1), "__fine": digits(4)})
+    counts = ready.groupBy("__coarse", "__fine").agg(F.count(F.lit(1)).alias("__n"))
+    sums = sorted((r[0], r[1]) for r in counts.groupBy("__coarse").agg(F.sum("__n")).collect())  # 4,096 at most
+    begins, total = [], 0
+    for coarse, size in sums:
+        begins.append((coarse, total))
+        total += size
+    draws = spark.range(first, first + n if total else first).withColumnRenamed("id", "draw").withColumn("__at", hash_int(seed, "draw") % max(1, total))
+    if not total:
+        return draws.select("draw").join(valid.limit(0))
+    splits = [-1.0, *(float(begin) for _, begin in begins), float("inf")]  # bucket 0 is empty
+    found = Bucketizer(splits=splits, inputCol="__double", outputCol="__bucket").transform(draws.withColumn("__double", F.col("__at").cast("double")))
+    named = spark.createDataFrame([(float(i), coarse, begin) for i, (coarse, begin) in enumerate(begins, 1)], "__bucket double, __coarse int, __begin long")
+    coarse_draws = found.join(F.broadcast(named), "__bucket").select("__coarse", (F.col("__at") - F.col("__begin")).alias("__at"), "draw")  # 4,096 rows at most
+    w = Window.partitionBy("__coarse")
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__fine").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marks = counts.select("__coarse", before.alias("__at"), F.lit(None).cast("long").alias("draw"), F.struct(F.col("__fine").alias("fine"), before.alias("begin")).alias("__mark"))
+    both = marks.unionByName(coarse_draws.withColumn("__mark", F.lit(None).cast(marks.schema["__mark"].dataType)))
+    last = F.last("__mark", ignorenulls=True).over(w.orderBy("__at", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = both.withColumn("__mark", last).filter("draw IS NOT NULL").select("draw", "__coarse", F.col("__mark.fine").alias("__fine"), (F.col("__at") - F.col("__mark.begin")).alias("__place"))
+    under = ["__coarse", "__fine"]
+    asked = ready.join(placed.select(*under).distinct(), under, "left_semi")
+    ranked = asked.withColumn("__place", (F.row_number().over(Window.partitionBy(*under).orderBy("__h", *key)) - 1).cast("long"))
+    return placed.join(ranked, [*under, "__place"]).select("draw", *valid.columns)
+
+
 def limit_batches(df: DataFrame, k: int | None, batch: str = "batch_id", zero_is_all: bool = True) -> DataFrame:
     """The first k batches; all for None, and for k <= 0 if asked."""
     return df if k is None or (zero_is_all and k <= 0) else df.filter(F.col(batch) < k)

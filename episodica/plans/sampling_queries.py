@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from episodica.operators import sampling as S
 from episodica.operators import windows as W
 from episodica.plans import tables as T
-from episodica.plans.window_queries import IDS, ids
+from episodica.plans.window_queries import IDS, dealt, ids
 
 
 def _h(seed: int, *key: str) -> str:
@@ -112,6 +112,12 @@ def p17(spark: SparkSession, sf: str) -> DataFrame:
     return S.sample_starts(W.valid_start(ids(spark, sf), 3), 256, 31, ["actor", "transition_id"]).select("actor", "transition_id")
 
 
+def p17b(spark: SparkSession, sf: str) -> DataFrame:
+    """As many draws as there are line items, several times the starts."""
+    n = T.read(spark, sf, "lineitem").count()
+    return S.draw_starts(W.undeal(W.valid_start(dealt(spark, sf, 0, 2), 3)), n, 31, ["actor", "transition_id"]).select("draw", "actor", "transition_id")
+
+
 def p18(spark: SparkSession, sf: str) -> DataFrame:
     return S.limit_batches(T.latents(spark, sf), 3).select("batch_id", "vec_id")
 
@@ -134,7 +140,7 @@ QUERIES = {
     "p8_source_targets": p8,
     "p9_other_view": p9, "p10_permutation": p10, "p11_recombine": p11, "p12_rolled_negative": p12,
     "p13_primary_reference": p13, "p14_sample_rays": p14, "p15_swap_pairs": p15, "p16_allocate": p16,
-    "p17_sample_starts": p17, "p18_limit_batches": p18,
+    "p17_sample_starts": p17, "p17b_draw_starts": p17b, "p18_limit_batches": p18,
 }
 
 _N = "greatest(1, least(greatest(1, floor(n * {r}::DOUBLE)), n - 1))"
@@ -201,5 +207,11 @@ FROM s""",
 v AS (SELECT actor, transition_id, count(*) OVER (PARTITION BY actor, episode ORDER BY step ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 3 AS valid
 FROM ids) SELECT actor, transition_id FROM v
 WHERE valid ORDER BY {_h(31, 'actor', 'transition_id')}, actor, transition_id LIMIT 256""",
+    "p17b_draw_starts": f"""WITH {IDS},
+v AS (SELECT actor, transition_id, count(*) OVER (PARTITION BY actor, episode ORDER BY step ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 3 AS valid
+FROM ids),
+r AS (SELECT actor, transition_id, row_number() OVER (ORDER BY {_h(31, 'actor', 'transition_id')}, actor, transition_id) - 1 AS place FROM v WHERE valid),
+d AS (SELECT draw, {_i(31, 'draw')} % (SELECT count(*) FROM r) AS place FROM range((SELECT count(*) FROM lineitem)) AS t(draw))
+SELECT draw, actor, transition_id FROM d JOIN r USING (place)""",
     "p18_limit_batches": f"WITH {T.LATENTS} SELECT batch_id, vec_id FROM latents WHERE batch_id < 3",
 }

@@ -79,3 +79,22 @@ def test_a_hot_actor_is_spread_and_the_rows_go_over_once(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before[0])
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+
+
+def test_draws_with_replacement(spark):
+    import hashlib
+
+    from episodica.operators import sampling as S
+
+    digest = lambda *x: hashlib.md5("|".join(map(str, x)).encode()).hexdigest()
+    for n_rows in (1, 7, 5000):
+        rows = [(i, i % 3, i % 4 != 1) for i in range(n_rows)]
+        valid = spark.createDataFrame(rows, "i long, g long, valid boolean").repartition(3)
+        order = sorted((r for r in rows if r[2]), key=lambda r: (digest(5, r[0], r[1]), r[:2]))
+        for first, n in ((0, 400), (10**6, 300)):
+            got = sorted((r["draw"], r["i"]) for r in S.draw_starts(valid, n, 5, ["i", "g"], first).collect())
+            assert got == [(d, order[int(digest(5, d)[:12], 16) % len(order)][0]) for d in range(first, first + n)]
+    none = spark.createDataFrame([(1, 1, False)], "i long, g long, valid boolean")
+    assert S.draw_starts(none, 10, 5, ["i"]).collect() == []
+    plan = S.draw_starts(valid, 400, 5, ["i", "g"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SinglePartition" not in plan
