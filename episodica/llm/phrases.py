@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -19,9 +20,11 @@ PARTS = b".,;:!?\n\v\f\r"
 SPACES = b" \t"
 LONGEST = 5
 #: Bytes of text whose words are numbered at once; a longer text stands alone.
-SLICE = 8_000_000
+SLICE = 4_000_000
 #: Bits of the filter of frequent words or pairs: 8 MB, whatever the corpus.
 FILTER_BITS = 1 << 26
+#: Counters of the first look at pairs, and those of a block that tasks send: 16 MB a task at most.
+COUNTERS, COUNTER_BLOCK = 1 << 24, 1 << 16
 GRAM = "lang string, words array<string>, n long"
 
 
@@ -90,18 +93,19 @@ def _is_set(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def _grams(found: Numbered, longest: int, bits: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, ids of their words as rows, counts) of the texts' different grams: single words without ``bits``, pairs of words in
-    the filter for ``longest`` 2, else of 3 words or more whose pairs are all in it."""
+def _grams(found: Numbered, longest: int, bits: np.ndarray | None, pairs: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, ids of their words as rows, counts) of the texts' different grams: single words without ``bits``; with ``pairs``, pairs
+    in that filter of words in the filter ``bits``; else grams of 3 words or more whose pairs are all in ``bits``."""
     ids, room, v = found.id, found.room, max(1, len(found.names))
     if bits is None:
         yield 1, np.arange(len(found.names))[:, None], np.bincount(ids, minlength=len(found.names))
         return
     hashed, code = found.hashes(), ids.astype(np.int64)  # code: a number for the gram of m - 1 words at each place
     at = np.flatnonzero(room >= 2)
-    if longest == 2:
+    if pairs is not None:
         known = _is_set(bits, hashed)
-        runs = [(2, at[known[ids[at]] & known[ids[at + 1]]])]
+        at = at[known[ids[at]] & known[ids[at + 1]]]
+        runs = [(2, at[_is_set(pairs, _pair_hash(hashed[ids[at]], hashed[ids[at + 1]]))])]
     else:
         at = at[_is_set(bits, _pair_hash(hashed[ids[at]], hashed[ids[at + 1]]))]
         known = np.zeros(len(ids) + longest, bool)
@@ -116,7 +120,46 @@ def _grams(found: Numbered, longest: int, bits: np.ndarray | None) -> Iterator[t
         yield m, ids[at[first][:, None] + np.arange(m)], counts
 
 
-def _counts(docs: DataFrame, longest: int, bits: np.ndarray | None) -> DataFrame:
+def _seldom(docs: DataFrame, bits: np.ndarray, min_count: int) -> np.ndarray:
+    """A bit for each counter that pairs of words in the filter ``bits`` raise to ``min_count``: pairs of other counters are too rare.
+
+    A pair's hash names its counter; several pairs may share one, so a frequent pair's bit is never missing. A task's counters stop at ``min_count``
+    and go out as packed blocks, which are summed block by block.
+    """
+    limit, counters, size = SLICE, COUNTERS, COUNTER_BLOCK
+    kind = np.dtype(np.uint8 if min_count < 256 else np.uint32)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(counters, kind)
+        for batch in slices(batches, "text", limit):
+            found = Numbered(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())
+            hashed = found.hashes()
+            known = _is_set(bits, hashed)[found.id]
+            at = np.flatnonzero(found.room >= 2)
+            at = at[known[at] & known[at + 1]]
+            place, n = np.unique(_pair_hash(hashed[found.id[at]], hashed[found.id[at + 1]]) & np.uint64(counters - 1), return_counts=True)
+            held[place] = np.minimum(held[place] + n, min_count)
+        for i, block in enumerate(held.reshape(-1, size)):
+            if block.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(block.tobytes(), 1)])], names=["block", "packed"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                block = np.frombuffer(zlib.decompress(packed), kind).astype(np.int64)
+                total[i] = np.minimum(total[i] + block, min_count) if i in total else block
+        full = [np.packbits(x >= min_count, bitorder="little").tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array(full, pa.binary())], names=["block", "packed"])
+
+    schema = "block int, packed binary"
+    found = np.zeros(counters // 8, np.uint8)
+    for r in docs.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():  # COUNTERS / 8 bytes
+        found[r["block"] * size // 8 : (r["block"] + 1) * size // 8] = np.frombuffer(r["packed"], np.uint8)
+    return found.view(np.uint32)
+
+
+def _counts(docs: DataFrame, longest: int, bits: np.ndarray | None, pairs: np.ndarray | None = None) -> DataFrame:
     """(lang, words, phrase, n): how often each gram of :func:`_grams` occurs; with single words, the row of 0 words counts them all."""
     limit = SLICE
 
@@ -124,7 +167,7 @@ def _counts(docs: DataFrame, longest: int, bits: np.ndarray | None) -> DataFrame
         for batch in slices(batches, "text", limit):
             found = Numbered(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())
             langs = pa.array(found.langs, pa.string())
-            for m, rows, counts in _grams(found, longest, bits):
+            for m, rows, counts in _grams(found, longest, bits, pairs):
                 phrase = pc.binary_join_element_wise(*[found.names.take(pa.array(c)) for c in rows.T], pa.scalar(" ", pa.large_string())).cast(pa.string())
                 lang = langs.take(pa.array(found.lang[rows[:, 0]]))
                 yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(rows), m, np.int32)), phrase, pa.array(counts.astype(np.int64))], names=["lang", "words", "phrase", "n"])
@@ -139,14 +182,15 @@ def _counts(docs: DataFrame, longest: int, bits: np.ndarray | None) -> DataFrame
 def frequent_grams(docs: DataFrame, lang_col: str, text_col: str, min_count: int, longest: int) -> tuple[DataFrame, DataFrame]:
     """(lang, words: array, n) of every gram of up to ``longest`` words that occurs ``min_count`` times in a language, and (lang, total) words.
 
-    A gram can be frequent only where its parts are, so the corpus is read three times: for words, for pairs of frequent words, and for
-    longer grams of frequent pairs. The latter two are thinned in the scan's tasks by a filter of fixed size, which never misses; counts are
-    exact, as the few grams that pass by chance are dropped by their counts.
+    A gram can be frequent only where its parts are, so the corpus is read four times: for words, for a first look at pairs of frequent words,
+    for those of them that may be frequent, and for longer grams of frequent pairs. The later ones are thinned in the scan's tasks by filters of fixed
+    size, which never miss; in a corpus that fills them they let more through. Counts are exact, as what passes by chance is dropped by its count.
     """
     plain = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     enough = (F.col("n") >= min_count) & (F.col("words") > 0)
     singles = cut(_counts(plain, 1, None).filter(enough | (F.col("words") == 0)))
-    pairs = cut(_counts(plain, 2, _filter_of(singles.filter("words = 1"), 1)).filter(enough))
+    words = _filter_of(singles.filter("words = 1"), 1)
+    pairs = cut(_counts(plain, 2, words, _seldom(plain, words, min_count)).filter(enough))
     longer = _counts(plain, longest, _filter_of(pairs, 2)).filter(enough) if longest > 2 else pairs.limit(0)
     whole = singles.filter("words = 1").unionByName(pairs).unionByName(longer)
     return cut(whole.select("lang", F.split("phrase", " ", -1).alias("words"), "n")), singles.filter("words = 0").select("lang", F.col("n").alias("total"))
