@@ -4,27 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from episodica.functions import linalg as L
-from episodica.operators.joins import pair_similarity
-
+from episodica.operators.codebooks import assign_in_blocks, matrix, nearest
+from episodica.operators.tiles import TILE, Mask, tiled_sums
 
 
 def infonce(q: DataFrame, k: DataFrame, tau: float, batch: str = "batch_id", row: str = "state_id", vec: str = "vec") -> DataFrame:
-    """(batch, loss): mean cross-entropy of each query's own key among the batch's keys.
-
-    Unit vectors bound every similarity by 1 / tau, so that stands in for the largest one, and each query's pairs are summed in one
-    aggregation. ``tau`` must be over 0.003, as exp(-2 / tau) is a number then.
-    """
-    bound = _bound(tau)
-    a = q.select(batch, F.col(row).alias("q"), L.clean_unit(vec).alias("__a"))
-    b = k.select(batch, F.col(row).alias("k"), L.clean_unit(vec).alias("__b"))
-    pairs = a.join(b, batch).select(batch, "q", "k", (L.dot("__a", "__b") / tau).alias("sim"))
-    each = pairs.groupBy(batch, "q").agg((F.log(F.sum(F.exp(F.col("sim") - bound))) + bound - F.max(F.when(F.col("q") == F.col("k"), F.col("sim")))).alias("loss"))
-    return each.groupBy(batch).agg(F.avg("loss").alias("loss"))
+    """(batch, loss): mean cross-entropy of each query's own key among the batch's keys, from sums over tiles."""
+    take = lambda df: df.select(batch, row, F.col(vec).alias("vec"))
+    masks = {"own": ("vec", lambda a, b: a[row] == b[row]), "all": ("vec", lambda a, b: np.ones((1, 1), bool))}
+    each = tiled_sums(take(q), take(k), masks, _positive(tau), batch, row, [row])
+    return each.groupBy(batch).agg(F.avg(F.col("all_lse") - F.col("own_top")).alias("loss"))
 
 
 def infonce_mixed(rows: DataFrame, tau: float, q: str, positive: str, negatives: str, batch: str = "batch_id", row: str = "state_id") -> DataFrame:
@@ -35,10 +30,10 @@ def infonce_mixed(rows: DataFrame, tau: float, q: str, positive: str, negatives:
     return full.join(paired, batch).select(batch, (0.5 * (F.col("__full") + F.col("__paired"))).alias("loss"))
 
 
-def _bound(tau: float) -> float:
-    if not tau > 0.003:
-        raise ValueError(f"tau {tau} isn't over 0.003")
-    return 1 / tau
+def _positive(tau: float) -> float:
+    if not tau > 0:
+        raise ValueError(f"tau {tau} isn't over 0")
+    return tau
 
 
 def infonce_paired(rows: DataFrame, tau: float, q: str, positive: str, negatives: str, by: Sequence[str]) -> DataFrame:
@@ -50,42 +45,39 @@ def infonce_paired(rows: DataFrame, tau: float, q: str, positive: str, negatives
     return rows.groupBy(*by).agg(F.avg(top + F.log(total) - own).alias("loss"))
 
 
-def _pairs(vectors: DataFrame, tau: float, vec: str) -> DataFrame:
-    cleaned = vectors.select("batch_id", "state_id", "view_id", F.struct("state_id", "view_id").alias("row"), L.clean_unit(vec).alias("__v"))
-    return pair_similarity(cleaned, "batch_id", "row", "__v", tau, keep=("state_id", "view_id"))
+def _nce_loss(name: str, rest: str) -> Column:
+    """Of a query: -(log of positives - log of all); null without a positive."""
+    return F.col(f"{rest}_lse") - F.col(f"{name}_lse")
 
 
-def _nce_loss(positive: Column, all_: Column) -> Column:
-    """Of a query's sums: -(log of positives - log of all); null without a positive."""
-    return F.when(positive.isNotNull(), F.log(all_) - F.log(positive))
-
-
-def multi_positive_nce(pairs: DataFrame, positive: Column, negative: Column, tau: float, by: str = "batch_id") -> DataFrame:
+def multi_positive_nce(vectors: DataFrame, positive: Mask, negative: Mask, tau: float, vec: str = "vec", by: str = "batch_id", labels: Sequence[str] = ("state_id", "view_id"), tile: int = TILE) -> DataFrame:
     """(by, loss, n_queries): -(lse over positives - lse over positives and negatives), the mean of the queries that have a positive; 0 if none has.
 
-    ``pairs`` are similarities of unit vectors over ``tau``, so 1 / tau bounds them: one aggregation by query, one by batch.
+    Similarities are of unit vectors over ``tau``, summed tile by tile; the masks say which keys are which, from both sides' ``labels``.
     """
-    e = F.exp(F.col("sim") - _bound(tau))
-    each = pairs.groupBy(by, "q").agg(F.sum(F.when(positive, e)).alias("pos"), F.sum(F.when(positive | negative, e)).alias("all"))
-    loss = _nce_loss(F.col("pos"), F.col("all"))
+    rows = vectors.select(by, *labels, F.struct(*labels).alias("row"), vec)
+    masks = {"pos": (vec, positive), "all": (vec, lambda a, b: positive(a, b) | negative(a, b))}
+    loss = _nce_loss("pos", "all")
+    each = tiled_sums(rows, rows, masks, _positive(tau), by, labels=labels, tile=tile)
     return each.groupBy(by).agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias("loss"), F.count(loss).alias("n_queries"))
 
 
-def view_state_contrast(vectors: DataFrame, tau: float, inv: str = "z_inv", dep: str = "z_dep") -> DataFrame:
+def view_state_contrast(vectors: DataFrame, tau: float, inv: str = "z_inv", dep: str = "z_dep", tile: int = TILE) -> DataFrame:
     """(batch_id, inv, dep): invariant halves attract other views of a state, dependent ones the same view of other states.
 
-    Both are summed over one join of a batch's pairs.
+    Both are summed over the same tiles of a batch.
     """
-    bound = _bound(tau)
-    side = lambda p: vectors.select("batch_id", F.struct("state_id", "view_id").alias(p), L.clean_unit(inv).alias(f"__{p}i"), L.clean_unit(dep).alias(f"__{p}d"))
-    pairs = side("q").join(side("k"), "batch_id")
-    same_state, same_view = F.col("q.state_id") == F.col("k.state_id"), F.col("q.view_id") == F.col("k.view_id")
-    both = pairs.withColumns({"__i": F.exp(L.dot("__qi", "__ki") / tau - bound), "__d": F.exp(L.dot("__qd", "__kd") / tau - bound)})
-    each = both.groupBy("batch_id", "q").agg(
-        F.sum(F.when(same_state & ~same_view, F.col("__i"))).alias("ip"), F.sum(F.when((same_state & ~same_view) | ~same_state, F.col("__i"))).alias("ia"),
-        F.sum(F.when(same_view & ~same_state, F.col("__d"))).alias("dp"), F.sum(F.when((same_view & ~same_state) | ~same_view, F.col("__d"))).alias("da"),
-    )
-    mean = lambda p: F.coalesce(F.avg(_nce_loss(F.col(f"{p}p"), F.col(f"{p}a"))), F.lit(0.0))
+    labels = ["state_id", "view_id"]
+    state, view = (lambda a, b, c=c: a[c] == b[c] for c in labels)
+    masks = {
+        "ip": (inv, lambda a, b: state(a, b) & (a["view_id"] != b["view_id"])),
+        "ia": (inv, lambda a, b: (state(a, b) & (a["view_id"] != b["view_id"])) | (a["state_id"] != b["state_id"])),
+        "dp": (dep, lambda a, b: view(a, b) & (a["state_id"] != b["state_id"])),
+        "da": (dep, lambda a, b: (view(a, b) & (a["state_id"] != b["state_id"])) | (a["view_id"] != b["view_id"])),
+    }
+    rows = vectors.select("batch_id", *labels, F.struct(*labels).alias("row"), inv, dep)
+    each = tiled_sums(rows, rows, masks, _positive(tau), labels=labels, tile=tile)
+    mean = lambda p: F.coalesce(F.avg(_nce_loss(f"{p}p", f"{p}a")), F.lit(0.0))
     return each.groupBy("batch_id").agg(mean("i").alias("inv"), mean("d").alias("dep"))
 
 
@@ -97,12 +89,12 @@ def consistency(vectors: DataFrame, vec: str, dims: int, group: str, batch: str
     return v.join(mean, [batch, group]).groupBy(batch).agg(F.avg(gap).alias("value"))
 
 
-def ratio_contrast(pairs: DataFrame, positive: Column, negative: Column, eps: float = 1e-8, least: float | None = None, by: str = "batch_id") -> DataFrame:
-    """(by, loss): -log(max(sum of positives, eps) / max(sum of all, eps)) of exp similarities, the mean of all queries."""
-    sim = F.col("sim") if least is None else F.greatest("sim", F.lit(least))
-    e = F.exp(sim)
-    each = pairs.groupBy(by, "q").agg(F.coalesce(F.sum(F.when(positive, e)), F.lit(0.0)).alias("p"), F.coalesce(F.sum(F.when(negative, e)), F.lit(0.0)).alias("n"))
-    return each.groupBy(by).agg(F.avg(-F.log(F.greatest("p", F.lit(eps)) / F.greatest(F.col("p") + F.col("n"), F.lit(eps)))).alias("loss"))
+def ratio_contrast(vectors: DataFrame, positive: Mask, negative: Mask, tau: float = 1.0, eps: float = 1e-8, least: float | None = None, vec: str = "vec", by: str = "batch_id", labels: Sequence[str] = ("state_id", "view_id"), tile: int = TILE) -> DataFrame:
+    """(by, loss): -log(max(sum of positives, eps) / max(sum of all, eps)) of exp similarities, the mean of all queries; summed tile by tile."""
+    rows = vectors.select(by, *labels, F.struct(*labels).alias("row"), vec)
+    each = tiled_sums(rows, rows, {"p": (vec, positive), "n": (vec, negative)}, tau, by, labels=labels, least=least, tile=tile)
+    p, n = (F.coalesce(F.exp(f"{x}_lse"), F.lit(0.0)) for x in "pn")
+    return each.groupBy(by).agg(F.avg(-F.log(F.greatest(p, F.lit(eps)) / F.greatest(p + n, F.lit(eps)))).alias("loss"))
 
 
 def triplet_hinge(rows: DataFrame, margin: float, anchor: str, positive: str, negative: str, by: Sequence[str]) -> DataFrame:
@@ -110,43 +102,36 @@ def triplet_hinge(rows: DataFrame, margin: float, anchor: str, positive: str, ne
     return rows.groupBy(*by).agg(F.avg(F.greatest(F.lit(0.0), gap)).alias("loss"))
 
 
-def assign_codes(vectors: DataFrame, codebook: DataFrame, vec: str = "vec", code: str = "code", code_vec: str = "code_vec", beta: float = 1.0, max_bytes: int = 256_000_000) -> DataFrame:
+def assign_codes(vectors: DataFrame, codebook: DataFrame, vec: str = "vec", code: str = "code", code_vec: str = "code_vec", beta: float = 1.0, max_bytes: int = 256_000_000, key: Sequence[str] | None = None) -> DataFrame:
     """``vectors`` with the nearest code (the smallest of equals) and its error: ``beta`` times the mean squared difference.
 
-    The codebook is checked to have at most ``max_bytes`` of doubles before it goes to the tasks; a larger one is an error. Blocks of
-    vectors are multiplied with it; where several codes are nearest by that, their exact distances decide. A null vector has neither.
+    A codebook of at most ``max_bytes`` of doubles goes to the tasks. A larger one is taken in blocks (:func:`codebooks.assign_in_blocks`), for
+    which ``key`` names the columns that tell the vectors' rows apart. Either way the codes are the same. A null vector has neither.
     """
-    import numpy as np
     import pyarrow as pa
 
+    kind = codebook.schema[code].dataType
     size = codebook.agg(F.sum(F.size(code_vec).cast("long") * 8)).first()[0] or 0
     if size > max_bytes:
-        raise ValueError(f"{size} bytes of codes are more than {max_bytes}")
+        if not key:
+            raise ValueError(f"{size} bytes of codes are more than {max_bytes}; name the vectors' key to take them in blocks")
+        found = assign_in_blocks(vectors, codebook, key, vec, code, code_vec)
+        found = found.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("code").alias(code), "distance")
+        met = vectors.join(found, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key], "left").drop(*[f"__{k}" for k in key])
+        return met.withColumn("error", F.when(F.col(vec).isNotNull(), F.col("distance") / F.size(vec) * beta)).withColumn(code, F.when(F.col(vec).isNotNull(), F.col(code))).drop("distance")
     rows = codebook.filter(F.col(code_vec).isNotNull()).orderBy(code).select(code, F.col(code_vec).cast("array<double>")).collect()
     names, book = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
-    at, kind = vectors.columns.index(vec), codebook.schema[code].dataType
-    block = max(1, 2_000_000 // max(1, len(names)))
-
-    def nearest(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        squares = (v * v).sum(axis=1)[:, None] + (book * book).sum(axis=1)
-        rough = squares - 2 * v @ book.T
-        near = rough <= rough.min(axis=1)[:, None] + 1e-9 * (1 + squares)
-        row, candidate = np.nonzero(near)
-        exact = ((v[row] - book[candidate]) ** 2).sum(axis=1)
-        order = np.lexsort((candidate, exact, row))
-        first = order[np.r_[True, np.diff(row[order]) > 0]]
-        return candidate[first], exact[first]
+    at = vectors.columns.index(vec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(at)
             valid = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)) if names else np.empty(0, np.int64)
             found, error = [None] * batch.num_rows, [None] * batch.num_rows
-            for i in range(0, len(valid), block):
-                mine = valid[i : i + block]
-                v = column.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), -1).astype(np.float64)
-                best, distance = nearest(v)
-                for r, c, d in zip(mine.tolist(), best.tolist(), (distance / v.shape[1] * beta).tolist(), strict=True):
+            if len(valid):
+                v = matrix(column.take(pa.array(valid)))
+                best, distance = nearest(v, book)
+                for r, c, d in zip(valid.tolist(), best.tolist(), (distance / v.shape[1] * beta).tolist(), strict=True):
                     found[r], error[r] = names[c], d
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.from_numpy_dtype(np.int64) if kind.typeName() == "bigint" else pa.int32() if kind.typeName() == "integer" else pa.string()), pa.array(error, pa.float64())], names=[*batch.schema.names, code, "error"])
 

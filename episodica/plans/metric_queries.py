@@ -119,7 +119,8 @@ def l2c(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def l3(spark: SparkSession, sf: str) -> DataFrame:
-    found = E.multi_positive_nce(E._pairs(T.latents(spark, sf), 0.5, "vec"), (F.col("q_state_id") == F.col("k_state_id")) & (F.col("q_view_id") < F.col("k_view_id")), F.col("q_state_id") != F.col("k_state_id"), 0.5)
+    later = lambda a, b: (a["state_id"] == b["state_id"]) & (a["view_id"] < b["view_id"])
+    found = E.multi_positive_nce(T.latents(spark, sf), later, lambda a, b: a["state_id"] != b["state_id"], 0.5)
     return found.select("batch_id", F.round("loss", 6).alias("loss"), "n_queries")
 
 
@@ -134,8 +135,9 @@ def l5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def l6(spark: SparkSession, sf: str) -> DataFrame:
-    same = F.col("q_state_id") == F.col("k_state_id")
-    return E.ratio_contrast(E._pairs(T.latents(spark, sf), 1.0, "z_inv"), same & (F.col("q_view_id") != F.col("k_view_id")), ~same).select("batch_id", F.round("loss", 6).alias("loss"))
+    other_view = lambda a, b: (a["state_id"] == b["state_id"]) & (a["view_id"] != b["view_id"])
+    found = E.ratio_contrast(T.latents(spark, sf), other_view, lambda a, b: a["state_id"] != b["state_id"], vec="z_inv")
+    return found.select("batch_id", F.round("loss", 6).alias("loss"))
 
 
 def l7(spark: SparkSession, sf: str) -> DataFrame:
