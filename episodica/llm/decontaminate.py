@@ -37,8 +37,19 @@ class Leak:
     shard_bytes: int = 16_000_000
 
 
+#: Letters and digits of ASCII, lowered, and all bytes beyond it; white space for the rest.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+#: Marks beyond ASCII: U+0080-00BF, U+2000-207F and U+3000-303F.
+_MARKS = re.compile(rb"\xc2[\x80-\xbf]|\xe2[\x80\x81][\x80-\xbf]|\xe3\x80[\x80-\xbf]")
+
+
 def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+    """Words without case and marks: a copy that is quoted, emphasised or punctuated anew has the same ones."""
+    if not text:
+        return []
+    if not text.isascii():
+        text = _MARKS.sub(b" ", text.decode(errors="replace").lower().encode())
+    return text.translate(_FOLD).split()
 
 
 def answer_at(text: str) -> int:
@@ -46,13 +57,13 @@ def answer_at(text: str) -> int:
     sentence, its second half. So both parts have words, if there are two."""
     marks = [*re.finditer(r"(?i)\b(?:answer|a)\s*[:=]", text)]
     if marks:
-        return len(text[: marks[-1].start()].encode().split())
+        return len(words_of(text[: marks[-1].start()].encode()))
     body = text.rstrip()
     cut = body.rfind("\n")
     if cut <= 0:
         cut = max((m.end() for m in re.finditer(r"[.?!]\s", body)), default=0)
-    before = len(body[:cut].encode().split())
-    return before or len(body.encode().split()) // 2
+    before = len(words_of(body[:cut].encode()))
+    return before or len(words_of(body.encode())) // 2
 
 
 @dataclass
@@ -212,6 +223,13 @@ def similar_lengths(items: list[tuple[int | None, list[bytes], int]]) -> list[li
     return groups
 
 
+def _each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text: the number of its words, and its different words."""
+    for batch in batches:
+        words = [words_of(x) for x in column_bytes(batch, "t")]
+        yield pa.RecordBatch.from_arrays([pa.array([*map(len, words)], pa.int64()), pa.array([[w.decode() for w in {*ws}] for ws in words], pa.list_(pa.string()))], names=["n", "terms"])
+
+
 def indexes(items: DataFrame, rules: Leak, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[Index]]:
     """The items' indexes, in shards of a bounded size that are collected in turns. Document frequencies count all items."""
     rows = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("t")).filter("t is not null").distinct()
@@ -221,15 +239,14 @@ def indexes(items: DataFrame, rules: Leak, id_col: str = "item_id", text_col: st
     total = len(shards) and rows.agg(F.count("*")).first()[0]
     if not total:
         return
-    split = F.filter(F.split(F.translate(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    words = rows.select("item", "t", split.alias("w"))
-    mean = words.agg(F.avg(F.size("w"))).first()[0]
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    words = rows.select("t").mapInArrow(_each_once, "n long, terms array<string>")
+    mean = words.agg(F.avg("n")).first()[0]
+    df = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     part = F.pmod(F.xxhash64("item", "t"), F.lit(4096))
     for shard in sorted({s for _, s in shards}):
         own = rows.filter(part.isin([p for p, s in shards if s == shard]))
         found = [(x["item"], words_of(x["t"].encode()), answer_at(x["t"])) for x in own.orderBy("item", "t").collect()]
-        terms = own.select(F.explode(F.array_distinct(split)).alias("term")).distinct()
+        terms = own.select("t").mapInArrow(_each_once, "n long, terms array<string>").select(F.explode("terms").alias("term")).distinct()
         counts = {x["term"].encode(): x["df"] for x in df.join(terms, "term", "left_semi").collect()}
         found = [x for x in found if x[1]]
         known: dict[bytes, int] = {}
