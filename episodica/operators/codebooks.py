@@ -132,3 +132,86 @@ def assign_in_blocks(vectors: DataFrame, codebook: DataFrame, key: Sequence[str]
     best = near.groupBy(*key).agg(F.min(F.struct("distance", "code")).alias("best"))
     return best.select(*key, F.col("best.code").alias("code"), F.col("best.distance").alias("distance"))
 
+
+
+def _sums(vectors: DataFrame, centers: np.ndarray, vec: str) -> tuple[np.ndarray, np.ndarray]:
+    """How many vectors each centre is nearest to, and their sums. A task sends a row for each of its centres; a centre's rows are added up in one group."""
+    d = centers.shape[1]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(len(centers), np.int64), np.zeros_like(centers)
+        for batch in batches:
+            if batch.num_rows:
+                v = matrix(batch.column(0))
+                near = nearest(v, centers)[0]
+                n += np.bincount(near, minlength=len(centers))
+                np.add.at(total, near, v)
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(n[held]), pa.array(list(total[held]), pa.list_(pa.float64()))], names=["code", "n", "total"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = matrix(table["total"].combine_chunks()).sum(axis=0)
+        return pa.table([table["code"].slice(0, 1), pa.array([sum(table["n"].to_pylist())], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["code", "n", "total"])
+
+    schema = "code int, n long, total array<double>"
+    n, total = np.zeros(len(centers), np.int64), np.zeros((len(centers), d))
+    for r in vectors.select(F.col(vec).cast("array<double>").alias("v")).mapInArrow(count, schema).groupBy("code").applyInArrow(add, schema).collect():  # a row a centre
+        n[r["code"]], total[r["code"]] = r["n"], r["total"]
+    return n, total
+
+
+def _far_vectors(vectors: DataFrame, centers: np.ndarray, n: int, vec: str, seed: int) -> list[list[float]]:
+    """Up to ``n`` different vectors far from the centres and from each other: of several times as many, drawn without replacement with their squared distance
+    to the nearest centre as weight, the farthest from all centres and those chosen before, one by one.
+
+    A vector's hash gives it a number u; those with the least -ln(u) / weight are a weighted draw (Efraimidis and Spirakis), which needs no total. Copies have one
+    hash, so several are asked for.
+    """
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weight = nearest(matrix(batch.column(0)), centers)[1] if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight)], names=["v", "u", "weight"])
+
+    u = (F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+    weighed = vectors.select(F.col(vec).cast("array<double>").alias("v")).withColumn("u", u).mapInArrow(weigh, "v array<double>, u double, weight double").filter("weight > 0")
+    rows = weighed.orderBy(-F.log("u") / F.col("weight"), "v").limit(max(4 * n, min(32 * n, 10_000))).collect()
+    drawn = np.array([*dict.fromkeys(tuple(r["v"]) for r in rows)], np.float64).reshape(-1, centers.shape[1])
+    gap = nearest(drawn, centers)[1]
+    chosen: list[list[float]] = []
+    while len(chosen) < min(n, len(drawn)):
+        best = int(gap.argmax())
+        chosen.append(drawn[best].tolist())
+        gap = np.minimum(gap, ((drawn - drawn[best]) ** 2).sum(axis=1))
+    return chosen
+
+
+def fit_live_codebook(vectors: DataFrame, start: Sequence[Sequence[float]], vec: str = "vec", iterations: int = 10, rounds: int = 20, least: int = 2, seed: int = 0) -> DataFrame:
+    """(code, code_vec, n) by k-means from the codes ``start``, without dead codes: those that fewer than ``least`` vectors are nearest to.
+
+    Each round moves the codes to their vectors' means, ``iterations`` times or until they stay; then each dead code is put on a vector far from all codes,
+    drawn by its squared distance, and the next round goes on from there. It ends when no code is dead, when no vector is off its code, or
+    after ``rounds``; a code that is dead then keeps its place. ``n`` is how many vectors a code is nearest to. The codes, as many as in ``start``, are
+    held by the driver and each task; vectors never are. Null vectors are ignored; a code that no vector is near stays where it is.
+    """
+    ready = vectors.filter(F.col(vec).isNotNull()).select(vec)
+    centers = np.array(start, np.float64)
+    for turn in range(rounds):
+        for _ in range(iterations):
+            n, total = _sums(ready, centers, vec)
+            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centers)
+            still = np.allclose(moved, centers, rtol=1e-12, atol=1e-12)
+            centers = moved
+            if still:
+                break
+        n, _ = _sums(ready, centers, vec)
+        dead = np.flatnonzero(n < least)
+        if not len(dead) or turn + 1 == rounds:
+            break
+        live = centers[n >= least] if len(dead) < len(centers) else centers
+        far = _far_vectors(ready, live, len(dead), vec, seed + turn)
+        if not far:
+            break
+        centers[dead[: len(far)]] = far
+    rows = [(i, c.tolist(), int(k)) for i, (c, k) in enumerate(zip(centers, n, strict=True))]
+    return vectors.sparkSession.createDataFrame(rows, "code int, code_vec array<double>, n long")

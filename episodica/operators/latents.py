@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from episodica.functions import linalg as L
-from episodica.operators.codebooks import assign_in_blocks, matrix, nearest
+from episodica.operators.codebooks import assign_in_blocks, fit_live_codebook, matrix, nearest  # noqa: F401
+from episodica.operators.metrics import array_moments
 from episodica.operators.tiles import TILE, Mask, tiled_sums
 
 
@@ -84,7 +85,7 @@ def view_state_contrast(vectors: DataFrame, tau: float, inv: str = "z_inv", dep:
 def consistency(vectors: DataFrame, vec: str, dims: int, group: str, batch: str = "batch_id") -> DataFrame:
     """(batch, value): the mean absolute difference of unit vectors from their group's mean."""
     v = vectors.select(batch, group, L.clean_unit(vec).alias("__v"))
-    mean = v.groupBy(batch, group).agg(L.mean_vector("__v", dims).alias("__m"))
+    mean = array_moments(v, "__v", [batch, group]).select(batch, group, F.col("mean").alias("__m"))
     gap = F.aggregate(F.zip_with("__v", "__m", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / dims
     return v.join(mean, [batch, group]).groupBy(batch).agg(F.avg(gap).alias("value"))
 

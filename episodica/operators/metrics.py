@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from episodica.functions import linalg as L
 
@@ -17,6 +19,77 @@ def normalizer_stats(rows: DataFrame, vector: str, dims: int, by: Sequence[str]
     return rows.groupBy(*by).agg(F.array(*means).alias("mean"), F.array(*stds).alias("std"))
 
 
+#: Groups whose moments a task holds before it sends them on.
+HELD_GROUPS = 1_000
+
+
+def array_moments(rows: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, mean, m2): of each group's vectors, whatever their width: the count, the means, and the sums of squared differences from them.
+
+    Tasks keep (n, mean, m2) of each group as arrays, a batch at a time, and send a row for each; a group's rows are merged by the differences of their
+    means (Chan et al., "Updating Formulae and a Pairwise Algorithm for Computing Sample Variances"), so nothing is lost on large values with small
+    deviations, and no expression grows with the width. A hot group is a few rows from each task. Null vectors are ignored; elements that are
+    null or not a number make their dimension not a number; groups of unlike widths are an error.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    keys = [rows.schema[b] for b in by]
+    state = StructType([*keys, *StructType.fromDDL("n long, mean array<double>, m2 array<double>").fields])
+    n_keys = len(by)
+
+    def merged(a: tuple, b: tuple) -> tuple:
+        if a[1].shape != b[1].shape:
+            raise ValueError(f"vectors of {a[1].size} and {b[1].size} elements in one group")
+        n = a[0] + b[0]
+        gap = b[1] - a[1]
+        return n, a[1] + gap * (b[0] / n), a[2] + b[2] + gap * gap * (a[0] * b[0] / n)
+
+    def out(held: dict) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in held], to_arrow_type(f.dataType)) for i, f in enumerate(keys)]
+        columns.append(pa.array([x[0] for x in held.values()], pa.int64()))
+        columns += [pa.array([x[i] for x in held.values()], pa.list_(pa.float64())) for i in (1, 2)]
+        return pa.RecordBatch.from_arrays(columns, names=state.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+        for batch in batches:
+            places: dict[tuple, list[int]] = {}
+            groups = zip(*[c.to_pylist() for c in batch.columns[:n_keys]], strict=True) if n_keys else [()] * batch.num_rows
+            for i, key in enumerate(groups):
+                places.setdefault(key, []).append(i)
+            for key, at in places.items():
+                column = batch.column(n_keys).take(pa.array(at))
+                v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if v.size % len(at) or len({len(x) for x in column}) > 1:
+                    raise ValueError("vectors of unlike widths in one group")
+                v = v.reshape(len(at), -1)
+                mean = v.mean(axis=0)
+                mine = (len(at), mean, ((v - mean) ** 2).sum(axis=0))
+                held[key] = merged(held[key], mine) if key in held else mine
+            if len(held) > HELD_GROUPS:
+                yield out(held)
+                held = {}
+        if held:
+            yield out(held)
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = None
+        for n, mean, m2 in zip(*[table[c].to_pylist() for c in ("n", "mean", "m2")], strict=True):
+            mine = (n, np.array(mean, np.float64), np.array(m2, np.float64))
+            total = mine if total is None else merged(total, mine)
+        return pa.table([*[table[f.name].slice(0, 1) for f in keys], pa.array([total[0]]), *[pa.array([x.tolist()], pa.list_(pa.float64())) for x in total[1:]]], names=state.names)
+
+    parts = rows.filter(F.col(vector).isNotNull()).select(*by, F.col(vector).cast("array<double>").alias("__v")).mapInArrow(run, state)
+    return parts.groupBy(*by).applyInArrow(merge, state)
+
+
+def moment_stats(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, mean, std) of :func:`array_moments`: the sample deviation, at least 1e-6; nulls for a single row."""
+    std = F.transform("m2", lambda x: F.when(F.col("n") >= 2, F.greatest(F.sqrt(x / (F.col("n") - 1)), F.lit(1e-6))))
+    return moments.select(*by, "mean", std.alias("std"))
+
+
 def normalize(rows: DataFrame, stats: DataFrame, vector: str, by: Sequence[str] = (), back: bool = False) -> DataFrame:
     """``rows`` with the vector normalised by its group's statistics, or turned back."""
     joined = rows.join(stats, list(by)) if by else rows.join(F.broadcast(stats))  # one row

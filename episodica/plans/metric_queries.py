@@ -21,6 +21,11 @@ def a1(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("label", *[(F.round(F.col(c)[i], 6) + 0.0).alias(f"{c}_{i}") for c in ("mean", "std") for i in range(64)])
 
 
+def a1b(spark: SparkSession, sf: str) -> DataFrame:
+    found = M.moment_stats(M.array_moments(T.latents(spark, sf), "vec", ["label"]), ["label"])
+    return found.select("label", *[(F.round(F.col(c)[i], 6) + 0.0).alias(f"{c}_{i}") for c in ("mean", "std") for i in range(64)])
+
+
 def a2(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.latents(spark, sf).select("vec_id", F.col("vec").alias("v"))
     found = M.normalize(rows, M.normalizer_stats(rows, "v", 64), "v")
@@ -171,6 +176,15 @@ def l9b(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("vec_id", F.round(F.col("code_vec")[0], 6).alias("c0"), F.round(F.col("code_vec")[63], 6).alias("c63"), F.round("error", 6).alias("error"))
 
 
+def l9c(spark: SparkSession, sf: str) -> DataFrame:
+    """As l9b, from a start at which all codes but one are dead: none is in the end, and each group has its own."""
+    rows = T.latents(spark, sf).select("vec_id", F.transform("vec", lambda x, i: x + F.when(i == F.col("label"), 100.0).otherwise(0.0)).alias("vec"))
+    k = T.latents(spark, sf).select("label").distinct().count()
+    codes = E.fit_live_codebook(rows, [[-500.0 - i] * 64 for i in range(k)])
+    near = E.assign_codes(rows, codes).join(codes.filter("n >= 2"), "code")
+    return near.select("vec_id", F.round(F.col("code_vec")[0], 6).alias("c0"), F.round(F.col("code_vec")[63], 6).alias("c63"), F.round("error", 6).alias("error"))
+
+
 def l10(spark: SparkSession, sf: str) -> DataFrame:
     found = E.code_usage(E.assign_codes(T.latents(spark, sf), book(spark, sf)), book(spark, sf))
     return found.select("n_codes", F.round("used", 8).alias("used"), F.round("perplexity", 6).alias("perplexity"), "dead")
@@ -205,14 +219,14 @@ def l15(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "a1_normalizer_stats": a1, "a2_normalize": a2, "a3_episode_return": a3, "a4_eval_by_view": a4,
+    "a1_normalizer_stats": a1, "a1b_array_moments": a1b, "a2_normalize": a2, "a3_episode_return": a3, "a4_eval_by_view": a4,
     "a5_validation_means": a5, "a6_reject_ledger": a6, "a7_nonfinite_guard": a7, "a8_reconstruction_error": a8,
     "a9_psnr_by_view": a9,
     "a12_weighted_total": a12, "a13_catalog_counts": a13, "a14_metric_downsample": a14, "a15_axis_limits": a15,
     "a16_variant_deltas": a16, "a17_metrics_long": a17, "l1_clean_l2": l1, "l2_infonce": l2, "l2b_infonce_paired": l2b,
     "l2c_infonce_mixed": l2c,
     "l3_multi_positive_nce": l3, "l4_view_state_contrast": l4, "l5_consistency": l5, "l6_ratio_contrast": l6,
-    "l7_triplet_hinge": l7, "l8_assign_codes": l8, "l9_fit_codebook": l9, "l9b_codebook_of_groups": l9b,
+    "l7_triplet_hinge": l7, "l8_assign_codes": l8, "l9_fit_codebook": l9, "l9b_codebook_of_groups": l9b, "l9c_live_codebook": l9c,
     "l10_code_usage": l10, "l11_fsq_codes": l11, "l12_gaussian_kl": l12,
     "l13_embed_2d": l13, "l14_fuse": l14, "l15_swap_matrix": l15,
 }
@@ -360,3 +374,5 @@ ORACLE_SQL["l2c_infonce_mixed"] = (
     f"({ORACLE_SQL['l2_infonce'].replace('round(avg(loss), 6)', 'avg(loss)')}) f JOIN "
     f"({ORACLE_SQL['l2b_infonce_paired'].replace('round(avg(ln(exp(p) + exp(n) + exp(m)) - p), 6)', 'avg(ln(exp(p) + exp(n) + exp(m)) - p)')}) p USING (batch_id)"
 )
+ORACLE_SQL["l9c_live_codebook"] = ORACLE_SQL["l9b_codebook_of_groups"]
+ORACLE_SQL["a1b_array_moments"] = ORACLE_SQL["a1_normalizer_stats"]

@@ -62,3 +62,31 @@ def test_groups_far_apart(spark):
     vectors = [(i, "x", [1000.0 * (i % 10) + 0.3, 0.2], 1, "y") for i in range(100)]
     found = CB.assign_in_blocks(spark.createDataFrame(vectors, VECTORS), spark.createDataFrame(codes, "code long, code_vec array<double>"), ["i"], pivots=60)
     assert {r["i"]: r["code"] for r in found.collect()} == {k[0]: v[0] for k, v in brute(vectors, codes).items()}
+
+
+def grouped(spark, k=6, each=40):
+    r = random.Random(5)
+    rows = [([100.0 * (g % 3) + r.uniform(-1, 1), 100.0 * (g // 3) + r.uniform(-1, 1)],) for g in range(k) for _ in range(each)]
+    r.shuffle(rows)
+    return spark.createDataFrame([*rows, (None,)], "vec array<double>").repartition(3)
+
+
+def test_no_code_is_dead_after_a_bad_start(spark):
+    """All codes start in one corner, so that most are dead; each group ends with one."""
+    rows = grouped(spark)
+    start = [[-500.0 - i, -500.0] for i in range(6)]
+    plain = CB.fit_live_codebook(rows, start, rounds=1).collect()
+    assert sum(r["n"] < 2 for r in plain) >= 4
+    fitted = CB.fit_live_codebook(rows, start)
+    assert sorted((round(r["code_vec"][0] / 100), round(r["code_vec"][1] / 100), r["n"]) for r in fitted.collect()) == sorted((g % 3, g // 3, 40) for g in range(6))
+    usage = E.code_usage(E.assign_codes(rows, fitted), fitted).first()
+    assert usage["dead"] == 0 and usage["used"] == 1.0
+    again = CB.fit_live_codebook(rows.repartition(5), start)
+    assert np.allclose(*[sorted(r["code_vec"] for r in x.collect()) for x in (fitted, again)])
+
+
+def test_more_codes_than_vectors_and_none(spark):
+    few = spark.createDataFrame([([1.0],), ([1.0],), ([9.0],)], "vec array<double>")
+    got = CB.fit_live_codebook(few, [[0.0], [0.5], [0.7], [-4.0]]).collect()
+    assert len(got) == 4 and sum(r["n"] for r in got) == 3 and {1.0, 9.0} <= {r["code_vec"][0] for r in got}
+    assert [r["n"] for r in CB.fit_live_codebook(few.limit(0), [[0.0], [1.0]]).collect()] == [0, 0]
