@@ -12,6 +12,8 @@ from episodica.plans.key_queries import LISTS, lists
 from episodica.plans.window_queries import IDS
 from episodica.plans.stream_queries import shared
 from episodica.sources import episodes as S
+from episodica.sources import jsonmap as JM
+from episodica.sources import layout as LY
 
 
 def s2(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,9 +34,8 @@ def s4(spark: SparkSession, sf: str) -> DataFrame:
     return S.validate_layout(episodes, cameras, streams, ["cam1", "cam2"])
 
 
-def s5(spark: SparkSession, sf: str) -> DataFrame:
-    """Calibrations of customers, written as JSON maps of a hundred entries, and read back."""
-    root = shared(spark, "calibrations")
+def calibration_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibrations of customers as JSON maps of a hundred entries: (file, value)."""
     row = lambda x: F.array(*[F.lit(1.0) if i == x else F.lit(0.0) for i in range(4)])
     camera = lambda focal: F.struct(F.array(*[row(i) for i in range(4)]).alias("pose"), focal.alias("focal"), F.array(F.lit(320.0), F.col("c_acctbal")).alias("principal_point"))
     path = F.concat_ws("/", F.lit("lab"), "c_mktsegment", "c_name")
@@ -43,11 +44,25 @@ def s5(spark: SparkSession, sf: str) -> DataFrame:
     entry = F.struct(left.alias("left_cam"), right.alias("right_cam"), path.alias("relative_path"), F.col("c_nationkey").alias("quality_metric"))
     maps = T.read(spark, sf, "customer").groupBy(F.floor(key / 100).alias("file")).agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), entry.alias("v")))).alias("e"))
     named = F.transform("e", lambda x: F.struct(F.concat(F.lit("demo"), x["k"].cast("string")), x["v"]))
-    maps.select("file", F.to_json(F.map_from_entries(named)).alias("value")).write.partitionBy("file").text(root)
+    return maps.select("file", F.to_json(F.map_from_entries(named)).alias("value"))
+
+
+def s5(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibrations of customers, written as JSON maps of a hundred entries, and read back."""
+    root = shared(spark, "calibrations")
+    calibration_maps(spark, sf).write.partitionBy("file").text(root)
     found = S.read_calibrations(spark, root)
     return found.select("position", "episode_id", F.col("left_cam.focal").alias("left_focal"), F.col("right_cam.principal_point")[1].alias("right_y"), F.col("left_cam.pose")[2][2].alias("z"), "relative_path", "quality_metric")
 
 
+def s5b(spark: SparkSession, sf: str) -> DataFrame:
+    """The calibrations of s5, each file read by byte ranges and its entries parsed one by one."""
+    root = shared(spark, "calibration-maps")
+    calibration_maps(spark, sf).write.partitionBy("file").text(root)
+    found = JM.read_json_map(spark, root, S.CALIBRATION.removeprefix("map<string,").removesuffix(">"), ("episode_id", "c")).select(F.col("position").cast("int").alias("position"), "episode_id", "c.*")
+    return found.select("position", "episode_id", F.col("left_cam.focal").alias("left_focal"), F.col("right_cam.principal_point")[1].alias("right_y"), F.col("left_cam.pose")[2][2].alias("z"), "relative_path", "quality_metric")
+
+
 def s6(spark: SparkSession, sf: str) -> DataFrame:
     """A folder of metadata for each hundred customers, written as JSON and read back with the folder's name."""
     root = shared(spark, "metadata")
@@ -107,12 +122,23 @@ def s1(spark: SparkSession, sf: str) -> DataFrame:
     return data.episodes.join(views, "episode").join(sizes, "episode")
 
 
+def s1b(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables of s1 bucketed by episode, so that their joins and sums exchange nothing."""
+    f = frames(spark, sf)
+    tables = S.Dataset(f.groupBy("episode").agg(F.count(F.lit(1)).alias("num_samples")), f.select("episode", "camera").distinct(), f.select("episode", "t"), f)
+    root = shared(spark, "bucketed")
+    data = LY.store_dataset(tables, root, root.rsplit("/", 1)[-1].replace("-", "_"), buckets=16)
+    views = data.cameras.groupBy("episode").agg(F.count(F.lit(1)).alias("n_cameras"))
+    sizes = data.frames.groupBy("episode").agg(F.sum("width").cast("long").alias("n_bytes"))
+    return data.episodes.join(views, "episode").join(sizes, "episode")
+
+
 def s10(spark: SparkSession, sf: str) -> DataFrame:
     vertices = G.vertex_properties(G.to_world(G.activate(clouds(spark, sf))).withColumn("t", F.lit(0))).select("episode", "cam_idx", "t", "x", "opacity", "rot_0")
     return S.write_vertices(vertices, shared(spark, "vertices"), ["episode", "cam_idx", "t"])
 
 
-QUERIES = {"s1_read_episodes": s1, "s10_write_vertices": s10, "s2_append_keys": s2, "s3_replace_episode": s3, "s4_validate_layout": s4, "s5_read_calibrations": s5, "s6_episode_metadata": s6, "s7_frame_paths": s7, "s8_explode_nested": s8, "s9_export_keys": s9, "s11_backfill_features": s11, "s12_transition_states": s12, "s13_image_size": s13}
+QUERIES = {"s1_read_episodes": s1, "s1b_bucketed_dataset": s1b, "s5b_json_map_ranges": s5b, "s10_write_vertices": s10, "s2_append_keys": s2, "s3_replace_episode": s3, "s4_validate_layout": s4, "s5_read_calibrations": s5, "s6_episode_metadata": s6, "s7_frame_paths": s7, "s8_explode_nested": s8, "s9_export_keys": s9, "s11_backfill_features": s11, "s12_transition_states": s12, "s13_image_size": s13}
 
 _F = """frames AS (SELECT 'demo' || conv_id AS episode, turn AS t, role AS camera, length(text)::INT AS height, strlen(text)::INT AS width
 FROM conversations)"""
@@ -149,3 +175,4 @@ FROM ids UNION ALL SELECT actor, state_id + 1, episode, step + 1, false
 FROM ids WHERE done""",
     "s13_image_size": f"WITH {_F} SELECT episode, arg_min(height, t) AS height, arg_min(width, t) AS width FROM frames GROUP BY 1",
 }
+ORACLE_SQL |= {"s1b_bucketed_dataset": ORACLE_SQL["s1_read_episodes"], "s5b_json_map_ranges": ORACLE_SQL["s5_read_calibrations"]}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,10 +176,84 @@ def retain_newest(batch: DataFrame, number: int, path: str, max_size: int, id_co
 
 
 def read_newest(spark: SparkSession, path: str, max_size: int, id_col: str = "transition_id") -> DataFrame:
-    """The rows with the newest ``max_size`` ids of the table that :func:`retain_newest` keeps."""
-    rows = spark.read.parquet(path)
+    """The rows with the newest ``max_size`` ids of the table that :func:`retain_newest` keeps, and :func:`compact` may have merged."""
+    folders = [x for _, x in _folders(spark, path, _manifest(spark, path)[1])]
+    rows = spark.read.parquet(*folders)
     newest = rows.agg(F.max(id_col)).first()[0]
-    return rows.filter(F.col(id_col) > (newest or 0) - max_size).drop("id_range", "batch")
+    return rows.filter(F.col(id_col) > (newest or 0) - max_size)
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, dict]]:
+    """The newest manifest's number and ranges: each range's merged folder, and the last batch merged there. Number -1 without one."""
+    numbers = [int(x[1:-5]) for x in _listed(spark, f"{path}/_manifest") if x.startswith("v") and x.endswith(".json")]
+    if not numbers:
+        return -1, {}
+    text = spark.read.text(f"{path}/_manifest/v{max(numbers):012}.json", wholetext=True).first()[0]
+    return max(numbers), json.loads(text)
+
+
+def _folders(spark: SparkSession, path: str, ranges: dict[str, dict]) -> list[tuple[tuple[str, int], str]]:
+    """((range, batch), folder) of what is to be read: a range's merged folder, as batch -1, and batches after the last that was merged."""
+    found = []
+    for name in _listed(spark, path):
+        if name.startswith("id_range="):
+            merged = ranges.get(name, {"upto": -1})
+            if "folder" in merged:
+                found.append(((name, -1), f"{path}/{merged['folder']}"))
+            batches = [int(x[6:]) for x in _listed(spark, f"{path}/{name}") if x.startswith("batch=")]
+            found += [((name, b), f"{path}/{name}/batch={b}") for b in batches if b > merged["upto"]]
+    return found
+
+
+def compact(spark: SparkSession, path: str, least: int = 8, file_bytes: int = 256_000_000) -> int:
+    """Merges the folders of each range of :func:`retain_newest` that has ``least`` of them or more; returns how many ranges it merged.
+
+    Merged rows are written to a folder of their own, by one job; then a manifest that names it is put in place by a rename, which either is there or
+    not, so a reader sees all rows once before and after, and a run that breaks off leaves nothing that is read. The newest batch is left alone, as it
+    may be tried again. What a manifest replaces is deleted by the next run that merges, so that whoever reads by the manifest before can finish. Two runs
+    at once: the second rename fails, and its folder is never read. Ranges that :func:`retain_newest` dropped leave the manifest.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    number, ranges = _manifest(spark, path)
+    there = _folders(spark, path, ranges)
+    newest = max((b for (_, b), _ in there), default=-1)
+    ready: dict[str, list[tuple[int, str]]] = {}
+    for (name, b), folder in there:
+        if b < newest:
+            ready.setdefault(name, []).append((b, folder))
+    ready = {name: x for name, x in ready.items() if len(x) >= least}
+    if not ready:
+        return 0
+    size = sum(fs.getContentSummary(hadoop.Path(f)).getLength() for x in ready.values() for _, f in x)
+    parts = [spark.read.parquet(*[f for _, f in x]).withColumn("id_range", F.lit(int(name[9:]))) for name, x in ready.items()]
+    whole = functools.reduce(DataFrame.unionByName, parts)
+    target = f"_compact/{uuid.uuid4().hex}"
+    whole.repartition(max(1, -(-size // file_bytes)), "id_range").write.partitionBy("id_range").parquet(f"{path}/{target}")
+    live = {name for (name, _), _ in there}
+    after = {name: x for name, x in ranges.items() if name in live}
+    after |= {name: {"folder": f"{target}/{name}", "upto": max(max(b for b, _ in x), ranges.get(name, {"upto": -1})["upto"])} for name, x in ready.items()}
+    staged = f"{path}/_manifest/_staged-{uuid.uuid4().hex}"
+    out = fs.create(hadoop.Path(staged))
+    out.write(bytearray(json.dumps(after).encode()))
+    out.close()
+    if not fs.rename(hadoop.Path(staged), hadoop.Path(f"{path}/_manifest/v{number + 1:012}.json")):
+        raise RuntimeError(f"another run has written manifest {number + 1}")
+    kept = {x["folder"].split("/")[1] for m in (ranges, after) for x in m.values()}
+    for name in _listed(spark, f"{path}/_compact"):
+        if name not in kept:
+            fs.delete(hadoop.Path(f"{path}/_compact/{name}"), True)
+    for name, x in ranges.items():  # what the manifest before had replaced
+        for b in _listed(spark, f"{path}/{name}"):
+            if b.startswith("batch=") and int(b[6:]) <= x["upto"]:
+                fs.delete(hadoop.Path(f"{path}/{name}/{b}"), True)
+    return len(ready)
 
 
 def metric_sinks(metrics: DataFrame, every: int, value: str = "value", step: str = "step") -> tuple[DataFrame, DataFrame]:

@@ -74,6 +74,30 @@ def test_retention_is_idempotent_and_bounded(spark, tmp_path):
     assert R.read_newest(spark, path, 12).count() == 12
 
 
+def test_files_stay_few_over_a_hundred_batches(spark, tmp_path):
+    path = str(tmp_path / "newest")
+    part = lambda a, b: spark.range(a, b, numPartitions=1).withColumnRenamed("id", "transition_id")
+    rows = lambda: sorted(r[0] for r in R.read_newest(spark, path, 300).collect())
+    merged, before = 0, None
+    for number in range(100):
+        R.retain_newest(part(4 * number, 4 * number + 4), number, path, 300, width=100)
+        if number % 10 == 9:
+            before = R._folders(spark, path, R._manifest(spark, path)[1])
+            merged += R.compact(spark, path, least=5)
+            assert spark.read.parquet(*[x for _, x in before]).count() == spark.read.parquet(*[x for _, x in R._folders(spark, path, R._manifest(spark, path)[1])]).count()
+        if number % 25 == 0:
+            assert rows() == list(range(max(0, 4 * number + 4 - 300), 4 * number + 4))
+    assert merged >= 8 and rows() == list(range(100, 400))
+    R.retain_newest(part(396, 400), 99, path, 300, width=100)  # the newest batch again, after a run of compact
+    assert rows() == list(range(100, 400))
+    folders = {}
+    for (name, _), folder in R._folders(spark, path, R._manifest(spark, path)[1]):
+        folders[name] = folders.get(name, 0) + 1
+    assert max(folders.values()) <= 11 and len(list((tmp_path / "newest").rglob("*.parquet"))) < 60
+    (tmp_path / "newest" / "_compact" / "broken").mkdir()  # a run that broke off before its manifest
+    assert rows() == list(range(100, 400)) and R.compact(spark, path, least=50) == 0
+
+
 def test_metric_sinks(spark):
     rows = spark.createDataFrame([(0, 1.0), (5, 2.0), (10, float("nan")), (20, 3.0)], "step long, value double")
     full, thin = R.metric_sinks(rows, 10)
