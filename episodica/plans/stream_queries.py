@@ -50,6 +50,20 @@ def t1(spark: SparkSession, sf: str) -> DataFrame:
     return drained(spark, R.ingest_transitions(events(spark, sf)), "ingest").select("actor", "event_id", "transition_id", "state_id", "episode", "step")
 
 
+def t1b(spark: SparkSession, sf: str) -> DataFrame:
+    """The log in three parts of time, each a micro-batch of a query that starts anew from its checkpoint; the numbers go on."""
+    source, out = shared(spark, "log"), shared(spark, "ingested")
+    log = T.log(spark, sf)
+    cuts = log.select(F.unix_micros("ts").cast("double").alias("x")).approxQuantile("x", [1 / 3, 2 / 3], 0.01)
+    for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
+        at = F.unix_micros("ts").cast("double")
+        log.filter((at >= low) & (at < high)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(log.schema).parquet(source)
+        query = stream.writeStream.foreachBatch(lambda batch, number: R.ingest_batch(batch, number, out)).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return R.read_ingested(spark, out).select("actor", "event_id", "transition_id", "state_id", "episode", "step")
+
+
 def t2(spark: SparkSession, sf: str) -> DataFrame:
     found = drained(spark, R.stream_nstep(events(spark, sf), 3, 0.99), "nstep")
     return found.select("actor", "event_id", F.round("n_return", 8).alias("n_return"), F.round("n_discount", 8).alias("n_discount"))
@@ -83,6 +97,20 @@ def t5(spark: SparkSession, sf: str) -> DataFrame:
     return R.read_newest(spark, out, 500)
 
 
+def t5b(spark: SparkSession, sf: str) -> DataFrame:
+    """The retained table after three micro-batches, and a run of compact after each."""
+    source, out = shared(spark, "log"), shared(spark, "compacted")
+    log = T.log(spark, sf).select(F.col("event_id").alias("transition_id"), "actor")
+    top = log.agg(F.max("transition_id")).first()[0] or 0
+    for i in range(3):
+        log.filter(F.floor(F.col("transition_id") * 3 / (top + 1)) == i).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(log.schema).parquet(source)
+        query = stream.writeStream.foreachBatch(lambda batch, number: R.retain_newest(batch, number, out, 500, width=max(500, top // 2))).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
+        query.awaitTermination()
+        R.compact(spark, out, least=2)
+    return R.read_newest(spark, out, 500)
+
+
 def t6(spark: SparkSession, sf: str) -> DataFrame:
     rows = events(spark, sf).select("event_id", F.when(F.col("done"), float("nan")).otherwise(F.col("reward")).alias("value"))
     return drained(spark, R.metric_guard(rows), "guard", stateful=False).groupBy("skipped").agg(F.count(F.lit(1)).alias("n"))
@@ -95,7 +123,7 @@ def t7(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("window.start").cast("date").cast("string").alias("day"), "episode", "num_samples")
 
 
-QUERIES = {"t1_ingest_transitions": t1, "t2_stream_nstep": t2, "t3_stream_rolling": t3, "t4_stream_eval": t4, "t5_retention": t5, "t6_metric_guard": t6, "t7_stream_catalog": t7}
+QUERIES = {"t1_ingest_transitions": t1, "t1b_ingest_batches": t1b, "t5b_compacted_retention": t5b, "t2_stream_nstep": t2, "t3_stream_rolling": t3, "t4_stream_eval": t4, "t5_retention": t5, "t6_metric_guard": t6, "t7_stream_catalog": t7}
 ORACLE_SQL = {
     "t1_ingest_transitions": WINDOWS["w6_assign_ids"],
     "t2_stream_nstep": WINDOWS["w4_nstep_return"].replace("SELECT actor, episode, step, step + 3 AS next_step,", "SELECT actor, event_id,").replace("SELECT actor, episode, step, next_step,", "SELECT actor, event_id,"),
@@ -108,3 +136,4 @@ FROM log GROUP BY 1""",
 FROM log WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR
 FROM log) GROUP BY 1, 2""",
 }
+ORACLE_SQL |= {"t1b_ingest_batches": ORACLE_SQL["t1_ingest_transitions"], "t5b_compacted_retention": ORACLE_SQL["t5_retention"]}

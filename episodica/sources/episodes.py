@@ -88,10 +88,11 @@ def replace_stored(new: DataFrame, path: str, key: Sequence[str] = ("episode",),
     whole.repartition("bucket").write.option("partitionOverwriteMode", "dynamic").partitionBy("bucket").mode("overwrite").parquet(path)
 
 
-def add_transitions(new: DataFrame, last: DataFrame | None = None, actor: str = "actor", order: Sequence[str] = ("ts", "event_id"), done: str = "done") -> DataFrame:
+def add_transitions(new: DataFrame, last: DataFrame | None = None, actor: str = "actor", order: Sequence[str] = ("ts", "event_id"), done: str = "done", span: float | None = None) -> DataFrame:
     """``new`` transitions with transition_id, episode, step and state_id, which follow those in ``last`` (actor, transition_id, episode,
-    step, done: each actor's last transition; null or absent: none yet). A state stands before each transition, one more after an end."""
-    steps = assign_ids(new, actor, order, done)
+    step, done: each actor's last transition; null or absent: none yet). A state stands before each transition, one more after an end. With a ``span``
+    (see :func:`assign_ids`) no actor is one task."""
+    steps = assign_ids(new, actor, order, done, span)
     if last is None:
         return steps
     ended = F.col(done).cast("long")

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from episodica.operators.windows import SPAN
+from episodica.sources.episodes import add_transitions
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -27,6 +30,11 @@ class _Numbering(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "transition_id long, episode long, step long")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[-1]
+        done = bool(row["done"])
+        self.next.update((int(row["transition_id"]) + 1, int(row["episode"]) + done, 0 if done else int(row["step"]) + 1))
+
     def handleInputRows(self, key, rows, timerValues):
         t, episode, step = self.next.get() if self.next.exists() else (0, 0, 0)
         found = _ordered(rows)
@@ -46,10 +54,50 @@ class _Numbering(StatefulProcessor):
 _LOG = "actor long, ts timestamp, event_id long, reward double, done boolean, success boolean"
 
 
-def ingest_transitions(log: DataFrame) -> DataFrame:
-    """A stream of (actor, ts, event_id, reward, done, success) with transition_id, episode, step and state_id. State: three numbers an actor."""
+def ingest_transitions(log: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """A stream of (actor, ts, event_id, reward, done, success) with transition_id, episode, step and state_id. State: three numbers an actor.
+
+    Numbers follow those of ``last`` (each actor's last transition, as :func:`sources.episodes.add_transitions` takes it), which is read with the first
+    micro-batch. A task holds an actor's rows of one micro-batch: where one actor may have most of them, :func:`ingest_batch` spreads them, and lets
+    idle actors go.
+    """
     schema = f"{_LOG}, transition_id long, episode long, step long, state_id long"
-    return log.groupBy("actor").transformWithStateInPandas(_Numbering(), schema, "Append", "None")
+    first = None if last is None else last.select("actor", "transition_id", "episode", "step", "done").groupBy("actor")
+    return log.groupBy("actor").transformWithStateInPandas(_Numbering(), schema, "Append", "None", initialState=first)
+
+
+def ingest_batch(batch: DataFrame, number: int, path: str, last: DataFrame | None = None, idle: float | None = None, span: float = SPAN) -> None:
+    """For foreachBatch: numbers micro-batch ``number`` behind all before it, whatever share of it one actor has; :func:`read_ingested` reads the rows.
+
+    The rows are numbered by the segmented scan of :func:`windows.assign_ids`, so windows spill and an actor is as many tasks as it has stretches of
+    ``span`` seconds. What goes on is a row an actor, its last transition, written with each batch; the first batch takes it from ``last``. Actors
+    whose last transition is over ``idle`` seconds before the newest of all are let go, and begin at 0 when they come again. A batch that is
+    tried again reads what the one before it left and overwrites its own folders, so nothing is numbered twice. Micro-batches are in the order of
+    time, as the log is.
+    """
+    spark = batch.sparkSession
+    earlier = sorted(int(x[6:]) for x in _listed(spark, f"{path}/last") if x.startswith("batch=") and int(x[6:]) < number)
+    names = ["actor", "transition_id", "episode", "step", "done", "ts"]
+    held = spark.read.parquet(f"{path}/last/batch={earlier[-1]}") if earlier else last
+    if held is not None:
+        held = held.select(*[F.col(c) if c in held.columns else F.lit(None).cast("timestamp").alias(c) for c in names])
+    add_transitions(batch, held, span=span).write.mode("overwrite").parquet(f"{path}/steps/batch={number}")
+    new = spark.read.parquet(f"{path}/steps/batch={number}").select(names)
+    both = new if held is None else held.unionByName(new)
+    newest = both.groupBy("actor").agg(F.max_by(F.struct(*names[1:]), "transition_id").alias("l")).select("actor", "l.*")
+    if idle is not None:
+        end = newest.agg(F.max("ts")).first()[0]
+        newest = newest.filter(F.col("ts").isNull() | (F.unix_micros("ts") >= F.unix_micros(F.lit(end)) - int(idle * 1e6)))
+    newest.write.mode("overwrite").parquet(f"{path}/last/batch={number}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in earlier[:-1]:  # the one before is needed if this batch is tried again
+        fs.delete(hadoop.Path(f"{path}/last/batch={old}"), True)
+
+
+def read_ingested(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that :func:`ingest_batch` numbered, of all its batches."""
+    return spark.read.parquet(f"{path}/steps").drop("batch")
 
 
 class _NStep(StatefulProcessor):

@@ -45,6 +45,44 @@ def test_numbers_go_on_over_files_and_restarts(spark, tmp_path):
     assert rows_of(got, *names) == rows_of(W.assign_ids(made), *names)
 
 
+def last_of(steps):
+    return steps.groupBy("actor").agg(F.max_by(F.struct("transition_id", "episode", "step", "done"), "transition_id").alias("l")).select("actor", "l.*")
+
+
+NAMES = ("actor", "event_id", "transition_id", "episode", "step", "state_id")
+
+
+def test_numbers_follow_the_batch_tables(spark, tmp_path):
+    """The first part is a table, the rest a stream of three files: together they are one batch."""
+    made = log(spark)
+    last = last_of(W.assign_ids(made.filter("event_id < 60")))
+    got = run(spark, made.filter("event_id >= 60"), tmp_path, lambda s: R.ingest_transitions(s, last))
+    assert rows_of(got, *NAMES) == rows_of(W.assign_ids(made).filter("event_id >= 60"), *NAMES)
+
+
+def test_batches_of_a_hot_actor_go_on(spark, tmp_path):
+    """Nine tenths of the rows are one actor's; a batch is tried again, one is empty, and the first follows a table."""
+    made = log(spark).withColumn("actor", F.when(F.col("event_id") % 10 < 9, 0).otherwise(F.col("actor")).cast("long"))
+    last = last_of(W.assign_ids(made.filter("event_id < 40")))
+    cuts = [40, 90, 90, 170, 240]
+    for again in (False, True):
+        for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            for _ in range(1 + again):
+                R.ingest_batch(made.filter(f"event_id >= {a} AND event_id < {b}"), number, str(tmp_path / f"{again}"), last, span=200)
+        got = R.read_ingested(spark, str(tmp_path / f"{again}"))
+        assert rows_of(got, *NAMES) == rows_of(W.assign_ids(made).filter("event_id >= 40"), *NAMES)
+    assert len(list((tmp_path / "True" / "last").iterdir())) == 2
+
+
+def test_idle_actors_of_batches_are_let_go(spark, tmp_path):
+    rows = [(1, 0, 1), (2, 0, 2), (1, 100, 3), (1, 200, 4), (2, 210, 5)]
+    made = spark.createDataFrame(rows, "actor long, s long, event_id long").select("actor", F.timestamp_seconds("s").alias("ts"), "event_id", F.lit(1.0).alias("reward"), F.lit(False).alias("done"), F.lit(False).alias("success"))
+    for number, (a, b) in enumerate([(1, 3), (3, 4), (4, 6)]):
+        R.ingest_batch(made.filter(f"event_id >= {a} AND event_id < {b}"), number, str(tmp_path), idle=50.0)
+    got = {r["event_id"]: r["transition_id"] for r in R.read_ingested(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 2, 5: 0}  # actor 2 was let go when 1 acted at 100
+
+
 def test_nstep_windows_cross_files(spark, tmp_path):
     made = log(spark)
     got = run(spark, made, tmp_path, lambda s: R.stream_nstep(s, 3, 0.9))
