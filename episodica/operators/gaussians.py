@@ -115,15 +115,21 @@ def vertex_properties(gaussians: DataFrame, store: str = "logit", colour: str =
     return gaussians.select(*keep, *[_real(x.cast("double"), 0.0).cast("float").alias(n) for n, x in out.items()])
 
 
+def project_cloud(gaussians: DataFrame, cameras: DataFrame, by: Sequence[str], xyz: str = "xyz", w2c: str = "w2c") -> DataFrame:
+    """``gaussians`` with the columns of each camera of their state (joined by ``by``) and ``xyz_cam``, the point in that camera's frame."""
+    met = gaussians.join(cameras, list(by))
+    w, x = F.col(w2c), F.col(xyz)
+    return met.withColumn("xyz_cam", F.array(*[w[i * 4] * x[0] + w[i * 4 + 1] * x[1] + w[i * 4 + 2] * x[2] + w[i * 4 + 3] for i in range(3)]))
+
+
 def frustum_stats(gaussians: DataFrame, cameras: DataFrame, by: Sequence[str], width: int, height: int, source: str = "source", camera: str = "cam_idx") -> DataFrame:
     """(part, penalty, outside, invalid, nonfinite, n) for part all, source and target: Gaussians in each camera of their state.
 
     The penalty is how far outside the image the projection lies, in image sizes, at most 100.
     """
-    joined = gaussians.join(cameras, list(by))
-    w, k = F.col("w2c"), F.col("K")
-    p = [w[i * 4] * F.col("xyz")[0] + w[i * 4 + 1] * F.col("xyz")[1] + w[i * 4 + 2] * F.col("xyz")[2] + w[i * 4 + 3] for i in range(3)]
-    seen = joined.withColumns({"__x": p[0], "__y": p[1], "__z": p[2]})
+    k = F.col("K")
+    seen = project_cloud(gaussians, cameras, by)
+    seen = seen.withColumns({f"__{axis}": F.col("xyz_cam")[i] for i, axis in enumerate("xyz")})
     z = F.greatest("__z", F.lit(1e-6))
     u, v = (k[0] * F.col("__x") / z + k[2]) / width, (k[4] * F.col("__y") / z + k[5]) / height
     seen = seen.withColumns({"__u": u, "__v": v})

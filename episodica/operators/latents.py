@@ -198,3 +198,15 @@ def fuse(inv: str, dep: str, mode: str = "cat") -> Column:
     if mode not in ("cat", "plus"):
         raise ValueError(f"unknown mode {mode!r}")
     return F.concat(inv, dep) if mode == "cat" else F.zip_with(inv, dep, lambda a, b: a + b)
+
+
+def swap_matrix(rows: DataFrame, inv: str = "z_inv", dep: str = "z_dep", by: Sequence[str] = ("episode",), t: str = "t", camera: str = "camera", mode: str = "cat") -> DataFrame:
+    """(by, inv_camera, inv_t, dep_camera, dep_t, fused): the invariant half of each frame with the dependent half of every other camera's frame that
+    :func:`sampling.swap_pairs` pairs it with, fused by ``mode``."""
+    from episodica.operators.sampling import swap_pairs
+
+    half = lambda name, vec: rows.select(*by, F.col(camera).alias(f"{name}_camera"), F.col(t).alias(f"{name}_t"), F.col(vec).alias(f"__{name}"))
+    met = swap_pairs(rows, by, t, camera)
+    for name, vec in (("inv", inv), ("dep", dep)):
+        met = met.join(half(name, vec), [*by, f"{name}_camera", f"{name}_t"])
+    return met.select(*by, "inv_camera", "inv_t", "dep_camera", "dep_t", fuse("__inv", "__dep", mode).alias("fused"))

@@ -141,9 +141,8 @@ def a11(spark: SparkSession, sf: str) -> DataFrame:
 
 def j10(spark: SparkSession, sf: str) -> DataFrame:
     world = S.to_world(S.activate(clouds(spark, sf))).select("episode", "vec_id", "g", "xyz")
-    joined = world.join(G.to_opencv(poses(spark, sf)).select("episode", "cam_idx", "w2c"), "episode")
-    w, x = F.col("w2c"), F.col("xyz")
-    return joined.select("vec_id", "g", "cam_idx", F.round(w[8] * x[0] + w[9] * x[1] + w[10] * x[2] + w[11], 7).alias("z"))
+    seen = S.project_cloud(world, G.to_opencv(poses(spark, sf)).select("episode", "cam_idx", "w2c"), ["episode"])
+    return seen.select("vec_id", "g", "cam_idx", F.round(F.col("xyz_cam")[2], 7).alias("z"))
 
 
 def g2(spark: SparkSession, sf: str) -> DataFrame:

@@ -211,11 +211,8 @@ def l14(spark: SparkSession, sf: str) -> DataFrame:
 
 def l15(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.latents(spark, sf).select(F.col("batch_id").alias("episode"), (F.col("state_id") % 10).alias("t"), F.col("view_id").alias("camera"), "z_inv", "z_dep")
-    pairs = S.swap_pairs(rows)
-    inv = rows.select("episode", F.col("camera").alias("inv_camera"), F.col("t").alias("inv_t"), "z_inv")
-    dep = rows.select("episode", F.col("camera").alias("dep_camera"), F.col("t").alias("dep_t"), "z_dep")
-    joined = pairs.join(inv, ["episode", "inv_camera", "inv_t"]).join(dep, ["episode", "dep_camera", "dep_t"]).withColumn("f", E.fuse("z_inv", "z_dep", "plus"))
-    return joined.select("episode", "inv_camera", "inv_t", "dep_camera", "dep_t", F.round(F.col("f")[0], 8).alias("f0"))
+    found = E.swap_matrix(rows, mode="plus")
+    return found.select("episode", "inv_camera", "inv_t", "dep_camera", "dep_t", F.round(F.col("fused")[0], 8).alias("f0"))
 
 
 QUERIES = {

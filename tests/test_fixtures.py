@@ -355,3 +355,18 @@ def test_codes_by_bytes_and_ties(spark):
     assert got == {0: (1, 1.0), 1: (3, pytest.approx(0.005)), 2: (None, None), 3: (2, 0.5)}
     with pytest.raises(ValueError, match="bytes"):
         E.assign_codes(rows, book, max_bytes=10)
+
+
+def test_points_in_each_camera(spark):
+    turned = [0.0, -1.0, 0.0, 5.0, 1.0, 0.0, 0.0, 6.0, 0.0, 0.0, 1.0, 7.0, 0.0, 0.0, 0.0, 1.0]
+    plain = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    points = spark.createDataFrame([(0, 9, [1.0, 2.0, 3.0]), (1, 9, [1.0, 1.0, 1.0])], "e int, g int, xyz array<double>")
+    cameras = spark.createDataFrame([(0, 0, plain), (0, 1, turned)], "e int, cam int, w2c array<double>")
+    got = {r["cam"]: r["xyz_cam"] for r in GS.project_cloud(points, cameras, ["e"]).collect()}
+    assert got == {0: [1.0, 2.0, 3.0], 1: [3.0, 7.0, 10.0]}
+
+
+def test_swapped_halves(spark):
+    rows = spark.createDataFrame([("e", c, t, [float(10 * c + t)], [float(100 * c + t)]) for c in range(2) for t in range(3)], "episode string, camera int, t int, z_inv array<double>, z_dep array<double>")
+    got = {(r["inv_camera"], r["inv_t"], r["dep_camera"], r["dep_t"]): r["fused"] for r in E.swap_matrix(rows).collect()}
+    assert got == {(c, t, 1 - c, 1 if t == 0 else 0): [10.0 * c + t, 100.0 * (1 - c) + (1 if t == 0 else 0)] for c in range(2) for t in range(3)}
