@@ -35,9 +35,12 @@ _CLOSES = {
     "button": (("button",), ()),
     "a": (("a",), ()),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_TELLING = re.compile(r"(?i)(?:^|[\s\"'])(?:class|id|role|hidden|style|aria-hidden)(?:[\s=]|$)")
+#: An attribute as the HTML standard reads it: a name, in which a quote is a character, and after = a quoted value or one up to white space or >. The pattern
+#: takes any text but >, so it never goes back.
+_NAME, _VALUE = r"(?:=[^\s/>=]*|[^\s/>=]+)", r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:{_VALUE})?+)?+)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>][^\s>]*))?)?")
+_TELLING = re.compile(r"(?i)(?:^|[\s/\"'])(?:class|id|role|hidden|style|aria-hidden)(?:[\s=]|$)")
 #: What pages say around an article, not in it.
 _CUE = re.compile(
     r"(?i)^\W*(?:advertisement|sponsored|related|recommended|most (?:read|popular)|more (?:from|stories)|share (?:this|on)|follow us|subscribe|sign (?:up|in)|log ?in|newsletter|leave a (?:comment|reply)|\d* ?comments?|copyright|©|menu|search|skip to|you may also)\b"

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from episodica.llm import dom as D
 from episodica.llm import html_text as H
 from episodica.llm import warc as W
 from episodica.llm.dom import parse
@@ -105,6 +106,23 @@ def test_pages_of_other_makes():
         assert text == want
 
 
+def test_stray_quotes_lose_no_text():
+    """A quote inside an unquoted value, or after a closed one, is a character, as browsers read it."""
+    story = "<p>Rain fell on the city for nine days, and the river rose. People left their houses.</p>"
+    cases = [
+        ('<p>The mayor read <a href="/x"">the report</a> aloud on Monday evening.</p>', "The mayor read the report aloud on Monday evening."),
+        ("<p title=don't>The first bridge was closed, the second one held.</p><p>And it isn't lost at all, said the mayor.</p>", "The first bridge was closed, the second one held.\nAnd it isn't lost at all, said the mayor."),
+        ("<p data-x = 'a\"b' class=o'k>Trains stopped, and buses were full.</p>", "Trains stopped, and buses were full."),
+        ("<p =x y=>Schools opened again after two weeks.</p>", "Schools opened again after two weeks."),
+    ]
+    model = H.fit()
+    for extra, text in cases:
+        page = f'<html><body><nav><a href="/">Home</a> <a href="/n">News</a></nav><article><h1>Rain falls</h1>{story}{extra}{story}<p class="note">The end of the story came in May.</p></article><footer>All rights reserved</footer></body></html>'
+        got = H.main_texts([page], *model)[0]
+        assert text in got and got.count("Rain fell on the city") == 2 and "The end of the story came in May." in got, extra
+    assert D.attributes(""" a="1" b='2"' c=d'e f g= =h""") == {"a": "1", "b": '2"', "c": "d'e", "f": "", "g": "=h"}
+
+
 def test_bad_markup_takes_linear_time():
     for piece in ("<option>", "<div></p>", "<svg>", "<b></i>", "<a href=x><article>", "<button class=x>", "<ul><li><div><td>", "<x y='", "</p>", "<select><div>", "<!--"):
         page = piece * (1_000_000 // len(piece))
