@@ -170,15 +170,25 @@ def action_slice(windows: DataFrame, n_obs: int, n_act: int, actions: str = "act
     return windows.withColumn("executed", F.slice(actions, n_obs, n_act))
 
 
-def rolling_mean(rows: DataFrame, size: int, values: Sequence[str], by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``rows`` with rolling_<value>: the mean of the last ``size`` rows."""
-    w = _over(by, order).rowsBetween(-(size - 1), 0)
-    return rows.select("*", *[F.avg(F.col(v).cast("double")).over(w).alias(f"rolling_{v}") for v in values])
+def rolling_mean(rows: DataFrame, size: int, values: Sequence[str], by: Sequence[str], order: Sequence[str], span: float | None = None, block: int = BLOCK) -> DataFrame:
+    """``rows`` with rolling_<value>: the mean of the last ``size`` rows.
 
-
-def rolling_metric(rows: DataFrame, k: int, value: str = "value", by: Sequence[str] = ("name",), step: str = "step") -> DataFrame:
-    """The mean of the last k values at each step that k divides."""
-    return rolling_mean(rows, k, [value], by, [step]).filter(F.col(step) % k == 0)
+    With a ``span`` (of the first order column) no group is one task: rows are numbered by :func:`assign_ids` and averaged in blocks of ``block`` rows, each of
+    which sees the ``size`` - 1 before it. The rows are the same.
+    """
+    if span is None:
+        w = _over(by, order).rowsBetween(-(size - 1), 0)
+        return rows.select("*", *[F.avg(F.col(v).cast("double")).over(w).alias(f"rolling_{v}") for v in values])
+    plain = rows.select(*[F.col(c).alias(f"own_{c}") for c in rows.columns], F.struct(*by).alias("actor"), F.lit(False).alias("done"))
+    dealt = deal(assign_ids(plain, order=[f"own_{c}" for c in order], span=span), size - 1, 0, block)
+    w = _over(["actor", "block"], ["transition_id"]).rowsBetween(-(size - 1), 0)
+    found = dealt.select("*", *[F.avg(F.col(f"own_{v}").cast("double")).over(w).alias(f"rolling_{v}") for v in values])
+    return undeal(found).select(*[F.col(f"own_{c}").alias(c) for c in rows.columns], *[f"rolling_{v}" for v in values])
+
+
+def rolling_metric(rows: DataFrame, k: int, value: str = "value", by: Sequence[str] = ("name",), step: str = "step", span: float | None = None) -> DataFrame:
+    """The mean of the last k values at each step that k divides; with a ``span`` of steps, in blocks, so that a metric isn't one task."""
+    return rolling_mean(rows, k, [value], by, [step], span).filter(F.col(step) % k == 0)
 
 
 def action_repeat(steps: DataFrame, k: int, by: Sequence[str] = ("actor", "episode"), order: str = "step", limit: int | None = None) -> DataFrame:

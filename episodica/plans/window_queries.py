@@ -72,7 +72,7 @@ def w9(spark: SparkSession, sf: str) -> DataFrame:
 
 def w10(spark: SparkSession, sf: str) -> DataFrame:
     rows = ids(spark, sf).select(F.col("actor").alias("name"), F.col("transition_id").alias("step"), F.col("reward").alias("value"))
-    return W.rolling_metric(rows, 5).select("name", "step", F.round("rolling_value", 6).alias("mean"))
+    return W.rolling_metric(rows, 5, span=1000).select("name", "step", F.round("rolling_value", 6).alias("mean"))
 
 
 def w11(spark: SparkSession, sf: str) -> DataFrame:

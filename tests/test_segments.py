@@ -58,6 +58,18 @@ def test_windows_over_blocks(spark, block, ends):
 
 
 
+def test_rolling_means_in_blocks(spark):
+    r = random.Random(6)
+    rows = [("hot" if r.random() < 0.8 else r.choice(["a", None]), i * r.randint(1, 2), i, r.uniform(0, 9) if i % 11 else None, 1) for i in range(500)]
+    df = spark.createDataFrame(rows, "name string, step long, i long, value double, episode int").repartition(4)
+    for size, block in ((5, 7), (3, 100), (1, 2)):
+        plain = W.rolling_mean(df, size, ["value", "i"], ["name"], ["step", "i"])
+        parts = W.rolling_mean(df, size, ["value", "i"], ["name"], ["step", "i"], span=40, block=block)
+        assert parts.columns == plain.columns
+        near = lambda x: sorted(((tuple(round(v, 9) if isinstance(v, float) else v for v in row)) for row in x.collect()), key=repr)
+        assert near(parts) == near(plain)
+
+
 def test_a_hot_actor_is_spread_and_the_rows_go_over_once(spark, tmp_path):
     made = log(spark, n=4000).withColumn("frame", F.repeat(F.lit("x"), 50))
     path = str(tmp_path / "log")
