@@ -14,6 +14,8 @@ from episodica.plans.stream_queries import shared
 from episodica.sources import episodes as S
 from episodica.sources import jsonmap as JM
 from episodica.sources import layout as LY
+from episodica.sources import translog as L
+from episodica.streaming import replay as R
 
 
 def s2(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,6 +107,20 @@ def s12(spark: SparkSession, sf: str) -> DataFrame:
     return S.episode_states(S.add_transitions(T.log(spark, sf)))
 
 
+def s12b(spark: SparkSession, sf: str) -> DataFrame:
+    """The log appended in three parts of time and read as a stream by its positions; each part is a micro-batch of a query that starts anew."""
+    path, out = shared(spark, "translog"), shared(spark, "ingested")
+    log = T.log(spark, sf)
+    at = F.unix_micros("ts").cast("double")
+    cuts = log.select(at.alias("x")).approxQuantile("x", [1 / 3, 2 / 3], 0.01)
+    for i, (low, high) in enumerate(zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True)):
+        L.append_log(log.filter((at >= low) & (at < high)), path, "collector", i)
+        stream = L.stream_log(spark, path).drop(L.POSITION)
+        query = stream.writeStream.foreachBatch(lambda batch, number: R.ingest_batch(batch, number, out)).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return S.episode_states(R.read_ingested(spark, out))
+
+
 def s13(spark: SparkSession, sf: str) -> DataFrame:
     return S.image_size(frames(spark, sf))
 
@@ -138,7 +154,7 @@ def s10(spark: SparkSession, sf: str) -> DataFrame:
     return S.write_vertices(vertices, shared(spark, "vertices"), ["episode", "cam_idx", "t"])
 
 
-QUERIES = {"s1_read_episodes": s1, "s1b_bucketed_dataset": s1b, "s5b_json_map_ranges": s5b, "s10_write_vertices": s10, "s2_append_keys": s2, "s3_replace_episode": s3, "s4_validate_layout": s4, "s5_read_calibrations": s5, "s6_episode_metadata": s6, "s7_frame_paths": s7, "s8_explode_nested": s8, "s9_export_keys": s9, "s11_backfill_features": s11, "s12_transition_states": s12, "s13_image_size": s13}
+QUERIES = {"s1_read_episodes": s1, "s1b_bucketed_dataset": s1b, "s5b_json_map_ranges": s5b, "s10_write_vertices": s10, "s2_append_keys": s2, "s3_replace_episode": s3, "s4_validate_layout": s4, "s5_read_calibrations": s5, "s6_episode_metadata": s6, "s7_frame_paths": s7, "s8_explode_nested": s8, "s9_export_keys": s9, "s11_backfill_features": s11, "s12_transition_states": s12, "s12b_log_source": s12b, "s13_image_size": s13}
 
 _F = """frames AS (SELECT 'demo' || conv_id AS episode, turn AS t, role AS camera, length(text)::INT AS height, strlen(text)::INT AS width
 FROM conversations)"""
@@ -175,4 +191,4 @@ FROM ids UNION ALL SELECT actor, state_id + 1, episode, step + 1, false
 FROM ids WHERE done""",
     "s13_image_size": f"WITH {_F} SELECT episode, arg_min(height, t) AS height, arg_min(width, t) AS width FROM frames GROUP BY 1",
 }
-ORACLE_SQL |= {"s1b_bucketed_dataset": ORACLE_SQL["s1_read_episodes"], "s5b_json_map_ranges": ORACLE_SQL["s5_read_calibrations"]}
+ORACLE_SQL |= {"s12b_log_source": ORACLE_SQL["s12_transition_states"], "s1b_bucketed_dataset": ORACLE_SQL["s1_read_episodes"], "s5b_json_map_ranges": ORACLE_SQL["s5_read_calibrations"]}
