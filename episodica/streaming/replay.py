@@ -15,6 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from episodica.operators.windows import SPAN
 from episodica.sources.episodes import add_transitions
+from episodica.sources.translog import put_new
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -287,11 +288,7 @@ def compact(spark: SparkSession, path: str, least: int = 8, file_bytes: int = 25
     live = {name for (name, _), _ in there}
     after = {name: x for name, x in ranges.items() if name in live}
     after |= {name: {"folder": f"{target}/{name}", "upto": max(max(b for b, _ in x), ranges.get(name, {"upto": -1})["upto"])} for name, x in ready.items()}
-    staged = f"{path}/_manifest/_staged-{uuid.uuid4().hex}"
-    out = fs.create(hadoop.Path(staged))
-    out.write(bytearray(json.dumps(after).encode()))
-    out.close()
-    if not fs.rename(hadoop.Path(staged), hadoop.Path(f"{path}/_manifest/v{number + 1:012}.json")):
+    if not put_new(spark, json.dumps(after), f"{path}/_manifest/v{number + 1:012}.json"):
         raise RuntimeError(f"another run has written manifest {number + 1}")
     kept = {x["folder"].split("/")[1] for m in (ranges, after) for x in m.values()}
     for name in _listed(spark, f"{path}/_compact"):
