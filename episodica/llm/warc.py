@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,11 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from episodica.llm.shared import fresh_path, table
+from episodica.operators.ranks import ordered_rank
 
 #: A node of the lowest level covers 2^RANGE_BITS bytes of a file; one above has 2^FAN_BITS children. Records of a file.
 RANGE_BITS, FAN_BITS, FILE_RECORDS = 16, 4, 4096
-_BEGIN = b"WARC/1.1\r\n"
-_HEADER = re.compile(rb"WARC/1\.1\r\n(?:[!-9;-~]+:[^\r\n]*\r\n)*?Content-Length:[ \t]*([0-9]{1,18})\r\n(?:[!-9;-~]+:[^\r\n]*\r\n)*\r\n")
+#: A header: its version, then named lines, which may go on in lines that begin with white space; names are the same in any case.
+_BEGIN = re.compile(rb"WARC/[01]\.[0-9]{1,2}\r?\n")
+_LINE = rb"[!-9;-~]+:[^\r\n]*(?:\r?\n[ \t][^\r\n]*)*\r?\n"
+_HEADER = re.compile(_BEGIN.pattern + rb"(?:(?!(?i:content-length):)" + _LINE + rb")*(?i:content-length):[ \t]*(?:\r?\n[ \t]+)?([0-9]{1,18})[ \t]*\r?\n(?:" + _LINE + rb")*\r?\n")
+_END = re.compile(rb"\r?\n\r?\n")
+_MEMBER, _STEP = b"\x1f\x8b\x08", 1 << 16
 
 
 def warc_record(id_: Column, url: Column, payload: Column) -> Column:
@@ -68,32 +75,95 @@ def write_warc(pages: DataFrame, path: str, per_file: int = FILE_RECORDS) -> Non
     placed.repartition("file").sortWithinPartitions("file", "offset").select("file", text.alias("value")).write.partitionBy("file").option("lineSep", "\r\n").text(path)
 
 
-def parse_warc(content: bytes) -> Iterator[tuple[int, int, str]]:
-    """(offset, length, digest) of each whole record. Where none begins, the next record's first line is searched."""
-    at = 0
-    while 0 <= at < len(content):
-        head = _HEADER.match(content, at)
-        end = head.end() + int(head[1]) + 4 if head else -1
-        if head and end <= len(content) and content[end - 4 : end] == b"\r\n\r\n":
-            yield at, end - at, hashlib.sha256(memoryview(content)[at:end]).hexdigest()
-            at = end
+def _member(content: bytes, at: int) -> int | None:
+    """Where the gzip member that begins at ``at`` ends, if it is whole, passes its check and holds a record; inflated in steps, never kept."""
+    inflate, head, fed = zlib.decompressobj(31), b"", at
+    try:
+        while not inflate.eof:
+            if fed >= len(content):
+                return None
+            out = inflate.decompress(content[fed : fed + _STEP], _STEP)
+            fed += _STEP
+            while True:
+                head += out[: _STEP - len(head)]
+                if inflate.eof or not (rest := inflate.unconsumed_tail):
+                    break
+                out = inflate.decompress(rest, _STEP)
+    except zlib.error:
+        return None
+    return min(fed, len(content)) - len(inflate.unused_data) if _BEGIN.match(head) else None
+
+
+def _record(content: bytes, at: int) -> int | None:
+    """Where the plain record that begins at ``at`` ends, if it is whole."""
+    head = _HEADER.match(content, at)
+    end = _END.match(content, head.end() + int(head[1])) if head and head.end() + int(head[1]) <= len(content) else None
+    return end.end() if end else None
+
+
+def parse_warc(content: bytes, gaps: bool = False) -> Iterator[tuple[int, int, str]]:
+    """(offset, length, digest) of each whole record of a file, by the bytes as they are stored.
+
+    Records of WARC 0.17 to 1.1 are read, with any case of names, folded lines, and line ends of one or two characters; and gzip members, whose offset,
+    length and digest are those of the compressed bytes (a member with several records is one leaf). Where no whole one begins, the next
+    beginning is searched; with ``gaps`` the bytes between are a row, too, with a digest behind "unparsed:". An empty file has no rows.
+    """
+    at = gap = 0
+    packed = content.startswith(_MEMBER)
+    while at < len(content):
+        if packed:
+            end = _member(content, at) if content.startswith(_MEMBER, at) else None
         else:
-            at = content.find(_BEGIN, at + 1)
+            end = _record(content, at)
+        if end is None:
+            begin = None if packed else _BEGIN.search(content, at + 1)
+            at = content.find(_MEMBER, at + 1) if packed else begin.start() if begin else -1
+            at = len(content) if at < 0 else at
+        if gaps and gap < at and (end is not None or at == len(content)):
+            yield gap, at - gap, "unparsed:" + hashlib.sha256(memoryview(content)[gap:at]).hexdigest()
+        if end is not None:
+            yield at, end - at, hashlib.sha256(memoryview(content)[at:end]).hexdigest()
+            at = gap = end
+
+
+def _stored(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """The files below ``path``, and what their paths begin with."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), whole.rstrip("/") + "/"
+
 
+def warc_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """(name, file): the numbers of the files that replicas have, by their names below each replica's path, in order of names.
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, length, digest) of the records of a replica's files, by their bytes. A task holds one file."""
+    Replicas that are compared take one numbering, so that a file that one has lost moves no other. Contents aren't read.
+    """
+    names = [df.select(F.substring("path", len(root) + 1, 1 << 20).alias("name")) for df, root in (_stored(spark, p) for p in paths)]
+    return ordered_rank(functools.reduce(DataFrame.unionByName, names).distinct(), "name", name="file")
+
+
+def read_warc(spark: SparkSession, path: str, files: DataFrame | None = None, gaps: bool = False) -> DataFrame:
+    """(file, offset, length, digest) of the records of a replica's files, by their bytes (see :func:`parse_warc`). A task holds one file.
+
+    Files are numbered by ``files`` (:func:`warc_files`); without it by N where all paths have a folder file=N, else by the replica's own names. A file
+    that ``files`` doesn't name has no rows; a folder without files gives an empty result. With ``gaps``, bytes that are no record are rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = list(parse_warc(batch.column(1)[i].as_py()))
+                rows = list(parse_warc(batch.column(1)[i].as_py(), gaps))
                 offset, length, digest = zip(*rows, strict=True) if rows else ((), (), ())
-                file = int(re.search(r"file=(\d+)", batch.column(0)[i].as_py())[1])
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.int64()), pa.array(offset, pa.int64()), pa.array(length, pa.int64()), pa.array(digest, pa.string())], names=["file", "offset", "length", "digest"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, "file long, offset long, length long, digest string")
+                where = batch.column(0)[i].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([where] * len(rows), pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64()), pa.array(digest, pa.string())], names=["path", "offset", "length", "digest"])
+
+    stored, root = _stored(spark, path)
+    found = stored.select("path", "content").mapInArrow(run, "path string, offset long, length long, digest string")
+    numbered = F.regexp_extract("path", r"file=(\d+)/", 1)
+    if files is None and stored.filter(numbered == "").isEmpty():
+        return found.select(numbered.cast("long").alias("file"), "offset", "length", "digest")
+    by = (warc_files(spark, path) if files is None else files).select(F.concat(F.lit(root), "name").alias("path"), F.col("file").cast("long").alias("file"))
+    return found.join(by, "path").select("file", "offset", "length", "digest")
 
 
 def parents(level: DataFrame) -> DataFrame:

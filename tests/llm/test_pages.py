@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import html
 import itertools
+import random
 import re
 import time
 
@@ -198,6 +201,72 @@ def test_warc_files_are_audited_by_their_bytes(spark, tmp_path):
     assert statuses(found) == {(2, cut): "changed", (2, at[2, 98]["offset"]): "changed", (2, at[2, 99]["offset"]): "moved"}
 
 
+def warc(version, name, body, end="\r\n"):
+    lines = [f"WARC/{version}", "WARC-Type: response", "X-Long: first", "\tsecond", f"{name}: {len(body)}", "WARC-Record-ID: <urn:x>", "", ""]
+    return end.join(lines).encode() + body + 2 * end.encode()
+
+
+def test_records_of_all_versions_are_parsed():
+    inner = warc("1.0", "Content-Length", b"within a payload")
+    made = [warc("1.0", "content-length", b"a"), warc("0.17", "CONTENT-LENGTH", b""), warc("1.1", "Content-Length", inner), warc("0.18", "Content-length", b"line\n", "\n")]
+    ends = list(itertools.accumulate(map(len, made)))
+    want = [(e - len(r), len(r), hashlib.sha256(r).hexdigest()) for e, r in zip(ends, made, strict=True)]
+    assert list(W.parse_warc(b"".join(made))) == want == list(W.parse_warc(b"".join(made), gaps=True))
+    folded = b"WARC/1.0\r\nContent-Length:\r\n 3\r\n\r\nabc\r\n\r\n"
+    assert [x[:2] for x in W.parse_warc(folded)] == [(0, len(folded))]
+    assert list(W.parse_warc(b"")) == [] and list(W.parse_warc(b"no record")) == []
+    assert [x[:2] for x in W.parse_warc(b"no record", gaps=True)] == [(0, 9)]
+    assert [x[:2] for x in W.parse_warc(made[0][:-1], gaps=True)] == [(0, len(made[0]) - 1)]
+    broken = made[0] + b"?" * 50 + made[1] + b"tail"
+    kinds = [(a, n, d.startswith("unparsed:")) for a, n, d in W.parse_warc(broken, gaps=True)]
+    a, b = len(made[0]), len(made[1])
+    assert kinds == [(0, a, False), (a, 50, True), (a + 50, b, False), (a + 50 + b, 4, True)]
+    assert [x[:2] for x in W.parse_warc(broken)] == [(0, a), (a + 50, b)]
+
+
+def test_gzip_members_are_records_by_their_compressed_bytes():
+    noise = random.Random(3).randbytes(300_000)
+    made = [gzip.compress(warc("1.0", "Content-Length", body), mtime=0) for body in (b"a", noise, b"z" * 3_000_000, b"")]
+    at = [0, *itertools.accumulate(map(len, made))]
+    want = [(i, len(r), hashlib.sha256(r).hexdigest()) for i, r in zip(at, made, strict=False)]
+    assert list(W.parse_warc(b"".join(made), gaps=True)) == want
+    raw = bytearray(b"".join(made))
+    raw[at[1] + 150_000] ^= 1  # the member's check finds it
+    found = list(W.parse_warc(bytes(raw), gaps=True))
+    assert [x for x in found if not x[2].startswith("unparsed:")] == [want[0], *want[2:]]
+    assert [x[:2] for x in found if x[2].startswith("unparsed:")] == [(at[1], len(made[1]))]
+    assert list(W.parse_warc(b"".join(made)[:-3])) == want[:-1]
+    assert list(W.parse_warc(gzip.compress(b"no record"))) == []
+
+
+def test_replicas_of_foreign_files_are_audited(spark, tmp_path):
+    r = random.Random(5)
+    files = {f"crawl/{n}.warc{z}": [warc(r.choice(["1.0", "1.1"]), "Content-Length", r.randbytes(r.randint(0, 900))) for _ in range(150)] for n in ("a", "b c", "é") for z in ("", ".gz")}
+    stored = {name: [gzip.compress(x, mtime=0) for x in rs] if name.endswith("gz") else rs for name, rs in files.items()}
+    for side in ("ours", "theirs"):
+        for name, rs in stored.items():
+            (tmp_path / side / "crawl").mkdir(parents=True, exist_ok=True)
+            (tmp_path / side / name).write_bytes(b"".join(rs))
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    numbers = {x["name"]: x["file"] for x in W.warc_files(spark, ours, theirs).collect()}
+    assert sorted(numbers.values()) == list(range(6)) and [numbers[n] for n in sorted(numbers, key=str.encode)] == list(range(6))
+    read = lambda: (W.read_warc(spark, p, W.warc_files(spark, ours, theirs)) for p in (ours, theirs))
+    a, b = read()
+    assert a.count() == 900 == W.read_warc(spark, ours).count() and W.audit(a, b).count() == 0
+    want = {}
+    for name, i in (("crawl/a.warc", 70), ("crawl/b c.warc.gz", 30)):
+        raw, at = bytearray(b"".join(stored[name])), sum(map(len, stored[name][:i]))
+        raw[at + len(stored[name][i]) // 2] ^= 255
+        (tmp_path / "theirs" / name).write_bytes(raw)
+        want[numbers[name], at] = {"changed", "missing"}
+    (tmp_path / "theirs" / "crawl" / "é.warc").unlink()  # a lost file moves no other's number
+    found = statuses(W.audit(*read()))
+    lost = {k: v for k, v in found.items() if k[0] == numbers["crawl/é.warc"]}
+    assert len(lost) == 150 and set(lost.values()) == {"missing"}
+    rest = {k: v for k, v in found.items() if k not in lost}
+    assert rest.keys() == want.keys() and all(v in want[k] for k, v in rest.items())
+
+
 def test_fixity_query_equals_its_sql(spark, tmp_path):
     made = spark.createDataFrame([(None, None, None), (None, "u", "é" * 150), (-3, "v", "x" * 300), (3, "v", ""), (3, "v", "twice"), (3, "v", "twice")], "page_id long, url string, html string")
     more = spark.range(5, 700).select(F.col("id").alias("page_id"), F.lit("w").alias("url"), F.concat(F.repeat(F.lit("é"), 120), F.col("id").cast("string")).alias("html"))
