@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,20 +51,46 @@ def t1(spark: SparkSession, sf: str) -> DataFrame:
     return drained(spark, R.ingest_transitions(events(spark, sf)), "ingest").select("actor", "event_id", "transition_id", "state_id", "episode", "step")
 
 
-def t1b(spark: SparkSession, sf: str) -> DataFrame:
-    """The log in three parts of time, each a micro-batch of a query that starts anew from its checkpoint; the numbers go on."""
-    source, out = shared(spark, "log"), shared(spark, "ingested")
+def by_thirds(spark: SparkSession, sf: str, out: str, then: Callable[[DataFrame, int], None] | None = None) -> None:
+    """The log in three parts of time, each a micro-batch of a query that starts anew from its checkpoint: numbered to ``out``, and handed on."""
+    source = shared(spark, "log")
     log = T.log(spark, sf)
+
+    def put(batch: DataFrame, number: int) -> None:
+        R.ingest_batch(batch, number, out)
+        if then is not None:
+            then(spark.read.parquet(f"{out}/steps/batch={number}"), number)
+
     cuts = log.select(F.unix_micros("ts").cast("double").alias("x")).approxQuantile("x", [1 / 3, 2 / 3], 0.01)
     for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
         at = F.unix_micros("ts").cast("double")
         log.filter((at >= low) & (at < high)).write.mode("append").parquet(source)
         stream = spark.readStream.schema(log.schema).parquet(source)
-        query = stream.writeStream.foreachBatch(lambda batch, number: R.ingest_batch(batch, number, out)).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
+        query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
         query.awaitTermination()
+
+
+def t1b(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers that go on over three micro-batches and restarts."""
+    out = shared(spark, "ingested")
+    by_thirds(spark, sf, out)
     return R.read_ingested(spark, out).select("actor", "event_id", "transition_id", "state_id", "episode", "step")
 
 
+def t2b(spark: SparkSession, sf: str) -> DataFrame:
+    """n-step returns over three micro-batches, in blocks, so that no actor is one task."""
+    out, to = shared(spark, "ingested"), shared(spark, "nstep")
+    by_thirds(spark, sf, out, lambda steps, number: R.nstep_batch(steps, number, to, 3, 0.99))
+    return R.read_derived(spark, to).select("actor", "event_id", F.round("n_return", 8).alias("n_return"), F.round("n_discount", 8).alias("n_discount"))
+
+
+def t3b(spark: SparkSession, sf: str) -> DataFrame:
+    """Rolling episode means over three micro-batches."""
+    out, to = shared(spark, "ingested"), shared(spark, "rolling")
+    by_thirds(spark, sf, out, lambda steps, number: R.rolling_batch(steps, number, to, 3))
+    return R.read_derived(spark, to).select("actor", "episode", F.round("rolling_return", 6).alias("rolling_return"), F.round("rolling_success", 6).alias("rolling_success"))
+
+
 def t2(spark: SparkSession, sf: str) -> DataFrame:
     found = drained(spark, R.stream_nstep(events(spark, sf), 3, 0.99), "nstep")
     return found.select("actor", "event_id", F.round("n_return", 8).alias("n_return"), F.round("n_discount", 8).alias("n_discount"))
@@ -123,7 +150,7 @@ def t7(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("window.start").cast("date").cast("string").alias("day"), "episode", "num_samples")
 
 
-QUERIES = {"t1_ingest_transitions": t1, "t1b_ingest_batches": t1b, "t5b_compacted_retention": t5b, "t2_stream_nstep": t2, "t3_stream_rolling": t3, "t4_stream_eval": t4, "t5_retention": t5, "t6_metric_guard": t6, "t7_stream_catalog": t7}
+QUERIES = {"t1_ingest_transitions": t1, "t1b_ingest_batches": t1b, "t5b_compacted_retention": t5b, "t2_stream_nstep": t2, "t2b_nstep_batches": t2b, "t3b_rolling_batches": t3b, "t3_stream_rolling": t3, "t4_stream_eval": t4, "t5_retention": t5, "t6_metric_guard": t6, "t7_stream_catalog": t7}
 ORACLE_SQL = {
     "t1_ingest_transitions": WINDOWS["w6_assign_ids"],
     "t2_stream_nstep": WINDOWS["w4_nstep_return"].replace("SELECT actor, episode, step, step + 3 AS next_step,", "SELECT actor, event_id,").replace("SELECT actor, episode, step, next_step,", "SELECT actor, event_id,"),
@@ -136,4 +163,4 @@ FROM log GROUP BY 1""",
 FROM log WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR
 FROM log) GROUP BY 1, 2""",
 }
-ORACLE_SQL |= {"t1b_ingest_batches": ORACLE_SQL["t1_ingest_transitions"], "t5b_compacted_retention": ORACLE_SQL["t5_retention"]}
+ORACLE_SQL |= {"t2b_nstep_batches": ORACLE_SQL["t2_stream_nstep"], "t3b_rolling_batches": ORACLE_SQL["t3_stream_rolling"], "t1b_ingest_batches": ORACLE_SQL["t1_ingest_transitions"], "t5b_compacted_retention": ORACLE_SQL["t5_retention"]}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from episodica.operators.windows import SPAN
+from episodica.operators.windows import BLOCK, SPAN, deal, nstep_return, rolling_mean, undeal
 from episodica.sources.episodes import add_transitions
 from episodica.sources.translog import put_new
 
@@ -170,6 +170,72 @@ def stream_rolling(log: DataFrame, size: int) -> DataFrame:
     return log.groupBy("actor").transformWithStateInPandas(_Rolling(size), "actor long, episode long, rolling_return double, rolling_success double", "Append", "None")
 
 
+def _held(steps: DataFrame, number: int, path: str) -> tuple[DataFrame | None, list[int]]:
+    """What the micro-batch before ``number`` left at ``path``, without actors that begin anew in ``steps``; and the batches that left something."""
+    spark = steps.sparkSession
+    earlier = sorted(int(x[6:]) for x in _listed(spark, path) if x.startswith("batch=") and int(x[6:]) < number)
+    if not earlier:
+        return None, earlier
+    anew = steps.filter("transition_id = 0").select(F.col("actor").alias("__anew")).distinct()
+    held = spark.read.parquet(f"{path}/batch={earlier[-1]}")
+    return held.join(anew, F.col("actor").eqNullSafe(F.col("__anew")), "left_anti"), earlier
+
+
+def _hold(rows: DataFrame, number: int, path: str, earlier: list[int], idle: float | None) -> None:
+    """Leaves ``rows`` (with ts) for the next micro-batch, without actors idle for over ``idle`` seconds. What the one before left stays for a retry."""
+    spark = rows.sparkSession
+    if idle is not None:
+        end = rows.agg(F.max("ts")).first()[0]
+        rows = rows.filter(F.col("ts").isNull() | (F.unix_micros("ts") >= F.unix_micros(F.lit(end)) - int(idle * 1e6)))
+    rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in earlier[:-1]:
+        fs.delete(hadoop.Path(f"{path}/batch={old}"), True)
+
+
+def nstep_batch(steps: DataFrame, number: int, path: str, n: int, gamma: float, idle: float | None = None, block: int = BLOCK) -> None:
+    """For foreachBatch: the rows of :func:`stream_nstep` for micro-batch ``number``, whatever share of it one actor has; :func:`read_derived` reads them.
+
+    ``steps`` are the batch's numbered transitions, as :func:`ingest_batch` leaves them. What goes on is each open episode's last n - 1
+    transitions, so a start waits for its n-th. An actor's rows are dealt into blocks of ``block`` with halos. A batch that is tried again gives the
+    same rows in the same folder. An actor whose numbers begin at 0 again, as after it was let go for being ``idle``, has nothing left from before.
+    """
+    names = ["actor", "ts", "event_id", "reward", "done", "transition_id", "episode", "step"]
+    held, earlier = _held(steps, number, f"{path}/held")
+    both = steps.select(names) if held is None else held.select(names).unionByName(steps.select(names))
+    found = undeal(nstep_return(deal(both, 0, n - 1, max(block, n)), n, gamma))
+    found.select("actor", "event_id", "n_return", "n_discount").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+    newest = both.groupBy(F.col("actor").alias("__actor")).agg(F.max("transition_id").alias("__t"), F.max_by(F.struct("episode", "done"), "transition_id").alias("__l"))
+    open_ = both.join(newest, F.col("actor").eqNullSafe(F.col("__actor")))
+    kept = open_.filter(~F.col("__l.done") & (F.col("episode") == F.col("__l.episode")) & (F.col("transition_id") > F.col("__t") - (n - 1)))
+    _hold(kept.select(names), number, f"{path}/held", earlier, idle)
+
+
+def rolling_batch(steps: DataFrame, number: int, path: str, size: int, idle: float | None = None, span: float = BLOCK) -> None:
+    """For foreachBatch: the rows of :func:`stream_rolling` for micro-batch ``number`` of numbered ``steps``; :func:`read_derived` reads them.
+
+    Episodes are summed by an aggregation, which takes part sums in the scan's tasks, so neither an actor nor an episode is one task; means go over
+    stretches of ``span`` episodes (see :func:`windows.rolling_mean`). What goes on is each actor's open episode, as one row, and its last ``size`` - 1
+    that ended. Retries and actors that begin anew are as for :func:`nstep_batch`.
+    """
+    part = steps.select("actor", "episode", F.col("reward").alias("ret"), F.col("success").cast("double").alias("success"), "done", "ts", F.lit(True).alias("new"))
+    held, earlier = _held(steps, number, f"{path}/held")
+    both = part if held is None else held.select(part.columns).unionByName(part)
+    whole = both.groupBy("actor", "episode").agg(F.sum("ret").alias("ret"), F.max("success").alias("success"), F.max("done").alias("done"), F.max("ts").alias("ts"), F.max("new").alias("new"))
+    ended = rolling_mean(whole.filter("done"), size, ["ret", "success"], ["actor"], ["episode"], span)
+    found = ended.filter("new").select("actor", "episode", F.col("rolling_ret").alias("rolling_return"), "rolling_success")
+    found.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+    newest = whole.groupBy(F.col("actor").alias("__actor")).agg(F.max(F.when(F.col("done"), F.col("episode"))).alias("__e"))
+    kept = whole.join(newest, F.col("actor").eqNullSafe(F.col("__actor"))).filter(~F.col("done") | (F.col("episode") > F.col("__e") - (size - 1)))
+    _hold(kept.withColumn("new", F.lit(False)).select(part.columns), number, f"{path}/held", earlier, idle)
+
+
+def read_derived(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that :func:`nstep_batch` or :func:`rolling_batch` wrote, of all micro-batches."""
+    return spark.read.parquet(f"{path}/rows").drop("batch")
+
+
 def stream_eval(episodes: DataFrame, view: str = "view") -> DataFrame:
     """Running means by view, for update mode."""
     return episodes.groupBy(view).agg(F.avg("ret").alias("mean_return"), F.avg("success").alias("mean_success"))

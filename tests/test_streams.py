@@ -99,6 +99,38 @@ def test_rolling_episodes_cross_files(spark, tmp_path):
     assert rows_of(got, "actor", "episode", "rolling_return", "rolling_success") == rows_of(want, "actor", "episode", "rolling_ret", "rolling_s")
 
 
+def test_derived_rows_of_a_hot_actor_go_on(spark, tmp_path):
+    """Nine tenths of the rows are one actor's, one actor is null; windows cross batches, blocks and empty batches; each batch is tried twice."""
+    made = log(spark).withColumn("actor", F.when(F.col("event_id") % 10 < 9, 0).when(F.col("actor") > 0, F.col("actor")).cast("long"))
+    steps = W.assign_ids(made).persist()
+    for number, (a, b) in enumerate([(0, 50), (50, 51), (51, 51), (51, 170), (170, 240)]):
+        for _ in range(2):
+            part = steps.filter(f"event_id >= {a} AND event_id < {b}")
+            R.nstep_batch(part, number, str(tmp_path / "n"), 4, 0.9, block=16)
+            R.rolling_batch(part, number, str(tmp_path / "r"), 3, span=4)
+    names = ("actor", "event_id", "n_return", "n_discount")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    plain = lambda df, *c: sorted((tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in df.select(*c).collect()), key=key)
+    assert plain(R.read_derived(spark, str(tmp_path / "n")), *names) == plain(W.nstep_return(steps, 4, 0.9), *names)
+    ended = steps.groupBy("actor", "episode").agg(F.sum("reward").alias("ret"), F.max(F.col("success").cast("double")).alias("s"), F.max("done").alias("done")).filter("done")
+    want = W.rolling_mean(ended, 3, ["ret", "s"], ["actor"], ["episode"])
+    assert plain(R.read_derived(spark, str(tmp_path / "r")), "actor", "episode", "rolling_return", "rolling_success") == plain(want, "actor", "episode", "rolling_ret", "rolling_s")
+    for name, most in (("n", 9), ("r", 9)):  # three actors, n - 1 transitions or size - 1 ended episodes and an open one of each
+        held = sorted((tmp_path / name / "held").iterdir())
+        assert len(held) == 2 and spark.read.parquet(str(held[-1])).count() <= most
+
+
+def test_what_is_held_of_idle_actors_goes(spark, tmp_path):
+    rows = [(1, 0, 1), (2, 0, 2), (1, 100, 3), (1, 200, 4), (2, 210, 5), (2, 220, 6)]
+    made = spark.createDataFrame(rows, "actor long, s long, event_id long").select("actor", F.timestamp_seconds("s").alias("ts"), "event_id", F.lit(1.0).alias("reward"), F.lit(False).alias("done"), F.lit(False).alias("success"))
+    out = str(tmp_path / "in")
+    for number, (a, b) in enumerate([(1, 3), (3, 4), (4, 7)]):
+        R.ingest_batch(made.filter(f"event_id >= {a} AND event_id < {b}"), number, out, idle=50.0)
+        R.nstep_batch(spark.read.parquet(f"{out}/steps/batch={number}"), number, str(tmp_path / "n"), 2, 1.0)
+    got = rows_of(R.read_derived(spark, str(tmp_path / "n")), "actor", "event_id", "n_return")
+    assert got == [(1, 1, 2.0), (1, 3, 2.0), (2, 5, 2.0)]  # actor 2 began anew at 210: its first row has no second
+
+
 def test_retention_is_idempotent_and_bounded(spark, tmp_path):
     path = str(tmp_path / "newest")
     part = lambda a, b: spark.range(a, b).withColumnRenamed("id", "transition_id")
