@@ -253,19 +253,25 @@ def stream_catalog(steps: DataFrame, late: str = "1 day", window: str = "1 day")
 
 
 def keep_newest(batch: DataFrame, path: str, max_size: int, id_col: str = "transition_id") -> None:
-    """For foreachBatch: the table at ``path`` with the batch, without what the newest ``max_size`` ids push out. Written beside, then named
-    current, as a whole: for small tables. A large one, or one that must outlive a lost driver, is kept by :func:`retain_newest`."""
+    """For foreachBatch: the table at ``path`` with the batch, without what the newest ``max_size`` ids push out. Written beside as a whole: for small
+    tables. The table before stays as ``<path>-before`` until the new one has its name, and is taken up again by the next call if a run broke off between.
+    A large table, or batches that may be tried again, are for :func:`retain_newest`."""
     spark = batch.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
-    current, staged = hadoop.Path(path), f"{path}-next"
+    current, staged, before = (hadoop.Path(f"{path}{x}") for x in ("", "-next", "-before"))
     fs = current.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(current) and fs.exists(before):
+        fs.rename(before, current)
     whole = batch if not fs.exists(current) else spark.read.parquet(path).unionByName(batch)
     newest = whole.agg(F.max(id_col)).first()[0]
     if newest is None:
         return
-    whole.filter(F.col(id_col) > newest - max_size).write.mode("overwrite").parquet(staged)
-    fs.delete(current, True)
-    fs.rename(hadoop.Path(staged), current)
+    whole.filter(F.col(id_col) > newest - max_size).write.mode("overwrite").parquet(staged.toString())
+    fs.delete(before, True)
+    if fs.exists(current):
+        fs.rename(current, before)
+    fs.rename(staged, current)
+    fs.delete(before, True)
 
 
 def retain_newest(batch: DataFrame, number: int, path: str, max_size: int, id_col: str = "transition_id", width: int | None = None) -> None:

@@ -144,6 +144,15 @@ def test_retention_is_idempotent_and_bounded(spark, tmp_path):
     assert R.read_newest(spark, path, 12).count() == 12
 
 
+def test_a_small_table_outlives_a_run_that_breaks_off(spark, tmp_path):
+    path, part = tmp_path / "small", lambda a, b: spark.range(a, b).withColumnRenamed("id", "transition_id")
+    R.keep_newest(part(0, 10), str(path), 7)
+    path.rename(tmp_path / "small-before")  # as if the run ended between two names
+    R.keep_newest(part(10, 12), str(path), 7)
+    assert sorted(r[0] for r in spark.read.parquet(str(path)).collect()) == list(range(5, 12))
+    assert not (tmp_path / "small-before").exists() and not (tmp_path / "small-next").exists()
+
+
 def test_files_stay_few_over_a_hundred_batches(spark, tmp_path):
     path = str(tmp_path / "newest")
     part = lambda a, b: spark.range(a, b, numPartitions=1).withColumnRenamed("id", "transition_id")
