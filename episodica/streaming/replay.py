@@ -277,23 +277,42 @@ def keep_newest(batch: DataFrame, path: str, max_size: int, id_col: str = "trans
 def retain_newest(batch: DataFrame, number: int, path: str, max_size: int, id_col: str = "transition_id", width: int | None = None) -> None:
     """For foreachBatch: adds micro-batch ``number`` to the table at ``path``, and drops what the newest ``max_size`` ids push out.
 
-    The table is dealt to folders by range of ids (``width`` ids each) and by batch. A batch that is tried again overwrites its own folders
-    only, so nothing is there twice; nothing else is written again; ranges that lie wholly before the newest ids are deleted, each after
+    The table is dealt to folders by range of ids (``width`` ids each) and by batch. Of a batch, only rows among the newest ``max_size`` ids of it
+    and the table are written, so what a call writes and deletes depends on ``max_size`` and not on the batch. A batch that is tried again overwrites its own
+    folders only, so nothing is there twice; nothing else is written again; ranges that lie wholly before the newest ids are deleted, each after
     the batch is in place. :func:`read_newest` leaves out what is left of the oldest range.
     """
     spark, width = batch.sparkSession, width or max(1, max_size // 4)
-    placed = batch.withColumns({"id_range": F.floor(F.col(id_col) / width).cast("long"), "batch": F.lit(number).cast("long")})
+    newest = _newest_id(batch, path, id_col)
+    kept = batch if newest is None else batch.filter(F.col(id_col) > newest - max_size)
+    placed = kept.withColumns({"id_range": F.floor(F.col(id_col) / width).cast("long"), "batch": F.lit(number).cast("long")})
     placed.repartition("id_range").write.option("partitionOverwriteMode", "dynamic").partitionBy("id_range", "batch").mode("overwrite").parquet(path)
-    newest = batch.agg(F.max(id_col)).first()[0]
     if newest is None:
         return
     hadoop = spark._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for x in fs.listStatus(root):
-        name = x.getPath().getName()
-        if name.startswith("id_range=") and (int(name[9:]) + 1) * width <= newest - max_size + 1:
-            fs.delete(x.getPath(), True)
+    for name in _listed(spark, path):
+        if _range(name) is not None and (_range(name) + 1) * width <= newest - max_size + 1:
+            fs.delete(hadoop.Path(f"{path}/{name}"), True)
+
+
+def _range(name: str) -> int | None:
+    """The number of a folder of ids; null for other folders, and for that of rows without an id."""
+    number = name.removeprefix("id_range=")
+    return int(number) if number != name and number.lstrip("-").isdigit() else None
+
+
+def _newest_id(batch: DataFrame, path: str, id_col: str) -> int | None:
+    """The largest id of the batch and of the table that :func:`retain_newest` keeps, of which only the last range is read."""
+    newest = batch.agg(F.max(id_col)).first()[0]
+    spark = batch.sparkSession
+    there = [(_range(name), x) for (name, _), x in _folders(spark, path, _manifest(spark, path)[1]) if _range(name) is not None]
+    if not there:
+        return newest
+    last = max(there)[0]
+    stored = spark.read.parquet(*[x for number, x in there if number == last]).agg(F.max(id_col)).first()[0]
+    return stored if newest is None else max(newest, stored)
 
 
 def read_newest(spark: SparkSession, path: str, max_size: int, id_col: str = "transition_id") -> DataFrame:

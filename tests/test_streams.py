@@ -144,6 +144,23 @@ def test_retention_is_idempotent_and_bounded(spark, tmp_path):
     assert R.read_newest(spark, path, 12).count() == 12
 
 
+def test_retention_writes_only_what_it_keeps(spark, tmp_path):
+    """Rows that the newest ids of the batch or of the table push out reach no folder, whatever their number; rows without an id are never kept."""
+    path = str(tmp_path / "newest")
+    part = lambda a, b: spark.range(a, b).withColumnRenamed("id", "transition_id")
+    folders = lambda: len(list((tmp_path / "newest").glob("id_range=*/batch=*")))
+    rows = lambda: sorted(r[0] for r in R.read_newest(spark, path, 12).collect())
+    R.retain_newest(part(1000, 1100), 0, path, 12)
+    for number in (1, 1, 2):  # older rows, tried again, and more of them
+        R.retain_newest(part(0, 300 * number), number, path, 12)
+        assert rows() == list(range(1088, 1100)) and folders() <= 5
+    R.retain_newest(part(500, 1092), 3, path, 12)  # late, but some of them are among the newest
+    assert rows() == sorted([*range(1088, 1100), *range(1088, 1092)])
+    mixed = part(1100, 1110).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS transition_id"))
+    R.retain_newest(mixed, 4, path, 12)
+    assert rows() == list(range(1098, 1110)) and not list((tmp_path / "newest").glob("id_range=__*"))
+
+
 def test_a_small_table_outlives_a_run_that_breaks_off(spark, tmp_path):
     path, part = tmp_path / "small", lambda a, b: spark.range(a, b).withColumnRenamed("id", "transition_id")
     R.keep_newest(part(0, 10), str(path), 7)
