@@ -69,7 +69,9 @@ def s6(spark: SparkSession, sf: str) -> DataFrame:
     """A folder of metadata for each hundred customers, written as JSON and read back with the folder's name."""
     root = shared(spark, "metadata")
     c = T.read(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("folder"))
-    c.agg(F.count(F.lit(1)).alias("num_frames"), F.max("c_name").alias("task")).write.partitionBy("folder").json(root)
+    rows = c.agg(F.count(F.lit(1)).alias("num_frames"), F.max("c_name").alias("task"))
+    spread = rows.repartition(4 * spark.sparkContext.defaultParallelism)  # few bytes, which AQE would leave to one task, but a file each
+    spread.write.partitionBy("folder").json(root)
     found = S.read_episode_metadata(spark, root, "*.json")
     return found.select(F.regexp_replace("episode", "folder=", "demo").alias("episode"), "num_frames", "task")
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.operators.ranks import ordered_rank
@@ -144,8 +145,27 @@ def read_calibrations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_episode_metadata(spark: SparkSession, root: str, name: str = "metadata.json") -> DataFrame:
-    """The metadata of each folder that has a file called ``name`` (a pattern), with the folder's name as episode."""
-    found = spark.read.option("multiLine", True).json(f"{root}/*/{name}")
+    """The metadata of each folder that has a file called ``name`` (a pattern), with the folder's name as episode.
+
+    The columns are inferred from all files in tasks that read many of them each; left to Spark's reader of multi-line files, the driver would look at each file in turn.
+    """
+
+    def text(row: Row) -> str:  # in whichever of JSON's encodings it is; for other bytes a character that is no JSON
+        try:
+            return row["content"].decode(json.detect_encoding(row["content"]))
+        except UnicodeDecodeError:
+            return "\ufffd"
+
+    path = f"{root}/*/{name}"
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(int(before), 4 * spark.sparkContext.defaultParallelism))  # files are listed in as many tasks, not one each
+    try:
+        content = spark.read.format("binaryFile").load(path).select("content")
+        schema = spark.read.json(content.rdd.map(text)).schema
+        found = spark.read.schema(schema).option("multiLine", True).json(path)
+    finally:
+        spark.conf.set(setting, before)
     return found.withColumn("episode", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 

@@ -9,6 +9,8 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from episodica.plans import source_queries as Q
+from episodica.sources import episodes as S
 from episodica.sources import jsonmap as JM
 from episodica.sources import layout as LY
 from episodica.sources.episodes import Dataset
@@ -105,3 +107,37 @@ def test_empty_maps(spark, tmp_path):
     (tmp_path / "c.json").write_text(' {"a": {"name": "}"} }\n')
     got = JM.read_json_map(spark, str(tmp_path), DDL).collect()
     assert [(r["position"], r["key"], r["value"]["name"]) for r in got] == [(0, "a", "}")]
+
+
+def test_metadata_of_many_folders_takes_few_tasks(spark, tmp_path):
+    """Rows and types are those of Spark's own reader, also of lists, broken, empty and UTF-16 files; the files are listed and read by few tasks."""
+    odd = {"list": b'[{"n": 1}, {"n": 2.5}]', "broken": b'{"n": ', "bytes": b'{"n": "\xff"}', "empty": b"", "wide": '{"s": "\u00e9", "only": null}'.encode("utf-16"), "mark": b'\xef\xbb\xbf{"n": 3}', "_hidden": b'{"n":\n 4}'}
+    texts = odd | {f"e{i}": json.dumps({"n": i, "inner": {"t": [i]}}, indent=1).encode() for i in range(60)}
+    for folder, content in texts.items():
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "metadata.json").write_bytes(content)
+    (tmp_path / "metadata.json").write_text('{"n": 5}')  # in no folder
+    (tmp_path / "e0" / "deeper").mkdir()
+    (tmp_path / "e0" / "deeper" / "metadata.json").write_text('{"n": 6}')
+    sc = spark.sparkContext
+    sc.setJobGroup("metadata", "metadata")
+    found = S.read_episode_metadata(spark, str(tmp_path))
+    got = found.collect()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    status = sc.statusTracker()
+    tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("metadata") for s in status.getJobInfo(j).stageIds]
+    want = spark.read.option("multiLine", True).json(f"{tmp_path}/*/metadata.json")
+    assert found.drop("episode").schema == want.schema
+    plain = lambda rows: sorted(json.dumps(r.asDict(recursive=True), sort_keys=True) for r in rows)
+    assert plain(got) == plain(want.withColumn("episode", F.element_at(F.split("_metadata.file_path", "/"), -2)).collect())
+    assert max(tasks) <= 4 * sc.defaultParallelism < 60, tasks
+
+
+def test_the_metadata_query_writes_its_folders_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Q, "shared", lambda spark, name: str(tmp_path / name))
+    customers = spark.range(3000).select(F.col("id").alias("c_custkey"), F.format_string("c%05d", "id").alias("c_name"))
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    got = {tuple(r[x] for x in ("episode", "num_frames", "task")) for r in Q.s6(spark, str(tmp_path)).collect()}
+    assert got == {(f"demo{i}", 100, f"c{100 * i + 99:05d}") for i in range(30)}
+    files = list((tmp_path / "metadata").glob("folder=*/*.json"))
+    assert len(files) == 30 and len({f.name[:10] for f in files}) > 3
